@@ -18,24 +18,48 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .token_counts import count_tokens
+
+    return count_tokens(table(spark, sf_dir, "documents"), vocabulary_path("piece_bpe_32k.model"))
+
+
 def op4_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .bpe import round_trip_digests
 
     return round_trip_digests(table(spark, sf_dir, "documents"), vocabulary_path())
 
 
+def op5_arc_to_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .arc_warc import archive_round_trip
+
+    return archive_round_trip(table(spark, sf_dir, "pages"))
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .quality_rules import judge_quality
 
     return judge_quality(table(spark, sf_dir, "documents")).drop("failed_rule")
 
 
+def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .secret_scan import scan_secrets
+
+    return scan_secrets(table(spark, sf_dir, "documents"))
+
+
+def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .token_files import token_files_round_trip
+
+    return token_files_round_trip(table(spark, sf_dir, "documents"), vocabulary_path())
+
+
 def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .url_filter import judge_urls
 
     return judge_urls(table(spark, sf_dir, "pages"))
 
 
-QUERIES = {f.__name__: f for f in (op4_bpe_round_trip, op6_quality_rules, op10_url_filter)}
+QUERIES = {f.__name__: f for f in (op3_token_counts, op4_bpe_round_trip, op5_arc_to_warc, op6_quality_rules, op7_secret_scan, op8_token_files, op10_url_filter)}
 
 SQL: dict[str, str] = {}
