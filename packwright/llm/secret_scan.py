@@ -179,7 +179,8 @@ def model_spans(tokens: Tokens, field: Field) -> list[tuple[int, int, int]]:
         opened = None
         for i, tag in enumerate([*tags, OUT], start):
             if opened is not None and tag != INSIDE:
-                found.append((int(tokens.row[opened]), int(tokens.start[opened]), int(tokens.end[i - 1])))
+                if ((tokens.features[opened:i, 1] - BASES[1]) & 4).any():  # a digit somewhere
+                    found.append((int(tokens.row[opened]), int(tokens.start[opened]), int(tokens.end[i - 1])))
                 opened = None
             if tag == BEGIN or (tag == INSIDE and opened is None):
                 opened = i
@@ -260,7 +261,7 @@ def train(texts: list[str], options: Training = Training()) -> Field:
             held = np.flatnonzero((tokens.start >= s) & (tokens.end <= e))
             tags[held[1:]], tags[held[:1]] = INSIDE, BEGIN
         near = np.flatnonzero(tags)
-        middles = near[:1].tolist() or [rnd.randrange(len(tags))] if len(tags) else []
+        middles = near[:1].tolist() or [rnd.randrange(len(tags)) for _ in range(4)] if len(tags) else []
         for middle in middles:
             window = slice(max(0, middle - options.reach), middle + options.reach)
             sequences.append((tokens.features[window], tags[window]))
