@@ -54,12 +54,18 @@ def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files_round_trip(table(spark, sf_dir, "documents"), vocabulary_path())
 
 
+def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .near_dedup import Near, near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents"), Near(words=3, percent=85))
+
+
 def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .url_filter import judge_urls
 
     return judge_urls(table(spark, sf_dir, "pages"))
 
 
-QUERIES = {f.__name__: f for f in (op3_token_counts, op4_bpe_round_trip, op5_arc_to_warc, op6_quality_rules, op7_secret_scan, op8_token_files, op10_url_filter)}
+QUERIES = {f.__name__: f for f in (op3_token_counts, op4_bpe_round_trip, op5_arc_to_warc, op6_quality_rules, op7_secret_scan, op8_token_files, op9_near_dedup, op10_url_filter)}
 
 SQL: dict[str, str] = {}
