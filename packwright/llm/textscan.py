@@ -84,13 +84,13 @@ def span_hashes(units: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.nda
     return mixed(poly ^ ((end - start).astype(np.uint64) * _U(0xD6E8FEB86659FD93)))
 
 
-def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Starts and ends of all words, and for each row the index of its first word (rows + 1 entries)."""
+def word_spans(data: np.ndarray, offsets: np.ndarray, between: np.ndarray = IS_SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and ends of all words, and for each row the index of its first word (rows + 1 entries); between: bytes that part words."""
     n = len(data)
     if n == 0:
         none = np.zeros(0, np.int64)
         return none, none, np.zeros(len(offsets), np.int64)
-    ink = ~IS_SPACE[data]
+    ink = ~between[data]
     cut = np.zeros(n + 1, bool)
     cut[offsets] = True
     begins = ink.copy()
