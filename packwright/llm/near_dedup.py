@@ -109,7 +109,15 @@ def frequent_values(sketches: DataFrame, options: Near) -> tuple[np.ndarray, np.
             yield counted()
 
     counts = map_columns(sketches, ["sketch"], run, "value long, n long").groupBy("value").agg(F.sum("n").alias("n")).where("n >= 4")
-    rows = counts.orderBy(F.desc("n"), "value").limit(options.hot_values).toArrow()
+    counts = stored(counts, "frequent")
+    # the least count from which at most hot_values values remain: a histogram first, so no task sends more than is kept
+    least, room = 1 << 62, options.hot_values
+    for r in counts.groupBy(F.least("n", F.lit(1 << 20)).alias("n")).agg(F.count("*").alias("values")).orderBy(F.desc("n")).toLocalIterator():
+        room -= r["values"]
+        if room < 0:
+            break
+        least = r["n"]
+    rows = counts.where(F.col("n") >= least).toArrow()
     values, n = rows["value"].to_numpy().view(np.uint64), rows["n"].to_numpy()
     order = np.argsort(values)
     return values[order], n[order]

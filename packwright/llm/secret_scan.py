@@ -27,6 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .files import stored
 from .textscan import FOLD_AZ, IS_SPACE, STARTS_CHAR, chunks, map_columns, span_hashes
 
 #: The patterns, in the order in which kinds are listed, and the least size of what they hold.
@@ -309,8 +310,13 @@ def train_on(docs: DataFrame, options: Training = Training()) -> Field:
     marked = text.rlike("AKIA[A-Z0-9]{16}|[0-9a-f]{24}|(?i)(password|passwd|secret|token|api_?key)[\"']? *[:=]")
     at = F.pmod(F.xxhash64("text", F.lit(options.seed)), F.lit(1 << 30)) / (1 << 30)
     rows = docs.select("text", marked.alias("marked"), at.alias("at")).where(text.isNotNull() & (F.length("text") > 0))
-    sample = rows.where(F.col("at") < share)
-    part = lambda flag: [r["text"] for r in sample.where(F.col("marked") == flag).orderBy("at").select("text").limit(options.sample_rows // 2).collect()]
+    drawn = stored(rows.where(F.col("at") < share), "secret-sample")
+
+    def part(flag: bool) -> list[str]:
+        own = drawn.where(F.col("marked") == flag)
+        places = own.select("at").orderBy("at").limit(options.sample_rows // 2).collect()  # numbers only; the texts follow
+        return [r["text"] for r in own.where(F.col("at") <= places[-1]["at"]).orderBy("at", "text").select("text").collect()] if places else []
+
     return train(part(True) + part(False), options)
 
 
