@@ -169,7 +169,7 @@ def _lists(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
         kept = [c[cuts[end] :] for c in columns]
 
     for batch in batches:
-        columns = [batch.column(i).to_numpy() for i in range(batch.num_columns)]
+        columns = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(batch.num_columns)]
         if kept is not None:
             columns = [np.concatenate(x) for x in zip(kept, columns)]
         if len(columns[0]):
