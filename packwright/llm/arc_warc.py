@@ -20,6 +20,7 @@ from __future__ import annotations
 import base64
 import gzip
 import hashlib
+import io
 import re
 import uuid
 import zlib
@@ -118,7 +119,7 @@ def open_archive(uri: str):
     """Stream of an archive's bytes, gzip members or plain."""
     system, path = filesystem(uri)
     raw = system.open_input_stream(path, compression=None)
-    return gzip.GzipFile(fileobj=raw) if path.endswith(".gz") else raw
+    return gzip.GzipFile(fileobj=raw) if path.endswith(".gz") else io.BufferedReader(raw)
 
 
 def record_id(page_id: int | None, url: str, digest: str) -> str:

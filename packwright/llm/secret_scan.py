@@ -5,9 +5,8 @@ it and features of the whole file.  It is trained on a bounded sample of documen
 patterns label it, with invented credentials set into some of their texts, so that it also learns
 contexts that no fixed pattern names.
 
-Decoding is exact Viterbi, but only where it can matter: with g(t) the most that leaving ``outside``
-at token t can gain, a secret must lie in a stretch whose running sum of g stays positive.  Those
-few stretches are decoded; everywhere else the best path is ``outside``.
+Decoding is exact Viterbi, but only where it can matter: a bound on what leaving ``outside`` can gain
+shows of most tokens that the best path stays there.  The few stretches between are decoded.
 
 Defined cases: null reads as empty; an empty text has no spans; a model span that touches a fixed
 span is dropped in its favour; repeated rows give repeated rows; other columns pass through
@@ -41,6 +40,7 @@ ORDER = {kind: i for i, kind in enumerate((*KINDS, MODEL_KIND))}
 OUT, BEGIN, INSIDE = 0, 1, 2
 WORD_BITS = 12
 _WORDS = 1 << WORD_BITS
+NEVER = -1e9  # a secret starts with ``begin``
 _SIZES = np.array([1, 2, 3, 4, 5, 6, 8, 12, 16, 20, 24, 32, 40, 64, 128])
 
 IS_HEX = np.zeros(256, bool)
@@ -60,7 +60,7 @@ class Training:
 
     sample_rows: int = 400
     drawn_rows: int = 10_000
-    copies: int = 1200
+    copies: int = 800
     reach: int = 30
     epochs: int = 4
     rate: float = 0.2
@@ -139,7 +139,7 @@ BASES = np.cumsum((0, *TABLES[:-1])).astype(np.int32)
 
 def viterbi(scores: np.ndarray, moves: np.ndarray) -> list[int]:
     """Best tags of a stretch with ``outside`` before and after it."""
-    best, back = scores[0] + moves[OUT], []
+    best, back = scores[0].astype(np.float64) + moves[OUT], []
     for row in scores[1:]:
         ways = best[:, None] + moves
         back.append(ways.argmax(0))
@@ -150,19 +150,30 @@ def viterbi(scores: np.ndarray, moves: np.ndarray) -> list[int]:
     return tags[::-1]
 
 
-def stretches(gain: np.ndarray, row: np.ndarray) -> Iterator[tuple[int, int]]:
-    """Ranges of tokens that can hold a secret: from a positive gain until the running sum is spent."""
-    end = 0
-    for start in np.flatnonzero(gain > 0).tolist():
-        if start < end:
-            continue
-        total, end = 0.0, start
-        while end < len(gain) and row[end] == row[start]:
-            total += gain[end]
-            if total <= 0:
-                break
-            end += 1
-        yield start, end
+def stretches(scores: np.ndarray, moves: np.ndarray, row: np.ndarray) -> list[tuple[int, int]]:
+    """Ranges of tokens outside of which the best path is ``outside``.
+
+    Let u be the most that a token can gain over ``outside``, with one move.  If the best path has a
+    secret over t that goes on, starting it at t + 1 instead is no better, so the sum of u from its
+    start to t is at least -(the best move - the opening move + what ``inside`` gains over ``begin``
+    at t + 1); if it ends at t, it is at least -(one move).  The largest sum that ends at t decides.
+    """
+    allowed = np.delete(moves.ravel(), OUT * 3 + INSIDE)
+    step = max(0.0, float(allowed.max() - moves[OUT, OUT]))
+    u = scores[:, BEGIN:].max(1).astype(np.float64) - scores[:, OUT] + step
+    # a drop at each row's start keeps sums from reaching into the row before
+    drop = -1e6 * (row - row[0])
+    before = np.concatenate([[0.0], np.cumsum(u)[:-1]]) + drop
+    largest = before + u - np.minimum.accumulate(before)
+    later = np.append(np.maximum(0.0, scores[1:, INSIDE] - scores[1:, BEGIN]), 0.0)
+    slack = np.maximum(step, float(allowed.max() - moves[OUT, BEGIN]) + later) + 1e-3
+    held = largest >= -slack
+    edge = np.flatnonzero(np.diff(np.concatenate([[False], held, [False]]).astype(np.int8)))
+    out = []
+    for a, b in zip(edge[::2].tolist(), edge[1::2].tolist()):
+        cuts = [a, *(np.flatnonzero(row[a + 1 : b] != row[a : b - 1]) + a + 1).tolist(), b]
+        out += zip(cuts, cuts[1:])
+    return out
 
 
 def model_spans(tokens: Tokens, field: Field) -> list[tuple[int, int, int]]:
@@ -172,10 +183,8 @@ def model_spans(tokens: Tokens, field: Field) -> list[tuple[int, int, int]]:
     scores = np.zeros((len(tokens.start), 3), np.float32)
     for column in tokens.features.T:
         scores += field.weights[column]
-    extra = max(0.0, float((field.moves - field.moves[OUT, OUT]).max()))
-    gain = np.maximum(scores[:, BEGIN], scores[:, INSIDE]) - scores[:, OUT] + 2 * extra  # each token may pay for the step into and out of it
     found = []
-    for start, end in stretches(gain, tokens.row):
+    for start, end in stretches(scores, field.moves, tokens.row):
         tags = viterbi(scores[start:end], field.moves)
         opened = None
         for i, tag in enumerate([*tags, OUT], start):
@@ -267,7 +276,7 @@ def train(texts: list[str], options: Training = Training()) -> Field:
             window = slice(max(0, middle - options.reach), middle + options.reach)
             sequences.append((tokens.features[window], tags[window]))
     weights, moves = np.zeros((sum(TABLES), 3)), np.zeros((3, 3))
-    moves[OUT, INSIDE] = -4.0
+    moves[OUT, INSIDE] = NEVER
     for epoch in range(options.epochs):
         rnd.shuffle(sequences)
         rate = options.rate / (1 + epoch)
@@ -301,6 +310,7 @@ def _step(weights: np.ndarray, moves: np.ndarray, features: np.ndarray, tags: np
         observed = np.zeros((3, 3))
         np.add.at(observed, (tags[:-1], tags[1:]), 1)
         moves += 0.1 * rate * (observed - both.sum(0))
+        moves[OUT, INSIDE] = NEVER
 
 
 def train_on(docs: DataFrame, options: Training = Training()) -> Field:

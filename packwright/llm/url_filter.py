@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from .textscan import map_columns
 
 STRICT = ("casino", "casinos", "porn", "porno", "xxx", "escort", "escorts", "viagra", "cialis", "malware", "warez", "phishing")
-SOFT = ("adult", "bet", "bets", "betting", "bonus", "cheap", "farm", "free", "gambling", "jackpot", "loan", "loans", "pill", "pills", "poker", "sex", "slots", "spam", "win", "x")
+SOFT = ("adult", "bet", "bets", "betting", "bonus", "cheap", "farm", "free", "gambling", "jackpot", "loan", "loans", "pill", "pills", "poker", "sex", "slots", "spam", "win")
 _FOLD = {upper: upper + 32 for upper in range(65, 91)}
 _ALNUM = frozenset("abcdefghijklmnopqrstuvwxyz0123456789")
 SCHEMA = "page_id long, host string, path string, rule string, verdict string, n_strict int, n_soft int, weight double"
