@@ -6,8 +6,9 @@
    standard deviations.  So, with values ordered from rare to frequent, their sketches share one of
    their first k - least + 1 values: only those enter the inverted lists, and frequent values don't.
 3. A short list gives all its pairs.  A long one (a large group of near copies) gives a star around
-   a hub; after the linked sets are joined, only members of different components of one list are
-   left, and those pairs are all tried.  Long lists are dealt out by salt, so no list meets in one task.
+   its most typical member; after the linked sets are joined, members of different components of one
+   list are left.  Those are told apart by what they don't share with the hub (``remaining_links``),
+   which is exact.  Long lists are dealt out by salt, so no list meets in one task.
 4. The union sketch of a candidate pair estimates its similarity; what stays is verified exactly on
    the full sets.  Links and classes then join into components.
 
@@ -36,7 +37,7 @@ from .textscan import chunks, map_columns, mixed, shingle_set, word_hashes
 
 @dataclass(frozen=True)
 class Near:
-    """percent: least similarity of a link.  k: sketch size.  hot_values: most frequent values that are put last."""
+    """percent: least similarity of a link.  k: sketch size.  hot_values: most frequent values that are put last.  rounds: of hubs, before the rest is tried pair by pair."""
 
     words: int = 5
     percent: int = 80
@@ -46,6 +47,7 @@ class Near:
     short_list: int = 24
     salted_from: int = 512
     hub_orders: int = 4
+    rounds: int = 6
 
     @property
     def least(self) -> int:
@@ -123,35 +125,41 @@ def frequent_values(sketches: DataFrame, options: Near) -> tuple[np.ndarray, np.
     return values[order], n[order]
 
 
+def _hot_counts(hot: tuple[np.ndarray, np.ndarray], values: np.ndarray) -> np.ndarray:
+    """Count of each value that is among the frequent ones, else 0."""
+    known, counts = hot
+    if not len(known):
+        return np.zeros(len(values), np.int64)
+    at = np.minimum(np.searchsorted(known, values), len(known) - 1)
+    return np.where(known[at] == values, counts[at], 0)
+
+
 def list_entries(sketches: DataFrame, options: Near) -> DataFrame:
-    """value, salt, f, doc_id, n: the inverted lists of the rarest values of each sketch."""
+    """The inverted lists of the rarest values of each sketch; own: how many of a sketch's values are not frequent."""
     hot = sketches.sparkSession.sparkContext.broadcast(frequent_values(sketches, options))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hot_values, hot_counts = hot.value
         for batch in batches:
-            values, parts, sizes = [], [], []
+            values, parts, sizes, own = [], [], [], []
             columns = [batch.column(i).to_numpy() for i in range(3)]
             for n, raw in zip(columns[1].tolist(), batch.column(3)):
                 sketch = np.frombuffer(raw.as_buffer(), np.uint64)
-                count = np.zeros(len(sketch), np.int64)
-                if len(hot_values):
-                    at = np.minimum(np.searchsorted(hot_values, sketch), len(hot_values) - 1)
-                    count = np.where(hot_values[at] == sketch, hot_counts[at], 0)
+                count = _hot_counts(hot.value, sketch)
                 first = np.argsort(count, kind="stable")[: options.prefix(n)]
+                own.append(int((count == 0).sum()))
                 values.append(sketch[first])
                 parts.append(count[first] // options.salted_from + 1)
                 sizes.append(len(first))
             if not sizes:
                 continue
-            doc_id, n, f = (np.repeat(c, sizes) for c in columns)
+            doc_id, n, f, own = (np.repeat(c, sizes) for c in (*columns, np.array(own)))
             parts = np.concatenate(parts)
-            yield pa.RecordBatch.from_pydict({"value": np.concatenate(values).view(np.int64), "salt": f % parts, "parts": parts, "f": f, "doc_id": doc_id, "n": n})
+            yield pa.RecordBatch.from_pydict({"value": np.concatenate(values).view(np.int64), "salt": f % parts, "parts": parts, "f": f, "doc_id": doc_id, "n": n, "own": own})
 
     return map_columns(sketches, ["doc_id", "n", "f1", "sketch"], run, ENTRY_SCHEMA)
 
 
-ENTRY_SCHEMA = "value long, salt long, parts long, f long, doc_id long, n long"
+ENTRY_SCHEMA = "value long, salt long, parts long, f long, doc_id long, n long, own long"
 
 
 def _lists(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
@@ -179,7 +187,7 @@ def _lists(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
 
 
 PAIR, HUB, LONG = 0, 1, 2
-STAR_SCHEMA = "kind int, a long, b long, value long, f long, n long"
+STAR_SCHEMA = "kind int, a long, b long, value long, f long, n long, own long"
 
 
 def stars(entries: DataFrame, options: Near) -> DataFrame:
@@ -189,28 +197,28 @@ def stars(entries: DataFrame, options: Near) -> DataFrame:
         rows: list[tuple[np.ndarray, ...]] = []
         held = 0
 
-        def add(kind: int, a: np.ndarray, b: np.ndarray, value: int = 0, f: np.ndarray | None = None, n: np.ndarray | None = None) -> None:
+        def add(kind: int, a: np.ndarray, b: np.ndarray, value: int = 0, *more: np.ndarray) -> None:
             nonlocal held
             none = np.zeros(len(a), np.int64)
-            rows.append((np.full(len(a), kind, np.int32), a, b, none + value, none if f is None else f, none if n is None else n))
+            rows.append((np.full(len(a), kind, np.int32), a, b, none + value, *(more or (none, none, none))))
             held += len(a)
 
-        for value, _, parts, f, doc, n in _lists(batches):
+        for value, _, parts, f, doc, n, own in _lists(batches):
             alone = np.concatenate([[True], f[1:] != f[:-1]])  # rows of equal sets are one member
-            f, doc, n, m = f[alone], doc[alone], n[alone], int(alone.sum())
+            f, doc, n, own, m = f[alone], doc[alone], n[alone], own[alone], int(alone.sum())
             if m > 1 and m <= options.short_list:
                 i, j = np.triu_indices(m, 1)
                 fit = 100 * np.minimum(n[i], n[j]) >= options.percent * np.maximum(n[i], n[j])
                 add(PAIR, np.minimum(doc[i], doc[j])[fit], np.maximum(doc[i], doc[j])[fit])
             seed = mixed(np.array([value[0] % options.hub_orders + 1]).view(np.uint64))
-            hub = int(mixed(f.view(np.uint64) ^ seed).argmin())
+            hub = int(np.lexsort((mixed(f.view(np.uint64) ^ seed), own))[0])  # the most typical one
             if m > options.short_list:
                 others = np.delete(doc, hub)
                 add(PAIR, np.minimum(others, doc[hub]), np.maximum(others, doc[hub]))
             if parts[0] > 1:
-                add(HUB, doc[hub : hub + 1], doc[hub : hub + 1], value[0], f[hub : hub + 1], n[hub : hub + 1])
+                add(HUB, doc[hub : hub + 1], doc[hub : hub + 1], value[0], *(c[hub : hub + 1] for c in (f, n, own)))
             if m > options.short_list or parts[0] > 1:
-                add(LONG, doc, doc, value[0], f, n)
+                add(LONG, doc, doc, value[0], f, n, own)
             if held > 1 << 16:
                 yield _batch(rows)
                 rows.clear()
@@ -219,37 +227,161 @@ def stars(entries: DataFrame, options: Near) -> DataFrame:
             yield _batch(rows)
 
     ordered = entries.repartition("value", "salt").sortWithinPartitions("value", "salt", "f", "doc_id")
-    return map_columns(ordered, ["value", "salt", "parts", "f", "doc_id", "n"], run, STAR_SCHEMA)
+    return map_columns(ordered, ["value", "salt", "parts", "f", "doc_id", "n", "own"], run, STAR_SCHEMA)
 
 
 def _batch(rows: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*rows)], ["kind", "a", "b", "value", "f", "n"])
+    return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*rows)], ["kind", "a", "b", "value", "f", "n", "own"])
+
+
+def hub_members(lists: DataFrame, groups: DataFrame) -> DataFrame:
+    """hub, hub_component, doc_id, component, n: members of long lists(value, doc_id, own, n) that hold different components.
+
+    A list's hub is its most typical member, that with the fewest values of its own; lists with one hub are one group.
+    """
+    labelled = lists.join(groups.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("value", F.coalesce("component", "doc_id").alias("component"), "doc_id", "own", "n")
+    labelled = stored(labelled.distinct(), "members")
+    typical = F.min(F.struct("own", F.xxhash64("doc_id").alias("order"), "doc_id", "component")).alias("hub")
+    open_lists = labelled.groupBy("value").agg(F.min("component").alias("least"), F.max("component").alias("most"), typical).where("least <> most")
+    open_lists = stored(open_lists.select("value", F.col("hub.doc_id").alias("hub"), F.col("hub.component").alias("hub_component")), "open-lists")
+    return stored(labelled.join(open_lists, "value").where("doc_id <> hub").select("hub", "hub_component", "doc_id", "component", "n").distinct(), "hub-members")
+
+
+def differences(members: DataFrame, sets: DataFrame, options: Near) -> DataFrame:
+    """a, b, linked, doc_id, component, n, diff: each member's exact link with its hub, and the values that tell them apart.
+
+    The values are hashed with the hub, so that those of different hubs never meet.
+    """
+    parts = members.groupBy("hub").agg((F.floor(F.count("*") / options.salted_from) + 1).alias("parts"))
+    hubs = parts.join(sets.select(F.col("doc_id").alias("hub"), F.col("full").alias("hub_full")), "hub").withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
+    dealt = members.join(parts, "hub").withColumn("salt", F.pmod(F.xxhash64("doc_id"), "parts")).drop("parts")
+    rows = dealt.join(sets.select("doc_id", "full"), "doc_id").join(hubs.drop("parts"), ["hub", "salt"])
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            hub, doc = batch.column(0).to_numpy(), batch.column(2).to_numpy()
+            linked, diffs = [], []
+            for h, x, y in zip(hub, batch.column(5), batch.column(6)):
+                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
+                apart = np.setxor1d(x, y, assume_unique=True)
+                linked.append(bool(options.linked((len(x) + len(y) - len(apart)) // 2, len(x), len(y))))
+                diffs.append(np.sort(mixed(apart ^ mixed(np.array([h]).view(np.uint64)))).tobytes())
+            linked = np.array(linked, bool) & (batch.column(1).to_numpy() != batch.column(3).to_numpy())
+            yield pa.RecordBatch.from_pydict({"a": np.minimum(hub, doc), "b": np.maximum(hub, doc), "linked": linked, "doc_id": batch.column(2), "component": batch.column(3), "n": batch.column(4), "diff": pa.array(diffs, pa.binary())})
+
+    columns = ["hub", "hub_component", "doc_id", "component", "n", "full", "hub_full"]
+    return stored(map_columns(rows, columns, run, "a long, b long, linked boolean, doc_id long, component long, n long, diff binary"), "differences")
+
+
+def reach(size, other, n, m, percent: int):
+    """Last place, in its ordered differences, at which a set can first meet another one that it is linked with.
 
-def cross_pairs(members: DataFrame, options: Near) -> DataFrame:
-    """a, b of one long list but of different components, of sizes that allow a link.  members: value, component, doc_id, n.
+    With the sizes of both sets and of their differences from one hub, a link needs
+    (size + other - most) / 2 common differences, where most is the largest symmetric difference of a link.
+    """
+    return (size - other + (100 - percent) * (n + m) // (100 + percent)) // 2
+
+
+def difference_entries(rows: DataFrame, options: Near) -> DataFrame:
+    """value, doc_id, component, n, size, pos: the rarest differences of each member, as far as any link can reach."""
+    hot = rows.sparkSession.sparkContext.broadcast(frequent_values(rows.select(F.col("diff").alias("sketch")), options))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n = batch.column(2).to_numpy()
+            values, places, sizes, counts = [], [], [], []
+            for size, raw in zip(n.tolist(), batch.column(3)):
+                diff = np.frombuffer(raw.as_buffer(), np.uint64)
+                first = np.argsort(_hot_counts(hot.value, diff), kind="stable")[: (100 - options.percent) * size // options.percent + 1]
+                values.append(diff[first])
+                places.append(np.arange(len(first)))
+                sizes.append(len(diff))
+                counts.append(len(first))
+            if sum(counts):
+                doc_id, component, n, sizes = (np.repeat(c, counts) for c in (batch.column(0).to_numpy(), batch.column(1).to_numpy(), n, np.array(sizes)))
+                yield pa.RecordBatch.from_pydict({"value": np.concatenate(values).view(np.int64), "doc_id": doc_id, "component": component, "n": n, "size": sizes, "pos": np.concatenate(places)})
+
+    return stored(map_columns(rows, ["doc_id", "component", "n", "diff"], run, "value long, doc_id long, component long, n long, size long, pos long"), "difference-entries")
+
+
+def _fits(n: np.ndarray, size: np.ndarray, pos: np.ndarray, i: int, percent: int) -> np.ndarray:
+    """Which entries of one list can be linked with entry i, by their places."""
+    return (pos <= reach(size, size[i], n, n[i], percent)) & (pos[i] <= reach(size[i], size, n, n[i], percent))
+
+
+def possible_entries(entries: DataFrame, options: Near) -> DataFrame:
+    """The entries that can be linked with one of another component in their list.
+
+    Entries of equal n, size and pos are judged as one, so a list of any length is a bounded matter.
+    """
+    kinds = entries.groupBy("value", "n", "size", "pos").agg(F.min("component").alias("least"), F.max("component").alias("most"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for value, _, parts, n, size, pos, least, most in _lists(batches):
+            open_kind = np.zeros(len(n), bool)
+            for i in range(len(n)):
+                apart = (least != least[i]) | (most != most[i]) | (least != most)
+                open_kind[i] = (apart & _fits(n, size, pos, i, options.percent)).any()
+            if open_kind.any():
+                yield pa.RecordBatch.from_pydict({"value": value[open_kind], "n": n[open_kind], "size": size[open_kind], "pos": pos[open_kind]})
+
+    zero = F.lit(0).cast("long")
+    # ``parts`` over 1 keeps lists of one kind, which may still hold two components
+    dealt = kinds.select("value", zero.alias("salt"), F.when(F.col("least") < F.col("most"), 2).otherwise(1).cast("long").alias("parts"), "n", "size", "pos", "least", "most")
+    dealt = dealt.repartition("value").sortWithinPartitions("value", "salt")
+    found = stored(map_columns(dealt, dealt.columns, run, "value long, n long, size long, pos long"), "possible")
+    return stored(entries.join(found, ["value", "n", "size", "pos"]), "possible-entries")
+
+
+def place_pairs(entries: DataFrame, options: Near) -> DataFrame:
+    """a, b of one list and of different components that can be linked by their places.
 
     A list is dealt out by pairs of blocks of its members, so none has to meet in one task.
     """
-    sizes = members.groupBy("value").agg(F.count("*").alias("m"), F.min("component").alias("least"), F.max("component").alias("most"))
-    open_lists = stored(sizes.where("least <> most").select("value", (F.floor(F.col("m") / 1024) + 1).alias("blocks")), "open-lists")
-    rows = stored(members, "members").join(open_lists, "value").withColumn("own", F.pmod(F.xxhash64("doc_id"), "blocks"))
+    sizes = entries.groupBy("value").agg((F.floor(F.count("*") / 1024) + 1).alias("blocks"))
+    rows = entries.join(sizes, "value").withColumn("own", F.pmod(F.xxhash64("doc_id"), "blocks"))
     dealt = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
     x, y, one = F.least("own", "other"), F.greatest("own", "other"), F.lit(1).cast("long")
-    cells = dealt.select(F.xxhash64("value", x, y).alias("cell"), (one - 1).alias("salt"), one.alias("parts"), (F.col("own") == x).alias("first"), (x == y).alias("same"), "component", "doc_id", "n")
+    cells = dealt.select(F.xxhash64("value", x, y).alias("cell"), (one - 1).alias("salt"), one.alias("parts"), (F.col("own") == x).alias("first"), (x == y).alias("same"), "component", "doc_id", "n", "size", "pos")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, _, _, first, same, component, doc, n in _lists(batches):
+        for _, _, _, first, same, component, doc, n, size, pos in _lists(batches):
             for i in np.flatnonzero(first).tolist():
-                others = np.arange(i + 1, len(doc)) if same[0] else np.flatnonzero(~first)
-                fit = others[(component[others] != component[i]) & (100 * np.minimum(n[others], n[i]) >= options.percent * np.maximum(n[others], n[i]))]
-                if len(fit):
+                fit = _fits(n, size, pos, i, options.percent) & (component != component[i])
+                fit &= np.arange(len(doc)) > i if same[0] else ~first
+                if fit.any():
                     yield pa.RecordBatch.from_arrays([pa.array(np.minimum(doc[fit], doc[i])), pa.array(np.maximum(doc[fit], doc[i]))], ["a", "b"])
 
     ordered = cells.repartition("cell").sortWithinPartitions("cell")
     return map_columns(ordered, cells.columns, run, "a long, b long").distinct()
 
 
+def remaining_links(lists: DataFrame, groups: DataFrame, docs: DataFrame, options: Near) -> Iterator[DataFrame]:
+    """Links between different components of long lists(value, doc_id, own, n), in rounds; sent the components after each.
+
+    Members of a long list have much in common, so what counts is what tells them from their hub: two
+    sets of which one is not linked with the hub are linked only if they share enough of that.  Those
+    differences, from rare to frequent, form new lists.  Short ones give pairs; long ones are the next
+    round's lists, around other hubs.  After ``rounds`` the pairs of long lists are formed as well.
+    """
+    sets = None
+    for last in [False] * (options.rounds - 1) + [True]:
+        members = hub_members(lists, groups)
+        if members.isEmpty():
+            return
+        if sets is None:
+            sets = full_sets(docs, members.select(F.col("hub").alias("a"), F.col("doc_id").alias("b")), options)
+        found = differences(members, sets, options)
+        entries = possible_entries(difference_entries(found.where(F.length("diff") > 0), options), options)
+        long = entries.groupBy("value").agg(F.count("*").alias("m")).where(F.col("m") > options.short_list).select("value")
+        long = stored(long, "long-lists")
+        short = entries if last else entries.join(long, "value", "left_anti")
+        pairs = stored(place_pairs(short, options), "place-pairs")
+        star = found.where("linked").select("a", "b").distinct()
+        groups = yield star.union(links(pairs, docs, options))
+        lists = entries.join(long, "value", "left_semi").select("value", "doc_id", F.col("pos").alias("own"), "n")
+
+
 def full_sets(docs: DataFrame, pairs: DataFrame, options: Near) -> DataFrame:
     """doc_id, sketch, full of the documents in ``pairs``, from their whole texts."""
     nodes = pairs.select(F.col("a").alias("doc_id")).union(pairs.select(F.col("b").alias("doc_id"))).distinct()
@@ -310,16 +442,21 @@ def near_duplicates(docs: DataFrame, options: Near = Near()) -> DataFrame:
 
     found = stored(stars(list_entries(filled.where("sketch IS NOT NULL"), options), options), "stars")
     zero = F.lit(0).cast("long")
-    hubs = found.where(F.col("kind") == HUB).select("value", zero.alias("salt"), (zero + 1).alias("parts"), "f", F.col("a").alias("doc_id"), "n")
+    hubs = found.where(F.col("kind") == HUB).select("value", zero.alias("salt"), (zero + 1).alias("parts"), "f", F.col("a").alias("doc_id"), "n", "own")
     pairs = stored(found.where(F.col("kind") == PAIR).select("a", "b").union(stars(hubs, options).where(F.col("kind") == PAIR).select("a", "b")).distinct(), "pairs")
     linked = by_class(by_class(links(pairs, docs, options), "a"), "b").where("a <> b")
     groups = components(linked)
 
-    long = by_class(found.where(F.col("kind") == LONG).select("value", F.col("a").alias("doc_id"), "n"), "doc_id").distinct()
-    long = long.join(groups.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("value", F.coalesce("component", "doc_id").alias("component"), "doc_id", "n")
-    more = stored(cross_pairs(long, options).join(pairs, ["a", "b"], "left_anti"), "more-pairs")
-    if not more.isEmpty():
-        groups = components(linked.union(by_class(by_class(links(more, docs, options), "a"), "b").where("a <> b")))
+    long = by_class(found.where(F.col("kind") == LONG).select("value", F.col("a").alias("doc_id"), "own", "n"), "doc_id")
+    rounds = remaining_links(long, groups, docs, options)
+    more = next(rounds, None)
+    while more is not None:
+        linked = stored(linked.union(by_class(by_class(more, "a"), "b").where("a <> b")), "linked")
+        groups = components(linked)
+        try:
+            more = rounds.send(groups)
+        except StopIteration:
+            break
     joined = member.join(groups.withColumnRenamed("node", "class_id"), "class_id", "left")
     component = F.coalesce("component", "class_id")
     return joined.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"))
