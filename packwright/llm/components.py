@@ -22,8 +22,7 @@ def components(edges: DataFrame) -> DataFrame:
     while total is not None:
         near = both.join(labels.select(F.col("node").alias("other"), "component"), "other").groupBy("node").agg(F.min("component").alias("near"))
         nearer = labels.join(near, "node").select("node", F.least("component", "near").alias("component"))
-        nearer = stored(nearer, "labels")
-        jumps = nearer.select(F.col("node").alias("component"), F.col("component").alias("jump"))
+        jumps = labels.select(F.col("node").alias("component"), F.col("component").alias("jump"))
         labels = stored(nearer.join(jumps, "component").select("node", F.least("component", "jump").alias("component")), "labels")
         now = labels.agg(F.sum("component").alias("s")).first()["s"]
         if now == total:

@@ -37,17 +37,21 @@ from .textscan import chunks, map_columns, mixed, shingle_set, word_hashes
 
 @dataclass(frozen=True)
 class Near:
-    """percent: least similarity of a link.  k: sketch size.  hot_values: most frequent values that are put last.  rounds: of hubs, before the rest is tried pair by pair."""
+    """percent: least similarity of a link.  k: sketch size.  hot_values: most frequent values that are put last.  rounds: of hubs, before the rest is tried pair by pair; so it is at once if that is up to direct_pairs pairs.
+    broadcast_rows: up to so many document ids are broadcast; beyond that they are joined by shuffle.
+    """
 
     words: int = 5
     percent: int = 80
     k: int = 128
     deviations: float = 5.0
     hot_values: int = 1 << 16
-    short_list: int = 24
+    short_list: int = 8
     salted_from: int = 512
     hub_orders: int = 4
     rounds: int = 6
+    direct_pairs: int = 1 << 16
+    broadcast_rows: int = 1 << 21
 
     @property
     def least(self) -> int:
@@ -373,18 +377,23 @@ def remaining_links(lists: DataFrame, groups: DataFrame, docs: DataFrame, option
             sets = full_sets(docs, members.select(F.col("hub").alias("a"), F.col("doc_id").alias("b")), options)
         found = differences(members, sets, options)
         entries = possible_entries(difference_entries(found.where(F.length("diff") > 0), options), options)
-        long = entries.groupBy("value").agg(F.count("*").alias("m")).where(F.col("m") > options.short_list).select("value")
+        long = entries.groupBy("value").agg(F.count("*").alias("m")).where(F.col("m") > options.short_list)
         long = stored(long, "long-lists")
-        short = entries if last else entries.join(long, "value", "left_anti")
+        last = last or (long.agg(F.sum(F.col("m") * F.col("m")).alias("s")).first()["s"] or 0) <= options.direct_pairs
+        short = entries if last else entries.join(long.select("value"), "value", "left_anti")
         pairs = stored(place_pairs(short, options), "place-pairs")
         star = found.where("linked").select("a", "b").distinct()
-        groups = yield star.union(links(pairs, docs, options))
-        lists = entries.join(long, "value", "left_semi").select("value", "doc_id", F.col("pos").alias("own"), "n")
+        groups = yield star.union(links(pairs, docs, options, sets))
+        if last:
+            return
+        lists = entries.join(long.select("value"), "value", "left_semi").select("value", "doc_id", F.col("pos").alias("own"), "n")
 
 
 def full_sets(docs: DataFrame, pairs: DataFrame, options: Near) -> DataFrame:
     """doc_id, sketch, full of the documents in ``pairs``, from their whole texts."""
-    nodes = pairs.select(F.col("a").alias("doc_id")).union(pairs.select(F.col("b").alias("doc_id"))).distinct()
+    nodes = stored(pairs.select(F.col("a").alias("doc_id")).union(pairs.select(F.col("b").alias("doc_id"))).distinct(), "nodes")
+    if nodes.count() <= options.broadcast_rows:  # so no text is shuffled
+        nodes = F.broadcast(nodes)
     wanted = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(nodes, "doc_id", "left_semi")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -410,9 +419,11 @@ def _kept_pairs(pairs: DataFrame, sets: DataFrame, column: str, accept) -> DataF
     return stored(map_columns(pairs, ["a", "b", "a_set", "b_set"], run, "a long, b long"), f"{column}-pairs")
 
 
-def links(pairs: DataFrame, docs: DataFrame, options: Near) -> DataFrame:
-    """The candidate pairs that are links: estimated on union sketches, then verified on full sets."""
-    sets = full_sets(docs, pairs, options)
+def links(pairs: DataFrame, docs: DataFrame, options: Near, sets: DataFrame | None = None) -> DataFrame:
+    """The candidate pairs that are links: estimated on union sketches, then verified on full sets.
+
+    sets: full_sets of these documents, if they are there already; the pairs are then few, and both steps are one pass.
+    """
 
     def near(x: np.ndarray, y: np.ndarray) -> bool:
         union = np.union1d(x, y)[: options.k]
@@ -423,6 +434,9 @@ def links(pairs: DataFrame, docs: DataFrame, options: Near) -> DataFrame:
     def same(x: np.ndarray, y: np.ndarray) -> bool:
         return options.linked(len(np.intersect1d(x, y, assume_unique=True)), len(x), len(y))
 
+    if sets is not None:
+        return _kept_pairs(pairs, sets, "full", lambda x, y: near(x[: options.k], y[: options.k]) and same(x, y))
+    sets = full_sets(docs, pairs, options)
     return _kept_pairs(_kept_pairs(pairs, sets, "sketch", near), sets, "full", same)
 
 
