@@ -46,7 +46,7 @@ class Near:
     k: int = 128
     deviations: float = 5.0
     hot_values: int = 1 << 16
-    short_list: int = 8
+    short_list: int = 24
     salted_from: int = 512
     hub_orders: int = 4
     rounds: int = 6
@@ -383,26 +383,31 @@ def remaining_links(lists: DataFrame, groups: DataFrame, docs: DataFrame, option
         short = entries if last else entries.join(long.select("value"), "value", "left_anti")
         pairs = stored(place_pairs(short, options), "place-pairs")
         star = found.where("linked").select("a", "b").distinct()
-        groups = yield star.union(links(pairs, docs, options, sets))
+        groups = yield star.union(links(pairs, options, sets=sets))
         if last:
             return
         lists = entries.join(long.select("value"), "value", "left_semi").select("value", "doc_id", F.col("pos").alias("own"), "n")
 
 
-def full_sets(docs: DataFrame, pairs: DataFrame, options: Near) -> DataFrame:
-    """doc_id, sketch, full of the documents in ``pairs``, from their whole texts."""
+def among(rows: DataFrame, pairs: DataFrame, options: Near) -> DataFrame:
+    """The rows whose doc_id is in a pair."""
     nodes = stored(pairs.select(F.col("a").alias("doc_id")).union(pairs.select(F.col("b").alias("doc_id"))).distinct(), "nodes")
     if nodes.count() <= options.broadcast_rows:  # so no text is shuffled
         nodes = F.broadcast(nodes)
-    wanted = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(nodes, "doc_id", "left_semi")
+    return rows.join(nodes, "doc_id", "left_semi")
+
+
+def full_sets(docs: DataFrame, pairs: DataFrame, options: Near) -> DataFrame:
+    """doc_id, full of the documents in ``pairs``, from their whole texts."""
+    wanted = among(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), pairs, options)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at, end, data, offsets in chunks(batch.column(1)):
-                sets = list(text_sets(data, offsets, options.words))
-                yield pa.RecordBatch.from_arrays([batch.column(0)[at:end], pa.array([s[: options.k].tobytes() for s in sets], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())], ["doc_id", "sketch", "full"])
+                sets = [s.tobytes() for s in text_sets(data, offsets, options.words)]
+                yield pa.RecordBatch.from_arrays([batch.column(0)[at:end], pa.array(sets, pa.binary())], ["doc_id", "full"])
 
-    return stored(map_columns(wanted, ["doc_id", "text"], run, "doc_id long, sketch binary, full binary"), "sets")
+    return stored(map_columns(wanted, ["doc_id", "text"], run, "doc_id long, full binary"), "sets")
 
 
 def _kept_pairs(pairs: DataFrame, sets: DataFrame, column: str, accept) -> DataFrame:
@@ -419,10 +424,10 @@ def _kept_pairs(pairs: DataFrame, sets: DataFrame, column: str, accept) -> DataF
     return stored(map_columns(pairs, ["a", "b", "a_set", "b_set"], run, "a long, b long"), f"{column}-pairs")
 
 
-def links(pairs: DataFrame, docs: DataFrame, options: Near, sets: DataFrame | None = None) -> DataFrame:
+def links(pairs: DataFrame, options: Near, docs: DataFrame | None = None, sketches: DataFrame | None = None, sets: DataFrame | None = None) -> DataFrame:
     """The candidate pairs that are links: estimated on union sketches, then verified on full sets.
 
-    sets: full_sets of these documents, if they are there already; the pairs are then few, and both steps are one pass.
+    Either ``docs`` and their ``sketches``, or the full ``sets``; the pairs are then few, and both steps are one pass.
     """
 
     def near(x: np.ndarray, y: np.ndarray) -> bool:
@@ -436,8 +441,8 @@ def links(pairs: DataFrame, docs: DataFrame, options: Near, sets: DataFrame | No
 
     if sets is not None:
         return _kept_pairs(pairs, sets, "full", lambda x, y: near(x[: options.k], y[: options.k]) and same(x, y))
-    sets = full_sets(docs, pairs, options)
-    return _kept_pairs(_kept_pairs(pairs, sets, "sketch", near), sets, "full", same)
+    close = _kept_pairs(pairs, among(sketches, pairs, options), "sketch", near)
+    return _kept_pairs(close, full_sets(docs, close, options), "full", same)
 
 
 def near_duplicates(docs: DataFrame, options: Near = Near()) -> DataFrame:
@@ -454,11 +459,13 @@ def near_duplicates(docs: DataFrame, options: Near = Near()) -> DataFrame:
     def by_class(rows: DataFrame, column: str) -> DataFrame:
         return rows.join(aliases.select(F.col("doc_id").alias(column), F.col("class_id").alias("other")), column, "left").withColumn(column, F.coalesce("other", column)).drop("other")
 
-    found = stored(stars(list_entries(filled.where("sketch IS NOT NULL"), options), options), "stars")
+    sketches = filled.where("sketch IS NOT NULL")
+    found = stored(stars(list_entries(sketches, options), options), "stars")
     zero = F.lit(0).cast("long")
     hubs = found.where(F.col("kind") == HUB).select("value", zero.alias("salt"), (zero + 1).alias("parts"), "f", F.col("a").alias("doc_id"), "n", "own")
     pairs = stored(found.where(F.col("kind") == PAIR).select("a", "b").union(stars(hubs, options).where(F.col("kind") == PAIR).select("a", "b")).distinct(), "pairs")
-    linked = by_class(by_class(links(pairs, docs, options), "a"), "b").where("a <> b")
+    linked = links(pairs, options, docs, sketches.select("doc_id", "sketch"))
+    linked = by_class(by_class(linked, "a"), "b").where("a <> b")
     groups = components(linked)
 
     long = by_class(found.where(F.col("kind") == LONG).select("value", F.col("a").alias("doc_id"), "own", "n"), "doc_id")
