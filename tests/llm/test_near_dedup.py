@@ -70,7 +70,7 @@ def corpus(seed):
     return [(i + 20, t) for i, t in enumerate(texts)]
 
 
-@pytest.mark.parametrize(("seed", "options"), [(1, Near(words=3, percent=85)), (2, Near(words=5, percent=80)), (3, Near(words=3, percent=85, k=32, short_list=3, salted_from=7, hub_orders=1))])
+@pytest.mark.parametrize(("seed", "options"), [(1, Near(words=3, percent=85)), (2, Near(words=5, percent=80)), (3, Near(words=3, percent=85, k=32, short_list=3, salted_from=7, hub_orders=1, direct_pairs=0))])
 def test_equals_brute_force(frame, seed, options):
     rows = corpus(seed) + [(i, t) for i, t in EDGE_TEXTS if i not in (9, None)]
     assert run(frame(rows), options) == brute(rows, options)
