@@ -230,7 +230,7 @@ _GATE = {"the": r"(?<![0-9a-z_])the(?![0-9a-z_])", "und": r"(?<![0-9a-z_])und(?!
 @query("""WITH l AS (SELECT doc_id, lower(text) AS t FROM documents) SELECT doc_id, array_to_string(list_filter(['the', 'und', 'que'], lambda x: regexp_matches(t, '\\b' || x || '\\b')), ',') AS labels,
  CASE WHEN regexp_matches(t, '\\b(the|und|que)\\b') THEN 'pass' ELSE 'no_keyword' END AS route FROM l""")
 def pf12_pf13_keyword_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The gate with terms that occur in the tables; the fixed terms are tested on literal packets."""
+    """The gate with terms that occur in the tables."""
     packets = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("case_id"), F.col("text").alias("markdown"))
     return enrichment.routed(packets, _GATE).select(F.col("case_id").alias("doc_id"), F.array_join("labels", ",").alias("labels"), "route")
 
