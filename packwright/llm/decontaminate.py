@@ -1,12 +1,11 @@
-"""Benchmark decontamination: rare n-gram seeds find passages, Smith-Waterman alignment scores them.
+"""Benchmark decontamination: n-gram seeds find passages, Smith-Waterman alignment scores them.
 
 Words are runs of ASCII letters and digits (A-Z lower-cased) and non-ASCII characters, so case and
-punctuation don't matter.  One pass over all documents counts in how many of them each n-gram of the
-test items occurs.  An item's rare n-grams become its seeds; rare is relative to the corpus and to
-the item's own rarest n-gram, so an item that stands in many documents keeps its seeds.  A second
-pass opens a window around each seed hit and aligns it with the item, word by word, so substituted,
-inserted and dropped words lower the score but don't hide a copy.  A window whose words cannot reach
-the least score, whatever their order, is skipped; that bound loses nothing.
+punctuation don't matter.  Every n-gram of a test item is a seed, however frequent, since an edit or
+a partial quotation may leave any of them alone.  One pass opens a window around each seed hit and
+aligns it with the item, word by word, so substituted, inserted and dropped words lower the score
+but don't hide a copy.  A window whose words cannot reach the least score, whatever their order, is
+skipped before alignment; that bound loses nothing.
 
 The test items are read in blocks of bounded size and broadcast; a larger benchmark takes more
 blocks, each a pass of its own.  No document is shuffled.
@@ -41,24 +40,30 @@ class Alignment:
     least_words: float = 40.0
     mismatch: float = 0.5
     gap: float = 0.5
-    rare_share: float = 0.001
-    rare_factor: int = 4
     block_bytes: int = 16 << 20
 
-    def least(self, words: int) -> float:
-        return min(self.least_share * words, self.least_words)
+    def least(self, words: np.ndarray) -> np.ndarray:
+        return np.minimum(self.least_share * words, self.least_words)
 
 
 @dataclass
 class Items:
-    """Words of the test items of a block, and their n-grams: hash, item and place, sorted by hash."""
+    """Words of the test items of a block, and their distinct n-grams in order; owner and place of the i-th are at first[i]:first[i + 1]."""
 
     ids: list[int]
     words: list[np.ndarray]
     grams: np.ndarray
+    first: np.ndarray
     owner: np.ndarray
     place: np.ndarray
-    sets: list[np.ndarray] = field(default_factory=list)
+    size: np.ndarray = field(init=False)
+    start: np.ndarray = field(init=False)
+    flat: np.ndarray = field(init=False)
+
+    def __post_init__(self):
+        self.size = np.array([len(w) for w in self.words], np.int64)
+        self.start = np.cumsum(self.size) - self.size
+        self.flat = np.concatenate(self.words) if self.words else np.zeros(0, np.uint64)
 
     @classmethod
     def of(cls, rows: list[tuple[int, str]], seed: int) -> Items:
@@ -77,14 +82,12 @@ class Items:
         join = lambda parts, kind: np.concatenate(parts) if parts else np.zeros(0, kind)
         gram = join(grams, np.uint64)
         order = np.argsort(gram, kind="stable")
-        return cls(ids, words, gram[order], join(owner, np.int64)[order], join(place, np.int64)[order], [np.unique(w) for w in words])
+        unique, first = np.unique(gram[order], return_index=True)
+        return cls(ids, words, unique, np.append(first, len(gram)), join(owner, np.int64)[order], join(place, np.int64)[order])
 
     def sizes(self, seed: int) -> list[int]:
         """Lengths of seeds: ``seed``, and those of items that are shorter."""
-        return sorted({min(seed, len(w)) for w in self.words})
-
-    def only(self, keep: np.ndarray) -> Items:
-        return Items(self.ids, self.words, self.grams[keep], self.owner[keep], self.place[keep], self.sets)
+        return np.unique(np.minimum(self.size, seed)).tolist()
 
 
 def _words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -93,50 +96,42 @@ def _words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 
 def _hits(items: Items, words: np.ndarray, first: np.ndarray, seed: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Row, word position and index into the unique n-grams, for each place of a chunk that holds an item's n-gram."""
-    unique = np.unique(items.grams)
+    """Row, word position and index into the distinct n-grams, for each place of a chunk that holds an item's n-gram."""
     out = []
     row_of = np.repeat(np.arange(len(first) - 1), np.diff(first))
     for size in items.sizes(seed):
         gram = window_hashes(words, size)
-        if not len(gram) or not len(unique):
+        if not len(gram) or not len(items.grams):
             continue
-        at = np.minimum(np.searchsorted(unique, gram), len(unique) - 1)
-        hit = np.flatnonzero((unique[at] == gram) & (row_of[: len(gram)] == row_of[size - 1 :]))
+        at = np.minimum(np.searchsorted(items.grams, gram), len(items.grams) - 1)
+        hit = np.flatnonzero((items.grams[at] == gram) & (row_of[: len(gram)] == row_of[size - 1 :]))
         out.append((row_of[hit], hit, at[hit]))
     return tuple(np.concatenate(c) for c in zip(*out)) if out else (np.zeros(0, np.int64),) * 3
 
 
-def gram_counts(docs: DataFrame, items: Items, seed: int) -> np.ndarray:
-    """In how many documents each unique n-gram of the block occurs, over all documents."""
-    shared = docs.sparkSession.sparkContext.broadcast(items)
-    n = len(np.unique(items.grams))
+def _spread(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """start[0], ..., start[0] + size[0] - 1, start[1], ..."""
+    return np.repeat(start - (np.cumsum(size) - size), size) + np.arange(size.sum())
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(n, np.int64)
-        for batch in batches:
-            for _, _, data, offsets in chunks(batch.column(0)):
-                words, first, _, _ = _words(data, offsets)
-                row, _, gram = _hits(shared.value, words, first, seed)
-                once = np.unique(row * n + gram)
-                total += np.bincount(once % n, minlength=n) if n else 0
-        some = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], ["gram", "n"])
-
-    counts = np.zeros(n, np.int64)
-    for r in map_columns(docs, ["text"], run, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).toLocalIterator():
-        counts[r["gram"]] = r["n"]
-    return counts
-
-
-def rare_seeds(items: Items, counts: np.ndarray, n_docs: int, options: Alignment) -> Items:
-    """Drops n-grams that are frequent in the corpus and well above the item's rarest one."""
-    if not len(items.grams):
-        return items
-    count = counts[np.searchsorted(np.unique(items.grams), items.grams)]
-    rarest = np.full(len(items.ids), np.iinfo(np.int64).max)
-    np.minimum.at(rarest, items.owner, np.maximum(count, 1))
-    return items.only(count <= np.maximum(options.rare_share * n_docs, options.rare_factor * rarest[items.owner]))
+
+def words_in_windows(items: Items, owner: np.ndarray, words: np.ndarray, begin: np.ndarray, end: np.ndarray, most: int = 1 << 18) -> np.ndarray:
+    """How many words of each item ``owner`` stand in words[begin:end], whatever their order; about ``most`` at a time."""
+    present, rank = np.unique(words, return_inverse=True)
+    step = len(words) + 1
+    places = np.sort(rank.reshape(-1) * step + np.arange(len(words)))
+    size = items.size[owner]
+    total, out, a = np.cumsum(size), np.zeros(len(owner), np.int64), 0
+    while a < len(owner):
+        b = max(a + 1, int(np.searchsorted(total, total[a] - size[a] + most, "right")))
+        own = size[a:b]
+        word = items.flat[_spread(items.start[owner[a:b]], own)]
+        key = np.minimum(np.searchsorted(present, word), len(present) - 1)
+        low, high = key * step + np.repeat(begin[a:b], own), key * step + np.repeat(end[a:b], own)
+        after = np.minimum(np.searchsorted(places, low), len(places) - 1)
+        held = (present[key] == word) & (places[after] >= low) & (places[after] < high)
+        out[a:b] = np.add.reduceat(held.astype(np.int64), np.cumsum(own) - own)
+        a = b
+    return out
 
 
 def align(item: np.ndarray, window: np.ndarray, mismatch: float, gap: float) -> tuple[float, int, int]:
@@ -160,27 +155,30 @@ def align(item: np.ndarray, window: np.ndarray, mismatch: float, gap: float) ->
     return best, begin, end
 
 
-def _row_leaks(items: Items, words: np.ndarray, hits: np.ndarray, grams: np.ndarray, unique: np.ndarray, options: Alignment) -> list[tuple[int, float, int, int]]:
+def _row_leaks(items: Items, words: np.ndarray, hits: np.ndarray, grams: np.ndarray, options: Alignment) -> list[tuple[int, float, int, int]]:
     """(item, score, first word, end word) of the leaks in one document; hits: its seed positions."""
-    low, high = np.searchsorted(items.grams, unique[grams], "left"), np.searchsorted(items.grams, unique[grams], "right")
-    entry = np.concatenate([np.arange(a, b) for a, b in zip(low, high)])
-    where = np.repeat(hits, high - low) - items.place[entry]
+    shared = items.first[grams + 1] - items.first[grams]
+    entry = _spread(items.first[grams], shared)
+    where = np.repeat(hits, shared) - items.place[entry]
     owner = items.owner[entry]
     order = np.lexsort((where, owner))
     owner, where = owner[order], where[order]
-    size = np.array([len(items.words[o]) for o in owner])
-    apart = np.concatenate([[True], (owner[1:] != owner[:-1]) | (where[1:] - where[:-1] > size[1:] // 2 + 5)])
+    slack = items.size[owner] // 2 + 5
+    apart = np.concatenate([[True], (owner[1:] != owner[:-1]) | (where[1:] - where[:-1] > slack[1:])])
+    head = np.flatnonzero(apart)
+    tail = np.append(head[1:], len(owner)) - 1
+    owner, slack = owner[head], slack[head]
+    size = items.size[owner]
+    begin, end = np.maximum(0, where[head] - slack), np.minimum(len(words), where[tail] + size + slack)
+    least = options.least(size)
+    # no alignment matches more words of the item than the window holds
+    able = np.flatnonzero(words_in_windows(items, owner, words, begin, end) >= least)
     found: dict[int, tuple[float, int, int]] = {}
-    for a, b in zip(np.flatnonzero(apart), np.append(np.flatnonzero(apart)[1:], len(owner))):
-        item, slack = int(owner[a]), int(size[a]) // 2 + 5
-        begin, end = max(0, int(where[a]) - slack), min(len(words), int(where[b - 1]) + int(size[a]) + slack)
-        window, least = words[begin:end], options.least(int(size[a]))
-        # no alignment matches more words of the item than the window holds
-        if np.isin(items.words[item], window).sum() < least:
-            continue
-        score, s, e = align(items.words[item], window, options.mismatch, options.gap)
-        if score >= least - 1e-9 and score > found.get(item, (0.0, 0, 0))[0] + 1e-9:
-            found[item] = (score, begin + s, begin + e)
+    for i in able.tolist():
+        item = int(owner[i])
+        score, s, e = align(items.words[item], words[begin[i] : end[i]], options.mismatch, options.gap)
+        if score >= least[i] - 1e-9 and score > found.get(item, (0.0, 0, 0))[0] + 1e-9:
+            found[item] = (score, int(begin[i]) + s, int(begin[i]) + e)
     return [(item, *x) for item, x in sorted(found.items())]
 
 
@@ -190,26 +188,25 @@ def chunk_leaks(items: Items, data: np.ndarray, offsets: np.ndarray, options: Al
     row, at, gram = _hits(items, words, first, options.seed)
     if not len(row):
         return
-    unique = np.unique(items.grams)
     order = np.lexsort((at, row))
     row, at, gram = row[order], at[order], gram[order]
     cuts = np.concatenate([[0], np.flatnonzero(row[1:] != row[:-1]) + 1, [len(row)]])
     for a, b in zip(cuts[:-1], cuts[1:]):
         base = first[row[a]]
-        for item, score, s, e in _row_leaks(items, words[base : first[row[a] + 1]], at[a:b] - base, gram[a:b], unique, options):
+        for item, score, s, e in _row_leaks(items, words[base : first[row[a] + 1]], at[a:b] - base, gram[a:b], options):
             yield int(row[a]), item, score / len(items.words[item]), int(start[base + s]), int(end[base + e - 1])
 
 
-def item_blocks(docs: DataFrame, benchmark: DataFrame, options: Alignment) -> Iterator[Items]:
-    """The benchmark in blocks of bounded size, each with its rare seeds."""
+def item_blocks(benchmark: DataFrame, options: Alignment) -> Iterator[Items]:
+    """The benchmark in blocks of bounded size."""
     rows = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text")
     size = rows.agg(F.sum(F.octet_length("text")).alias("s")).first()["s"] or 0
-    blocks, n_docs = size // options.block_bytes + 1, docs.count()
+    blocks = size // options.block_bytes + 1
     for i in range(blocks):
         own = rows.where(F.pmod(F.xxhash64("text"), F.lit(blocks)) == i).orderBy("item_id", "text").collect()
         items = Items.of([(r["item_id"], r["text"]) for r in own], options.seed)
         if items.ids:
-            yield rare_seeds(items, gram_counts(docs, items, options.seed), n_docs, options)
+            yield items
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, options: Alignment = Alignment()) -> DataFrame:
@@ -217,7 +214,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, options: Alignment = Alignment(
     spark = docs.sparkSession
     schema = "doc_id long, item_id long, score double, start long, end long"
     result = spark.createDataFrame([], schema)
-    for items in item_blocks(docs, benchmark, options):
+    for items in item_blocks(benchmark, options):
         result = result.union(_block_leaks(docs, spark.sparkContext.broadcast(items), options, schema))
     return result
 
@@ -243,7 +240,7 @@ def _block_leaks(docs: DataFrame, shared, options: Alignment, schema: str) -> Da
 
 def clean_documents(docs: DataFrame, benchmark: DataFrame, options: Alignment = Alignment()) -> DataFrame:
     """The rows of docs, all columns, whose text leaks no test item."""
-    for items in item_blocks(docs, benchmark, options):
+    for items in item_blocks(benchmark, options):
         docs = _clean_of(docs, docs.sparkSession.sparkContext.broadcast(items), options)
     return docs
 

@@ -3,7 +3,7 @@ import random
 import numpy as np
 import pytest
 
-from packwright.llm.decontaminate import Alignment, align, clean_documents, leaks
+from packwright.llm.decontaminate import Alignment, Items, align, clean_documents, leaks, words_in_windows
 
 from .conftest import EDGE_TEXTS
 
@@ -92,3 +92,32 @@ def test_cleaning_keeps_clean_rows(tables, spark):
     assert sorted(r["doc_id"] or -1 for r in out.collect()) == sorted(i or -1 for i in [r["doc_id"] for r in docs.collect()] if i not in bad)
     empty = items.limit(0)
     assert leaks(docs, empty).count() == 0 and clean_documents(docs, empty).count() == docs.count() and leaks(docs.limit(0), items).count() == 0
+
+
+def test_versions_that_stand_in_many_documents(spark, frame):
+    """An edited and a half-quoted item in a third of the documents, the exact item in one."""
+    rnd = random.Random(21)
+    words = lambda n: [f"v{rnd.randrange(10**6)}" for _ in range(n)]
+    whole, quoted = words(60), words(60)
+    fifth = [f"x{i}" if i % 5 == 4 else w for i, w in enumerate(whole)]
+    rows = [(i, " ".join(words(30))) for i in range(400)]
+    rows += [(1000 + i, " ".join(words(20) + fifth + words(20))) for i in range(100)]
+    rows += [(2000 + i, " ".join(words(20) + quoted[:32] + words(20))) for i in range(100)]
+    rows += [(3000, " ".join(whole)), (3001, " ".join(quoted))]
+    items = spark.createDataFrame([(0, " ".join(whole)), (1, " ".join(quoted))], "item_id long, text string")
+    want = {(1000 + i, 0) for i in range(100)} | {(2000 + i, 1) for i in range(100)} | {(3000, 0), (3001, 1)}
+    docs = frame(rows)
+    assert {(r["doc_id"], r["item_id"]) for r in leaks(docs, items).collect()} == want
+    assert sorted(r["doc_id"] for r in clean_documents(docs, items).collect()) == list(range(400))
+
+
+def test_words_in_windows_equal_plain_counts():
+    rnd = np.random.default_rng(4)
+    items = Items.of([(i, " ".join(f"a{x}" for x in rnd.integers(0, 30, rnd.integers(1, 20)))) for i in range(9)], 3)
+    words = Items.of([(0, " ".join(f"a{x}" for x in rnd.integers(0, 40, 50)))], 3).words[0]
+    owner = rnd.integers(0, 9, 40)
+    begin = rnd.integers(0, 50, 40)
+    end = np.minimum(50, begin + rnd.integers(0, 20, 40))
+    want = [int(np.isin(items.words[o], words[a:b]).sum()) for o, a, b in zip(owner, begin, end)]
+    for most in (1, 25, 1 << 18):
+        assert words_in_windows(items, owner, words, begin, end, most).tolist() == want
