@@ -10,13 +10,17 @@ skipped before alignment; that bound loses nothing.
 The test items are read in blocks of bounded size and broadcast; a larger benchmark takes more
 blocks, each a pass of its own.  No document is shuffled.
 
-Defined cases: null and empty texts on either side have no leaks; an item shorter than a seed is one
-seed of all its words; equal scores keep the first place in the text; repeated rows repeat in the
+A short item needs at least ``floor_words`` words of score, and all its words if it has no more.  An
+item of fewer than ``judged_words`` words occurs by chance, so it takes no document: its id is warned of.
+
+Defined cases: null and empty texts on either side have no leaks; an item shorter than a seed, where
+such are judged, is one seed of all its words; equal scores keep the first place in the text; repeated rows repeat in the
 result; other columns pass through ``clean_documents`` and are not read by ``leaks``.
 """
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -33,22 +37,27 @@ BETWEEN[48:58] = BETWEEN[65:91] = BETWEEN[97:123] = BETWEEN[128:] = False
 
 @dataclass(frozen=True)
 class Alignment:
-    """A leak is an alignment of at least ``least_share`` of the item's words, or of ``least_words`` in all, net of penalties."""
+    """A leak is an alignment of at least ``least_share`` of the item's words, or of ``least_words`` in all, net of penalties.
+
+    ``floor_words``: less than this, or the whole of a shorter item, is no leak; ``judged_words``: items with fewer words are only reported.
+    """
 
     seed: int = 3
     least_share: float = 0.5
     least_words: float = 40.0
+    floor_words: float = 7.0
+    judged_words: int = 5
     mismatch: float = 0.5
     gap: float = 0.5
     block_bytes: int = 16 << 20
 
     def least(self, words: np.ndarray) -> np.ndarray:
-        return np.minimum(self.least_share * words, self.least_words)
+        return np.minimum(np.maximum(self.least_share * words, np.minimum(words, self.floor_words)), self.least_words)
 
 
 @dataclass
 class Items:
-    """Words of the test items of a block, and their distinct n-grams in order; owner and place of the i-th are at first[i]:first[i + 1]."""
+    """Words of the test items of a block, and their distinct n-grams in order; owner and place of the i-th are at first[i]:first[i + 1].  short: items not judged."""
 
     ids: list[int]
     words: list[np.ndarray]
@@ -56,6 +65,7 @@ class Items:
     first: np.ndarray
     owner: np.ndarray
     place: np.ndarray
+    short: list[int] = field(default_factory=list)
     size: np.ndarray = field(init=False)
     start: np.ndarray = field(init=False)
     flat: np.ndarray = field(init=False)
@@ -66,12 +76,13 @@ class Items:
         self.flat = np.concatenate(self.words) if self.words else np.zeros(0, np.uint64)
 
     @classmethod
-    def of(cls, rows: list[tuple[int, str]], seed: int) -> Items:
-        ids, words, grams, owner, place = [], [], [], [], []
+    def of(cls, rows: list[tuple[int, str]], seed: int, judged: int = 1) -> Items:
+        ids, words, grams, owner, place, short = [], [], [], [], [], []
         for item_id, text in rows:
             data = np.frombuffer((text or "").encode(errors="replace"), np.uint8)
             found = _words(data, np.array([0, len(data)]))[0]
-            if not len(found):
+            if len(found) < max(1, judged):
+                short += [item_id] * bool(len(found))
                 continue
             gram = window_hashes(found, min(seed, len(found)))
             grams.append(gram)
@@ -83,7 +94,7 @@ class Items:
         gram = join(grams, np.uint64)
         order = np.argsort(gram, kind="stable")
         unique, first = np.unique(gram[order], return_index=True)
-        return cls(ids, words, unique, np.append(first, len(gram)), join(owner, np.int64)[order], join(place, np.int64)[order])
+        return cls(ids, words, unique, np.append(first, len(gram)), join(owner, np.int64)[order], join(place, np.int64)[order], short)
 
     def sizes(self, seed: int) -> list[int]:
         """Lengths of seeds: ``seed``, and those of items that are shorter."""
@@ -204,7 +215,9 @@ def item_blocks(benchmark: DataFrame, options: Alignment) -> Iterator[Items]:
     blocks = size // options.block_bytes + 1
     for i in range(blocks):
         own = rows.where(F.pmod(F.xxhash64("text"), F.lit(blocks)) == i).orderBy("item_id", "text").collect()
-        items = Items.of([(r["item_id"], r["text"]) for r in own], options.seed)
+        items = Items.of([(r["item_id"], r["text"]) for r in own], options.seed, options.judged_words)
+        if items.short:
+            warnings.warn(f"{len(items.short)} items have fewer than {options.judged_words} words and are not judged: {items.short}", stacklevel=2)
         if items.ids:
             yield items
 

@@ -121,3 +121,13 @@ def test_words_in_windows_equal_plain_counts():
     want = [int(np.isin(items.words[o], words[a:b]).sum()) for o, a, b in zip(owner, begin, end)]
     for most in (1, 25, 1 << 18):
         assert words_in_windows(items, owner, words, begin, end, most).tolist() == want
+
+
+def test_short_items_take_no_clean_documents(spark, frame):
+    rows = [(1, "yes it is"), (2, "the cat sat somewhere else and was not seen again"), (3, "so The cat sat, on the mat today"), (4, "one two three four five x y z"), (5, "one two three four five six seven")]
+    items = spark.createDataFrame([(0, "yes"), (1, "the cat sat"), (2, "the cat sat on the mat"), (3, "one two three four five six seven eight nine ten")], "item_id long, text string")
+    docs = frame(rows)
+    with pytest.warns(UserWarning, match=r"2 items .*\[0, 1\]"):
+        assert {(r["doc_id"], r["item_id"]) for r in leaks(docs, items).collect()} == {(3, 2), (5, 3)}
+    with pytest.warns(UserWarning, match="2 items"):
+        assert sorted(r["doc_id"] for r in clean_documents(docs, items).collect()) == [1, 2, 4]
