@@ -142,13 +142,14 @@ def inverse_frequencies(texts: DataFrame, options: Fit) -> np.ndarray:
 
 
 def labelled_sample(rows: DataFrame, options: Fit) -> list[tuple[str, bool, np.ndarray, np.ndarray]]:
-    """(language, calibrating, buckets, shares) of a sample of rows(text, lang), about ``rows_per_language`` of each, and a short piece of each."""
-    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    """(language, calibrating, buckets, shares) of a sample of the distinct rows(text, lang), about ``rows_per_language`` of each, and a short piece of each."""
+    counts = {r["lang"]: max(1, r["n"]) for r in rows.groupBy("lang").agg(F.approx_count_distinct(F.xxhash64("text")).alias("n")).collect()}
     if not counts:
         return []
     at = F.pmod(F.xxhash64("text", F.lit(options.seed)), F.lit(1 << 30)) / (1 << 30)
     share = F.create_map(*[F.lit(x) for lang, n in counts.items() for x in (lang, min(1.0, options.rows_per_language / n))])
-    sample = rows.where(at < share[F.col("lang")])
+    # copies share a hash, so they would all enter together
+    sample = rows.where(at < share[F.col("lang")]).distinct()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         letters = Letters()

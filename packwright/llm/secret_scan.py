@@ -56,7 +56,7 @@ _KIND_OF_BYTE[3, list(b"+/_.-")] = 1
 
 @dataclass(frozen=True)
 class Training:
-    """sample_rows: labelled rows to fit on, out of about drawn_rows; copies: invented credentials set into them; reach: tokens kept around each."""
+    """sample_rows: distinct labelled texts to fit on, out of about drawn_rows; copies: invented credentials set into them; reach: tokens kept around each."""
 
     sample_rows: int = 400
     drawn_rows: int = 10_000
@@ -314,13 +314,15 @@ def _step(weights: np.ndarray, moves: np.ndarray, features: np.ndarray, tags: np
 
 
 def train_on(docs: DataFrame, options: Training = Training()) -> Field:
-    """Fits on a bounded sample of the rows: ``sample_rows`` by hash, half of them such as hold a fixed pattern's mark, drawn from ``drawn_rows``."""
+    """Fits on a bounded sample of the distinct texts: ``sample_rows`` by hash, half of them such as hold a fixed pattern's mark, drawn from ``drawn_rows``."""
     text = F.col("text")
-    share = min(1.0, options.drawn_rows / max(1, docs.count()))
+    known = docs.select("text").where(text.isNotNull() & (F.length("text") > 0))
+    n = known.agg(F.approx_count_distinct(F.xxhash64("text")).alias("n")).first()["n"]
+    share = min(1.0, options.drawn_rows / max(1, n))
     marked = text.rlike("AKIA[A-Z0-9]{16}|[0-9a-f]{24}|(?i)(password|passwd|secret|token|api_?key)[\"']? *[:=]")
     at = F.pmod(F.xxhash64("text", F.lit(options.seed)), F.lit(1 << 30)) / (1 << 30)
-    rows = docs.select("text", marked.alias("marked"), at.alias("at")).where(text.isNotNull() & (F.length("text") > 0))
-    drawn = stored(rows.where(F.col("at") < share), "secret-sample")
+    # copies share a hash, so they would all enter together
+    drawn = stored(known.where(at < share).distinct().select("text", marked.alias("marked"), at.alias("at")), "secret-sample")
 
     def part(flag: bool) -> list[str]:
         own = drawn.where(F.col("marked") == flag)

@@ -1,7 +1,7 @@
 import random
 import zlib
 
-from packwright.llm.language_id import confident, identify, learn, training_rows
+from packwright.llm.language_id import Fit, confident, identify, labelled_sample, learn, training_rows
 
 from .conftest import EDGE_TEXTS
 
@@ -51,3 +51,9 @@ def test_nothing_to_learn(frame):
 def test_one_language(frame):
     docs = frame(corpus(8)[0], lang={i: "aa" for i in range(8)})
     assert {r["lang_pred"] for r in identify(docs, learn(docs)).collect()} == {"aa"}
+
+
+def test_sample_is_bounded_by_distinct_texts(spark):
+    rows = spark.createDataFrame([(f"text number {'abcdefghij'[k % 10] * (k + 3)}", "aa") for k in range(20) for _ in range(60)], "text string, lang string")
+    assert len(labelled_sample(rows, Fit(rows_per_language=50))) == 40  # each text and a piece of it
+    assert len(labelled_sample(rows, Fit(rows_per_language=5))) <= 30

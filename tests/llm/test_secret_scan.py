@@ -91,3 +91,12 @@ def test_redaction_keeps_rows_and_columns(frame, field):
     by_id = {r["doc_id"]: r for r in out.collect()}
     assert by_id[20]["text"] == 'é [secret]" tail' and by_id[20]["n_chars"] == len(by_id[20]["text"])
     assert by_id[0]["text"] is None and by_id[7]["text"] == "word " * 5_000
+
+
+def test_sample_is_bounded_by_distinct_texts(frame, monkeypatch):
+    from packwright.llm import secret_scan
+
+    rows = [(60 * k + i, f"plain text {k}" if k % 2 else f"password = value{k}") for k in range(40) for i in range(60)]
+    monkeypatch.setattr(secret_scan, "train", lambda texts, options: texts)
+    texts = secret_scan.train_on(frame(rows), Training(sample_rows=20))
+    assert len(texts) == len(set(texts)) == 20 and sum(t.startswith("password") for t in texts) == 10
