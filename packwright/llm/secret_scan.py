@@ -6,7 +6,8 @@ patterns label it, with invented credentials set into some of their texts, so th
 contexts that no fixed pattern names.
 
 Decoding is exact Viterbi, but only where it can matter: a bound on what leaving ``outside`` can gain
-shows of most tokens that the best path stays there.  The few stretches between are decoded.
+shows of most tokens that the best path stays there.  The few stretches between are decoded, and all
+that the field tags is reported, with a digit in it or not.
 
 Defined cases: null reads as empty; an empty text has no spans; a model span that touches a fixed
 span is dropped in its favour; repeated rows give repeated rows; other columns pass through
@@ -176,8 +177,8 @@ def stretches(scores: np.ndarray, moves: np.ndarray, row: np.ndarray) -> list[tu
     return out
 
 
-def model_spans(tokens: Tokens, field: Field) -> list[tuple[int, int, int]]:
-    """(row, first byte, end byte) of what the field tags."""
+def model_spans(tokens: Tokens, field: Field, with_digit: bool = True) -> list[tuple[int, int, int]]:
+    """(row, first byte, end byte) of what the field tags; with_digit: only spans that hold a digit."""
     if not len(tokens.start):
         return []
     scores = np.zeros((len(tokens.start), 3), np.float32)
@@ -189,7 +190,7 @@ def model_spans(tokens: Tokens, field: Field) -> list[tuple[int, int, int]]:
         opened = None
         for i, tag in enumerate([*tags, OUT], start):
             if opened is not None and tag != INSIDE:
-                if ((tokens.features[opened:i, 1] - BASES[1]) & 4).any():  # a digit somewhere
+                if not with_digit or ((tokens.features[opened:i, 1] - BASES[1]) & 4).any():
                     found.append((int(tokens.row[opened]), int(tokens.start[opened]), int(tokens.end[i - 1])))
                 opened = None
             if tag == BEGIN or (tag == INSIDE and opened is None):
@@ -223,7 +224,7 @@ def chunk_spans(data: np.ndarray, offsets: np.ndarray, field: Field | None) -> l
         a = int(offsets[row])
         spans[row] = [(kind, a + s, a + e) for kind, s, e in base_spans(data[a : offsets[row + 1]].tobytes())]
     if field is not None:
-        for row, start, end in model_spans(Tokens(data, offsets), field):
+        for row, start, end in model_spans(Tokens(data, offsets), field, with_digit=False):
             if not any(s < end and start < e for _, s, e in spans[row]):
                 spans[row].append((MODEL_KIND, start, end))
     for own in spans:
