@@ -18,14 +18,11 @@ def components(edges: DataFrame) -> DataFrame:
     both = edges.select(F.col("a").alias("node"), F.col("b").alias("other")).union(edges.select(F.col("b").alias("node"), F.col("a").alias("other")))
     both = stored(both.distinct(), "links")
     labels = stored(both.groupBy("node").agg(F.min("other").alias("least")).select("node", F.least("node", "least").alias("component")), "labels")
-    total = labels.agg(F.sum("component").alias("s")).first()["s"]
-    while total is not None:
+    while True:
         near = both.join(labels.select(F.col("node").alias("other"), "component"), "other").groupBy("node").agg(F.min("component").alias("near"))
-        nearer = labels.join(near, "node").select("node", F.least("component", "near").alias("component"))
+        nearer = labels.join(near, "node").select("node", F.col("component").alias("old"), F.least("component", "near").alias("component"))
         jumps = labels.select(F.col("node").alias("component"), F.col("component").alias("jump"))
-        labels = stored(nearer.join(jumps, "component").select("node", F.least("component", "jump").alias("component")), "labels")
-        now = labels.agg(F.sum("component").alias("s")).first()["s"]
-        if now == total:
-            break
-        total = now
-    return labels
+        moved = stored(nearer.join(jumps, "component").select("node", "old", F.least("component", "jump").alias("component")), "labels")
+        labels = moved.drop("old")
+        if moved.where("old <> component").isEmpty():
+            return labels
