@@ -6,10 +6,12 @@ then a skippable frame with the document index; then the seek table in the publi
 footer).  A reader fetches the tail, then only the frames of the documents it is asked for.
 
 Documents are range-partitioned and sorted by doc_id; each partition writes one file, under a name
-that depends on the partition alone, so a task that runs again replaces its own file.
+that depends on the partition alone, so a task that runs again replaces its own file.  Rows of one
+doc_id are told apart by a hash of the text and by their place in the input, so no id, however often
+it is repeated, has to meet in one task.  A long text is encoded piece by piece.
 
 Defined cases: a null text is an end id alone; null doc_ids sort first and read back as null; equal
-doc_ids are ordered by text; an empty table makes no files and no rows; other columns are not read.
+doc_ids are ordered by a hash of the text; an empty table makes no files and no rows; other columns are not read.
 """
 
 from __future__ import annotations
@@ -18,6 +20,7 @@ import struct
 import zlib
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -30,8 +33,8 @@ from .textscan import chunks
 
 #: Fixed values of the public zstandard formats: magic numbers of skippable frames and of the seek table's footer.
 INDEX_MAGIC, SEEK_MAGIC, FOOTER_MAGIC = 0x184D2A5D, 0x184D2A5E, 0x8F92EAB1
-NO_ID = -(1 << 63)
-ENTRY = np.dtype([("doc_id", "<i8"), ("frame", "<u4"), ("at", "<u4"), ("n", "<u4")])
+#: known: 0 for a null doc_id, which stands before all others
+ENTRY = np.dtype([("known", "u1"), ("doc_id", "<i8"), ("frame", "<u4"), ("at", "<u4"), ("n", "<u4")])
 
 
 @dataclass(frozen=True)
@@ -59,12 +62,18 @@ class FrameWriter:
 
     def add(self, doc_ids: list[int | None], ids: np.ndarray, bounds: np.ndarray) -> Iterator[bytes]:
         for doc_id, a, b in zip(doc_ids, bounds[:-1].tolist(), bounds[1:].tolist()):
-            self.entries.append((NO_ID if doc_id is None else doc_id, len(self.frames), self.size, b - a))
-            self.open.append(ids[a:b])
-            self.size += b - a
-            self.tokens += b - a
-            if self.size >= self.layout.frame_tokens:
-                yield self._frame()
+            yield from self.add_parts(doc_id, (ids[a:b],))
+
+    def add_parts(self, doc_id: int | None, parts: Iterable[np.ndarray]) -> Iterator[bytes]:
+        """One document whose ids come in parts."""
+        at = self.size
+        for ids in parts:
+            self.open.append(ids)
+            self.size += len(ids)
+        self.entries.append((doc_id is not None, doc_id or 0, len(self.frames), at, self.size - at))
+        self.tokens += self.size - at
+        if self.size >= self.layout.frame_tokens:
+            yield self._frame()
 
     def _frame(self) -> bytes:
         import xxhash
@@ -107,6 +116,7 @@ class TokenFile:
         index = self.open.decompress(self._read(index_at + 8, table_at - index_at - 8))
         width, self.n_documents = struct.unpack_from("<BI", index)
         self.dtype, self.index = f"<u{width}", np.frombuffer(index, ENTRY, self.n_documents, 5)
+        self.known = self.index[np.count_nonzero(self.index["known"] == 0) :]
 
     def _read(self, at: int, size: int) -> bytes:
         self.file.seek(at)
@@ -121,17 +131,18 @@ class TokenFile:
         return np.frombuffer(raw, self.dtype)
 
     def document(self, doc_id: int) -> np.ndarray:
-        entry = self.index[np.searchsorted(self.index["doc_id"], doc_id)]
-        if entry["doc_id"] != doc_id:
+        at = int(np.searchsorted(self.known["doc_id"], doc_id))
+        if at == len(self.known) or self.known[at]["doc_id"] != doc_id:
             raise KeyError(doc_id)
+        entry = self.known[at]
         return self.frame(int(entry["frame"]))[entry["at"] : entry["at"] + entry["n"]]
 
     def documents(self) -> Iterator[tuple[int | None, np.ndarray]]:
         number, ids = -1, None
-        for doc_id, frame, at, n in self.index.tolist():
+        for known, doc_id, frame, at, n in self.index.tolist():
             if frame != number:
                 number, ids = frame, self.frame(frame)
-            yield None if doc_id == NO_ID else doc_id, ids[at : at + n]
+            yield doc_id if known else None, ids[at : at + n]
 
 
 def with_end(ids: np.ndarray, bounds: np.ndarray, end_id: int) -> tuple[np.ndarray, np.ndarray]:
@@ -156,6 +167,9 @@ def write_token_files(docs: DataFrame, vocabulary: str, folder: str, end_id: int
         def parts() -> Iterable[bytes]:
             for batch in batches:
                 for at, end, data, offsets in chunks(batch.column(1)):
+                    if len(data) > coder.piece and end == at + 1:
+                        yield from writer.add_parts(batch.column(0)[at].as_py(), chain(coder.encode_row(data), (np.array([end_id], np.uint32),)))
+                        continue
                     ids, bounds = with_end(*coder.encode(data, offsets), end_id)
                     yield from writer.add(batch.column(0)[at:end].to_pylist(), ids, bounds)
             if writer.entries:
@@ -168,8 +182,8 @@ def write_token_files(docs: DataFrame, vocabulary: str, folder: str, end_id: int
         size = write_whole(path, (p for source in ((head,), stream) for p in source))
         yield pa.RecordBatch.from_pydict({"shard": [shard], "path": [path], "n_docs": [len(writer.entries)], "n_tokens": [writer.tokens], "bytes": [size]})
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    ordered = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("mark"), F.monotonically_increasing_id().alias("place"))
+    ordered = rows.repartitionByRange("doc_id", "mark", "place").sortWithinPartitions("doc_id", "mark", "place").select("doc_id", "text")
     return stored(ordered.mapInArrow(run, "shard long, path string, n_docs long, n_tokens long, bytes long"), "token-manifest")
 
 
