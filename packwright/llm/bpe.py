@@ -8,6 +8,11 @@ in one parallel batch; then each join re-encodes a window around the seam, growi
 first id equals the left side's id at that place and its last id the right side's.  BPE ids are
 right if and only if each adjacent pair of ids is, so agreement at both ends makes the whole exact.
 
+A pretoken that was met before is found by a hash and then compared byte by byte, so texts whose
+hashes collide keep their own ids.  A text of more than ``PIECE_BYTES`` is worked off in pieces that
+end where pretokens end, so memory does not grow with it.  Where a run leaves no such place, it is cut
+anywhere, and the ids on both sides of the cut are joined like two halves of the tree.
+
 Defined cases: null reads as empty; an empty text has no ids; the special token's string in a text
 is its single id, as the library has it; repeated rows give repeated rows; other columns are not read.
 """
@@ -22,10 +27,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .textscan import STARTS_CHAR, chunks, map_columns, span_hashes
+from .textscan import IS_SPACE, STARTS_CHAR, chunks, equal_spans, map_columns, span_hashes
 
 LETTER, NUMBER, SPACE, OTHER, UNKNOWN = 1, 2, 3, 4, 0
 SLOT_BITS = 21
+PIECE_BYTES = 1 << 20
 #: The suffixes that the byte-level rule splits off after an apostrophe.
 CONTRACTIONS = ("s", "t", "re", "ve", "m", "ll", "d")
 
@@ -38,15 +44,15 @@ def byte_alphabet() -> dict[str, int]:
 
 
 class ByteBpe:
-    """Encoder and decoder for one worker.  leaf: code points of a tree leaf; keep: pretokens remembered."""
+    """Encoder and decoder for one worker.  leaf: code points of a tree leaf; keep: pretokens remembered; piece: bytes at a time of a long text."""
 
-    def __init__(self, path: str, leaf: int = 2048, window: int = 8, keep: int = 1_000_000):
+    def __init__(self, path: str, leaf: int = 2048, window: int = 8, keep: int = 1_000_000, piece: int = PIECE_BYTES):
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
         self.library.no_truncation()
         self.library.no_padding()
-        self.leaf, self.window, self.keep = leaf, window, keep
+        self.leaf, self.window, self.keep, self.piece = leaf, window, keep, piece
         letters = byte_alphabet()
         self.model = self.library.model
         vocabulary = self.library.get_vocab(with_added_tokens=True)
@@ -67,10 +73,13 @@ class ByteBpe:
 
     def _forget(self) -> None:
         self.known: dict[int, int] = {}
+        self.clashing: dict[bytes, int] = {}  # pretokens whose hash belongs to another one
         # the first pretoken of each slot is found by array operations, later ones by the dictionary
         self.slot_key, self.slot_entry = np.zeros(1 << SLOT_BITS, np.uint64), np.zeros(1 << SLOT_BITS, np.int32)
-        self.first, self.count = np.zeros(1024, np.int64), np.zeros(1024, np.int64)
+        self.entries, self.first, self.count = 0, np.zeros(1024, np.int64), np.zeros(1024, np.int64)
         self.flat, self.used = np.zeros(4096, np.uint32), 0
+        self.text_at, self.text_end = np.zeros(1024, np.int64), np.zeros(1024, np.int64)
+        self.text, self.text_used = np.zeros(4096, np.uint8), 0
 
     def _classify(self, code_points: np.ndarray) -> np.ndarray:
         found = self.classes[code_points]
@@ -133,20 +142,23 @@ class ByteBpe:
             return [self.library.token_to_id(text)]
         return [t.id for t in self.model.tokenize(text.encode().decode("latin-1").translate(self.shown))]
 
-    def encode_long(self, text: str) -> list[int]:
+    def encode_long(self, text: str) -> np.ndarray:
         """Tree concatenation of a run that the pretoken rule leaves whole."""
         bounds = [0, len(text)]
         while bounds[1] - bounds[0] > self.leaf:
             bounds = sorted({*bounds, *((a + b) // 2 for a, b in zip(bounds, bounds[1:]))})
-        level = self.encode_pieces([text[a:b] for a, b in zip(bounds, bounds[1:])])
+        level: list[np.ndarray] = []
+        for i in range(0, len(bounds) - 1, 256):  # as arrays, which are smaller than lists
+            part = bounds[i : i + 257]
+            level += [np.array(x, np.uint32) for x in self.encode_pieces([text[a:b] for a, b in zip(part, part[1:])])]
         while len(level) > 1:
             level = [self.join(*level[i : i + 2]) if i + 1 < len(level) else level[i] for i in range(0, len(level), 2)]
         return level[0]
 
-    def join(self, left: list[int], right: list[int]) -> list[int]:
+    def join(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """Ids of the concatenation of two encoded halves of one run."""
-        if not left or not right:
-            return left or right
+        if not len(left) or not len(right):
+            return left if len(left) else right
         opens = lambda ids, i: i in (0, len(ids)) or STARTS_CHAR[self.pieces[ids[i]][0]]
         size = self.window
         while True:
@@ -157,29 +169,31 @@ class ByteBpe:
                 j += 1
             seam = self.encode_pieces([b"".join(self.pieces[x] for x in (*left[i:], *right[:j])).decode()])[0]
             if (i == 0 or seam[0] == left[i]) and (j == len(right) or seam[-1] == right[j - 1]):
-                return [*left[:i], *seam, *right[j:]]
+                return np.concatenate([left[:i], np.array(seam, np.uint32), right[j:]])
             size *= 2
 
-    def _learn(self, keys: list[int], texts: list[str]) -> None:
+    def _learn(self, texts: list[str]) -> range:
+        """Entries of new pretokens."""
         ids = [self.encode_pretoken(t) if len(t) <= self.leaf else self.encode_long(t) for t in texts]
-        total, n = sum(map(len, ids)), len(self.known)
-        while self.used + total > len(self.flat):
-            self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
-        while n + len(keys) > len(self.first):
-            self.first, self.count = (np.concatenate([x, np.zeros_like(x)]) for x in (self.first, self.count))
+        raw = [t.encode() for t in texts]
+        n, new = self.entries, len(texts)
+        self.entries = n + new
+        while self.entries > len(self.first):
+            self.first, self.count, self.text_at, self.text_end = (np.concatenate([x, np.zeros_like(x)]) for x in (self.first, self.count, self.text_at, self.text_end))
         size = np.array([len(x) for x in ids], np.int64)
-        self.count[n : n + len(keys)] = size
-        self.first[n : n + len(keys)] = self.used + np.cumsum(size) - size
-        self.flat[self.used : self.used + total] = [x for one in ids for x in one]
-        self.used += total
-        self.known.update(zip(keys, range(n, n + len(keys))))
-        keys = np.array(keys, np.uint64)
-        slots, at = np.unique(keys >> np.uint64(64 - SLOT_BITS), return_index=True)
-        free = self.slot_key[slots] == 0
-        self.slot_key[slots[free]], self.slot_entry[slots[free]] = keys[at[free]], n + at[free]
-
-    def _entries(self, keys: np.ndarray, text: str, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        """Where the ids of each pretoken stand; new ones are learned."""
+        self.count[n : n + new] = size
+        self.first[n : n + new] = self.used + np.cumsum(size) - size
+        self.flat, self.used = _appended(self.flat, self.used, np.concatenate([np.asarray(x, np.uint32) for x in ids]))
+        size = np.array([len(x) for x in raw], np.int64)
+        self.text_end[n : n + new] = self.text_used + np.cumsum(size)
+        self.text_at[n : n + new] = self.text_end[n : n + new] - size
+        self.text, self.text_used = _appended(self.text, self.text_used, np.frombuffer(b"".join(raw), np.uint8))
+        return range(n, n + new)
+
+    def _entries(self, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """Where the ids of each pretoken data[start:end] stand; new ones are learned."""
+        text = lambda i: data[start[i] : end[i]].tobytes().decode()
+        keys = span_hashes(data, start, end) | np.uint64(1)
         slots = keys >> np.uint64(64 - SLOT_BITS)
         entry = self.slot_entry[slots]
         miss = np.flatnonzero(self.slot_key[slots] != keys)
@@ -188,14 +202,25 @@ class ByteBpe:
             rare, at = rare.tolist(), miss[at]
             new = [i for i, k in enumerate(rare) if k not in self.known]
             if new:
-                self._learn([rare[i] for i in new], [text[start[at[i]] : end[at[i]]] for i in new])
+                learned = self._learn([text(at[i]) for i in new])
+                self.known.update((rare[i], n) for i, n in zip(new, learned))
+                fresh = np.array([rare[i] for i in new], np.uint64)
+                slot, place = np.unique(fresh >> np.uint64(64 - SLOT_BITS), return_index=True)
+                free = self.slot_key[slot] == 0
+                self.slot_key[slot[free]], self.slot_entry[slot[free]] = fresh[place[free]], learned.start + place[free]
             entry[miss] = np.fromiter(map(self.known.__getitem__, rare), np.int32, len(rare))[which]
+        other = np.flatnonzero(~equal_spans(data, start, end, self.text, self.text_at[entry], self.text_end[entry]))
+        for i in other.tolist():
+            own = data[start[i] : end[i]].tobytes()
+            if own not in self.clashing:
+                self.clashing[own] = self._learn([own.decode()])[0]
+            entry[i] = self.clashing[own]
         return entry
 
-    def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """All ids of a chunk of texts, and each text's bounds in them (rows + 1 entries)."""
+    def _encoded(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """All ids of a chunk of texts, each text's bounds in them (rows + 1 entries), and the number of ids of each pretoken."""
         if not len(data):
-            return np.zeros(0, np.uint32), np.zeros(len(offsets), np.int64)
+            return np.zeros(0, np.uint32), np.zeros(len(offsets), np.int64), np.zeros(0, np.int64)
         try:
             text = data.tobytes().decode()
             chars = np.zeros(len(data) + 1, np.int64)
@@ -204,17 +229,84 @@ class ByteBpe:
         except UnicodeDecodeError:  # a broken row must not shift its neighbours
             parts = [data[a:b].tobytes().decode(errors="replace") for a, b in zip(offsets[:-1], offsets[1:])]
             text, rows = "".join(parts), np.cumsum([0, *map(len, parts)])
+            data = np.frombuffer(text.encode(), np.uint8)
         points = np.frombuffer(text.encode("utf-32-le"), np.uint32)
         start = self._pretokens(text, points, rows)
-        end = np.append(start[1:], len(points))
-        if len(self.known) > self.keep or self.used > 8 * self.keep:
+        if len(self.known) > self.keep or self.used > 8 * self.keep or self.text_used > 32 * self.keep:
             self._forget()
-        entry = self._entries(span_hashes(points, start, end) | np.uint64(1), text, start, end)
+        at = start if len(points) == len(data) else np.flatnonzero(STARTS_CHAR[data])[start]
+        entry = self._entries(data, at, np.append(at[1:], len(data)))
         size = self.count[entry]
         bound = np.zeros(len(size) + 1, np.int64)
         np.cumsum(size, out=bound[1:])
         ids = self.flat[np.repeat(self.first[entry] - bound[:-1], size) + np.arange(bound[-1])]
-        return ids, bound[np.searchsorted(start, rows)]
+        return ids, bound[np.searchsorted(start, rows)], size
+
+    def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of a chunk of texts, and each text's bounds in them (rows + 1 entries)."""
+        return self._encoded(data, offsets)[:2]
+
+    def _cut(self, data: np.ndarray, at: int) -> tuple[int, bool]:
+        """The first place from ``at`` on where a pretoken starts whatever stands around it; or a place inside a run, and True."""
+        size, n = 1 << 12, len(data)
+        while True:
+            end = min(n, at + size)
+            before, after = data[at - 1 : end - 1], data[at:end]
+            for p in (np.flatnonzero(IS_SPACE[after] & ~IS_SPACE[before] & (before < 128)) + at).tolist():
+                if not self._in_special(data, p):
+                    return p, False
+            window = slice(at + int(STARTS_CHAR[after].argmax()), end - int(STARTS_CHAR[after][::-1].argmax()) - 1)
+            try:
+                points = np.frombuffer(data[window].tobytes().decode().encode("utf-32-le"), np.uint32)
+            except UnicodeDecodeError:
+                points = np.zeros(0, np.uint32)
+            if len(points) > 8:
+                kind, where = self._classify(points), np.flatnonzero(STARTS_CHAR[data[window]]) + window.start
+                quote = np.flatnonzero(points == 39)
+                calm = np.ones(len(points), bool)
+                for by in range(-3, 5):  # an apostrophe may take letters that follow it
+                    calm[np.clip(quote + by, 0, len(points) - 1)] = False
+                fit = np.flatnonzero((kind[1:] != kind[:-1]) & (kind[:-1] != SPACE) & (kind[1:] != SPACE) & calm[1:]) + 1
+                for p in where[fit[fit > 3]].tolist():
+                    if not self._in_special(data, p):
+                        return p, False
+                if size >= self.piece:
+                    whole = np.flatnonzero((kind[2:] == kind[1:-1]) & (kind[1:-1] == kind[:-2])) + 1
+                    for p in where[whole[:64]].tolist():
+                        if not self._in_special(data, p):
+                            return p, True
+            if end == n:
+                return n, False
+            size *= 2
+
+    def _in_special(self, data: np.ndarray, at: int) -> bool:
+        return any(s.encode() in data[max(0, at - len(s.encode()) + 1) : at + len(s.encode()) - 1].tobytes() for s in self.special)
+
+    def _parts(self, ids: np.ndarray) -> Iterator[np.ndarray]:
+        """The ids of a run in parts that start with a character."""
+        a = 0
+        while a < len(ids):
+            b = min(len(ids), a + self.piece // 4 + 1)
+            while b < len(ids) and not STARTS_CHAR[self.pieces[ids[b]][0]]:
+                b += 1
+            yield ids[a:b]
+            a = b
+
+    def encode_row(self, data: np.ndarray) -> Iterator[np.ndarray]:
+        """Ids of one text of any length, in parts that end where a character ends."""
+        a, run, inside = 0, np.zeros(0, np.uint32), False
+        while a < len(data):
+            b, cut = self._cut(data, a + self.piece) if a + self.piece < len(data) else (len(data), False)
+            ids, _, sizes = self._encoded(data[a:b], np.array([0, b - a]))
+            if inside:  # the first pretoken goes on with the run
+                run, ids, sizes = self.join(run, ids[: sizes[0]]), ids[sizes[0] :], sizes[1:]
+            if len(sizes) or not cut:
+                yield from self._parts(run)
+                whole = len(ids) - int(sizes[-1]) if cut else len(ids)
+                if whole:
+                    yield ids[:whole]
+                run = ids[whole:]
+            a, inside = b, cut
 
     def decode_bytes(self, ids: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Bytes that the ids stand for, and each text's bounds in them."""
@@ -246,6 +338,14 @@ def worker_coder(path: str, leaf: int = 2048) -> ByteBpe:
     return ByteBpe(path, leaf)
 
 
+def _appended(store: np.ndarray, used: int, more: np.ndarray) -> tuple[np.ndarray, int]:
+    """``store`` with ``more`` from ``used`` on, at a doubled size where it has no room, and what is used then."""
+    while used + len(more) > len(store):
+        store = np.concatenate([store, np.zeros_like(store)])
+    store[used : used + len(more)] = more
+    return store, used + len(more)
+
+
 def _is_utf8(data: bytes) -> bool:
     try:
         data.decode()
@@ -261,7 +361,11 @@ def encode_texts(docs: DataFrame, path: str, leaf: int = 2048) -> DataFrame:
         coder = worker_coder(path, leaf)
         for batch in batches:
             for at, end, data, offsets in chunks(batch.column(1)):
-                ids, bounds = coder.encode(data, offsets)
+                if len(data) > coder.piece and end == at + 1:
+                    ids = np.concatenate(list(coder.encode_row(data)))
+                    bounds = np.array([0, len(ids)])
+                else:
+                    ids, bounds = coder.encode(data, offsets)
                 lists = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(ids.astype(np.int32)))
                 yield pa.RecordBatch.from_arrays([batch.column(0)[at:end].cast(pa.int64()), lists], ["doc_id", "ids"])
 
@@ -281,6 +385,17 @@ def decode_ids(encoded: DataFrame, path: str) -> DataFrame:
     return map_columns(encoded, ["doc_id", "ids"], run, "doc_id long, text string")
 
 
+def long_digests(coder: ByteBpe, data: np.ndarray) -> tuple[int, str, str]:
+    """Number of ids and both digests of one long text, piece by piece."""
+    n, ids_digest, text_digest = 0, hashlib.sha256(), hashlib.sha256()
+    for ids in coder.encode_row(data):
+        bounds = np.array([0, len(ids)])
+        ids_digest.update((b"," if n else b"") + coder.decimal_text(ids, bounds)[0])
+        text_digest.update(coder.decode(ids, bounds)[0])
+        n += len(ids)
+    return n, ids_digest.hexdigest(), text_digest.hexdigest()
+
+
 def round_trip_digests(docs: DataFrame, path: str, leaf: int = 2048) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256: encodes and decodes every text in one map."""
 
@@ -289,6 +404,10 @@ def round_trip_digests(docs: DataFrame, path: str, leaf: int = 2048) -> DataFram
         digest = lambda parts: pa.array([hashlib.sha256(p).hexdigest() for p in parts], pa.string())
         for batch in batches:
             for at, end, data, offsets in chunks(batch.column(1)):
+                if len(data) > coder.piece and end == at + 1:
+                    columns = [batch.column(0)[at:end].cast(pa.int64()), *([x] for x in long_digests(coder, data))]
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+                    continue
                 ids, bounds = coder.encode(data, offsets)
                 columns = [batch.column(0)[at:end].cast(pa.int64()), pa.array(np.diff(bounds), pa.int64()), digest(coder.decimal_text(ids, bounds)), digest(coder.decode(ids, bounds))]
                 yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])

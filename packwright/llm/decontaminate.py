@@ -4,17 +4,20 @@ Words are runs of ASCII letters and digits (A-Z lower-cased) and non-ASCII chara
 punctuation don't matter.  Every n-gram of a test item is a seed, however frequent, since an edit or
 a partial quotation may leave any of them alone.  One pass opens a window around each seed hit and
 aligns it with the item, word by word, so substituted, inserted and dropped words lower the score
-but don't hide a copy.  A window whose words cannot reach the least score, whatever their order, is
-skipped before alignment; that bound loses nothing.
+but don't hide a copy.  Hits of one item are one window as long as a gap between them can still pay; a
+window of many words is aligned in blocks that overlap by the widest alignment.  A block whose words
+cannot reach the least score, whatever their order, is skipped before alignment; that bound loses nothing.
+Words are compared by hashes, and a leak must hold under a second, independent hash as well.
 
 The test items are read in blocks of bounded size and broadcast; a larger benchmark takes more
-blocks, each a pass of its own.  No document is shuffled.
+blocks, each a pass of its own.  Items of equal words are aligned once.  No document is shuffled.
 
 A short item needs at least ``floor_words`` words of score, and all its words if it has no more.  An
 item of fewer than ``judged_words`` words occurs by chance, so it takes no document: its id is warned of.
 
-Defined cases: null and empty texts on either side have no leaks; an item shorter than a seed, where
-such are judged, is one seed of all its words; equal scores keep the first place in the text; repeated rows repeat in the
+Defined cases: null and empty texts on either side have no leaks; a document gets one row for each item
+that it leaks, equal items included; an item shorter than a seed, where such are judged, is one seed of
+all its words; a very long text is one chunk, of which some bytes a character are held; equal scores keep the first place in the text; repeated rows repeat in the
 result; other columns pass through ``clean_documents`` and are not read by ``leaks``.
 """
 
@@ -51,16 +54,21 @@ class Alignment:
     gap: float = 0.5
     block_bytes: int = 16 << 20
 
+    def chain(self, words: np.ndarray) -> np.ndarray:
+        """The longest gap that an alignment can pay for."""
+        return np.ceil((words - self.least(words)) / self.gap).astype(np.int64)
+
     def least(self, words: np.ndarray) -> np.ndarray:
         return np.minimum(np.maximum(self.least_share * words, np.minimum(words, self.floor_words)), self.least_words)
 
 
 @dataclass
 class Items:
-    """Words of the test items of a block, and their distinct n-grams in order; owner and place of the i-th are at first[i]:first[i + 1].  short: items not judged."""
+    """Words of the distinct test items of a block under both hashes, the ids of each, and their distinct n-grams in order; owner and place of the i-th are at first[i]:first[i + 1].  short: items not judged."""
 
-    ids: list[int]
+    ids: list[list[int]]
     words: list[np.ndarray]
+    others: list[np.ndarray]
     grams: np.ndarray
     first: np.ndarray
     owner: np.ndarray
@@ -77,24 +85,31 @@ class Items:
 
     @classmethod
     def of(cls, rows: list[tuple[int, str]], seed: int, judged: int = 1) -> Items:
-        ids, words, grams, owner, place, short = [], [], [], [], [], []
+        ids, words, others, grams, owner, place, short = [], [], [], [], [], [], []
+        known: dict[bytes, int] = {}
         for item_id, text in rows:
             data = np.frombuffer((text or "").encode(errors="replace"), np.uint8)
-            found = _words(data, np.array([0, len(data)]))[0]
+            found, _, start, end = _words(data, np.array([0, len(data)]))
             if len(found) < max(1, judged):
                 short += [item_id] * bool(len(found))
                 continue
+            other = span_hashes(FOLD_AZ[data], start, end, 1)
+            place_of = known.setdefault(found.tobytes() + other.tobytes(), len(ids))
+            if place_of < len(ids):  # the same words again
+                ids[place_of].append(item_id)
+                continue
             gram = window_hashes(found, min(seed, len(found)))
             grams.append(gram)
             owner.append(np.full(len(gram), len(ids)))
             place.append(np.arange(len(gram)))
-            ids.append(item_id)
+            ids.append([item_id])
             words.append(found)
+            others.append(other)
         join = lambda parts, kind: np.concatenate(parts) if parts else np.zeros(0, kind)
         gram = join(grams, np.uint64)
         order = np.argsort(gram, kind="stable")
         unique, first = np.unique(gram[order], return_index=True)
-        return cls(ids, words, unique, np.append(first, len(gram)), join(owner, np.int64)[order], join(place, np.int64)[order], short)
+        return cls(ids, words, others, unique, np.append(first, len(gram)), join(owner, np.int64)[order], join(place, np.int64)[order], short)
 
     def sizes(self, seed: int) -> list[int]:
         """Lengths of seeds: ``seed``, and those of items that are shorter."""
@@ -166,30 +181,42 @@ def align(item: np.ndarray, window: np.ndarray, mismatch: float, gap: float) ->
     return best, begin, end
 
 
-def _row_leaks(items: Items, words: np.ndarray, hits: np.ndarray, grams: np.ndarray, options: Alignment) -> list[tuple[int, float, int, int]]:
-    """(item, score, first word, end word) of the leaks in one document; hits: its seed positions."""
-    shared = items.first[grams + 1] - items.first[grams]
-    entry = _spread(items.first[grams], shared)
-    where = np.repeat(hits, shared) - items.place[entry]
-    owner = items.owner[entry]
+def _windows(items: Items, owner: np.ndarray, where: np.ndarray, n: int, options: Alignment) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Item, begin and end of the windows around hits that put their item at word ``where``, of a document of n words."""
     order = np.lexsort((where, owner))
     owner, where = owner[order], where[order]
-    slack = items.size[owner] // 2 + 5
-    apart = np.concatenate([[True], (owner[1:] != owner[:-1]) | (where[1:] - where[:-1] > slack[1:])])
+    chain = options.chain(items.size[owner])
+    apart = np.concatenate([[True], (owner[1:] != owner[:-1]) | (where[1:] - where[:-1] > chain[1:])])
     head = np.flatnonzero(apart)
     tail = np.append(head[1:], len(owner)) - 1
-    owner, slack = owner[head], slack[head]
+    owner = owner[head]
     size = items.size[owner]
-    begin, end = np.maximum(0, where[head] - slack), np.minimum(len(words), where[tail] + size + slack)
-    least = options.least(size)
+    slack = size // 2 + 5
+    begin, end = np.maximum(0, where[head] - slack), np.minimum(n, where[tail] + size + slack)
+    # blocks that overlap by the widest alignment, so that each lies in one of them whole
+    widest = size + chain[head]
+    blocks = np.maximum(1, -(-(end - begin - widest) // (3 * widest)))
+    step = np.repeat(3 * widest, blocks) * (np.arange(blocks.sum()) - np.repeat(np.cumsum(blocks) - blocks, blocks))
+    owner, begin, end, widest = (np.repeat(x, blocks) for x in (owner, begin, end, widest))
+    return owner, begin + step, np.minimum(end, begin + step + 4 * widest)
+
+
+def _row_leaks(items: Items, words: np.ndarray, others, hits: np.ndarray, grams: np.ndarray, options: Alignment) -> list[tuple[int, float, int, int]]:
+    """(item, score, first word, end word) of the leaks in one document; hits: its seed positions; others(a, b): second hashes of words[a:b]."""
+    shared = items.first[grams + 1] - items.first[grams]
+    entry = _spread(items.first[grams], shared)
+    owner, begin, end = _windows(items, items.owner[entry], np.repeat(hits, shared) - items.place[entry], len(words), options)
+    least = options.least(items.size[owner])
     # no alignment matches more words of the item than the window holds
     able = np.flatnonzero(words_in_windows(items, owner, words, begin, end) >= least)
     found: dict[int, tuple[float, int, int]] = {}
     for i in able.tolist():
         item = int(owner[i])
-        score, s, e = align(items.words[item], words[begin[i] : end[i]], options.mismatch, options.gap)
-        if score >= least[i] - 1e-9 and score > found.get(item, (0.0, 0, 0))[0] + 1e-9:
-            found[item] = (score, int(begin[i]) + s, int(begin[i]) + e)
+        floor = max(least[i] - 1e-9, found.get(item, (0.0, 0, 0))[0] + 1e-9)
+        if align(items.words[item], words[begin[i] : end[i]], options.mismatch, options.gap)[0] >= floor:
+            score, s, e = align(items.others[item], others(begin[i], end[i]), options.mismatch, options.gap)
+            if score >= floor:
+                found[item] = (score, int(begin[i]) + s, int(begin[i]) + e)
     return [(item, *x) for item, x in sorted(found.items())]
 
 
@@ -204,7 +231,13 @@ def chunk_leaks(items: Items, data: np.ndarray, offsets: np.ndarray, options: Al
     cuts = np.concatenate([[0], np.flatnonzero(row[1:] != row[:-1]) + 1, [len(row)]])
     for a, b in zip(cuts[:-1], cuts[1:]):
         base = first[row[a]]
-        for item, score, s, e in _row_leaks(items, words[base : first[row[a] + 1]], at[a:b] - base, gram[a:b], options):
+
+        def others(s: int, e: int, base: int = base) -> np.ndarray:
+            own = slice(base + s, base + e)
+            low, high = int(start[own][0]), int(end[own][-1])
+            return span_hashes(FOLD_AZ[data[low:high]], start[own] - low, end[own] - low, 1)
+
+        for item, score, s, e in _row_leaks(items, words[base : first[row[a] + 1]], others, at[a:b] - base, gram[a:b], options):
             yield int(row[a]), item, score / len(items.words[item]), int(start[base + s]), int(end[base + e - 1])
 
 
@@ -236,17 +269,15 @@ def _block_leaks(docs: DataFrame, shared, options: Alignment, schema: str) -> Da
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         items = shared.value
         for batch in batches:
-            for at, end, data, offsets in chunks(batch.column(1)):
+            for at, _, data, offsets in chunks(batch.column(1)):
                 found = list(chunk_leaks(items, data, offsets, options))
                 if not found:
                     continue
-                chars = np.zeros(len(data) + 1, np.int64)
-                np.cumsum(STARTS_CHAR[data], out=chars[1:])
-                row, item, score, s, e = (np.array(c) for c in zip(*found))
-                doc = batch.column(0)[at:end].cast(pa.int64()).take(pa.array(row))
-                ids = pa.array([items.ids[i] for i in item], pa.int64())
-                shift = chars[offsets[row]]
-                yield pa.RecordBatch.from_arrays([doc, ids, pa.array(score), pa.array(chars[s] - shift), pa.array(chars[e] - shift)], ["doc_id", "item_id", "score", "start", "end"])
+                chars = lambda a, b: int(np.count_nonzero(STARTS_CHAR[data[a:b]]))  # noqa: E731, B023
+                rows = [(at + row, item_id, score, chars(offsets[row], s), chars(offsets[row], e)) for row, item, score, s, e in found for item_id in items.ids[item]]
+                row, item, score, s, e = zip(*rows)
+                doc = batch.column(0).cast(pa.int64()).take(pa.array(row))
+                yield pa.RecordBatch.from_arrays([doc, pa.array(item, pa.int64()), pa.array(score), pa.array(s, pa.int64()), pa.array(e, pa.int64())], ["doc_id", "item_id", "score", "start", "end"])
 
     return map_columns(docs, ["doc_id", "text"], run, schema)
 

@@ -12,11 +12,16 @@
 4. The union sketch of a candidate pair estimates its similarity; what stays is verified exactly on
    the full sets.  Links and classes then join into components.
 
+Sketches and lists use one hash of the shingles.  A class, and a link, must also hold on the full sets
+under a second, independent hash, so texts whose hashes collide are neither equal nor linked for that.
+
 The order of values decides cost, not results: it comes from counts over all sketches.
 
 Defined cases: a text without words has an empty set and is linked with nothing; a shorter text
-than a shingle is one shingle; null doc_ids get a null component and are kept; repeated rows repeat
-in the result; ties take the smallest doc_id; other columns are not read; an empty table gives no rows.
+than a shingle is one shingle; a very long text is one chunk, of which some bytes a character are held;
+null doc_ids get a null component and are kept; repeated rows repeat in the result; rows of one doc_id
+are one document, linked wherever one of its texts is; ties take the smallest doc_id; other columns are
+not read; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -32,12 +37,12 @@ from pyspark.sql import functions as F
 
 from .components import components
 from .files import stored
-from .textscan import chunks, map_columns, mixed, shingle_set, word_hashes
+from .textscan import FOLD_AZ, chunks, map_columns, mixed, span_hashes, window_hashes, word_spans
 
 
 @dataclass(frozen=True)
 class Near:
-    """percent: least similarity of a link.  k: sketch size.  hot_values: most frequent values that are put last.  rounds: of hubs, before the rest is tried pair by pair; so it is at once if that is up to direct_pairs pairs.
+    """percent: least similarity of a link.  k: sketch size.  hot_values: most frequent values that are put last.  direct_pairs: up to so many pairs the members of long lists are tried pair by pair; beyond that in further rounds of hubs, as long as these shrink the lists.
     broadcast_rows: up to so many document ids are broadcast; beyond that they are joined by shuffle.
     """
 
@@ -49,7 +54,6 @@ class Near:
     short_list: int = 24
     salted_from: int = 512
     hub_orders: int = 4
-    rounds: int = 6
     direct_pairs: int = 1 << 16
     broadcast_rows: int = 1 << 21
 
@@ -67,10 +71,30 @@ class Near:
     def linked(self, common: np.ndarray | int, a: np.ndarray | int, b: np.ndarray | int):
         return 100 * common >= self.percent * (a + b - common)
 
+    def sets_linked(self, x: np.ndarray, y: np.ndarray) -> bool:
+        return bool(self.linked(len(np.intersect1d(x, y, assume_unique=True)), len(x), len(y)))
+
+
+_SECOND = mixed(np.arange(1, 65, dtype=np.uint64)) | np.uint64(1)
+
+
+def _sums(words: np.ndarray, size: int) -> np.ndarray:
+    """A second hash of each run of ``size`` words, from their second hashes."""
+    n = len(words) - size + 1
+    total = np.zeros(n, np.uint64)
+    for i in range(size):
+        total += words[i : i + n] * _SECOND[i % 64] * np.uint64(2 * (i // 64) + 1)
+    return total
+
 
-def text_sets(data: np.ndarray, offsets: np.ndarray, size: int) -> Iterator[np.ndarray]:
-    words, first = word_hashes(data, offsets)
-    return (shingle_set(words[a:b], size) for a, b in zip(first[:-1], first[1:]))
+def text_sets(data: np.ndarray, offsets: np.ndarray, size: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The shingle set of each text under both hashes; a shorter text is one shingle, one without words has none."""
+    start, end, first = word_spans(data, offsets)
+    folded = FOLD_AZ[data]
+    words, others = span_hashes(folded, start, end), span_hashes(folded, start, end, 1)
+    for a, b in zip(first[:-1].tolist(), first[1:].tolist()):
+        k = min(size, b - a)
+        yield (np.unique(window_hashes(words[a:b], k)), np.unique(_sums(others[a:b], k))) if k else (words[a:a], words[a:a])
 
 
 def signatures(docs: DataFrame, options: Near) -> DataFrame:
@@ -81,9 +105,9 @@ def signatures(docs: DataFrame, options: Near) -> DataFrame:
         for batch in batches:
             for at, end, data, offsets in chunks(batch.column(1)):
                 sizes, prints, sketches = [], [], []
-                for s in text_sets(data, offsets, options.words):
-                    mark = hashlib.blake2b(s.tobytes(), digest_size=16).digest()
-                    sizes.append(len(s))
+                for s, other in text_sets(data, offsets, options.words):
+                    mark = hashlib.blake2b(s.tobytes() + other.tobytes(), digest_size=16).digest()
+                    sizes.append(max(len(s), len(other)))
                     prints.append(mark)
                     sketches.append(None if mark in seen or not len(s) else s[: options.k].tobytes())
                     seen.add(mark)
@@ -257,23 +281,23 @@ def differences(members: DataFrame, sets: DataFrame, options: Near) -> DataFrame
     The values are hashed with the hub, so that those of different hubs never meet.
     """
     parts = members.groupBy("hub").agg((F.floor(F.count("*") / options.salted_from) + 1).alias("parts"))
-    hubs = parts.join(sets.select(F.col("doc_id").alias("hub"), F.col("full").alias("hub_full")), "hub").withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
+    hubs = parts.join(sets.select(F.col("doc_id").alias("hub"), F.col("full").alias("hub_full"), F.col("other").alias("hub_other")), "hub").withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
     dealt = members.join(parts, "hub").withColumn("salt", F.pmod(F.xxhash64("doc_id"), "parts")).drop("parts")
-    rows = dealt.join(sets.select("doc_id", "full"), "doc_id").join(hubs.drop("parts"), ["hub", "salt"])
+    rows = dealt.join(sets.select("doc_id", "full", "other"), "doc_id").join(hubs.drop("parts"), ["hub", "salt"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             hub, doc = batch.column(0).to_numpy(), batch.column(2).to_numpy()
             linked, diffs = [], []
-            for h, x, y in zip(hub, batch.column(5), batch.column(6)):
-                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
+            for h, *sets_of in zip(hub, *(batch.column(i) for i in range(5, 9))):
+                x, y, other_x, other_y = (np.frombuffer(s.as_buffer(), np.uint64) for s in sets_of)
                 apart = np.setxor1d(x, y, assume_unique=True)
-                linked.append(bool(options.linked((len(x) + len(y) - len(apart)) // 2, len(x), len(y))))
+                linked.append(bool(options.linked((len(x) + len(y) - len(apart)) // 2, len(x), len(y))) and options.sets_linked(other_x, other_y))
                 diffs.append(np.sort(mixed(apart ^ mixed(np.array([h]).view(np.uint64)))).tobytes())
             linked = np.array(linked, bool) & (batch.column(1).to_numpy() != batch.column(3).to_numpy())
             yield pa.RecordBatch.from_pydict({"a": np.minimum(hub, doc), "b": np.maximum(hub, doc), "linked": linked, "doc_id": batch.column(2), "component": batch.column(3), "n": batch.column(4), "diff": pa.array(diffs, pa.binary())})
 
-    columns = ["hub", "hub_component", "doc_id", "component", "n", "full", "hub_full"]
+    columns = ["hub", "hub_component", "doc_id", "component", "n", "full", "hub_full", "other", "hub_other"]
     return stored(map_columns(rows, columns, run, "a long, b long, linked boolean, doc_id long, component long, n long, diff binary"), "differences")
 
 
@@ -366,10 +390,10 @@ def remaining_links(lists: DataFrame, groups: DataFrame, docs: DataFrame, option
     Members of a long list have much in common, so what counts is what tells them from their hub: two
     sets of which one is not linked with the hub are linked only if they share enough of that.  Those
     differences, from rare to frequent, form new lists.  Short ones give pairs; long ones are the next
-    round's lists, around other hubs.  After ``rounds`` the pairs of long lists are formed as well.
+    round's lists, around other hubs.  Once long lists no longer shrink, their pairs are formed as well.
     """
-    sets = None
-    for last in [False] * (options.rounds - 1) + [True]:
+    sets, before = None, None
+    while True:
         members = hub_members(lists, groups)
         if members.isEmpty():
             return
@@ -379,7 +403,9 @@ def remaining_links(lists: DataFrame, groups: DataFrame, docs: DataFrame, option
         entries = possible_entries(difference_entries(found.where(F.length("diff") > 0), options), options)
         long = entries.groupBy("value").agg(F.count("*").alias("m")).where(F.col("m") > options.short_list)
         long = stored(long, "long-lists")
-        last = last or (long.agg(F.sum(F.col("m") * F.col("m")).alias("s")).first()["s"] or 0) <= options.direct_pairs
+        size = long.agg(F.coalesce(F.sum("m"), F.lit(0)).alias("n"), F.coalesce(F.sum(F.col("m").cast("double") * F.col("m")), F.lit(0.0)).alias("pairs")).first()
+        last = size["pairs"] <= options.direct_pairs or (before is not None and 10 * size["n"] > 9 * before)
+        before = size["n"]
         short = entries if last else entries.join(long.select("value"), "value", "left_anti")
         pairs = stored(place_pairs(short, options), "place-pairs")
         star = found.where("linked").select("a", "b").distinct()
@@ -398,30 +424,31 @@ def among(rows: DataFrame, pairs: DataFrame, options: Near) -> DataFrame:
 
 
 def full_sets(docs: DataFrame, pairs: DataFrame, options: Near) -> DataFrame:
-    """doc_id, full of the documents in ``pairs``, from their whole texts."""
+    """doc_id, full, other (the sets under both hashes) of the documents in ``pairs``, from their whole texts."""
     wanted = among(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), pairs, options)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at, end, data, offsets in chunks(batch.column(1)):
-                sets = [s.tobytes() for s in text_sets(data, offsets, options.words)]
-                yield pa.RecordBatch.from_arrays([batch.column(0)[at:end], pa.array(sets, pa.binary())], ["doc_id", "full"])
+                sets = [(s.tobytes(), other.tobytes()) for s, other in text_sets(data, offsets, options.words)]
+                yield pa.RecordBatch.from_arrays([batch.column(0)[at:end], *(pa.array(c, pa.binary()) for c in zip(*sets))], ["doc_id", "full", "other"])
 
-    return stored(map_columns(wanted, ["doc_id", "text"], run, "doc_id long, full binary"), "sets")
+    return stored(map_columns(wanted, ["doc_id", "text"], run, "doc_id long, full binary, other binary"), "sets")
 
 
-def _kept_pairs(pairs: DataFrame, sets: DataFrame, column: str, accept) -> DataFrame:
-    """The pairs whose two values of ``column`` pass ``accept``."""
+def _kept_pairs(pairs: DataFrame, sets: DataFrame, columns: tuple[str, ...], accept) -> DataFrame:
+    """The pairs whose values of ``columns``, first a's and then b's, pass ``accept``."""
     for side in ("a", "b"):
-        pairs = pairs.join(sets.select(F.col("doc_id").alias(side), F.col(column).alias(f"{side}_set")), side)
+        pairs = pairs.join(sets.select(F.col("doc_id").alias(side), *(F.col(c).alias(f"{side}_{c}") for c in columns)), side)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            view = lambda i: [np.frombuffer(x.as_buffer(), np.uint64) for x in batch.column(i)]  # noqa: E731, B023
-            fit = pa.array([bool(accept(x, y)) for x, y in zip(view(2), view(3))], pa.bool_())
+            views = [[np.frombuffer(x.as_buffer(), np.uint64) for x in batch.column(i)] for i in range(2, batch.num_columns)]
+            fit = pa.array([bool(accept(*row)) for row in zip(*views)], pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(fit)
 
-    return stored(map_columns(pairs, ["a", "b", "a_set", "b_set"], run, "a long, b long"), f"{column}-pairs")
+    wanted = ["a", "b", *(f"{side}_{c}" for side in ("a", "b") for c in columns)]
+    return stored(map_columns(pairs, wanted, run, "a long, b long").distinct(), f"{columns[0]}-pairs")
 
 
 def links(pairs: DataFrame, options: Near, docs: DataFrame | None = None, sketches: DataFrame | None = None, sets: DataFrame | None = None) -> DataFrame:
@@ -436,13 +463,13 @@ def links(pairs: DataFrame, options: Near, docs: DataFrame | None = None, sketch
         shared = int(np.searchsorted(common, union[-1], "right"))  # of the k smallest of the union
         return shared >= (options.least if len(union) == options.k else -(-len(union) * options.percent // 100))
 
-    def same(x: np.ndarray, y: np.ndarray) -> bool:
-        return options.linked(len(np.intersect1d(x, y, assume_unique=True)), len(x), len(y))
+    def same(x: np.ndarray, other_x: np.ndarray, y: np.ndarray, other_y: np.ndarray) -> bool:
+        return options.sets_linked(x, y) and options.sets_linked(other_x, other_y)
 
     if sets is not None:
-        return _kept_pairs(pairs, sets, "full", lambda x, y: near(x[: options.k], y[: options.k]) and same(x, y))
-    close = _kept_pairs(pairs, among(sketches, pairs, options), "sketch", near)
-    return _kept_pairs(close, full_sets(docs, close, options), "full", same)
+        return _kept_pairs(pairs, sets, ("full", "other"), lambda x, u, y, v: near(x[: options.k], y[: options.k]) and same(x, u, y, v))
+    close = _kept_pairs(pairs, among(sketches, pairs, options), ("sketch",), near)
+    return _kept_pairs(close, full_sets(docs, close, options), ("full", "other"), same)
 
 
 def near_duplicates(docs: DataFrame, options: Near = Near()) -> DataFrame:
@@ -466,6 +493,9 @@ def near_duplicates(docs: DataFrame, options: Near = Near()) -> DataFrame:
     pairs = stored(found.where(F.col("kind") == PAIR).select("a", "b").union(stars(hubs, options).where(F.col("kind") == PAIR).select("a", "b")).distinct(), "pairs")
     linked = links(pairs, options, docs, sketches.select("doc_id", "sketch"))
     linked = by_class(by_class(linked, "a"), "b").where("a <> b")
+    # a doc_id with texts of different classes is one document, which links them
+    several = member.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("class_id").alias("least"), F.max("class_id").alias("most")).where("least <> most").select("doc_id")
+    linked = linked.union(aliases.join(several, "doc_id", "left_semi").select("doc_id", "class_id"))
     groups = components(linked)
 
     long = by_class(found.where(F.col("kind") == LONG).select("value", F.col("a").alias("doc_id"), "own", "n"), "doc_id")

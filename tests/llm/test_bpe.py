@@ -1,3 +1,4 @@
+import copy
 import hashlib
 import random
 
@@ -7,7 +8,8 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from packwright.llm.bpe import ByteBpe, decode_ids, encode_texts, round_trip_digests
+from packwright.llm import bpe
+from packwright.llm.bpe import ByteBpe, decode_ids, encode_texts, long_digests, round_trip_digests
 from packwright.llm.textscan import chunks
 
 from .conftest import EDGE_TEXTS
@@ -18,6 +20,13 @@ def coder(vocabulary):
     return ByteBpe(vocabulary, leaf=40, window=2)
 
 
+def with_piece(coder, size):
+    small = copy.copy(coder)
+    small.piece = size
+    small._forget()
+    return small
+
+
 def own(coder, texts, limit=200):
     out = []
     for _, _, data, offsets in chunks(pa.array(texts, pa.string()), limit):
@@ -51,8 +60,8 @@ def test_join_grows_until_both_sides_agree(coder):
     for _ in range(200):
         text = "".join(rnd.choice("abcdefghij") for _ in range(80))
         cut = rnd.randrange(1, 80)
-        left, right, whole = coder.encode_pieces([text[:cut], text[cut:], text])
-        assert coder.join(left, right) == whole
+        left, right, whole = (np.array(x, np.uint32) for x in coder.encode_pieces([text[:cut], text[cut:], text]))
+        assert coder.join(left, right).tolist() == whole.tolist()
 
 
 def test_remembers_a_bounded_number_of_pretokens(vocabulary):
@@ -76,3 +85,48 @@ def test_broken_bytes_do_not_shift_neighbours(coder):
     data, offsets = np.frombuffer(b"ab\xff" + b"cd", np.uint8), np.array([0, 3, 5])
     ids, bounds = coder.encode(data, offsets)
     assert ids[bounds[1] :].tolist() == library(coder, ["cd"])[0]
+
+
+def thue_morse(n, letters="ab"):
+    return "".join(letters[i.bit_count() & 1] for i in range(n))
+
+
+def test_colliding_hashes_keep_their_own_ids(coder, vocabulary, monkeypatch):
+    """Texts that a linear hash confuses; then a hash that confuses most texts."""
+    texts = [thue_morse(4096), thue_morse(4096, "ba"), thue_morse(64), thue_morse(64, "ba")]
+    assert own(coder, texts, 1 << 20) == library(coder, texts)
+    monkeypatch.setattr(bpe, "span_hashes", lambda data, start, end: ((end - start) % 3).astype(np.uint64))
+    weak = ByteBpe(vocabulary, leaf=40)
+    texts = ["a few words that are of equal sizes", "few a words, are of that sizes equal", ""] * 2
+    assert own(weak, texts, 20) == library(weak, texts) and weak.clashing
+
+
+ODD_PIECES = st.sampled_from(["a" * 30, "'s", "''", "don't", " ", "   ", "\n\n", "\u00a0", "123456789", "!?" * 9, "日本語" * 8, "é" * 20, "<|endoftext|>", "word ", "。", "x"])
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(ODD_PIECES, min_size=1, max_size=40).map("".join), st.sampled_from([5, 17, 64]))
+def test_pieces_of_a_long_text_equal_library(coder, text, piece):
+    small = with_piece(coder, piece)
+    data = np.frombuffer(text.encode(), np.uint8)
+    parts = list(small.encode_row(data))
+    assert [x for p in parts for x in p.tolist()] == library(coder, [text])[0]
+    assert b"".join(small.decode(p, np.array([0, len(p)]))[0] for p in parts) == text.encode()
+
+
+@pytest.mark.parametrize("text", ["x" * 9000, " " * 9000 + "a", "ab" * 5000, "\n" * 8191 + " b", "'" * 9001 + "s", "日" * 5000, "a1" * 4000 + "é" * 6000])
+def test_runs_cut_anywhere_equal_library(coder, text):
+    assert [x for p in with_piece(coder, 1000).encode_row(np.frombuffer(text.encode(), np.uint8)) for x in p.tolist()] == library(coder, [text])[0]
+
+
+def test_memory_does_not_grow_with_one_text(vocabulary):
+    """64 MB of words, and 16 MB of one letter run, at under 10 bytes a byte beyond the text."""
+    import tracemalloc
+
+    coder = ByteBpe(vocabulary)
+    for text in (np.tile(np.frombuffer("Some words, numbers 123 and signs; ".encode(), np.uint8), 64_000_000 // 35), np.frombuffer(b"abcdefgh" * 2_000_000, np.uint8)):
+        tracemalloc.start()
+        n, _, decoded = long_digests(coder, text)
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert n and decoded == hashlib.sha256(text.tobytes()).hexdigest() and peak < 10 * len(text) // (4 if len(text) > 20_000_000 else 1)

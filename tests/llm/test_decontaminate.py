@@ -1,9 +1,10 @@
 import random
+import tracemalloc
 
 import numpy as np
 import pytest
 
-from packwright.llm.decontaminate import Alignment, Items, align, clean_documents, leaks, words_in_windows
+from packwright.llm.decontaminate import Alignment, Items, align, chunk_leaks, clean_documents, leaks, words_in_windows
 
 from .conftest import EDGE_TEXTS
 
@@ -131,3 +132,47 @@ def test_short_items_take_no_clean_documents(spark, frame):
         assert {(r["doc_id"], r["item_id"]) for r in leaks(docs, items).collect()} == {(3, 2), (5, 3)}
     with pytest.warns(UserWarning, match="2 items"):
         assert sorted(r["doc_id"] for r in clean_documents(docs, items).collect()) == [1, 2, 4]
+
+
+def test_a_long_insertion_does_not_split_a_copy(spark, frame):
+    rnd = random.Random(5)
+    words = lambda n: [f"v{rnd.randrange(10**6)}" for _ in range(n)]
+    item = words(60)
+    half = lambda part: [f"x{i}" if i % 8 == 7 else w for i, w in enumerate(part)]
+    rows = [(k, " ".join(words(30) + half(item[:30]) + words(k) + half(item[30:]) + words(30))) for k in (10, 20, 33, 40)]
+    items = spark.createDataFrame([(0, " ".join(item))], "item_id long, text string")
+    got = {r["doc_id"]: r["score"] for r in leaks(frame(rows), items).collect()}
+    whole = {k: brute_align(item, t.split(" "), 0.5, 0.5) for k, t in rows}
+    assert got == pytest.approx({k: v / 60 for k, v in whole.items() if v >= 30}) and {10, 20} <= set(got)
+
+
+def test_blocks_of_long_windows_equal_whole_alignment(spark, frame):
+    """Hits of one item all over long documents chain into windows far wider than it."""
+    rnd = random.Random(6)
+    item = [rnd.choice("abcdefghij") * 3 for _ in range(20)]
+    rows = [(i, " ".join(rnd.choice("abcdefghij") * 3 for _ in range(700))) for i in range(6)]
+    items = spark.createDataFrame([(0, " ".join(item))], "item_id long, text string")
+    options = Alignment(least_share=0.55)
+    got = {r["doc_id"]: r["score"] for r in leaks(frame(rows), items, options).collect()}
+    whole = {i: brute_align(item, t.split(" "), 0.5, 0.5) for i, t in rows}
+    assert got == pytest.approx({i: v / 20 for i, v in whole.items() if v >= 11})
+
+
+def test_equal_items_are_one_alignment_and_words_with_equal_hashes_are_no_leak(monkeypatch):
+    text = " ".join(f"w{i}" for i in range(20))
+    items = Items.of([(i, text) for i in range(1000)], 3)
+    assert len(items.words) == 1 and items.ids == [list(range(1000))]
+    data = np.frombuffer(text.encode(), np.uint8)
+    assert [x[:3] for x in chunk_leaks(items, data, np.array([0, len(data)]), Alignment())] == [(0, 0, 1.0)]
+    items.others[0] = items.others[0][::-1]  # as if only the first hashes agreed
+    assert not list(chunk_leaks(items, data, np.array([0, len(data)]), Alignment()))
+
+
+def test_memory_of_one_long_text():
+    text = np.tile(np.frombuffer(b"some words of a line that stands there\n", np.uint8), 16_000_000 // 39)
+    items = Items.of([(0, "words of another test item that is long enough to be judged")], 3)
+    tracemalloc.start()
+    assert not list(chunk_leaks(items, text, np.array([0, len(text)]), Alignment()))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 20 * len(text)

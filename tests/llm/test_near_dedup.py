@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from packwright.llm.components import components
-from packwright.llm.near_dedup import Near, near_duplicates
+from packwright.llm.near_dedup import Near, links, near_duplicates
 
 from .conftest import EDGE_TEXTS
 
@@ -87,6 +87,46 @@ def test_edge_cases(frame):
     assert near_duplicates(docs.limit(0)).count() == 0
 
 
+def thue_morse(n, letters="ab"):
+    return "".join(letters[i.bit_count() & 1] for i in range(n))
+
+
+def test_colliding_hashes_link_nothing(frame, spark, monkeypatch):
+    rows = [(1, thue_morse(4096)), (2, thue_morse(4096, "ba")), (3, thue_morse(4096, "ba") + " ")]
+    assert {r[0]: r[2] for r in run(frame(rows), Near(words=3, percent=85))} == {1: 1, 2: 2, 3: 2}
+    # sets that agree under the first hash only
+    import numpy as np
+
+    far = lambda *parts: np.unique(np.array(parts, np.uint64))
+    sets = [(7, far(1, 2).tobytes(), far(5, 6).tobytes()), (8, far(1, 2).tobytes(), far(7, 8).tobytes()), (9, far(1, 2).tobytes(), far(7, 8).tobytes())]
+    table = spark.createDataFrame(sets, "doc_id long, full binary, other binary")
+    pairs = spark.createDataFrame([(7, 8), (7, 9), (8, 9)], "a long, b long")
+    assert [tuple(r) for r in links(pairs, Near(), sets=table).collect()] == [(8, 9)]
+
+
+def test_large_ids(frame):
+    big = 5 * 10**18
+    rows = [(big + i, "one two three four five six seven") for i in range(3)] + [(-big, "one two three four five six eight nine ten eleven"), (-big - 1, "one two three four five six eight nine ten eleven twelve")]
+    assert {r[0]: r[2] for r in run(frame(rows), Near(words=3, percent=80))} == {big: big, big + 1: big, big + 2: big, -big: -big - 1, -big - 1: -big - 1}
+
+
+def test_rows_of_one_id_are_one_document(frame):
+    one, two, other = (" ".join(f"{x}{i}" for i in range(30)) for x in "abc")
+    rows = [(7, one), (7, two), (3, one), (5, two), (9, other), (9, other), (8, two + " more")]
+    got = [tuple(r) for r in near_duplicates(frame(rows), Near(words=3, percent=85)).collect()]
+    assert sorted((r[0], r[2]) for r in got) == [(3, 3), (5, 3), (7, 3), (7, 3), (8, 3), (9, 9), (9, 9)]
+
+
+def test_recall_of_queries_against_all_rows(frame):
+    """Links of every tenth document with all others, by brute force: none is missed."""
+    options = Near(words=3, percent=85)
+    rows = corpus(9)
+    groups = {r[0]: r[2] for r in run(frame(rows), options)}
+    sets = {i: shingles(t, 3) for i, t in rows}
+    truth = [(a, b) for a in sets if a % 10 == 0 for b in sets if b != a and options.linked(len(sets[a] & sets[b]), len(sets[a]), len(sets[b]))]
+    assert len(truth) > 200 and all(groups[a] == groups[b] for a, b in truth)
+
+
 def test_result_does_not_depend_on_partitions(spark, frame):
     rows = corpus(5)
     one = run(frame(rows).coalesce(1), Near(words=3, percent=85))
