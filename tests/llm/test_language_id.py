@@ -1,7 +1,11 @@
 import random
+import tracemalloc
 import zlib
 
-from packwright.llm.language_id import Fit, confident, identify, labelled_sample, learn, training_rows
+import numpy as np
+import pyarrow as pa
+from packwright.llm.language_id import UNDETERMINED, Fit, Model, Predictor, confident, identify, labelled_sample, learn, training_rows
+from packwright.llm.textscan import text_buffers
 
 from .conftest import EDGE_TEXTS
 
@@ -57,3 +61,55 @@ def test_sample_is_bounded_by_distinct_texts(spark):
     rows = spark.createDataFrame([(f"text number {'abcdefghij'[k % 10] * (k + 3)}", "aa") for k in range(20) for _ in range(60)], "text string, lang string")
     assert len(labelled_sample(rows, Fit(rows_per_language=50))) == 40  # each text and a piece of it
     assert len(labelled_sample(rows, Fit(rows_per_language=5))) <= 30
+
+
+def some_model(seed=0):
+    rnd = np.random.default_rng(seed)
+    return Model(["aa", "bb", "cc"], rnd.normal(0, 1, (1 << 10, 3)).astype(np.float32), rnd.normal(0, 0.1, 3), 0.7, Fit(bits=10))
+
+
+def plain(model, text):
+    """The prediction as a loop over the text's n-grams."""
+    from packwright.llm.language_id import buckets
+
+    folded = " "
+    for c in text or "":
+        c = c.lower()[0] if c.isalpha() else " "
+        folded += "" if c == folded[-1] == " " else c
+    grams = [buckets(np.array([ord(c) for c in folded[i : i + k]], np.uint32), k, model.options.bits)[0] for k in model.options.orders for i in range(len(folded) - k + 1)]
+    if not any(c.isalpha() for c in text or ""):
+        return UNDETERMINED, 0.0
+    x = np.array([sum(np.rint(model.weights[g, j].astype(float) * (1 << 20)) for g in grams) / (1 << 20) / len(grams) + model.bias[j] for j in range(3)]) / model.temperature
+    chance = np.exp(x - x.max()) / np.exp(x - x.max()).sum()
+    return model.languages[int(chance.argmax())], float(chance.max())
+
+
+TEXTS = ["Some WORDS, and  12 signs!", "É日本 x", "", None, "12 !", "a", " ab ", "ab\n\n\ncd", "Straße İi", "z" * 50 + "  " * 20 + "y"]
+
+
+def test_scores_equal_a_plain_loop_and_do_not_depend_on_neighbours():
+    model = some_model()
+    data, offsets = text_buffers(pa.array(TEXTS * 2))
+    lang, score = Predictor(model).predict(data, offsets)
+    for i, t in enumerate(TEXTS):
+        want = plain(model, t)
+        assert lang[i] == lang[i + len(TEXTS)] == want[0] and score[i] == score[i + len(TEXTS)] and abs(score[i] - want[1]) < 1e-9
+
+
+def test_pieces_of_a_long_text_score_as_the_whole():
+    model = some_model(1)
+    for text in [t for t in TEXTS if t] + ["".join(t or "" for t in TEXTS)]:
+        data = np.frombuffer(text.encode(), np.uint8)
+        offsets = np.array([0, len(data)])
+        for piece in (1, 2, 3, 5, 8):
+            one, two = (Predictor(model, p).predict(data, offsets) for p in (piece, 1 << 20))
+            assert one[0] == two[0] and one[1].tolist() == two[1].tolist()
+
+
+def test_memory_of_one_long_text():
+    text = np.tile(np.frombuffer(b"some words of a line that stands there\n", np.uint8), 16_000_000 // 39)
+    tracemalloc.start()
+    assert Predictor(some_model()).predict(text, np.array([0, len(text)]))[0] != [UNDETERMINED]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 2 * len(text)
