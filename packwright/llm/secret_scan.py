@@ -7,7 +7,8 @@ contexts that no fixed pattern names.
 
 Decoding is exact Viterbi, but only where it can matter: a bound on what leaving ``outside`` can gain
 shows of most tokens that the best path stays there.  The few stretches between are decoded, and all
-that the field tags is reported, with a digit in it or not.
+that the field tags is reported, with a digit in it or not.  A long text goes through the field in
+pieces, with the tokens around each cut and the open stretch carried over, so its spans are the same.
 
 Defined cases: null reads as empty; an empty text has no spans; a model span that touches a fixed
 span is dropped in its favour; repeated rows give repeated rows; other columns pass through
@@ -19,7 +20,8 @@ from __future__ import annotations
 import hashlib
 import random
 import re
-from collections.abc import Iterator
+from bisect import bisect_left
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -28,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .files import stored
-from .textscan import FOLD_AZ, IS_SPACE, STARTS_CHAR, chunks, map_columns, span_hashes
+from .textscan import CHUNK_BYTES, FOLD_AZ, IS_SPACE, CharPlaces, chunks, map_columns, span_hashes
 
 #: The patterns, in the order in which kinds are listed, and the least size of what they hold.
 ASSIGN = re.compile(rb"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE)
@@ -57,9 +59,10 @@ _KIND_OF_BYTE[3, list(b"+/_.-")] = 1
 
 @dataclass(frozen=True)
 class Training:
-    """sample_rows: distinct labelled texts to fit on, out of about drawn_rows; copies: invented credentials set into them; reach: tokens kept around each."""
+    """sample_rows: distinct labelled texts to fit on, out of about drawn_rows; copies: invented credentials set into them; reach: tokens kept around each.  sample_chars: of what each sampled text gives, around its mark if it has one."""
 
     sample_rows: int = 400
+    sample_chars: int = 1 << 14
     drawn_rows: int = 10_000
     copies: int = 800
     reach: int = 30
@@ -77,8 +80,8 @@ class Field:
     moves: np.ndarray
 
 
-class Tokens:
-    """Tokens of a chunk of rows and their feature values, one column a feature."""
+class Raw:
+    """Tokens of a chunk of rows, and what each shows by itself."""
 
     def __init__(self, data: np.ndarray, offsets: np.ndarray):
         kind, n = _CLASS[data], len(data)
@@ -92,13 +95,7 @@ class Tokens:
             ends[:-1] &= (kind[:-1] == 2) | (kind[:-1] != kind[1:]) | cut[1:n]
         self.start, self.end = np.flatnonzero(begins), np.flatnonzero(ends) + 1
         self.first = np.searchsorted(self.start, offsets)
-        self.row = np.repeat(np.arange(len(offsets) - 1), np.diff(self.first))
-        self.features = self._features(data)
-
-    def _features(self, data: np.ndarray) -> np.ndarray:
-        m = len(self.start)
-        if not m:
-            return np.zeros((0, len(TABLES)), np.int32)
+        self.row = np.repeat(np.arange(len(offsets) - 1, dtype=np.int32), np.diff(self.first))
         size = self.end - self.start
         inside = []
         total = np.zeros(len(data) + 1, np.int32)
@@ -109,30 +106,67 @@ class Tokens:
         np.cumsum(IS_HEX[data], out=total[1:])
         pure_hex = (total[self.end] - total[self.start] == size) & (size > 1)
         digits = _KIND_OF_BYTE[2][data]
-        np.cumsum(np.concatenate([[0], digits[1:] != digits[:-1]]), out=total[1:])
+        np.cumsum(np.concatenate([[0], digits[1:] != digits[:-1]]), out=total[1:]) if n else None
         turns = total[self.end] - total[np.minimum(self.start + 1, self.end)]
-        long = np.searchsorted(_SIZES, size, "right")
-        shape = (lower > 0) + 2 * (upper > 0) + 4 * (digit > 0) + 8 * (mark > 0) + 16 * (wide > 0) + 32 * pure_hex
-        mix = np.minimum(long // 2, 7) * 64 + (8 * digit // (size + 1)) * 8 + np.minimum(turns, 7)
-        word = (span_hashes(FOLD_AZ[data], self.start, self.end) >> np.uint64(64 - WORD_BITS)).astype(np.int32)
-        word[size > 24] = 0
-        rows = len(self.first) - 1
-        count = np.maximum(np.diff(self.first), 1)
-        share = lambda flags: np.minimum(7, 16 * np.bincount(self.row, flags, rows) // count).astype(np.int32)
-        file = share(digit > 0) * 8 + share(data[self.start] == 61)
-        moved = lambda values, by, none: self._moved(values, by, none)
-        columns = (long, shape, mix, moved(word, -1, 0), moved(word, -2, 0), moved(word, -3, 0), moved(word, 1, 0), moved(shape, -1, 64), moved(shape, 1, 64), file[self.row] * 64 + shape)
-        return np.stack([np.asarray(c, np.int32) + base for c, base in zip(columns, BASES)], 1)
-
-    def _moved(self, values: np.ndarray, by: int, none: int) -> np.ndarray:
+        self.long = np.searchsorted(_SIZES, size, "right").astype(np.int32)
+        self.shape = ((lower > 0) + 2 * (upper > 0) + 4 * (digit > 0) + 8 * (mark > 0) + 16 * (wide > 0) + 32 * pure_hex).astype(np.int32)
+        self.mix = (np.minimum(self.long // 2, 7) * 64 + (8 * digit // (size + 1)) * 8 + np.minimum(turns, 7)).astype(np.int32)
+        self.word = (span_hashes(FOLD_AZ[data], self.start, self.end) >> np.uint64(64 - WORD_BITS)).astype(np.int32)
+        self.word[size > 24] = 0
+        self.equals = data[self.start] == 61
+
+    def joined(self, later: Raw, moved: int) -> Raw:
+        """These tokens and those of ``later``, whose bytes start ``moved`` further on; all of one row."""
+        both = object.__new__(Raw)
+        for name in ("long", "shape", "mix", "word", "row", "equals"):
+            setattr(both, name, np.concatenate([getattr(self, name), getattr(later, name)]))
+        both.start, both.end = np.concatenate([self.start, later.start + moved]), np.concatenate([self.end, later.end + moved])
+        return both
+
+    def after(self, n: int) -> Raw:
+        rest = object.__new__(Raw)
+        for name in ("long", "shape", "mix", "word", "row", "equals", "start", "end"):
+            setattr(rest, name, getattr(self, name)[n:])
+        return rest
+
+
+def share_feature(digits: np.ndarray, equals: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """What a file's tokens with digits and its equal signs tell of all its tokens."""
+    share = lambda n: np.minimum(7, 16 * n // np.maximum(count, 1)).astype(np.int32)
+    return share(digits) * 8 + share(equals)
+
+
+def feature_values(raw: Raw, file: np.ndarray) -> np.ndarray:
+    """Feature values of the tokens, one column a feature; file: each token's file feature."""
+
+    def moved(values: np.ndarray, by: int, none: int) -> np.ndarray:
         """The value of the token ``by`` places on, ``none`` beyond the row."""
         out = np.full(len(values), none, np.int32)
         if by < 0 and len(values) > -by:
-            out[-by:] = np.where(self.row[-by:] == self.row[:by], values[:by], none)
+            out[-by:] = np.where(raw.row[-by:] == raw.row[:by], values[:by], none)
         elif by > 0 and len(values) > by:
-            out[:-by] = np.where(self.row[:-by] == self.row[by:], values[by:], none)
+            out[:-by] = np.where(raw.row[:-by] == raw.row[by:], values[by:], none)
         return out
 
+    word, shape = raw.word, raw.shape
+    columns = (raw.long, shape, raw.mix, moved(word, -1, 0), moved(word, -2, 0), moved(word, -3, 0), moved(word, 1, 0), moved(shape, -1, 64), moved(shape, 1, 64), file * 64 + shape)
+    return np.stack([np.asarray(c, np.int32) + base for c, base in zip(columns, BASES)], 1)
+
+
+class Tokens:
+    """Tokens of a chunk of rows and their feature values, one column a feature."""
+
+    def __init__(self, data: np.ndarray, offsets: np.ndarray):
+        raw = Raw(data, offsets)
+        self.start, self.end, self.first, self.row = raw.start, raw.end, raw.first, raw.row
+        if not len(raw.start):
+            self.features = np.zeros((0, len(TABLES)), np.int32)
+            return
+        rows = len(self.first) - 1
+        count = lambda flags: np.bincount(self.row, flags, rows).astype(np.int64)
+        file = share_feature(count(raw.shape & 4 > 0), count(raw.equals), np.diff(self.first))
+        self.features = feature_values(raw, file[self.row])
+
 
 TABLES = (16, 64, 512, _WORDS, _WORDS, _WORDS, _WORDS, 65, 65, 64 * 64)
 BASES = np.cumsum((0, *TABLES[:-1])).astype(np.int32)
@@ -151,13 +185,14 @@ def viterbi(scores: np.ndarray, moves: np.ndarray) -> list[int]:
     return tags[::-1]
 
 
-def stretches(scores: np.ndarray, moves: np.ndarray, row: np.ndarray) -> list[tuple[int, int]]:
-    """Ranges of tokens outside of which the best path is ``outside``.
+def stretches(scores: np.ndarray, moves: np.ndarray, row: np.ndarray, carried: float = 0.0) -> tuple[list[tuple[int, int]], np.ndarray]:
+    """Ranges of tokens outside of which the best path is ``outside``, and the largest sum that ends at each token.
 
     Let u be the most that a token can gain over ``outside``, with one move.  If the best path has a
     secret over t that goes on, starting it at t + 1 instead is no better, so the sum of u from its
     start to t is at least -(the best move - the opening move + what ``inside`` gains over ``begin``
     at t + 1); if it ends at t, it is at least -(one move).  The largest sum that ends at t decides.
+    carried: the largest sum that ends before the first token, where the row goes on from a piece before.
     """
     allowed = np.delete(moves.ravel(), OUT * 3 + INSIDE)
     step = max(0.0, float(allowed.max() - moves[OUT, OUT]))
@@ -165,7 +200,7 @@ def stretches(scores: np.ndarray, moves: np.ndarray, row: np.ndarray) -> list[tu
     # a drop at each row's start keeps sums from reaching into the row before
     drop = -1e6 * (row - row[0])
     before = np.concatenate([[0.0], np.cumsum(u)[:-1]]) + drop
-    largest = before + u - np.minimum.accumulate(before)
+    largest = before + u - np.minimum(np.minimum.accumulate(before), -max(0.0, carried))
     later = np.append(np.maximum(0.0, scores[1:, INSIDE] - scores[1:, BEGIN]), 0.0)
     slack = np.maximum(step, float(allowed.max() - moves[OUT, BEGIN]) + later) + 1e-3
     held = largest >= -slack
@@ -174,28 +209,81 @@ def stretches(scores: np.ndarray, moves: np.ndarray, row: np.ndarray) -> list[tu
     for a, b in zip(edge[::2].tolist(), edge[1::2].tolist()):
         cuts = [a, *(np.flatnonzero(row[a + 1 : b] != row[a : b - 1]) + a + 1).tolist(), b]
         out += zip(cuts, cuts[1:])
-    return out
+    return out, largest
+
+
+def _scores(features: np.ndarray, field: Field) -> np.ndarray:
+    scores = np.zeros((len(features), 3), np.float32)
+    for column in features.T:
+        scores += field.weights[column]
+    return scores
+
+
+def _tagged(scores: np.ndarray, moves: np.ndarray, start: int, end: int) -> Iterator[tuple[int, int]]:
+    """Token ranges of the secrets in the stretch of tokens start to end."""
+    opened = None
+    for i, tag in enumerate([*viterbi(scores[start:end], moves), OUT], start):
+        if opened is not None and tag != INSIDE:
+            yield opened, i
+            opened = None
+        if tag == BEGIN or (tag == INSIDE and opened is None):
+            opened = i
 
 
-def model_spans(tokens: Tokens, field: Field, with_digit: bool = True) -> list[tuple[int, int, int]]:
-    """(row, first byte, end byte) of what the field tags; with_digit: only spans that hold a digit."""
+def model_spans(tokens: Tokens, field: Field) -> list[tuple[int, int, int]]:
+    """(row, first byte, end byte) of what the field tags."""
     if not len(tokens.start):
         return []
-    scores = np.zeros((len(tokens.start), 3), np.float32)
-    for column in tokens.features.T:
-        scores += field.weights[column]
-    found = []
-    for start, end in stretches(scores, field.moves, tokens.row):
-        tags = viterbi(scores[start:end], field.moves)
-        opened = None
-        for i, tag in enumerate([*tags, OUT], start):
-            if opened is not None and tag != INSIDE:
-                if not with_digit or ((tokens.features[opened:i, 1] - BASES[1]) & 4).any():
-                    found.append((int(tokens.row[opened]), int(tokens.start[opened]), int(tokens.end[i - 1])))
-                opened = None
-            if tag == BEGIN or (tag == INSIDE and opened is None):
-                opened = i
-    return found
+    scores = _scores(tokens.features, field)
+    ranges = stretches(scores, field.moves, tokens.row)[0]
+    return [(int(tokens.row[a]), int(tokens.start[a]), int(tokens.end[b - 1])) for s, e in ranges for a, b in _tagged(scores, field.moves, s, e)]
+
+
+def _token_cut(data: np.ndarray, at: int) -> int:
+    """The first place from ``at`` on where no token is open."""
+    size = 1 << 12
+    while at < len(data):
+        kind = _CLASS[data[at - 1 : at + size]]
+        free = np.flatnonzero((kind[1:] != kind[:-1]) | (kind[1:] != 1))
+        if len(free):
+            return at + int(free[0])
+        at += size
+    return len(data)
+
+
+def long_spans(data: np.ndarray, field: Field, piece: int = CHUNK_BYTES) -> Iterator[tuple[int, int]]:
+    """``model_spans`` of one text of any length, in two passes over its pieces: the file's features, then the spans."""
+    cuts = [0]
+    while cuts[-1] < len(data):
+        cuts.append(_token_cut(data, cuts[-1] + piece) if cuts[-1] + piece < len(data) else len(data))
+    pieces = lambda: ((a, Raw(data[a:b], np.array([0, b - a]))) for a, b in zip(cuts, cuts[1:]))
+    n = digits = equals = 0
+    for _, raw in pieces():
+        n, digits, equals = n + len(raw.start), digits + int(np.count_nonzero(raw.shape & 4)), equals + int(np.count_nonzero(raw.equals))
+    file = share_feature(np.array([digits]), np.array([equals]), np.array([n]))
+    held, context, carried = None, 0, 0.0  # tokens not decided yet, after ``context`` tokens that only show what stands before
+    for a, raw in pieces():
+        raw.start, raw.end = raw.start + a, raw.end + a
+        held = raw if held is None else held.joined(raw, 0)
+        last = a + piece >= len(data) or cuts[-2] == a
+        if len(held.start) <= context + 1 and not last:
+            continue
+        features = feature_values(held, np.repeat(file, len(held.start)))[context:]
+        if not len(features):
+            continue
+        scores = _scores(features, field)
+        ranges, largest = stretches(scores, field.moves, np.zeros(len(scores), np.int32), carried)
+        done = len(scores) if last else len(scores) - 1
+        if ranges and not last and ranges[-1][1] >= done:
+            done = min(done, ranges[-1][0])
+        for s, e in ranges:
+            if e <= done:
+                for i, k in _tagged(scores, field.moves, s, e):
+                    yield int(held.start[context + i]), int(held.end[context + k - 1])
+        if done:
+            carried = float(largest[done - 1])
+        keep = max(0, context + done - 3)
+        context, held = context + done - keep, held.after(keep)
 
 
 def base_spans(text: bytes) -> list[tuple[str, int, int]]:
@@ -217,38 +305,51 @@ def rows_to_match(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return np.unique(np.searchsorted(offsets, np.array(at, np.int64), "right") - 1)
 
 
+def _touches(kinds: Iterable[list[tuple[str, int, int]]], start: int, end: int) -> bool:
+    """Whether a span overlaps start to end; those of one kind are in order and don't overlap."""
+    for spans in kinds:
+        i = bisect_left(spans, end, key=lambda x: x[1])
+        if i and spans[i - 1][2] > start:
+            return True
+    return False
+
+
 def chunk_spans(data: np.ndarray, offsets: np.ndarray, field: Field | None) -> list[list[tuple[str, int, int]]]:
     """For each row its spans as (kind, start, end) in bytes of the chunk, by start and then kind."""
     spans: list[list[tuple[str, int, int]]] = [[] for _ in range(len(offsets) - 1)]
+    added: list[list[tuple[str, int, int]]] = [[] for _ in spans]
+    kinds: dict[int, list[list[tuple[str, int, int]]]] = {}
     for row in rows_to_match(data, offsets).tolist():
         a = int(offsets[row])
         spans[row] = [(kind, a + s, a + e) for kind, s, e in base_spans(data[a : offsets[row + 1]].tobytes())]
     if field is not None:
-        for row, start, end in model_spans(Tokens(data, offsets), field, with_digit=False):
-            if not any(s < end and start < e for _, s, e in spans[row]):
-                spans[row].append((MODEL_KIND, start, end))
-    for own in spans:
-        own.sort(key=lambda x: (x[1], ORDER[x[0]]))
-    return spans
-
-
-def _credential(rnd: random.Random) -> str:
-    """An invented credential in one of the usual forms, with what stands before and after it; NUL marks its ends."""
-    pick = lambda letters, n: "".join(rnd.choice(letters) for _ in range(n))
-    upper, lower, digits = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz", "0123456789"
-    value = rnd.choice([
-        lambda: "AKIA" + pick(upper + digits, 16),
-        lambda: pick(digits + "abcdef", rnd.choice((32, 40, 64))),
-        lambda: pick(upper + lower + digits + "+/", rnd.randint(24, 64)),
-        lambda: rnd.choice(("ghp_", "sk_live_", "xoxb-", "glpat-")) + pick(upper + lower + digits, rnd.randint(24, 40)),
-        lambda: pick(upper + lower + digits + "_-", rnd.randint(16, 40)),
-    ])()
-    name = rnd.choice(("password", "passwd", "pwd", "secret", "client_secret", "token", "auth_token", "api_key", "apikey", "access_key", "private_key", "Authorization", "credential"))
-    form = rnd.choice(('{n} = "\0{v}\0"', "{n}=\0{v}\0", "{n}: \0{v}\0", '"{n}": "\0{v}\0"', "{n}: Bearer \0{v}\0", "\0{v}\0"))
-    return form.format(n=name, v=value)
-
-
-def train(texts: list[str], options: Training = Training()) -> Field:
+        long = len(spans) == 1 and len(data) > CHUNK_BYTES
+        for row, start, end in ((0, s, e) for s, e in long_spans(data, field)) if long else model_spans(Tokens(data, offsets), field):
+            if row not in kinds:
+                kinds[row] = [[x for x in spans[row] if x[0] == kind] for kind in KINDS] if spans[row] else []
+            if not _touches(kinds[row], start, end):
+                added[row].append((MODEL_KIND, start, end))
+    return [sorted(base + more, key=lambda x: (x[1], ORDER[x[0]])) for base, more in zip(spans, added)]
+
+
+_UPPER, _LOWER, _DIGITS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz", "0123456789"
+#: What invented credentials consist of: (letters, sizes, prefixes), names, and forms; NUL marks the ends of the secret.
+VALUES = (
+    (_UPPER + _DIGITS, (16,), ("AKIA",)), (_DIGITS + "abcdef", (32, 40, 64), ("",)), (_UPPER + _LOWER + _DIGITS + "+/", range(24, 65), ("",)),
+    (_UPPER + _LOWER + _DIGITS, range(24, 41), ("ghp_", "sk_live_", "xoxb-", "glpat-")), (_UPPER + _LOWER + _DIGITS + "_-", range(16, 41), ("",)),
+)
+NAMES = ("password", "passwd", "pwd", "secret", "client_secret", "token", "auth_token", "api_key", "apikey", "access_key", "private_key", "Authorization", "credential")
+FORMS = ('{n} = "\0{v}\0"', "{n}=\0{v}\0", "{n}: \0{v}\0", '"{n}": "\0{v}\0"', "{n}: Bearer \0{v}\0", "\0{v}\0")
+
+
+def _credential(rnd: random.Random, values=VALUES, names=NAMES, forms=FORMS) -> str:
+    """An invented credential in one of the usual forms, with what stands before and after it."""
+    letters, sizes, prefixes = rnd.choice(values)
+    value = rnd.choice(prefixes) + "".join(rnd.choice(letters) for _ in range(rnd.choice(sizes)))
+    return rnd.choice(forms).format(n=rnd.choice(names), v=value)
+
+
+def train(texts: list[str], options: Training = Training(), credential=_credential) -> Field:
     """Fits the field by stochastic gradient on the likelihood of the labels of the fixed patterns and invented secrets."""
     rnd = random.Random(options.seed)
     cases: list[tuple[bytes, list[tuple[int, int]]]] = []
@@ -261,7 +362,7 @@ def train(texts: list[str], options: Training = Training()) -> Field:
     for _ in range(options.copies):
         words = rnd.choice(base).split(" ")
         at = rnd.randrange(len(words) + 1)
-        before, value, after = _credential(rnd).split("\0")
+        before, value, after = credential(rnd).split("\0")
         head = " ".join([*words[max(0, at - 40) : at], before]).encode(errors="replace")
         cases.append((head + value.encode() + after.encode() + b" " + " ".join(words[at : at + 40]).encode(errors="replace"), [(len(head), len(head) + len(value))]))
     sequences = []
@@ -320,10 +421,14 @@ def train_on(docs: DataFrame, options: Training = Training()) -> Field:
     known = docs.select("text").where(text.isNotNull() & (F.length("text") > 0))
     n = known.agg(F.approx_count_distinct(F.xxhash64("text")).alias("n")).first()["n"]
     share = min(1.0, options.drawn_rows / max(1, n))
-    marked = text.rlike("AKIA[A-Z0-9]{16}|[0-9a-f]{24}|(?i)(password|passwd|secret|token|api_?key)[\"']? *[:=]")
+    mark = "AKIA[A-Z0-9]{16}|[0-9a-f]{24}|(?i)(password|passwd|secret|token|api_?key)[\"']? *[:=]"
     at = F.pmod(F.xxhash64("text", F.lit(options.seed)), F.lit(1 << 30)) / (1 << 30)
+    room = F.greatest(F.lit(1), F.length("text") - options.sample_chars + 1)
+    # a window around the mark, else one at any fixed place
+    place = F.when(F.col("marked"), F.least(F.greatest(F.lit(1), F.regexp_instr("text", F.lit(mark)) - options.sample_chars // 2), room)).otherwise(1 + F.pmod(F.xxhash64("text"), room))
     # copies share a hash, so they would all enter together
-    drawn = stored(known.where(at < share).distinct().select("text", marked.alias("marked"), at.alias("at")), "secret-sample")
+    drawn = known.where(at < share).distinct().select("text", text.rlike(mark).alias("marked"), at.alias("at"))
+    drawn = stored(drawn.select(text.substr(place.cast("int"), F.lit(options.sample_chars)).alias("text"), "marked", "at"), "secret-sample")
 
     def part(flag: bool) -> list[str]:
         own = drawn.where(F.col("marked") == flag)
@@ -341,12 +446,11 @@ def scan_secrets(docs: DataFrame, field: Field | None = None, options: Training
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at, end, data, offsets in chunks(batch.column(1)):
-                chars = np.zeros(len(data) + 1, np.int64)
-                np.cumsum(STARTS_CHAR[data], out=chars[1:])
+                chars = CharPlaces(data)
                 counts, digests, texts = [], [], []
                 for row, spans in enumerate(chunk_spans(data, offsets, shared.value)):
-                    shift = chars[offsets[row]]
-                    told = [(kind, f"{kind}:{chars[s] - shift}:{chars[e] - shift}") for kind, s, e in spans]
+                    shift = chars(int(offsets[row])) if spans else 0
+                    told = [(kind, f"{kind}:{chars(s) - shift}:{chars(e) - shift}") for kind, s, e in spans]
                     counts.append([sum(kind == k for k, _ in told) for kind in (*KINDS, MODEL_KIND)])
                     digests.append(hashlib.sha256(",".join(t for kind, t in told if kind != MODEL_KIND).encode()).hexdigest())
                     texts.append(",".join(t for _, t in told))

@@ -1,11 +1,12 @@
 import hashlib
 import random
 import re
+import tracemalloc
 
 import numpy as np
 import pytest
 
-from packwright.llm.secret_scan import BEGIN, INSIDE, KINDS, OUT, Field, Tokens, Training, _credential, model_spans, redacted, scan_secrets, train
+from packwright.llm.secret_scan import BEGIN, INSIDE, KINDS, OUT, Field, Tokens, Training, _credential, long_spans, model_spans, redacted, scan_secrets, train
 
 from .conftest import EDGE_TEXTS
 
@@ -76,12 +77,13 @@ def test_pruned_decoding_is_exact():
         spans, opened = [], None
         for i, tag in enumerate([*tags, OUT]):
             if opened is not None and tag != INSIDE:
-                if any(b"0" <= text[k : k + 1] <= b"9" for t in range(opened, i) for k in range(tokens.start[t], tokens.end[t])):
-                    spans.append((0, int(tokens.start[opened]), int(tokens.end[i - 1])))
+                spans.append((0, int(tokens.start[opened]), int(tokens.end[i - 1])))
                 opened = None
             if tag == BEGIN or (tag == INSIDE and opened is None):
                 opened = i
         assert model_spans(tokens, field) == spans
+        for piece in (1, 7, 30, 64):
+            assert [(0, *x) for x in long_spans(np.frombuffer(text, np.uint8), field, piece)] == spans
 
 
 def test_redaction_keeps_rows_and_columns(frame, field):
@@ -108,3 +110,37 @@ def test_secrets_without_a_digit(frame, field):
     assert got[1] == "crf:22:46" and got[2] == "crf:6:34"
     assert all(not got[i] for i in got if i >= 10)
     assert {r["doc_id"]: r["text"] for r in redacted(frame(rows[:2]), field).collect()} == {1: "Authorization: Bearer [secret] follows", 2: 'pwd: "[secret]" and more'}
+
+
+def test_forms_that_were_not_trained(field):
+    """Names, forms and values kept out of training; the README has the figures."""
+    from packwright.llm.secret_scan import FORMS, NAMES, VALUES
+
+    own = train(PLAIN + [t for _, t in TEXTS], Training(copies=600), lambda rnd: _credential(rnd, VALUES[1:3], NAMES[:8], FORMS[:3]))
+    rnd, found = random.Random(7), {"names": 0, "forms": 0, "values": 0}
+    for kind, held in {"names": (VALUES[1:3], NAMES[8:], FORMS[:3]), "forms": (VALUES[1:3], NAMES[:8], FORMS[3:5]), "values": (VALUES[3:], NAMES[:8], FORMS[:3])}.items():
+        for _ in range(200):
+            before, value, after = _credential(rnd, *held).split("\0")
+            text = f"some words {before}{value}{after} more words".encode()
+            spans = model_spans(Tokens(np.frombuffer(text, np.uint8), np.array([0, len(text)])), own)
+            found[kind] += any(s <= 11 + len(before) + 4 and e >= 11 + len(before) + len(value) - 4 for _, s, e in spans)
+    print(found)
+    assert all(n >= 140 for n in found.values())
+
+
+def test_memory_of_one_long_text(field):
+    text = np.tile(np.frombuffer(b"some words of a line; key = 12, that stands there\n", np.uint8), 4_000_000 // 50)
+    tracemalloc.start()
+    spans = list(long_spans(text, field))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 2 * len(text) + 64 * len(spans)
+
+
+def test_sampled_texts_are_bounded(frame, monkeypatch):
+    from packwright.llm import secret_scan
+
+    monkeypatch.setattr(secret_scan, "train", lambda texts, options: texts)
+    rows = [(i, "x " * (5000 + i) + ("token = abcdef123 " if i % 2 else "") + "y " * 9000) for i in range(8)]
+    texts = secret_scan.train_on(frame(rows), Training(sample_chars=1000))
+    assert len(texts) == 8 and all(len(t) == 1000 for t in texts) and sum("token = abcdef123" in t for t in texts) == 4
