@@ -51,6 +51,13 @@ class Archives:
     revisit_from: int = 100
 
 
+def split_head(block: bytes) -> tuple[bytes, bytes]:
+    """HTTP head with its blank line, and the rest; lines may end with CRLF or, as legacy servers have it, LF."""
+    blank = re.search(rb"\r?\n\r?\n", block)
+    end = blank.end() if blank else len(block)
+    return block[:end], block[end:]
+
+
 @dataclass(frozen=True)
 class ArcRecord:
     number: int
@@ -66,8 +73,7 @@ class ArcRecord:
 
     def split(self) -> tuple[bytes, bytes]:
         """HTTP head with its blank line, and payload; other records are payload alone."""
-        head, blank, payload = self.body.partition(b"\r\n\r\n") if self.is_http else (b"", b"", self.body)
-        return head + blank, payload
+        return split_head(self.body) if self.is_http else (b"", self.body)
 
     @property
     def page_id(self) -> int | None:
@@ -127,8 +133,11 @@ def record_id(page_id: int | None, url: str, digest: str) -> str:
 
 
 def warc_date(date: str) -> str:
-    date = date.ljust(14, "0")
-    return f"{date[:4]}-{date[4:6]}-{date[6:8]}T{date[8:10]}:{date[10:12]}:{date[12:14]}Z"
+    """ISO form of an ARC date; what a short date lacks is the start of its year, month, day, hour or minute."""
+    digits = re.sub(r"\D", "", date)[:14]
+    digits += "00010101000000"[len(digits) :]
+    month, day = (max("01", part) for part in (digits[4:6], digits[6:8]))
+    return f"{digits[:4]}-{month}-{day}T{digits[8:10]}:{digits[10:12]}:{digits[12:14]}Z"
 
 
 def warc_record(record: ArcRecord, refers_to: tuple[int, str] | None = None) -> bytes:
@@ -256,7 +265,7 @@ def read_warcs(archives: DataFrame) -> DataFrame:
                     kind = fields["WARC-Type"]
                     if kind not in ("response", "revisit"):
                         continue
-                    head, _, payload = block.partition(b"\r\n\r\n")
+                    head, payload = split_head(block)
                     number = lambda name: int(m[1]) if (m := re.search(rb"(?mi)^" + name + rb": (-?\d+)\r?$", head)) else None
                     digest, size = fields["WARC-Payload-Digest"].removeprefix("sha256:"), int(fields["WARC-Payload-Bytes"])
                     if kind == "response" and (hashlib.sha256(payload).hexdigest() != digest or len(payload) != size):

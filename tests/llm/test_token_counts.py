@@ -1,3 +1,5 @@
+import tracemalloc
+
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -38,6 +40,20 @@ def test_public_vocabulary_equals_library(public, text):
     assert counter.count_text(text) == len(reference.encode(text, add_special_tokens=False).ids)
 
 
+@pytest.mark.parametrize("text", ["ab" * 9000 + " a" * 3, "a c" * 40_000, "abaxx" * 5000])
+def test_long_units_and_texts_equal_library(text):
+    assert UnigramCounter(TIES).count_text(text) == len(library(TIES, False).encode(text, add_special_tokens=False).ids)
+
+
+def test_memory_of_unspaced_text(public):
+    text = "unspaced" * 100_000
+    tracemalloc.start()
+    assert public[0].count_text(text) > 100_000
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 8 * len(text)
+
+
 def test_query(frame, public):
     got = sorted((r["doc_id"] or -1, r["n_tokens"]) for r in count_tokens(frame(EDGE_TEXTS), vocabulary_path("piece_bpe_32k.model")).collect())
     assert got == sorted((i or -1, len(public[1].encode(t or "", add_special_tokens=False).ids)) for i, t in EDGE_TEXTS)

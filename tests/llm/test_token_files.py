@@ -5,7 +5,7 @@ import pytest
 
 from packwright.llm.bpe import ByteBpe
 from packwright.llm.files import filesystem, new_folder, write_whole
-from packwright.llm.token_files import Format, FrameWriter, TokenFile, token_files_round_trip, write_token_files
+from packwright.llm.token_files import Format, FrameWriter, TokenFile, read_token_files, token_files_round_trip, write_token_files
 
 from .conftest import EDGE_TEXTS
 
@@ -40,8 +40,9 @@ def test_reader_fetches_one_frame(frame, spark, vocabulary):
             frames.clear()
             assert reader.document(doc_id).tolist() == ids.tolist() and len(frames) == 1
             seen += 1
-        with pytest.raises(KeyError):
-            reader.document(-5)
+        for unknown in (-5, 10**9):
+            with pytest.raises(KeyError):
+                reader.document(unknown)
     assert seen == 50
 
 
@@ -60,3 +61,20 @@ def test_damage_is_found(spark):
     assert system.get_file_info(local).size == len(data)
     with pytest.raises(ValueError, match="wide"):
         list(FrameWriter(Format(frame_tokens=1)).add([1], np.array([70_000], np.uint32), np.array([0, 1])))
+
+
+def test_smallest_id_repeated_ids_and_long_texts(frame, spark, vocabulary):
+    least = -(1 << 63)
+    rows = [(least, "least"), (None, "none"), (None, None)] + [(5, f"copy {i % 3}") for i in range(300)] + [(8, "some words " * 150_000)]
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        manifest = write_token_files(frame(rows), vocabulary, new_folder(spark, "t"))
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    got = sorted(map(tuple, read_token_files(manifest).collect()), key=lambda r: r[1])
+    assert [r[0] for r in got] == [None, None, least] + [5] * 300 + [8]
+    want = brute(rows, vocabulary)
+    assert sorted(r[2:] for r in got) == sorted(r[2:] for r in want) and got[-1][1:] == want[-1][1:]
+    assert manifest.where("n_docs > 0").count() > 1  # copies of one id are dealt out
+    reader = TokenFile(manifest.orderBy("shard").first()["path"])
+    assert len(reader.document(least)) == got[2][2]
