@@ -1,31 +1,12 @@
-"""Shared folders, durable stage tables, and files that tasks write and read by URI."""
+"""Files that tasks write and read by URI, and the library's durable stage tables."""
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from packwright.sources.staging import new_folder, staged  # noqa: F401
 
-
-def shared_root(spark: SparkSession) -> str:
-    """The cluster's shared folder, spark.checkpoint.dir; only where that is unset (tests) a local one."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not root:
-        root = f"file://{tempfile.mkdtemp(prefix='shared-')}"
-        spark.sparkContext.setCheckpointDir(root)
-    return root.rstrip("/")
-
-
-def new_folder(spark: SparkSession, kind: str) -> str:
-    return f"{shared_root(spark)}/{kind}-{uuid.uuid4().hex}"
-
-
-def stored(df: DataFrame, kind: str) -> DataFrame:
-    """Writes the rows to the shared folder and reads them back, which also cuts the lineage."""
-    path = new_folder(df.sparkSession, kind)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+stored = staged
 
 
 def filesystem(uri: str):

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Parameter of all operators that encode: where the public vocabulary lies.
 BYTE_BPE = "byte_bpe_50k.json"
@@ -79,6 +80,66 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(table(spark, sf_dir, "pages"))
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op2_decontaminate, op3_token_counts, op4_bpe_round_trip, op5_arc_to_warc, op6_quality_rules, op7_secret_scan, op8_token_files, op9_near_dedup, op10_url_filter)}
+# ---- The columns of these operators that SQL can express, over the same whole tables ----
 
-SQL: dict[str, str] = {}
+
+def language_id_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op1_language_id(spark, sf_dir).selectExpr("doc_id", "held_out", "lang_pred = 'und' AS undetermined")
+
+
+def archive_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op5_arc_to_warc(spark, sf_dir).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def quality_base_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op6_quality_rules(spark, sf_dir).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
+
+
+def secret_base_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op7_secret_scan(spark, sf_dir).select("doc_id", "n_assign", "n_access", "n_hex")
+
+
+def near_dedup_exact_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many groups each set of documents with equal words falls into: one."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.regexp_replace(F.lower("text"), "[\\x20\\x09-\\x0D]+", " ").alias("words"))
+    both = op9_near_dedup(spark, sf_dir).join(docs, "doc_id").where("n_shingles > 0")
+    key = F.sha2(F.regexp_replace("words", "^ | $", ""), 256).alias("words_sha256")
+    return both.groupBy(key).agg(F.count("*").alias("documents"), F.min("doc_id").alias("first_id"), F.count_distinct("component_id").alias("groups"))
+
+
+def url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op10_url_filter(spark, sf_dir).selectExpr("page_id", "host", "path", "rule", "CASE WHEN rule IS NOT NULL THEN verdict END AS rule_verdict")
+
+
+_OPERATORS = (op1_language_id, op2_decontaminate, op3_token_counts, op4_bpe_round_trip, op5_arc_to_warc, op6_quality_rules, op7_secret_scan, op8_token_files, op9_near_dedup, op10_url_filter)
+_COLUMNS = (language_id_split, archive_records, quality_base_counts, secret_base_counts, near_dedup_exact_copies, url_rules)
+QUERIES = {f.__name__: f for f in (*_OPERATORS, *_COLUMNS)}
+
+_WORD = "[^\\x20\\x09-\\x0D]+"
+_CRC_STEP = "list_reduce(list_prepend(xor(h, c), [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[]), lambda x, z: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END)"
+
+#: SQL of the queries of ``_COLUMNS``; what the dealt methods add to them is no SQL and is tested against brute force.
+SQL: dict[str, str] = {
+    "language_id_split": f"""SELECT doc_id, xor(list_reduce(list_prepend(4294967295, list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda c: CAST(unicode(c) AS BIGINT))), lambda h, c: {_CRC_STEP}), 4294967295) % 5 = 0 AS held_out,
+ text IS NULL OR NOT regexp_matches(text, '\\pL') AS undetermined FROM documents""",
+    "archive_records": """WITH p AS (SELECT page_id, coalesce(html, '') AS body FROM pages), s AS (SELECT page_id, CAST(octet_length(encode(body)) AS BIGINT) AS payload_bytes, sha256(body) AS payload_digest FROM p),
+ f AS (SELECT *, min(page_id) OVER (PARTITION BY payload_digest) AS first_id FROM s)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN payload_bytes >= 100 AND page_id <> first_id THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN payload_bytes >= 100 AND page_id <> first_id THEN first_id END AS refers_to FROM f""",
+    "quality_base_counts": f"""WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents), w AS (SELECT doc_id, t, regexp_extract_all(t, '{_WORD}') AS ws FROM d),
+ l AS (SELECT doc_id, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '{_WORD}')) AS ls FROM d),
+ g AS (SELECT doc_id, i, ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2] AS gram FROM (SELECT doc_id, ws, unnest(generate_series(1, len(ws) - 2)) AS i FROM w)),
+ r AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, gram) AS n FROM g) WHERE n > 1),
+ c AS (SELECT doc_id, count(DISTINCT i + k) AS n FROM r, (VALUES (0), (1), (2)) AS s(k) GROUP BY doc_id),
+ b AS (SELECT w.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(list_sum(list_transform(ws, lambda x: length(x))), 0) AS BIGINT) AS word_chars, CAST(length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
+  CAST(len(ls) - len(list_distinct(ls)) AS BIGINT) AS n_dup_lines, coalesce(n, 0) AS n_repeat_words FROM w JOIN l USING (doc_id) LEFT JOIN c USING (doc_id))
+SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM b""",
+    "secret_base_counts": """SELECT doc_id, CAST(len(list_filter(regexp_extract_all(t, '(?i:password|passwd|secret|token|api_?key)["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)', 1), lambda x: length(x) >= 6)) AS BIGINT) AS n_assign,
+ CAST(len(list_filter(regexp_extract_all(t, 'AKIA[A-Z0-9]+'), lambda x: length(x) >= 20)) AS BIGINT) AS n_access, CAST(len(list_filter(regexp_extract_all(t, '[0-9a-f]+'), lambda x: length(x) >= 24)) AS BIGINT) AS n_hex
+FROM (SELECT doc_id, coalesce(text, '') AS t FROM documents)""",
+    "near_dedup_exact_copies": """SELECT sha256(regexp_replace(regexp_replace(lower(text), '[\x20\x09-\x0D]+', ' ', 'g'), '^ | $', '', 'g')) AS words_sha256, count(*) AS documents, min(doc_id) AS first_id, CAST(1 AS BIGINT) AS groups
+FROM documents WHERE regexp_matches(text, '[^\x20\x09-\x0D]') GROUP BY 1""",
+    "url_rules": """WITH u AS (SELECT page_id, CASE WHEN contains(url, '://') THEN regexp_extract(substr(url, strpos(url, '://') + 3), '^[^/?#]*') ELSE '' END AS host, CASE WHEN contains(url, '://') THEN regexp_extract(substr(url, strpos(url, '://') + 3), '^[^/?#]*([^?#]*)', 1) ELSE '' END AS path FROM pages),
+ h AS (SELECT page_id, translate(host, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, path FROM u), r(rhost, rpath, rverdict) AS (VALUES ('com', '/', 'allow'), ('example.com', '/en/', 'block'), ('www.example.com', '/en/', 'allow'), ('net', '/es/', 'block'), ('net', '/fr/', 'block'))
+SELECT page_id, host, path, rhost || rpath AS rule, rverdict AS rule_verdict FROM h LEFT JOIN r ON (host = rhost OR ends_with(host, '.' || rhost)) AND starts_with(path, rpath)
+QUALIFY row_number() OVER (PARTITION BY page_id ORDER BY length(rhost || rpath) DESC NULLS LAST) = 1""",
+}
