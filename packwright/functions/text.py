@@ -41,7 +41,7 @@ def text_or_empty(value: Column) -> Column:
 
 def one_spaced(value: Column) -> Column:
     """White space runs become one space, ends are trimmed."""
-    return trimmed(replaced(value, (f"{WS}+", " ")))
+    return F.trim(replaced(value, (f"{WS}+", " ")))
 
 
 def cut(value: Column, size: int) -> Column:
@@ -141,12 +141,12 @@ def half_up(value: Column, digits: int = 0) -> Column:
     return F.floor(value * 10**digits + 0.5) / 10**digits
 
 
-def last_task_section(markdown: Column, size: int) -> Column:
-    """A packet cut to ``size`` characters that keeps its final task section."""
-    task = F.substring_index(markdown, "\n## Task", -1)
-    tail = F.concat(F.lit("\n## Task"), task)
-    head = F.substring(markdown, F.lit(1), F.greatest(F.lit(0), F.lit(size) - F.length(tail)))
-    return F.when(F.length(markdown) <= size, markdown).when(task == markdown, F.substring(markdown, 1, size)).otherwise(F.concat(trimmed(head), tail))
+def trimmed_packet(markdown: Column, size: int) -> Column:
+    """A packet of over ``size`` characters cut before its last task section, with a note of the cut."""
+    task = F.when(markdown.contains("\n## Task"), F.concat(F.lit("\n## Task"), F.substring_index(markdown, "\n## Task", -1))).otherwise(F.lit(""))
+    head = lambda t: F.substring(markdown, F.lit(1), F.greatest(F.lit(1000), F.lit(size - 120) - F.length(t)))
+    cut_off = bound(task, lambda t: trimmed(F.concat(trimmed(head(t)), F.lit(f"\n\n[Content trimmed to benchmark budget: {size} chars.]\n"), t)))
+    return F.when(F.length(markdown) <= size, markdown).otherwise(cut_off)
 
 
 def zero_padded(value: Column, size: int = 6) -> Column:

@@ -36,7 +36,12 @@ def token_jaccard(a: Column, b: Column) -> Column:
 
 
 def score_string(actual: Column, gold: Column) -> Column:
-    both = F.struct(normalized_text(actual).alias("a"), normalized_text(gold).alias("g"))
+    return score_normalized(normalized_text(actual), normalized_text(gold))
+
+
+def score_normalized(actual: Column, gold: Column) -> Column:
+    """``score_string`` of texts that are normalised already."""
+    both = F.struct(actual.alias("a"), gold.alias("g"))
     return bound(
         both,
         lambda s: F.when(s["a"] == s["g"], 1.0)
@@ -134,10 +139,19 @@ def listed_models(models: DataFrame, ids: list[str]) -> DataFrame:
     return models.join(F.broadcast(wanted), "id").orderBy("position")
 
 
-def stopped_rows(scores: DataFrame, failures: int = FAILURES_PER_MODEL) -> DataFrame:
-    """Adds skipped: whether a model had failed ``failures`` times before this case; skipped rows have zero scores."""
-    before = Window.partitionBy("model").orderBy("position").rowsBetween(Window.unboundedPreceding, -1)
-    return scores.withColumn("skipped", F.coalesce(F.sum(F.when(F.col("ok"), 0).otherwise(1)).over(before) >= failures, F.lit(False)))
+def stopped_rows(scores: DataFrame, failures: int = FAILURES_PER_MODEL, salts: int = 16) -> DataFrame:
+    """Adds skipped: whether a model had failed ``failures`` times before this case, which has no cached response.
+
+    A case fails if its call or its parsing does; a cached one is read however often the model failed.
+    All cases up to the last allowed failure are run, so that failure's position decides.  It is looked
+    for in ``salts`` parts first, so no model's history meets in one task.
+    """
+    failed = scores.where(~(F.coalesce("ok", F.lit(False)) & F.coalesce("parse_ok", F.lit(False)))).select("model", "position")
+    part = failed.withColumn("_part", F.pmod(F.hash("position"), F.lit(salts)))
+    first = part.withColumn("_n", F.row_number().over(Window.partitionBy("model", "_part").orderBy("position"))).where(F.col("_n") <= failures)
+    last = first.withColumn("_n", F.row_number().over(Window.partitionBy("model").orderBy("position"))).where(F.col("_n") == failures).select("model", F.col("position").alias("_last"))
+    cached = F.coalesce("cached", F.lit(False)) if "cached" in scores.columns else F.lit(False)
+    return scores.join(last, "model", "left").withColumn("skipped", ~cached & F.coalesce(F.col("position") > F.col("_last"), F.lit(False))).drop("_last")
 
 
 def leaderboard(scores: DataFrame, min_quality: float = MIN_QUALITY) -> DataFrame:

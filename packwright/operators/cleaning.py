@@ -41,21 +41,17 @@ def repeated_lines(pages: DataFrame, share: float = CHROME_SHARE, least: int = C
 
 
 def kept_lines(lines: Column, chrome: Column) -> Column:
-    """Lines that are no boilerplate; of equal lines the first stays, lines with facts always do."""
-    plain = F.filter(
-        lines,
-        lambda x: ~(
-            x.rlike(LINE_PREFIX)
-            | (x.rlike(r"^#\s+") & (F.length(x) < 4))
-            | x.rlike(MENU_LINE)
-            | x.rlike(FOOTER_PREFIX)
-            | (x.rlike(BARE_LINK) & ~is_fact_line(x))
-            | (F.coalesce(F.array_contains(chrome, F.lower(x)), F.lit(False)) & ~is_fact_line(x))
-        ),
-    )
-    both = bound(plain, lambda ls: F.struct(ls.alias("lines"), F.transform(ls, F.lower).alias("keys")))
-    first = lambda b: F.filter(b["lines"], lambda x, i: (F.array_position(b["keys"], F.lower(x)) == i + 1) | is_fact_line(x))
-    return bound(both, first)
+    """Lines that are no boilerplate; of equal lines the first stays, lines with facts always do.
+
+    Lines and chrome are sorted together by text, so equal ones are neighbours: a line whose neighbour
+    before it is equal is chrome or no first occurrence.  Then the lines go back to their places.
+    """
+    plain = F.filter(lines, lambda x: ~(x.rlike(LINE_PREFIX) | (x.rlike(r"^#\s+") & (F.length(x) < 4)) | x.rlike(MENU_LINE) | x.rlike(FOOTER_PREFIX) | (x.rlike(BARE_LINK) & ~is_fact_line(x))))
+    entry = lambda key, place, line: F.struct(key.alias("key"), place.alias("place"), line.alias("line"))
+    both = F.concat(F.transform(plain, lambda x, i: entry(F.lower(x), i, x)), F.transform(chrome, lambda c: entry(c, F.lit(-1), c)))
+    stays = lambda e, i, every: (e["place"] >= 0) & ((i == 0) | (F.get(every, i - 1)["key"] != e["key"]) | is_fact_line(e["line"]))
+    kept = bound(F.array_sort(both), lambda every: F.filter(every, lambda e, i: stays(e, i, every)))
+    return F.transform(F.array_sort(F.transform(kept, lambda e: F.struct(e["place"].alias("place"), e["line"].alias("line")))), lambda e: e["line"])
 
 
 def clean_pages(pages: DataFrame, share: float = CHROME_SHARE, least: int = CHROME_FROM, size: int = PAGE_CHARS) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from packwright.functions.text import half_up, one_spaced, replaced
+from packwright.operators.gate import GATE_TERMS
 
 # ---- Fixed values of the contract ----
 RETRYABLE, FALLBACK_STATUSES = (0, 408, 409, 429), (400, 404, 422)
@@ -37,6 +38,11 @@ def is_empty_packet(markdown: Column) -> Column:
     return (F.length(plain) < LEAST_PACKET_CHARS) | lacks_both_sources(markdown)
 
 
+def allocator_terms() -> dict[str, str]:
+    """The fixed list of the gate, label to regular expression."""
+    return {label: f"(?<![0-9a-z_])(?:{pattern})(?![0-9a-z_])" for label, pattern in GATE_TERMS}
+
+
 def gate_labels(markdown: Column, terms: dict[str, str]) -> Column:
     """Labels of the terms (label to regular expression) that a packet names outside its metadata lines."""
     text = F.lower(replaced(markdown, (METADATA_LINE, "")))
@@ -44,9 +50,9 @@ def gate_labels(markdown: Column, terms: dict[str, str]) -> Column:
     return F.transform(F.filter(listed, lambda t: F.regexp_like(text, t["pattern"])), lambda t: t["label"])
 
 
-def routed(packets: DataFrame, terms: dict[str, str]) -> DataFrame:
+def routed(packets: DataFrame, terms: dict[str, str] | None = None) -> DataFrame:
     """packets(case_id, markdown) with route ``empty``, ``no_keyword`` or ``pass``, and the labels that matched."""
-    labelled = packets.withColumn("labels", gate_labels(F.col("markdown"), terms))
+    labelled = packets.withColumn("labels", gate_labels(F.col("markdown"), allocator_terms() if terms is None else terms))
     return labelled.withColumn("route", F.when(lacks_both_sources(F.col("markdown")), "empty").when(F.size("labels") == 0, "no_keyword").otherwise("pass"))
 
 

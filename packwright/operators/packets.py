@@ -39,6 +39,11 @@ PENALTIES = (
     (("fetch_failed_or_error_status", "not_found_template", "domain_parking_page"), 100),
     (("too_little_useful_text",), 25),
 )
+PACKET_LINES = (
+    "Use this as the primary source.",
+    "Use this only when the company's own site does not answer something or needs corroboration.",
+    "Fill the enriched JSON for this company using the scraped content above. Do not use CSV type/classification labels as truth. If something is not supported by the scraped content, leave it empty or mark it unresolved.",
+)
 KEEP_ABOVE, NEAR_SCORE, MAX_LENGTH_BONUS, CHARS_PER_POINT = 20, 5, 20, 900
 # --------------------------------------
 
@@ -153,14 +158,19 @@ def within_budget(keepable: DataFrame, options: PacketOptions = PacketOptions())
 
 
 def choose_pages(scored: DataFrame, options: PacketOptions = PacketOptions()) -> DataFrame:
-    """scored pages with their final keep and drop_reasons, after duplicates and budget."""
-    marked = scored.join(duplicate_pages(scored), ["company", "pos"])
-    lost = ~F.col("selected")
-    marked = marked.withColumn("keep", F.col("keep") & ~lost).withColumn("drop_reasons", F.when(lost, F.array_union("drop_reasons", F.array(F.lit("duplicate_page_or_content")))).otherwise(F.col("drop_reasons"))).drop("selected")
-    fits = within_budget(marked.where("keep"), options).select("company", "pos", F.lit(True).alias("_fits"))
-    joined = marked.join(fits, ["company", "pos"], "left")
-    over = F.col("keep") & F.col("_fits").isNull()
-    return joined.withColumn("drop_reasons", F.when(over, F.array_append("drop_reasons", F.lit("outside_llm_budget"))).otherwise(F.col("drop_reasons"))).withColumn("keep", F.col("keep") & ~over).drop("_fits")
+    """scored pages with their final keep and drop_reasons, after duplicates and budget.
+
+    Duplicates and budget are decided on slim columns; only what changes comes back to the pages with
+    their text, in one join.
+    """
+    slim = scored.select("company", "pos", "score", "keep", "page_name", "clean_chars").join(duplicate_pages(scored), ["company", "pos"])
+    fits = within_budget(slim.where("keep AND selected"), options).select("company", "pos", F.lit(True).alias("_fits"))
+    over = F.col("keep") & F.col("selected") & F.col("_fits").isNull()
+    flags = slim.join(fits, ["company", "pos"], "left").select("company", "pos", (~F.col("selected")).alias("_lost"), over.alias("_over")).where("_lost OR _over")
+    joined = scored.join(flags, ["company", "pos"], "left")
+    lost, over = F.coalesce("_lost", F.lit(False)), F.coalesce("_over", F.lit(False))
+    reasons = F.when(lost, F.array_union("drop_reasons", F.array(F.lit("duplicate_page_or_content")))).when(over, F.array_append("drop_reasons", F.lit("outside_llm_budget"))).otherwise(F.col("drop_reasons"))
+    return joined.withColumn("drop_reasons", reasons).withColumn("keep", F.col("keep") & ~lost & ~over).drop("_lost", "_over")
 
 
 def packet_pages(cleaned: DataFrame, options: PacketOptions = PacketOptions()) -> DataFrame:
@@ -173,11 +183,14 @@ def packet_pages(cleaned: DataFrame, options: PacketOptions = PacketOptions()) -
     return choose_pages(staged(score_pages(cleaned, options), "scored-pages"), options)
 
 
-def company_quality(final: DataFrame) -> DataFrame:
-    """One row a company: pages, characters, reduction, found facts."""
+def company_quality(final: DataFrame, facts: DataFrame | None = None) -> DataFrame:
+    """One row a company: pages, characters, reduction, found facts, and why pages were dropped.
+
+    facts: company with emails, phones, full_address, postal_code and logo_url (``company_facts``).
+    """
     kept = F.col("keep")
     raw, llm = F.sum("raw_chars"), F.coalesce(F.sum(F.when(kept, F.col("clean_chars"))), F.lit(0))
-    return final.groupBy("company").agg(
+    rows = final.groupBy("company").agg(
         F.count("*").alias("raw_pages"),
         F.count_if(kept).alias("kept_pages"),
         F.count_if(~kept).alias("dropped_pages"),
@@ -187,6 +200,37 @@ def company_quality(final: DataFrame) -> DataFrame:
         F.count_if(kept & (F.col("source_bucket") == "first_party")).alias("first_party_kept"),
         F.count_if(kept & (F.col("source_bucket") == "third_party")).alias("third_party_kept"),
     )
+    # a company's reasons are at most as many as there are rules
+    reasons = final.where("NOT keep").select("company", F.explode("drop_reasons").alias("reason")).groupBy("company", "reason").agg(F.count("*").alias("n"))
+    reasons = reasons.groupBy("company").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("reason", "n")))).alias("drop_reasons"))
+    rows = rows.join(reasons, "company", "left").withColumn("drop_reasons", F.coalesce("drop_reasons", F.create_map().cast("map<string,bigint>")))
+    if facts is None:
+        return rows
+    filled = lambda c: F.coalesce(F.col(c), F.lit("")) != ""
+    number = lambda c: F.greatest(F.size(F.coalesce(F.col(c), F.array().cast("array<string>"))), F.lit(0)).cast("long")
+    joined = rows.join(facts.select("company", "emails", "phones", "full_address", "postal_code", "logo_url"), "company", "left")
+    found = {"emails_found": number("emails"), "phones_found": number("phones"), "address_found": filled("full_address"), "postal_code_found": filled("postal_code"), "logo_found": filled("logo_url")}
+    return joined.select(*rows.columns, *[c.alias(n) for n, c in found.items()])
+
+
+def company_facts(final: DataFrame, known: DataFrame | None = None) -> DataFrame:
+    """company, emails, phones, full_address, postal_code, logo_url that its pages and its row show.
+
+    known: company with full_address, postal_code and logo_url of the crawl.  A postal code comes from
+    there, else from the first kept page that shows one, else, where none is kept, from any page.
+    """
+    code = lambda text: F.get(postal_hints(text, None, 1), F.lit(0))
+    codes = final.select("company", "pos", F.col("keep").alias("kept"), F.when(F.col("keep"), code(F.coalesce("clean_text", F.lit("")))).otherwise(code(F.coalesce("body", F.lit("")))).alias("code"))
+    kept_chars = final.groupBy("company").agg(F.coalesce(F.sum(F.when(F.col("keep"), F.col("clean_chars"))), F.lit(0)).alias("_kept"))
+    first = codes.where("code IS NOT NULL").groupBy("company").agg(F.min(F.when(F.col("kept"), F.struct("pos", "code")))["code"].alias("_own"), F.min(F.struct("pos", "code"))["code"].alias("_any"))
+    out = kept_chars.join(first, "company", "left").join(company_contacts(final, "emails", 10).withColumnRenamed("values", "emails"), "company", "left").join(company_contacts(final, "phones", 8).withColumnRenamed("values", "phones"), "company", "left")
+    hint = F.when(F.col("_kept") > 0, F.col("_own")).otherwise(F.col("_any"))
+    if known is not None:
+        out = out.join(known.select("company", "full_address", F.col("postal_code").alias("_code"), "logo_url"), "company", "left")
+        hint = F.coalesce(F.nullif("_code", F.lit("")), hint)
+    else:
+        out = out.withColumn("full_address", F.lit("")).withColumn("logo_url", F.lit(""))
+    return out.select("company", "emails", "phones", F.coalesce("full_address", F.lit("")).alias("full_address"), F.coalesce(hint, F.lit("")).alias("postal_code"), F.coalesce("logo_url", F.lit("")).alias("logo_url"))
 
 
 def drop_histogram(final: DataFrame) -> DataFrame:
@@ -203,6 +247,7 @@ def run_quality(quality: DataFrame) -> DataFrame:
         llm.alias("llm_chars"),
         F.when(raw > 0, half_up((1 - llm / raw) * 100, 1)).otherwise(0.0).alias("reduction_pct"),
         F.coalesce(half_up(F.avg("kept_pages"), 1), F.lit(0.0)).alias("avg_kept_pages"),
+        *[F.count_if(F.col(c)).alias(name) for c, name in (("address_found", "companies_with_address"), ("postal_code_found", "companies_with_postal_code"), ("logo_found", "companies_with_logo")) if c in quality.columns],
     )
 
 
@@ -234,21 +279,39 @@ def text_candidates(text: Column, full_address: Column, postal: Column) -> Colum
     )
 
 
-def render_packet(final: DataFrame) -> DataFrame:
+def render_packet(final: DataFrame, companies: DataFrame | None = None) -> DataFrame:
     """company, markdown: the packet document of each company's kept pages, in page order.
 
+    companies: company, company_name, domain, full_address; without it the company stands for name and domain.
     The kept pages of a company are bounded by the budget, so their text may be gathered.
     """
     section = F.concat(F.lit("### "), F.coalesce("page_name", F.lit("")), F.lit("\n\n"), without_urls(F.col("clean_text")))
     kept = final.where("keep").select("company", "pos", "source_bucket", section.alias("section"))
     part = lambda bucket: F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("source_bucket") == bucket, F.struct("pos", "section")))), lambda x: x["section"]), "\n\n")
     sources = kept.groupBy("company").agg(part("first_party").alias("own"), part("third_party").alias("other"))
-    companies = final.select("company").distinct().join(sources, "company", "left")
-    or_none = lambda c, label: F.when(F.coalesce(F.col(c), F.lit("")) != "", F.col(c)).otherwise(F.lit(f"No usable {label} content was kept after cleanup."))
-    return companies.select(
+    joined = final.select("company").distinct().join(sources, "company", "left")
+    if companies is None:
+        joined = joined.withColumn("company_name", F.col("company")).withColumn("domain", F.col("company")).withColumn("full_address", F.lit(""))
+    else:
+        joined = joined.join(companies.select("company", "company_name", "domain", "full_address"), "company", "left")
+    text = lambda c: F.coalesce(F.col(c), F.lit(""))
+    or_none = lambda c, label: F.when(text(c) != "", F.col(c)).otherwise(F.lit(f"No usable {label} content was kept after cleanup."))
+    own_use, other_use, task = PACKET_LINES
+    return joined.select(
         "company",
         F.concat(
-            F.lit("# Scraped content for "), "company", F.lit("\n\nCompany: "), "company", F.lit("\n\n## Primary source: scraped content from the company's own site\n\n"), or_none("own", "company-site"),
-            F.lit("\n\n## Secondary source: scraped content from third-party sites\n\n"), or_none("other", "third-party"), F.lit("\n\n## Task\nFill the enriched JSON for this company using the scraped content above.\n"),
+            F.lit("# Scraped content for "), F.when(text("company_name") != "", text("company_name")).otherwise(text("domain")), F.lit("\n\nCompany: "), text("company_name"), F.lit("\nDomain: "), text("domain"),
+            F.lit("\nFull address: "), without_urls(text("full_address")), F.lit(f"\n\n## Primary source: scraped content from the company's own site\n{own_use}\n\n"), or_none("own", "company-site"),
+            F.lit(f"\n\n## Secondary source: scraped content from third-party sites\n{other_use}\n\n"), or_none("other", "third-party"), F.lit(f"\n\n## Task\n{task}\n"),
         ).alias("markdown"),
     )
+
+
+def render_clean_source(final: DataFrame, bucket: str, title: str) -> DataFrame:
+    """company, markdown: a company's kept pages of one kind without their URLs."""
+    section = F.concat(F.lit("### "), F.coalesce("page_name", F.lit("")), F.lit("\n\n"), without_urls(F.col("clean_text")))
+    kept = final.where("keep").where(F.col("source_bucket") == bucket).select("company", "pos", section.alias("section"))
+    sections = kept.groupBy("company").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "section"))), lambda x: x["section"]), "\n\n").alias("sections"))
+    body = F.coalesce(F.nullif("sections", F.lit("")), F.lit("No usable scraped content was kept after cleanup."))
+    head = F.concat(F.lit(f"# {title}\n\nCompany: "), "company", F.lit("\nDomain: "), "company", F.lit("\n\n"))
+    return final.select("company").distinct().join(sections, "company", "left").select("company", F.concat(head, body, F.lit("\n")).alias("markdown"))

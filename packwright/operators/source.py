@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from packwright.functions.text import canonical_url, domain_to_url, first_url_like, host_of, normalize_domain, origin_url, page_path_of, text_or_empty
+from packwright.functions.text import bound, canonical_url, domain_to_url, first_url_like, host_of, normalize_domain, origin_url, page_path_of, text_or_empty
 
 # ---- Fixed values of the contract ----
 REQUIRED = ("source_record_id", "company_name", "domain", "website_url")
@@ -80,13 +80,15 @@ def sliced(rows: DataFrame, order: str, offset: int = 0, limit: int = 0) -> Data
 def seed_urls(companies: DataFrame, pages: tuple[str, ...] = ("home",)) -> DataFrame:
     """row_index, position, family, reason, url of the pages to fetch first; of equal canonical URLs the first stays."""
     home = F.coalesce(F.nullif(first_url_like(F.col("website_url")), F.lit("")), domain_to_url(F.col("domain")))
-    origin, bare = origin_url(home), F.regexp_replace("domain", "-", "")
+    # each is a column of its own, computed once and not once a seed
+    companies = companies.select("row_index", "domain", home.alias("_home")).withColumn("_origin", origin_url(F.col("_home"))).withColumn("_root", domain_to_url(F.col("domain")))
+    home, origin, bare = F.col("_home"), F.col("_origin"), F.regexp_replace("domain", "-", "")
     seed = lambda family, reason, url: F.struct(F.lit(family).alias("family"), F.lit(reason).alias("reason"), url.alias("url"))
     under = lambda path: F.when(origin != "", F.concat(origin, F.lit(path)))
     variant = lambda prefix: F.when(F.col("domain").contains("-") & (bare != ""), F.concat(F.lit(f"https://{prefix}"), bare, F.lit("/")))
     groups = {
         "home": [seed("homepage", "website_url_or_domain", home)],
-        "domain": [seed("domain_root", "domain", domain_to_url(F.col("domain")))],
+        "domain": [seed("domain_root", "domain", F.col("_root"))],
         "either": [seed("domain_variant", "dehyphenated_domain_fallback", variant(p)) for p in ("", "www.")],
         "contact": [seed("contact", "address_zip_logo_discovery", under(p)) for p in ("/contact", "/contact-us")],
         "about": [seed("about", "company_profile_discovery", under(p)) for p in ("/about", "/about-us")],
@@ -130,18 +132,33 @@ def frontier(seeds: DataFrame, discovered: DataFrame, most_links: int = 0) -> Da
     return ranked.where((F.col("phase") == 0) | (F.col("_n") <= most_links)).drop("_n")
 
 
-def entity_summary(sources: DataFrame) -> DataFrame:
+def entity_summary(sources: DataFrame, salts: int = 16) -> DataFrame:
     """Counts of each company's sources, the best logo and favicon, and its first four evidence URLs.
 
-    sources: row_index, position, status, url, logo_candidates, favicon_candidates.
+    sources: row_index, position, status, url, logo_candidates, favicon_candidates.  The first four of
+    ``salts`` parts of a company come before the first four of all, so no company meets in one task.
     """
     first = lambda c: F.min(F.when(F.size(c) > 0, F.struct("position", F.col(c)[0].alias("url"))))["url"]
-    ranked = sources.withColumn("_n", F.row_number().over(Window.partitionBy("row_index").orderBy("position")))
-    return ranked.groupBy("row_index").agg(
+    # partial sums first, and of each part no more than four URLs
+    part = sources.withColumn("_part", F.pmod(F.hash("position"), F.lit(salts)))
+    counts = part.groupBy("row_index").agg(
         F.count("*").alias("sources"), F.count_if(F.col("status") == "ok").alias("source_ok"), F.count_if(F.col("status") != "ok").alias("source_failed"),
         first("logo_candidates").alias("logo_url"), first("favicon_candidates").alias("favicon_url"),
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("_n") <= 4, F.struct("position", "url")))), lambda x: x["url"]), " | ").alias("evidence"),
     )
+    early = part.select("row_index", "_part", "position", "url").withColumn("_n", F.row_number().over(Window.partitionBy("row_index", "_part").orderBy("position"))).where("_n <= 4")
+    early = early.withColumn("_n", F.row_number().over(Window.partitionBy("row_index").orderBy("position"))).where("_n <= 4")
+    evidence = early.groupBy("row_index").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("position", "url"))), lambda x: x["url"]), " | ").alias("evidence"))
+    return counts.join(evidence, "row_index")
+
+
+def asset_choice(csv_logo: Column, scraped_logo: Column, scraped_icon: Column, website_url: Column, domain: Column) -> Column:
+    """logo_url, logo_source, favicon_url and favicon_source: the row's own, then what was scraped, then the site's icon."""
+    has = lambda c: F.coalesce(c, F.lit("")) != ""
+    pick = lambda url, source: F.struct(url.alias("url"), F.lit(source).alias("source"))
+    none, origin = pick(F.lit(""), ""), origin_url(F.coalesce(F.nullif(first_url_like(website_url), F.lit("")), domain_to_url(domain)))
+    icon = F.when(has(scraped_icon), pick(scraped_icon, "scraped_icon_link")).when(has(origin), pick(F.concat(origin, F.lit("/favicon.ico")), "origin_favicon_fallback")).otherwise(none)
+    logo = lambda x: F.when(has(csv_logo), pick(csv_logo, "csv.logo_url")).when(has(scraped_logo), pick(scraped_logo, "scraped_site_asset")).when(x["url"] != "", pick(x["url"], "favicon_fallback")).otherwise(none)
+    return bound(icon, lambda x: F.struct(logo(x)["url"].alias("logo_url"), logo(x)["source"].alias("logo_source"), x["url"].alias("favicon_url"), x["source"].alias("favicon_source")))
 
 
 def crawl_counters(results: DataFrame) -> DataFrame:
@@ -150,7 +167,7 @@ def crawl_counters(results: DataFrame) -> DataFrame:
     return results.agg(
         F.count("*").alias("completed"), F.count_if(F.col("source_ok") > 0).alias("successful"), F.count_if((F.col("source_ok") == 0) & (F.col("source_failed") > 0)).alias("failed"),
         F.count_if((F.col("source_ok") == 0) & (F.col("source_failed") == 0)).alias("empty"), F.coalesce(F.sum("source_ok"), F.lit(0)).alias("source_ok"), F.coalesce(F.sum("source_failed"), F.lit(0)).alias("source_failed"),
-        filled("logo_url").alias("logos"), filled("favicon_url").alias("favicons"),
+        filled("logo_url").alias("logos"), filled("favicon_url").alias("favicons"), filled("full_address").alias("addresses"), filled("postal_code").alias("postal_codes"),
     )
 
 

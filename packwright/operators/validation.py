@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from packwright.functions.text import bound, host_of, one_spaced, replaced, whole_word
+from packwright.sources.staging import staged
 
 # ---- Fixed values of the contract: members, words, thresholds and issue texts ----
 COMPANY_SECTIONS = ("identity", "firmographics", "offering", "commercial_signals", "qualification", "outreach", "quality")
@@ -23,9 +24,11 @@ SIGNAL_PATHS = ("invests_in_vc_funds", "invests_directly", "co_investment_appeti
 IMMATERIAL_WORDS = ("unknown", "not found", "not_publicly_disclosed", "not publicly disclosed", "not available", "n/a", "none")
 IMMATERIAL_SENTENCE = r"^no (publicly available |public |explicit )?(info|information|data|detail|details|disclosure|sizes?|cheque sizes?|check sizes?)(?![0-9A-Za-z_])"
 GENERIC_CLAIM = r"^(source-backed context supports|source-record context supports)|^source record portfolio examples support direct-investment history\.\z"
-ADVISORY_WORDING = "advisory/wealth-management orientation without|no explicit fund|no public fund|wealth management|financial planning|investment advisory|financial advisory|advisor(?:y)? services?|serving (?:families|clients)"
+ADVISORY_WORDING = "advisory/wealth-management orientation without|no explicit fund|no public fund|wealth management|financial planning|investment advisory|financial advisory|advisor(?:y)? services?|serving (?:families|clients)|for (?:families|clients)|client portfolios?"
 NOT_PLACEHOLDER = ("", "unknown", "n/a", "na", "none", "not disclosed", "not public")
 PLACEHOLDER_NAME = r"^(portfolio |known |direct |fund )?(company|firm|fund|investment|investor|startup|portfolio company|portfolio firm|manager|asset|deal|holding|co-investor|co investor)( \d+)?\z|^(financial services firm|real assets development|real estate platform|technology company|healthcare company|consumer company|industrial company|private equity fund|venture fund)( \d+)?\z"
+PLACEHOLDER_SLUG = r"^(company|firm|fund|investment|startup|portfolio_company|portfolio_firm|financial_services_firm|real_assets_development|real_estate_platform|technology_company|healthcare_company|consumer_company|industrial_company)_?\d+\z"
+NEGATIVE_FUND = r"(?i)(?<![0-9A-Za-z_])(no|not|without|does not|do not|avoid|avoids|excluding|rather than)(?![0-9A-Za-z_]).{0,100}(?<![0-9A-Za-z_])(vc fund|venture capital fund|fund commitments?|fund investments?|external managers?|fund manager|limited partner|lp commitment)(?![0-9A-Za-z_])"
 CITATION_NOISE = r"(?i)\[[^\]]+\]\(|utm_source=openai"
 LOW_CONFIDENCE, LEAST_EMBEDDING = 0.55, 700
 UNCITED = "Material populated field has no matching source_evidence field_path."
@@ -96,9 +99,11 @@ def same_domain(url: Column, domain: Column) -> Column:
 
 
 def is_placeholder_name(name: Column) -> Column:
+    """A generic noun, alone or numbered in any spelling, or any lower-case words with a number."""
     text = one_spaced(F.coalesce(name, F.lit("")))
-    numbered = replaced(F.lower(text), ("[^a-z0-9]+", "_"), ("^_+|_+$", "")).rlike(r"^[a-z]+(_[a-z]+)*_\d+\z")
-    return ~F.lower(text).isin(*NOT_PLACEHOLDER) & (F.lower(text).rlike(PLACEHOLDER_NAME) | (numbered & ~text.rlike("[A-Z]")))
+    slug = replaced(F.lower(text), ("[^a-z0-9]+", "_"), ("^_+|_+$", ""))
+    numbered = slug.rlike(r"^[a-z]+(_[a-z]+)*_\d+\z") & ~text.rlike("[A-Z]")
+    return ~F.lower(text).isin(*NOT_PLACEHOLDER) & (F.lower(text).rlike(PLACEHOLDER_NAME) | slug.rlike(PLACEHOLDER_SLUG) | numbered)
 
 
 def _messages(*rules: tuple[Column, str]) -> Column:
@@ -230,6 +235,11 @@ def _placeholder_issues(r: Record, path: str) -> Column:
     return F.array_compact(F.transform(r.items(path), issue))
 
 
+def is_advisory_wording(claim: Column) -> Column:
+    """Advisory or client-service wording that does not deny fund investments in so many words."""
+    return claim.rlike("(?i)" + whole_word(ADVISORY_WORDING)) & ~claim.rlike(NEGATIVE_FUND)
+
+
 def lean_issues(raw: Column) -> Column:
     r = Record(raw)
     evidence, urls = r.items("source_evidence", EVIDENCE), r.items("evidence_urls")
@@ -247,7 +257,7 @@ def lean_issues(raw: Column) -> Column:
     known = lambda p: ~F.coalesce(r.text(p), F.lit("")).isin("", "unknown")
     own = lambda p: F.filter(evidence, lambda e: path_matches(p, e["field_path"]))
     only_record = lambda p: (F.size(own(p)) > 0) & F.forall(own(p), lambda e: e["source_type"].eqNullSafe("source_record"))
-    advisory = lambda p: F.exists(own(p), lambda e: F.coalesce(e["claim"], F.lit("")).rlike("(?i)" + whole_word(ADVISORY_WORDING)))
+    advisory = lambda p: F.exists(own(p), lambda e: is_advisory_wording(F.coalesce(e["claim"], F.lit(""))))
     optional = [
         x
         for p in ("invests_in_vc_funds", "fund_commitment_appetite")
@@ -323,11 +333,15 @@ def flatten_company(raw: Column) -> list[Column]:
     return [c.alias(n) for n, c in flat.items()]
 
 
-def flattened(records: DataFrame, key: str, raw: str, depth: int = 4) -> DataFrame:
-    """key, path, value of every leaf of the records; arrays stay JSON, objects open down to ``depth``."""
+def flattened(records: DataFrame, key: str, raw: str, levels: int = 4) -> DataFrame:
+    """key, path, value of every leaf of the records; arrays stay JSON, objects open however deep they are.
+
+    The first ``levels`` are one plan; where objects are left below, they are written out and opened further.
+    """
     level = records.select(F.col(key).alias("_of"), F.lit("").alias("path"), F.try_parse_json(raw).alias("v"))
     done = None
-    for _ in range(depth):
+    opened = 0
+    while True:
         parts = level.lateralJoin(level.sparkSession.tvf.variant_explode(F.col("v").outer()))
         named = F.concat(F.when(F.col("path") != "", F.concat("path", F.lit("."))).otherwise(F.lit("")), "key")
         parts = parts.select("_of", named.alias("path"), F.col("value").alias("v"))
@@ -335,5 +349,8 @@ def flattened(records: DataFrame, key: str, raw: str, depth: int = 4) -> DataFra
         leaf = F.when(kind.startswith("ARRAY"), F.to_json("v")).otherwise(F.coalesce(F.try_variant_get("v", F.lit("$"), "string"), F.lit("")))
         leaves = parts.where(~kind.startswith("OBJECT") | F.col("v").isNull()).select(F.col("_of").alias(key), "path", leaf.alias("value"))
         done = leaves if done is None else done.unionByName(leaves)
-        level = parts.where(kind.startswith("OBJECT"))
-    return done
+        level, opened = parts.where(kind.startswith("OBJECT")), opened + 1
+        if opened % levels == 0:
+            level = staged(level.withColumn("v", F.to_json("v")), "deep-objects").withColumn("v", F.try_parse_json("v"))
+            if level.isEmpty():
+                return done

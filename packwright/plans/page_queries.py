@@ -9,8 +9,8 @@ from packwright.functions import facts, html, text
 from packwright.operators import cleaning, packets
 from packwright.sources.staging import staged
 
-from .registry import query, table
-from .site_pages import site_pages
+from .registry import query, table, texts
+from .site_pages import FAMILIES, site_pages
 
 # ---- SQL shared by the queries below ----
 SQL_HOST = "regexp_replace(regexp_replace(lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.\\-]*:/*([^/?#]*)', 1)), ':[0-9]+$', ''), '^www\\.', '')"
@@ -68,18 +68,18 @@ SQL_MARKDOWN = f"""
 @query(f"WITH l AS ({SQL_LINKS}), x AS (SELECT page_id, url, h FROM (SELECT page_id, url, unnest(hrefs) AS h FROM l) WHERE h <> '' AND NOT regexp_matches(h, '(?i)^#|^javascript:'))"
        f" SELECT DISTINCT page_id, regexp_replace({SQL_ORIGIN} || {SQL_ENCODED.format(x='h')}, '#.*$', '') AS link FROM x")
 def h1_page_links(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "pages").select("page_id", F.explode(html.page_links(F.col("html"), F.col("url"))).alias("link"))
+    return texts(spark, sf_dir, "pages").select("page_id", F.explode(html.page_links(F.col("html"), F.col("url"))).alias("link"))
 
 
 @query(f"SELECT page_id, list_value({SQL_ORIGIN} || '/favicon.ico')[1] AS favicon, CAST(0 AS BIGINT) AS n_images FROM pages")
 def h2_page_assets(spark: SparkSession, sf_dir: str) -> DataFrame:
     assets = html.page_assets(F.col("html"), F.col("url"))
-    return table(spark, sf_dir, "pages").select("page_id", assets.alias("a")).select("page_id", F.col("a.favicon_urls")[0].alias("favicon"), F.size("a.image_urls").cast("long").alias("n_images"))
+    return texts(spark, sf_dir, "pages").select("page_id", assets.alias("a")).select("page_id", F.col("a.favicon_urls")[0].alias("favicon"), F.size("a.image_urls").cast("long").alias("n_images"))
 
 
 @query(f"WITH {SQL_MARKDOWN} SELECT page_id, title, markdown FROM m")
 def h3_html_to_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "pages").select("page_id", html.html_to_markdown(F.col("html"), F.col("url")).alias("p")).select("page_id", "p.title", "p.markdown")
+    return texts(spark, sf_dir, "pages").select("page_id", html.html_to_markdown(F.col("html"), F.col("url")).alias("p")).select("page_id", "p.title", "p.markdown")
 
 
 _TEXT = _spaced(_chain("markdown", ("\\[([^\\]]+)\\]\\([^)]+\\)", "'\\1'"), ("(?m)^#{1,6}\\s+", "''"), ("(?m)^\\s*[-*]\\s+", "''"), ("[|`*_>]", "' '")))
@@ -87,38 +87,38 @@ _TEXT = _spaced(_chain("markdown", ("\\[([^\\]]+)\\]\\([^)]+\\)", "'\\1'"), ("(?
 
 @query(f"WITH {SQL_MARKDOWN} SELECT page_id, {_TEXT} AS plain FROM m")
 def h4_markdown_to_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return site_pages(table(spark, sf_dir, "pages")).select(F.col("pos").alias("page_id"), html.markdown_to_text(F.col("body")).alias("plain"))
+    return site_pages(texts(spark, sf_dir, "pages")).select(F.col("pos").alias("page_id"), html.markdown_to_text(F.col("body")).alias("plain"))
 
 
 @query(f"""WITH {SQL_MARKDOWN}, l AS (SELECT page_id, markdown, list_filter(list_transform(string_split(markdown, chr(10)), lambda x: trim(x)), lambda x: x <> '') AS ls FROM m)
 SELECT page_id, CAST(len(regexp_extract_all(markdown, '\\[[^\\]]+\\]\\([^)]+\\)')) AS BIGINT) AS link_count, CAST(least(len(ls), 80) AS BIGINT) AS n_sample,
   CAST(len(list_distinct(list_filter(ls, lambda x: regexp_matches(x, '^#{{1,6}}\\s+'))[1:30])) AS BIGINT) AS n_headings FROM l""")
 def h9_markdown_structure(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = site_pages(table(spark, sf_dir, "pages")).select(F.col("pos").alias("page_id"), html.markdown_structure(F.col("body")).alias("s"))
+    s = site_pages(texts(spark, sf_dir, "pages")).select(F.col("pos").alias("page_id"), html.markdown_structure(F.col("body")).alias("s"))
     return s.select("page_id", "s.link_count", F.size("s.sample_lines").cast("long").alias("n_sample"), F.size("s.headings").cast("long").alias("n_headings"))
 
 
 @query(f"WITH {SQL_MARKDOWN} SELECT page_id, CASE WHEN length(s) <= 900 THEN s ELSE trim(substr(s, 1, 897)) || '...' END AS summary FROM (SELECT page_id, {_spaced('markdown')} AS s FROM m)")
 def h10_page_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return site_pages(table(spark, sf_dir, "pages")).select(F.col("pos").alias("page_id"), html.page_summary(F.col("body"), F.col("title")).alias("summary"))
+    return site_pages(texts(spark, sf_dir, "pages")).select(F.col("pos").alias("page_id"), html.page_summary(F.col("body"), F.col("title")).alias("summary"))
 
 
 @query(f"""SELECT page_id, {SQL_HOST} AS domain, lower(regexp_extract(url, '^([A-Za-z]+)', 1)) || '://' || {SQL_HOST} || CASE WHEN regexp_replace({SQL_PATH}, '/$', '') = '' THEN '/' ELSE regexp_replace({SQL_PATH}, '/$', '') END AS canonical,
  {SQL_ORIGIN} AS origin, {SQL_HOST} || CASE WHEN regexp_replace({SQL_PATH}, '/$', '') = '' THEN '/' ELSE regexp_replace({SQL_PATH}, '/$', '') END AS page_key, 'https://' || {SQL_HOST} AS home FROM pages""")
 def f5_f7_url_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
     url = F.col("url")
-    return table(spark, sf_dir, "pages").select("page_id", text.normalize_domain(url).alias("domain"), text.canonical_url(url).alias("canonical"), text.origin_url(url).alias("origin"), text.page_key(url, text.page_path_of(url), F.lit("")).alias("page_key"), text.domain_to_url(url).alias("home"))
+    return texts(spark, sf_dir, "pages").select("page_id", text.normalize_domain(url).alias("domain"), text.canonical_url(url).alias("canonical"), text.origin_url(url).alias("origin"), text.page_key(url, text.page_path_of(url), F.lit("")).alias("page_key"), text.domain_to_url(url).alias("home"))
 
 
 @query(f"""WITH s AS (SELECT page_id, {SQL_PATH} AS path, list_filter(string_split({SQL_PATH}, '/'), lambda s: s <> '') AS seg FROM pages)
 SELECT page_id, CASE WHEN path = '' THEN '/' ELSE path END AS page_path, CASE WHEN len(seg) = 0 THEN 'homepage' ELSE array_to_string(list_transform(seg[-3:], lambda s: regexp_replace(s, '[-_]+', ' ', 'g')), ' / ') END AS page_name FROM s""")
 def f7_page_names(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "pages").select("page_id", text.page_path_of(F.col("url")).alias("page_path"), text.page_name_of(F.col("url")).alias("page_name"))
+    return texts(spark, sf_dir, "pages").select("page_id", text.page_path_of(F.col("url")).alias("page_path"), text.page_name_of(F.col("url")).alias("page_name"))
 
 
 @query("SELECT page_id, lower(hex(list_reduce(list_prepend(CAST(5381 AS BIGINT), list_transform(string_split(url, ''), lambda c: CAST(unicode(c) AS BIGINT))), lambda h, c: xor((h * 33) & 4294967295, c)))) AS h FROM pages")
 def f8_text_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "pages").select("page_id", text.text_hash(F.col("url")).alias("h"))
+    return texts(spark, sf_dir, "pages").select("page_id", text.text_hash(F.col("url")).alias("h"))
 
 
 _SLUG = "substr(regexp_replace(regexp_replace(lower(p_name), '[^a-z0-9]+', '_', 'g'), '^_+|_+$', '', 'g'), 1, 80)"
@@ -136,7 +136,7 @@ _CLIP = _chain("text", ("\\r", "chr(10)"), ("[ \\t]+\\n", "chr(10)"), ("\\n[ \\t
 @query(f"""SELECT doc_id, CASE WHEN length(s) <= 120 THEN s ELSE {_chain('substr(s, 1, 117)', _TRIM)} || '...' END AS compacted, CASE WHEN length(c) <= 200 THEN c ELSE {_chain('substr(c, 1, 197)', _TRIM)} || '...' END AS clipped
 FROM (SELECT doc_id, {_spaced('text')} AS s, {_CLIP} AS c FROM documents)""")
 def f2_f3_clips(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", text.compact(F.col("text"), 120).alias("compacted"), text.clip_text(F.col("text"), 200).alias("clipped"))
+    return texts(spark, sf_dir, "documents").select("doc_id", text.compact(F.col("text"), 120).alias("compacted"), text.clip_text(F.col("text"), 200).alias("clipped"))
 
 
 _MAIL = "(?i)[A-Z0-9._%+-]+@[A-Z0-9.-]+\\.[A-Z]{2,}"
@@ -146,7 +146,7 @@ _PHONE = "(?:\\+?1[\\s.-]?)?(?:\\(\\d{3}\\)|\\d{3})[\\s.-]?\\d{3}[\\s.-]?\\d{4}"
 @query(f"SELECT doc_id, n, lower(m) AS email FROM (SELECT doc_id, unnest(ms) AS m, unnest(generate_series(1, len(ms))) AS n FROM (SELECT doc_id, regexp_extract_all(text, '{_MAIL}') AS ms FROM documents))")
 def f10_emails(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All addresses; the default's placeholder filter is off, as all addresses of the tables are placeholders."""
-    return table(spark, sf_dir, "documents").select("doc_id", F.posexplode(facts.emails(F.col("text"), "")).alias("n", "email")).select("doc_id", (F.col("n") + 1).cast("long").alias("n"), "email")
+    return texts(spark, sf_dir, "documents").select("doc_id", F.posexplode(facts.emails(F.col("text"), "")).alias("n", "email")).select("doc_id", (F.col("n") + 1).cast("long").alias("n"), "email")
 
 
 _DIGITS = "regexp_replace(m, '\\D', '', 'g')"
@@ -156,7 +156,7 @@ _DIGITS = "regexp_replace(m, '\\D', '', 'g')"
 y AS (SELECT doc_id, CASE WHEN length(d) = 11 AND d LIKE '1%' THEN substr(d, 2) WHEN length(d) = 10 THEN d END AS t FROM x WHERE d NOT IN ('1234567890', '11234567890'))
 SELECT DISTINCT doc_id, '+1 (' || substr(t, 1, 3) || ') ' || substr(t, 4, 3) || '-' || substr(t, 7, 4) AS phone FROM y WHERE t IS NOT NULL""")
 def f11_phones(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", F.explode(facts.phones(F.col("text"))).alias("phone"))
+    return texts(spark, sf_dir, "documents").select("doc_id", F.explode(facts.phones(F.col("text"))).alias("phone"))
 
 
 _FACT = "(?i)@|\\b\\+?\\d[\\d\\s().-]{7,}\\d\\b|\\b\\d{5}(?:-\\d{4})?\\b|\\b[A-Z]\\d[A-Z]\\s?\\d[A-Z]\\d\\b|\\b(address|phone|email|founded|headquarters|aum|portfolio|investment|invests|office)\\b"
@@ -167,7 +167,7 @@ _LINE = _spaced("x")
 t AS (SELECT source, count(*) AS pages FROM documents GROUP BY source)
 SELECT source AS company, line, count(*) AS n_pages FROM l JOIN t USING (source) GROUP BY source, line, pages HAVING count(*) >= greatest(2, ceil(pages * 0.04))""")
 def ag1_repeated_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select(F.col("source").alias("company"), F.col("text").alias("body"))
+    docs = texts(spark, sf_dir, "documents").select(F.col("source").alias("company"), F.col("text").alias("body"))
     return cleaning.repeated_lines(docs, share=0.04)
 
 
@@ -180,17 +180,21 @@ _SIGNALS = f"(CASE WHEN {_MAILS_OF} > 0 THEN 12 ELSE 0 END + CASE WHEN {_PHONES_
 
 @query(f"SELECT doc_id, CAST({_SIGNALS} AS BIGINT) AS fact_score FROM (SELECT doc_id, text AS t FROM documents)")
 def f20_fact_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", facts.fact_signals(F.col("text"))["score"].alias("fact_score"))
+    return texts(spark, sf_dir, "documents").select("doc_id", facts.fact_signals(F.col("text"))["score"].alias("fact_score"))
 
 
-@query("SELECT doc_id, term FROM (SELECT doc_id, lower(text) AS t, unnest([" + ", ".join(f"'{t}'" for t in facts.TERMS) + "]) AS term FROM documents) WHERE contains(t, term)")
+_TERMS = ("license", "copyright", "password", "token", "phone", "email", "chapter")
+
+
+@query("SELECT doc_id, term FROM (SELECT doc_id, lower(text) AS t, unnest([" + ", ".join(f"'{t}'" for t in (*_TERMS, *facts.TERMS)) + "]) AS term FROM documents) WHERE contains(t, term)")
 def f21_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", F.explode(facts.terms(F.col("text"))).alias("term"))
+    """The fixed terms, and some that the tables hold."""
+    return texts(spark, sf_dir, "documents").select("doc_id", F.explode(facts.terms(F.col("text"), (*_TERMS, *facts.TERMS))).alias("term"))
 
 
 @query(f"""SELECT doc_id, coalesce(list_filter(list_transform(string_split(regexp_replace(regexp_replace(text, '(?m)^#+\\s+', '', 'g'), '([.!?])[\\s]+', '\\1' || chr(1), 'g'), chr(1)), lambda x: {_LINE}), lambda x: length(x) > 80 AND NOT regexp_matches(x, '(?i)^home|menu|skip to content|homepage'))[1], '') AS sentence FROM documents""")
 def f22_first_sentence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", facts.first_sentence(F.col("text")).alias("sentence"))
+    return texts(spark, sf_dir, "documents").select("doc_id", facts.first_sentence(F.col("text")).alias("sentence"))
 
 
 _NO_URLS = _chain("markdown", ("(?i)\\[([^\\]]+)\\]\\((?:https?://|mailto:|tel:)[^)]+\\)", "'\\1'"), ("(?i)https?://\\S+", "''"), ("(?i)\\b(?:mailto|tel):\\S+", "''"), ("[ \\t]{2,}", "' '"), ("\\n{3,}", "chr(10)||chr(10)"), _TRIM)
@@ -198,7 +202,7 @@ _NO_URLS = _chain("markdown", ("(?i)\\[([^\\]]+)\\]\\((?:https?://|mailto:|tel:)
 
 @query(f"WITH {SQL_MARKDOWN} SELECT page_id, {_NO_URLS} AS plain FROM m")
 def f23_without_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return site_pages(table(spark, sf_dir, "pages")).select(F.col("pos").alias("page_id"), facts.without_urls(F.col("body")).alias("plain"))
+    return site_pages(texts(spark, sf_dir, "pages")).select(F.col("pos").alias("page_id"), facts.without_urls(F.col("body")).alias("plain"))
 
 
 def _scored_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -222,11 +226,6 @@ def w2_top_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packets.within_budget(_scored_documents(spark, sf_dir), packets.PacketOptions(budget=1 << 40, max_pages=3)).select("company", "pos", "rank")
 
 
-@query()
-def w3_duplicate_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packets.duplicate_pages(staged(packets.score_pages(cleaning.clean_pages(fetched_pages(spark, sf_dir))), "scored-pages"))
-
-
 @query(f"""WITH {SQL_MARKDOWN}, k AS (SELECT page_id, {SQL_HOST} AS company, lower({SQL_PATH} || ' ' || url) AS p FROM m)
 SELECT page_id, CAST({_POINTS} AS BIGINT) AS path_points, regexp_matches(p, '\\b({packets.ACCOUNT_WORDS})\\b') AS account, regexp_matches(p, '\\b({packets.LEGAL_WORDS})\\b') AS legal FROM k""")
 def f19_path_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -234,57 +233,152 @@ def f19_path_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
     url = F.col("url")
     path = F.lower(F.concat_ws(" ", text.url_part(url, 3), url))
     points = sum((F.when(path.rlike(pattern), p).otherwise(0) for pattern, p, _ in packets.PATH_SIGNALS), F.lit(0))
-    return table(spark, sf_dir, "pages").select("page_id", points.cast("long").alias("path_points"), path.rlike(text.whole_word(packets.ACCOUNT_WORDS)).alias("account"), path.rlike(text.whole_word(packets.LEGAL_WORDS)).alias("legal"))
+    return texts(spark, sf_dir, "pages").select("page_id", points.cast("long").alias("path_points"), path.rlike(text.whole_word(packets.ACCOUNT_WORDS)).alias("account"), path.rlike(text.whole_word(packets.LEGAL_WORDS)).alias("legal"))
 
 
 def fetched_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return staged(site_pages(table(spark, sf_dir, "pages")), "site-pages")
+    return staged(site_pages(texts(spark, sf_dir, "pages")), "site-pages")
 
 
-def final_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packets.packet_pages(cleaning.clean_pages(fetched_pages(spark, sf_dir)), packets.PacketOptions(min_useful=80))
+OPTIONS = packets.PacketOptions(min_useful=80)
 
 
-@query()
+def final_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packets.packet_pages(cleaning.clean_pages(fetched_pages(spark, sf_dir)), OPTIONS)
+
+
+def known_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a crawl would know of each host; the table has none of it, so the host's name stands for it."""
+    host = F.col("company")
+    hosts = table(spark, sf_dir, "pages").select(text.host_of(F.col("url")).alias("company")).distinct()
+    return hosts.select("company", F.when(host.endswith(".com"), F.concat(F.lit("1 Main Street, "), host)).otherwise("").alias("full_address"), F.when(host.endswith(".net"), "12345").otherwise("").alias("postal_code"), F.when(host.endswith(".org"), F.concat(F.lit("https://"), host, F.lit("/logo.png"))).otherwise("").alias("logo_url"))
+
+
+# The pages' cleaning, scoring and choice in SQL, each part on top of the one before.
+_PAGE_PATH = f"CASE WHEN {SQL_PATH} = '' THEN '/' ELSE {SQL_PATH} END"
+_PAGE_NAME = f"CASE WHEN len(list_filter(string_split({SQL_PATH}, '/'), lambda s: s <> '')) = 0 THEN 'homepage' ELSE array_to_string(list_transform(list_filter(string_split({SQL_PATH}, '/'), lambda s: s <> '')[-3:], lambda s: regexp_replace(s, '[-_]+', ' ', 'g')), ' / ') END"
+_FAMILY = "[" + ", ".join(f"'{f}'" for f in FAMILIES) + "][CAST(page_id % 5 AS INT) + 1]"
+_NORMAL_LINE = _spaced("regexp_replace(x, '(?i)\\[[^\\]]*\\]\\((mailto:|tel:)([^)]+)\\)', '\\2', 'g')")
+SQL_CLEAN = f"""{SQL_MARKDOWN},
+  k AS (SELECT {SQL_HOST} AS company, page_id AS pos, url AS final_url, {_PAGE_PATH} AS page_path, {_PAGE_NAME} AS page_name, CASE WHEN page_id % 17 = 5 THEN 'failed' ELSE 'ok' END AS fetch_status, CASE WHEN page_id % 19 = 3 THEN 404 ELSE 200 END AS http_status,
+   CASE WHEN {_FAMILY} LIKE '%third%' THEN 'third_party' WHEN regexp_matches({_FAMILY}, 'first|homepage|nav_link') THEN 'first_party' ELSE 'unknown' END AS source_bucket, markdown AS body, length(markdown) AS raw_chars FROM m),
+  ls AS (SELECT company, pos, list_filter(list_transform(string_split(body, chr(10)), lambda x: {_NORMAL_LINE}), lambda x: x <> '') AS ls FROM k),
+  ln AS (SELECT company, pos, unnest(ls) AS line, unnest(generate_series(1, len(ls))) AS i FROM ls),
+  lf AS (SELECT *, lower(line) AS key, regexp_matches(line, '{_FACT}') AS fact FROM ln),
+  ch AS (SELECT company, key FROM (SELECT company, key, count(DISTINCT pos) AS n FROM lf WHERE length(line) <= 180 AND NOT fact GROUP BY company, key) JOIN (SELECT company, count(*) AS pages FROM k GROUP BY company) USING (company) WHERE n >= greatest(2, ceil(pages * 0.45))),
+  pl AS (SELECT *, row_number() OVER (PARTITION BY pos, key ORDER BY i) AS n FROM lf WHERE NOT regexp_matches(line, '{cleaning.LINE_PREFIX}') AND NOT (regexp_matches(line, '^#\\s+') AND length(line) < 4)
+   AND NOT regexp_matches(line, '{cleaning.MENU_LINE}') AND NOT regexp_matches(line, '{cleaning.FOOTER_PREFIX}') AND NOT (regexp_matches(line, '{cleaning.BARE_LINK}') AND NOT fact)),
+  kl AS (SELECT pl.company, pos, string_agg(line, chr(10) ORDER BY i) AS t FROM pl LEFT JOIN ch ON pl.company = ch.company AND pl.key = ch.key WHERE fact OR (ch.key IS NULL AND n = 1) GROUP BY pl.company, pos),
+  c0 AS (SELECT k.*, {_chain("coalesce(t, '')", ("[ \\t]+\\n", "chr(10)"), ("\\n[ \\t]+", "chr(10)"), ("\\n{3,}", "chr(10)||chr(10)"), _TRIM)} AS clean_text FROM k LEFT JOIN kl USING (company, pos)),
+  cl AS (SELECT *, length(clean_text) AS clean_chars FROM c0)"""
+_WHY = (
+    ("fetch_status <> 'ok' OR http_status >= 400", "fetch_failed_or_error_status"), ("length(clean_text) < 80", "too_little_useful_text"), (f"regexp_matches(final_url || page_path, '{packets.TEMPLATE_URL}')", "placeholder_or_template_url"),
+    ("regexp_matches(p, '\\.(pdf|zip|gz|tar)(?:\\z|\\?)') OR regexp_matches(trim(clean_text), '(?i)^%pdf')", "binary_or_pdf_not_text_ready"), (f"regexp_matches(p, '\\b({packets.ACCOUNT_WORDS})\\b')", "account_or_commerce_utility_page"),
+    (f"regexp_matches(p, '\\b({packets.LEGAL_WORDS})\\b')", "legal_or_policy_page"), ("regexp_matches(p, '\\b(search|\\?s=|\\?q=|filter=|tag=|category=)\\b')", "search_or_listing_noise"),
+    ("regexp_matches(lower(substr(clean_text, 1, 1600)), '\\b404\\b|page can.?t be found|page not found|page you are looking for does not|not found template')", "not_found_template"),
+    ("regexp_matches(lower(substr(clean_text, 1, 2200)), '\\b(domain geparkt)\\b|\\b(domain parked)\\b|domainparking|easyname\\.com|domain wird von .* verwaltet')", "domain_parking_page"),
+)
+_PENALTY = " ".join(f"- CASE WHEN len(list_intersect(why, [{', '.join(repr(w) for w in group)}])) > 0 THEN {points} ELSE 0 END" for group, points in packets.PENALTIES)
+SQL_SCORE = f"""{SQL_CLEAN},
+  w0 AS (SELECT *, lower(page_path || ' ' || final_url) AS p, clean_text AS t FROM cl),
+  w1 AS (SELECT *, list_filter([{', '.join(f"CASE WHEN {test} THEN '{why}' END" for test, why in _WHY)}], lambda x: x IS NOT NULL) AS why FROM w0),
+  sc AS (SELECT *, CASE WHEN page_path = '/' OR page_name = 'homepage' THEN {packets.HOMEPAGE[0]} ELSE 0 END + {_POINTS} + {_SIGNALS} + least(20, CAST(floor(clean_chars / 900) AS INT)) {_PENALTY} AS score FROM w1),
+  s1 AS (SELECT *, len(why) = 0 AND score > 20 AS keep0, {SQL_HOST.replace('url', 'final_url')} || regexp_replace({SQL_PATH.replace('url', 'final_url')}, '/$', '') AS key FROM sc),
+  bf AS (SELECT key, list_reduce(list(struct_pack(score := score, chars := clean_chars, page := final_url || body) ORDER BY pos), lambda best, x: CASE WHEN x.score > best.score OR (x.chars > best.chars AND x.score >= best.score - 5) THEN x ELSE best END).page AS best FROM s1 GROUP BY key),
+  s2 AS (SELECT s1.*, final_url || body = best AS selected FROM s1 JOIN bf USING (key))"""
+SQL_FINAL = f"""{SQL_SCORE},
+  bg AS (SELECT pos FROM (SELECT pos, sum(clean_chars) OVER w AS running, row_number() OVER w AS rn FROM s2 WHERE keep0 AND selected WINDOW w AS (PARTITION BY company ORDER BY score DESC, page_name, pos ROWS UNBOUNDED PRECEDING)) WHERE rn <= 999 AND (running <= 1000000 OR rn = 1)),
+  f AS (SELECT s2.*, keep0 AND selected AND bg.pos IS NOT NULL AS keep, CASE WHEN NOT selected THEN list_append(why, 'duplicate_page_or_content') WHEN keep0 AND bg.pos IS NULL THEN list_append(why, 'outside_llm_budget') ELSE why END AS reasons FROM s2 LEFT JOIN bg ON s2.pos = bg.pos)"""
+
+
+@query(f"WITH {SQL_CLEAN} SELECT company, pos, clean_text, CAST(clean_chars AS BIGINT) AS clean_chars FROM cl")
 def f18_clean_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cleaning.clean_pages(fetched_pages(spark, sf_dir)).select("company", "pos", "clean_text", "clean_chars")
 
 
-@query(f"""WITH {SQL_MARKDOWN}, k AS (SELECT {SQL_HOST} AS company, length(markdown) AS n FROM m) SELECT company, count(*) AS raw_pages, CAST(sum(n) AS BIGINT) AS raw_chars FROM k GROUP BY company""")
-def ag2_company_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packets.company_quality(final_pages(spark, sf_dir)).select("company", "raw_pages", "raw_chars")
+@query(f"WITH {SQL_SCORE} SELECT pos, CAST(score AS BIGINT) AS score, keep0 AS keep, array_to_string(why, ',') AS drop_reasons, source_bucket FROM sc JOIN (SELECT pos, keep0 FROM s1) USING (pos)")
+def f19_scored_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = packets.score_pages(cleaning.clean_pages(fetched_pages(spark, sf_dir)), OPTIONS)
+    return scored.select("pos", "score", "keep", F.array_join("drop_reasons", ",").alias("drop_reasons"), "source_bucket")
+
+
+@query(f"WITH {SQL_SCORE} SELECT company, pos, selected FROM s2")
+def w3_duplicate_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packets.duplicate_pages(staged(packets.score_pages(cleaning.clean_pages(fetched_pages(spark, sf_dir)), OPTIONS), "scored-pages"))
+
 
+@query(f"WITH {SQL_FINAL} SELECT pos, keep, array_to_string(reasons, ',') AS drop_reasons FROM f")
+def j2_final_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return final_pages(spark, sf_dir).select("pos", "keep", F.array_join("drop_reasons", ",").alias("drop_reasons"))
 
-@query()
+
+_CODE = "upper(regexp_extract({x}, '(?i)\\b([A-Z]\\d[A-Z]\\s?\\d[A-Z]\\d|\\d{5}(?:-\\d{4})?)\\b', 1))"
+_MAILS = f"list_filter(list_transform(regexp_extract_all({{x}}, '{_MAIL}'), lambda m: lower(m)), lambda m: NOT regexp_matches(m, '{facts.PLACEHOLDER_MAIL}'))"
+_TENS = f"list_filter(list_transform(list_filter(list_transform(regexp_extract_all({{x}}, '{_PHONE}'), lambda m: {_DIGITS}), lambda d: d NOT IN ('1234567890', '11234567890')), lambda d: CASE WHEN length(d) = 11 AND d LIKE '1%' THEN substr(d, 2) WHEN length(d) = 10 THEN d END), lambda d: d IS NOT NULL)"
+SQL_QUALITY = f"""{SQL_FINAL},
+  kn AS (SELECT DISTINCT company, CASE WHEN company LIKE '%.com' THEN '1 Main Street, ' || company ELSE '' END AS full_address, CASE WHEN company LIKE '%.net' THEN '12345' ELSE '' END AS code, CASE WHEN company LIKE '%.org' THEN 'https://' || company || '/logo.png' ELSE '' END AS logo_url FROM k),
+  ft AS (SELECT company, list_distinct(flatten(list({_MAILS.replace('{x}', 'clean_text')}) FILTER (keep))) AS km, list_distinct(flatten(list({_MAILS.replace('{x}', 'body')}))) AS am, list_distinct(flatten(list({_TENS.replace('{x}', 'clean_text')}) FILTER (keep))) AS kp, list_distinct(flatten(list({_TENS.replace('{x}', 'body')}))) AS ap,
+   coalesce(sum(clean_chars) FILTER (keep), 0) AS kc, count(*) FILTER (keep AND {_CODE.replace('{x}', 'clean_text')} <> '') AS kz, count(*) FILTER ({_CODE.replace('{x}', "CASE WHEN keep THEN clean_text ELSE body END")} <> '') AS az FROM f GROUP BY company),
+  dr AS (SELECT company, count(DISTINCT reason) AS n_reasons FROM (SELECT company, unnest(reasons) AS reason FROM f WHERE NOT keep) GROUP BY company),
+  q AS (SELECT company, count(*) AS raw_pages, count(*) FILTER (keep) AS kept_pages, count(*) FILTER (NOT keep) AS dropped_pages, CAST(sum(raw_chars) AS BIGINT) AS raw_chars, CAST(coalesce(sum(clean_chars) FILTER (keep), 0) AS BIGINT) AS llm_chars,
+   CASE WHEN sum(raw_chars) > 0 THEN floor((1 - coalesce(sum(clean_chars) FILTER (keep), 0) / sum(raw_chars)::DOUBLE) * 100 * 10 + 0.5) / 10 ELSE 0.0 END AS reduction_pct,
+   count(*) FILTER (keep AND source_bucket = 'first_party') AS first_party_kept, count(*) FILTER (keep AND source_bucket = 'third_party') AS third_party_kept FROM f GROUP BY company),
+  qq AS (SELECT q.*, CAST(coalesce(n_reasons, 0) AS BIGINT) AS n_reasons, CAST(least(10, CASE WHEN len(coalesce(km, [])) > 0 THEN len(km) ELSE len(am) END) AS BIGINT) AS emails_found, CAST(least(8, CASE WHEN len(coalesce(kp, [])) > 0 THEN len(kp) ELSE len(ap) END) AS BIGINT) AS phones_found,
+   full_address <> '' AS address_found, code <> '' OR CASE WHEN kc > 0 THEN kz > 0 ELSE az > 0 END AS postal_code_found, logo_url <> '' AS logo_found FROM q JOIN ft USING (company) JOIN kn USING (company) LEFT JOIN dr USING (company))"""
+
+
+def quality_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    final = final_pages(spark, sf_dir)
+    return packets.company_quality(final, packets.company_facts(final, known_facts(spark, sf_dir)))
+
+
+@query(f"WITH {SQL_QUALITY} SELECT * FROM qq")
 def ag2_company_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packets.company_quality(final_pages(spark, sf_dir))
+    """The quality row; of the map of reasons its size."""
+    rows = quality_rows(spark, sf_dir)
+    return rows.withColumn("n_reasons", F.size("drop_reasons").cast("long")).drop("drop_reasons")
 
 
-@query()
+@query(f"WITH {SQL_FINAL} SELECT reason, count(*) AS n FROM (SELECT unnest(reasons) AS reason FROM f WHERE NOT keep) GROUP BY reason")
 def ag3_drop_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packets.drop_histogram(final_pages(spark, sf_dir))
 
 
-@query()
+@query(f"""WITH {SQL_QUALITY} SELECT count(*) AS companies_processed, CAST(sum(raw_pages) AS BIGINT) AS raw_pages, CAST(sum(kept_pages) AS BIGINT) AS kept_pages, CAST(sum(dropped_pages) AS BIGINT) AS dropped_pages, CAST(sum(raw_chars) AS BIGINT) AS raw_chars, CAST(sum(llm_chars) AS BIGINT) AS llm_chars,
+ floor((1 - sum(llm_chars) / sum(raw_chars)::DOUBLE) * 100 * 10 + 0.5) / 10 AS reduction_pct, floor(avg(kept_pages) * 10 + 0.5) / 10 AS avg_kept_pages, count(*) FILTER (address_found) AS companies_with_address, count(*) FILTER (postal_code_found) AS companies_with_postal_code, count(*) FILTER (logo_found) AS companies_with_logo FROM qq""")
 def ag4_run_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packets.run_quality(packets.company_quality(final_pages(spark, sf_dir)))
+    return packets.run_quality(quality_rows(spark, sf_dir))
+
 
+_SECTIONS = "string_agg('### ' || page_name || chr(10) || chr(10) || {text}, chr(10) || chr(10) ORDER BY pos) FILTER (keep AND source_bucket = '{bucket}')"
+_PLAIN = _chain("clean_text", ("(?i)\\[([^\\]]+)\\]\\((?:https?://|mailto:|tel:)[^)]+\\)", "'\\1'"), ("(?i)https?://\\S+", "''"), ("(?i)\\b(?:mailto|tel):\\S+", "''"), ("[ \\t]{2,}", "' '"), ("\\n{3,}", "chr(10)||chr(10)"), _TRIM)
+_LINES = [line.replace("'", "''") for line in packets.PACKET_LINES]
 
-@query()
+
+@query(f"""WITH {SQL_FINAL}, g AS (SELECT company, coalesce({_SECTIONS.format(text=_PLAIN, bucket='first_party')}, 'No usable company-site content was kept after cleanup.') AS own, coalesce({_SECTIONS.format(text=_PLAIN, bucket='third_party')}, 'No usable third-party content was kept after cleanup.') AS other FROM f GROUP BY company)
+SELECT company, '# Scraped content for ' || company || chr(10) || chr(10) || 'Company: ' || company || chr(10) || 'Domain: ' || company || chr(10) || 'Full address: ' || chr(10) || chr(10) || '## Primary source: scraped content from the company''s own site' || chr(10) || '{_LINES[0]}' || chr(10) || chr(10) || own || chr(10) || chr(10)
+ || '## Secondary source: scraped content from third-party sites' || chr(10) || '{_LINES[1]}' || chr(10) || chr(10) || other || chr(10) || chr(10) || '## Task' || chr(10) || '{_LINES[2]}' || chr(10) AS markdown FROM g""")
 def packet_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packets.render_packet(final_pages(spark, sf_dir))
 
 
-@query()
+@query(f"""WITH {SQL_FINAL}, g AS (SELECT company, coalesce({_SECTIONS.format(text=_PLAIN, bucket='first_party')}, 'No usable scraped content was kept after cleanup.') AS own FROM f GROUP BY company)
+SELECT company, '# Own pages' || chr(10) || chr(10) || 'Company: ' || company || chr(10) || 'Domain: ' || company || chr(10) || chr(10) || own || chr(10) AS markdown FROM g""")
+def clean_source_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packets.render_clean_source(final_pages(spark, sf_dir), "first_party", "Own pages")
+
+
+@query(f"""WITH v AS (SELECT source AS company, unnest({_TENS.replace('{x}', 'text')}) AS t FROM documents) SELECT company, least(8, count(DISTINCT t)) AS n_phones FROM v GROUP BY company""")
 def candidates_contacts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """First e-mails and phones of each source over its documents."""
-    docs = table(spark, sf_dir, "documents").select(F.col("source").alias("company"), F.col("doc_id").alias("pos"), F.lit(True).alias("keep"), F.col("text").alias("clean_text"), F.col("text").alias("body"))
-    docs = staged(docs, "contact-pages")
-    both = packets.company_contacts(docs, "phones", 8).withColumnRenamed("values", "phones")
-    return both.join(packets.company_contacts(docs, "emails", 10).withColumnRenamed("values", "emails"), "company", "full")
+    """Number of the first distinct phones of each source over its documents."""
+    docs = texts(spark, sf_dir, "documents").select(F.col("source").alias("company"), F.col("doc_id").alias("pos"), F.lit(True).alias("keep"), F.col("text").alias("clean_text"), F.col("text").alias("body"))
+    return packets.company_contacts(staged(docs, "contact-pages"), "phones", 8).select("company", F.size("values").cast("long").alias("n_phones"))
+
+
+_HINTS = "list_distinct(list_transform(regexp_extract_all(text, '(?i)\\b([A-Z]\\d[A-Z]\\s?\\d[A-Z]\\d|\\d{5}(?:-\\d{4})?)\\b', 1), lambda x: upper(x)))"
 
 
-@query()
+@query(f"SELECT doc_id, CAST(least(8, len(h)) AS BIGINT) AS n_hints, CASE WHEN len(h) > 0 THEN 'low' ELSE 'none' END AS confidence FROM (SELECT doc_id, {_HINTS} AS h FROM documents)")
 def text_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = packets.text_candidates(F.col("text"), F.lit(""), F.lit(""))
-    return table(spark, sf_dir, "documents").select("doc_id", found.alias("c")).select("doc_id", "c.postal_code", "c.postal_code_hints", "c.evidence_snippets", "c.company_description_hint", "c.services_or_focus_terms", "c.confidence")
+    return texts(spark, sf_dir, "documents").select("doc_id", found.alias("c")).select("doc_id", F.size("c.postal_code_hints").cast("long").alias("n_hints"), "c.confidence")
