@@ -27,10 +27,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .textscan import IS_SPACE, STARTS_CHAR, chunks, equal_spans, map_columns, span_hashes
+from .textscan import EXACT_BYTES, IS_SPACE, STARTS_CHAR, chunks, equal_spans, map_columns, span_hashes
 
 LETTER, NUMBER, SPACE, OTHER, UNKNOWN = 1, 2, 3, 4, 0
-SLOT_BITS = 21
+SLOT_BITS = 19
 PIECE_BYTES = 1 << 20
 #: The suffixes that the byte-level rule splits off after an apostrophe.
 CONTRACTIONS = ("s", "t", "re", "ve", "m", "ll", "d")
@@ -46,7 +46,7 @@ def byte_alphabet() -> dict[str, int]:
 class ByteBpe:
     """Encoder and decoder for one worker.  leaf: code points of a tree leaf; keep: pretokens remembered; piece: bytes at a time of a long text."""
 
-    def __init__(self, path: str, leaf: int = 2048, window: int = 8, keep: int = 1_000_000, piece: int = PIECE_BYTES):
+    def __init__(self, path: str, leaf: int = 2048, window: int = 8, keep: int = 200_000, piece: int = PIECE_BYTES):
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
@@ -75,7 +75,7 @@ class ByteBpe:
         self.known: dict[int, int] = {}
         self.clashing: dict[bytes, int] = {}  # pretokens whose hash belongs to another one
         # the first pretoken of each slot is found by array operations, later ones by the dictionary
-        self.slot_key, self.slot_entry = np.zeros(1 << SLOT_BITS, np.uint64), np.zeros(1 << SLOT_BITS, np.int32)
+        self.slot_key, self.slot_entry = np.zeros(1 << SLOT_BITS, np.uint64), np.full(1 << SLOT_BITS, -1, np.int32)
         self.entries, self.first, self.count = 0, np.zeros(1024, np.int64), np.zeros(1024, np.int64)
         self.flat, self.used = np.zeros(4096, np.uint32), 0
         self.text_at, self.text_end = np.zeros(1024, np.int64), np.zeros(1024, np.int64)
@@ -179,7 +179,7 @@ class ByteBpe:
         n, new = self.entries, len(texts)
         self.entries = n + new
         while self.entries > len(self.first):
-            self.first, self.count, self.text_at, self.text_end = (np.concatenate([x, np.zeros_like(x)]) for x in (self.first, self.count, self.text_at, self.text_end))
+            self.first, self.count, self.text_at, self.text_end = (np.concatenate([x, np.zeros(len(x) // 2, x.dtype)]) for x in (self.first, self.count, self.text_at, self.text_end))
         size = np.array([len(x) for x in ids], np.int64)
         self.count[n : n + new] = size
         self.first[n : n + new] = self.used + np.cumsum(size) - size
@@ -193,10 +193,10 @@ class ByteBpe:
     def _entries(self, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         """Where the ids of each pretoken data[start:end] stand; new ones are learned."""
         text = lambda i: data[start[i] : end[i]].tobytes().decode()
-        keys = span_hashes(data, start, end) | np.uint64(1)
+        keys = span_hashes(data, start, end)
         slots = keys >> np.uint64(64 - SLOT_BITS)
         entry = self.slot_entry[slots]
-        miss = np.flatnonzero(self.slot_key[slots] != keys)
+        miss = np.flatnonzero((entry < 0) | (self.slot_key[slots] != keys))
         if len(miss):
             rare, at, which = np.unique(keys[miss], return_index=True, return_inverse=True)
             rare, at = rare.tolist(), miss[at]
@@ -206,11 +206,14 @@ class ByteBpe:
                 self.known.update((rare[i], n) for i, n in zip(new, learned))
                 fresh = np.array([rare[i] for i in new], np.uint64)
                 slot, place = np.unique(fresh >> np.uint64(64 - SLOT_BITS), return_index=True)
-                free = self.slot_key[slot] == 0
+                free = self.slot_entry[slot] < 0
                 self.slot_key[slot[free]], self.slot_entry[slot[free]] = fresh[place[free]], learned.start + place[free]
             entry[miss] = np.fromiter(map(self.known.__getitem__, rare), np.int32, len(rare))[which]
-        other = np.flatnonzero(~equal_spans(data, start, end, self.text, self.text_at[entry], self.text_end[entry]))
-        for i in other.tolist():
+        size = end - start
+        same = size == self.text_end[entry] - self.text_at[entry]
+        long = np.flatnonzero(same & (size > EXACT_BYTES))
+        same[long] = equal_spans(data, start[long], end[long], self.text, self.text_at[entry[long]], self.text_end[entry[long]])
+        for i in np.flatnonzero(~same).tolist():
             own = data[start[i] : end[i]].tobytes()
             if own not in self.clashing:
                 self.clashing[own] = self._learn([own.decode()])[0]
@@ -339,9 +342,9 @@ def worker_coder(path: str, leaf: int = 2048) -> ByteBpe:
 
 
 def _appended(store: np.ndarray, used: int, more: np.ndarray) -> tuple[np.ndarray, int]:
-    """``store`` with ``more`` from ``used`` on, at a doubled size where it has no room, and what is used then."""
+    """``store`` with ``more`` from ``used`` on, with half of its size more where it has no room, and what is used then."""
     while used + len(more) > len(store):
-        store = np.concatenate([store, np.zeros_like(store)])
+        store = np.concatenate([store, np.zeros(len(store) // 2, store.dtype)])
     store[used : used + len(more)] = more
     return store, used + len(more)
 

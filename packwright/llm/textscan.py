@@ -26,6 +26,7 @@ STARTS_CHAR = (np.arange(256) & 0xC0) != 0x80  # not a UTF-8 continuation byte
 _U = np.uint64
 _ODD = np.array([0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93], np.uint64)
 _AT_ONCE = 1 << 18  # spans worked off together, so that temporaries stay small
+EXACT_BYTES = 8  # spans of equal size up to this have equal hashes only if they are equal: each step is a bijection
 _LONG_SPAN = 128  # bytes; longer spans are hashed and compared one by one
 
 
