@@ -74,7 +74,7 @@ def postal_code(text: Column, city: Column, state: Column) -> Column:
     quoted = lambda c: F.concat(F.lit(r"\Q"), c, F.lit(r"\E"))
     known = lambda c: F.coalesce(c, F.lit("")) != ""
     after = lambda place: F.concat(F.lit("(?i)"), quoted(city), F.lit(r"\s*,?\s*"), quoted(place), F.lit(rf"\s+({POSTAL_CA}|{POSTAL_US})"))
-    near = [F.when(known(city) & known(state), F.nullif(F.regexp_extract(spaced, after(place), 1), F.lit(""))) for place in (state, state_code(state))]
+    near = [F.when(known(city) & known(state), F.nullif(F.call_function("regexp_extract", spaced, after(place), F.lit(1)), F.lit(""))) for place in (state, state_code(state))]
     return F.upper(F.coalesce(*near, F.regexp_extract(spaced, whole_word(r"[A-Z]\d[A-Z]\s?\d[A-Z]\d|" + POSTAL_US), 0)))
 
 

@@ -120,7 +120,7 @@ def read_packets(spark: SparkSession, root: str, hidden: bool = True) -> DataFra
 
     def files(name: str, column: str) -> DataFrame:
         path = F.col("_metadata.file_path")
-        return spark.read.option("wholetext", True).text(f"{root}/*/{name}").select(F.url_decode(F.regexp_extract(path, r"([^/]+)/[^/]+$", 1)).alias("case_id"), F.col("value").alias(column))
+        return spark.read.text(f"{root}/*/{name}", wholetext=True).select(F.url_decode(F.regexp_extract(path, r"([^/]+)/[^/]+$", 1)).alias("case_id"), F.col("value").alias(column))
 
     texts = files(PACKET_TEXT, "markdown")
     texts = texts if hidden else texts.where(~F.col("case_id").startswith("_"))

@@ -71,10 +71,17 @@ def h1_page_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return texts(spark, sf_dir, "pages").select("page_id", F.explode(html.page_links(F.col("html"), F.col("url"))).alias("link"))
 
 
-@query(f"SELECT page_id, list_value({SQL_ORIGIN} || '/favicon.ico')[1] AS favicon, CAST(0 AS BIGINT) AS n_images FROM pages")
+_ASSETS = """'<link rel="icon" href="/i' || page_id || '.png"><link rel="stylesheet" href="/s.css"><meta property="og:image" content="/og.png"><img alt="Our Logo" src="/logo.svg"><img src="photo' || page_id || '.jpg"><img data-src="//cdn.test/x.png" class="b">'"""
+
+
+@query(f"""SELECT page_id, {SQL_ORIGIN} || '/i' || page_id || '.png | ' || {SQL_ORIGIN} || '/favicon.ico' AS favicons, {SQL_ORIGIN} || '/og.png | ' || {SQL_ORIGIN} || '/logo.svg' AS logos,
+ array_to_string([{SQL_ORIGIN} || '/og.png', {SQL_ORIGIN} || '/logo.svg', {SQL_ORIGIN} || regexp_extract(regexp_replace({SQL_PATH}, '^$', '/'), '^(.*/)', 1) || 'photo' || page_id || '.jpg', regexp_extract(url, '^(https?):', 1) || '://cdn.test/x.png'], ' | ') AS images FROM pages""")
 def h2_page_assets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    assets = html.page_assets(F.col("html"), F.col("url"))
-    return texts(spark, sf_dir, "pages").select("page_id", assets.alias("a")).select("page_id", F.col("a.favicon_urls")[0].alias("favicon"), F.size("a.image_urls").cast("long").alias("n_images"))
+    """Icons, logos and images; the tables' pages have none, so each gets some of every kind."""
+    own = F.expr(_ASSETS)
+    assets = html.page_assets(F.concat(own, F.coalesce("html", F.lit(""))), F.col("url"))
+    joined = lambda c: F.array_join(F.col(f"a.{c}"), " | ")
+    return texts(spark, sf_dir, "pages").select("page_id", assets.alias("a")).select("page_id", joined("favicon_urls").alias("favicons"), joined("logo_urls").alias("logos"), joined("image_urls").alias("images"))
 
 
 @query(f"WITH {SQL_MARKDOWN} SELECT page_id, title, markdown FROM m")
@@ -90,12 +97,14 @@ def h4_markdown_to_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return site_pages(texts(spark, sf_dir, "pages")).select(F.col("pos").alias("page_id"), html.markdown_to_text(F.col("body")).alias("plain"))
 
 
-@query(f"""WITH {SQL_MARKDOWN}, l AS (SELECT page_id, markdown, list_filter(list_transform(string_split(markdown, chr(10)), lambda x: trim(x)), lambda x: x <> '') AS ls FROM m)
-SELECT page_id, CAST(len(regexp_extract_all(markdown, '\\[[^\\]]+\\]\\([^)]+\\)')) AS BIGINT) AS link_count, CAST(least(len(ls), 80) AS BIGINT) AS n_sample,
-  CAST(len(list_distinct(list_filter(ls, lambda x: regexp_matches(x, '^#{{1,6}}\\s+'))[1:30])) AS BIGINT) AS n_headings FROM l""")
+@query(f"""WITH {SQL_MARKDOWN}, l AS (SELECT page_id, markdown, list_filter(list_transform(string_split(markdown, chr(10)), lambda x: {_chain('x', _TRIM)}), lambda x: x <> '') AS ls FROM m)
+SELECT page_id, CAST(len(regexp_extract_all(markdown, '\\[[^\\]]+\\]\\([^)]+\\)')) AS BIGINT) AS link_count, array_to_string(ls[1:80], chr(10)) AS sample, CAST(len(list_distinct(list_filter(ls, lambda x: len(string_split(x, '|')) >= 3)[1:40])) AS BIGINT) AS n_tables,
+  CAST(len(list_distinct(list_transform(list_filter(ls, lambda x: regexp_matches(x, '^#{{1,6}}\\s+'))[1:30], lambda x: regexp_replace(x, '^#{{1,6}}\\s+', '')))) AS BIGINT) AS n_headings,
+  CAST(len(list_distinct(list_filter(ls, lambda x: CASE WHEN regexp_matches(x, '^[-*]\\s+') THEN regexp_matches(x, '(?i):|\\b({html.KEY_WORDS})\\b') ELSE regexp_matches(x, '(?i)^({html.KEY_LABELS})\\b\\s*[:|-]') END)[1:60])) AS BIGINT) AS n_key_values FROM l""")
 def h9_markdown_structure(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = site_pages(texts(spark, sf_dir, "pages")).select(F.col("pos").alias("page_id"), html.markdown_structure(F.col("body")).alias("s"))
-    return s.select("page_id", "s.link_count", F.size("s.sample_lines").cast("long").alias("n_sample"), F.size("s.headings").cast("long").alias("n_headings"))
+    n = lambda c: F.size(f"s.{c}").cast("long")
+    return s.select("page_id", "s.link_count", F.array_join("s.sample_lines", "\n").alias("sample"), n("table_like_lines").alias("n_tables"), n("headings").alias("n_headings"), n("key_value_lines").alias("n_key_values"))
 
 
 @query(f"WITH {SQL_MARKDOWN} SELECT page_id, CASE WHEN length(s) <= 900 THEN s ELSE trim(substr(s, 1, 897)) || '...' END AS summary FROM (SELECT page_id, {_spaced('markdown')} AS s FROM m)")

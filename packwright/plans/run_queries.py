@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from packwright.functions import text
 from packwright.operators import benchmark, enrichment, source
 
-from .registry import query, table
+from .registry import query, table, texts
 
 # ---- SQL shared by the queries below ----
 SQL_NORMAL = "trim(regexp_replace(regexp_replace(lower({x}), 'https?://\\S+', ' ', 'g'), '[^a-z0-9_]+', ' ', 'g'))"
@@ -178,21 +178,31 @@ def ag10_benchmark_kpis(spark: SparkSession, sf_dir: str) -> DataFrame:
     return benchmark.benchmark_kpis(scores(spark, sf_dir), 40, 20, 0.45)
 
 
-@query(f"""SELECT case_id, model, coalesce(sum(CASE WHEN ok THEN 0 ELSE 1 END) OVER (PARTITION BY model ORDER BY position ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) >= 3 AS skipped FROM ({SQL_SCORES})""")
+@query(f"""WITH s AS (SELECT *, latency_ms % 3 = 0 AS cached, ok AND parse_ok AS good FROM ({SQL_SCORES})),
+n AS (SELECT *, count(*) FILTER (NOT good) OVER (PARTITION BY model ORDER BY position ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS failed FROM s)
+SELECT case_id, model, NOT cached AND failed >= 3 AS skipped FROM n""")
 def w8_stopped_models(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return benchmark.stopped_rows(scores(spark, sf_dir)).select("case_id", "model", "skipped")
+    """Cases that a model with three failures, of call or of parsing, is not asked any more; some have a cached response.
+
+    Up to the third failure every case is run, so the failures before a case are those of all cases before it.
+    """
+    return benchmark.stopped_rows(scores(spark, sf_dir).withColumn("cached", F.col("latency_ms") % 3 == 0)).select("case_id", "model", "skipped")
 
 
 _A, _G = SQL_NORMAL.format(x="a"), SQL_NORMAL.format(x="g")
 
 
-@query(f"""WITH p AS (SELECT d.doc_id, b.item_id, {SQL_NORMAL.format(x='d.text')} AS a, {SQL_NORMAL.format(x='b.text')} AS g FROM documents d JOIN benchmark b ON d.doc_id % 40 = b.item_id),
+@query(f"""WITH i AS (SELECT row_number() OVER (ORDER BY item_id) - 1 AS place, item_id, text, count(*) OVER () AS n FROM benchmark),
+p AS (SELECT d.doc_id, i.item_id, {SQL_NORMAL.format(x="coalesce(d.text, '')")} AS a, {SQL_NORMAL.format(x="coalesce(i.text, '')")} AS g FROM documents d JOIN i ON d.doc_id % i.n = i.place),
 t AS (SELECT *, {SQL_TOKENS.format(x='a')} AS ta, {SQL_TOKENS.format(x='g')} AS tg FROM p)
 SELECT doc_id, item_id, CASE WHEN a = g THEN 1.0 WHEN a = '' OR g = '' THEN 0.0 WHEN contains(a, g) OR contains(g, a) THEN 0.76 ELSE least(0.82, CASE WHEN len(ta) = 0 AND len(tg) = 0 THEN 1.0 WHEN len(ta) = 0 OR len(tg) = 0 THEN 0.0
   ELSE len(list_intersect(ta, tg)) / len(list_distinct(list_concat(ta, tg)))::DOUBLE END) END::DOUBLE AS score FROM t""")
 def sc2_score_string(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs, gold = table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("gold"))
-    return docs.withColumn("item_id", F.col("doc_id") % 40).join(gold, "item_id").select("doc_id", "item_id", benchmark.score_string(F.col("text"), F.col("gold")).alias("score"))
+    """Each document against one item of the benchmark, by turns, so that every item takes part."""
+    items = source.with_row_index(table(spark, sf_dir, "benchmark"), "item_id").select("item_id", F.col("row_index").alias("place"), text.normalized_text(F.col("text")).alias("gold"))
+    n = max(1, table(spark, sf_dir, "benchmark").count())
+    docs = texts(spark, sf_dir, "documents").select("doc_id", (F.col("doc_id") % n).alias("place"), text.normalized_text(F.col("text")).alias("own"))
+    return docs.join(items, "place").select("doc_id", "item_id", benchmark.score_normalized(F.col("own"), F.col("gold")).alias("score"))
 
 
 @query("""SELECT l_orderkey, l_linenumber, CASE WHEN a = g THEN 1.0 WHEN g BETWEEN 0 AND 1 AND a BETWEEN 0 AND 1 THEN greatest(0, 1 - abs(a - g)) ELSE greatest(0, 1 - abs(a - g) / greatest(1, abs(g))) END::DOUBLE AS score
@@ -216,17 +226,6 @@ def sc4_score_array(spark: SparkSession, sf_dir: str) -> DataFrame:
 def sc8_prices(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select("p_partkey", benchmark.prices(F.col("p_retailprice"), F.col("p_size")).alias("x")).select("p_partkey", "x.*")
 
-
-@query("""SELECT conv_id, string_agg(text, chr(10) ORDER BY turn) AS message FROM conversations GROUP BY conv_id""")
-def n5_message_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Turns as the parts of a message; a conversation's turns are few, but they are joined by a fold over sorted parts."""
-    parts = F.array_sort(F.collect_list(F.struct("turn", "text")))
-    return table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.array_join(F.transform(parts, lambda x: x["text"]), "\n").alias("message"))
-
-
-_GATE = {"the": r"(?<![0-9a-z_])the(?![0-9a-z_])", "und": r"(?<![0-9a-z_])und(?![0-9a-z_])", "que": r"(?<![0-9a-z_])que(?![0-9a-z_])"}
-
-
 @query("""WITH l AS (SELECT doc_id, lower(text) AS t FROM documents) SELECT doc_id, array_to_string(list_filter(['the', 'und', 'que'], lambda x: regexp_matches(t, '\\b' || x || '\\b')), ',') AS labels,
  CASE WHEN regexp_matches(t, '\\b(the|und|que)\\b') THEN 'pass' ELSE 'no_keyword' END AS route FROM l""")
 def pf12_pf13_keyword_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
