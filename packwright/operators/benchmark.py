@@ -72,9 +72,9 @@ def score_array(actual: Column, gold: Column) -> Column:
 
 
 def score_value(actual: Column, gold: Column, kind: str) -> Column:
-    """Dispatch by the field's declared kind: string, number, boolean or array."""
+    """Dispatch by the field's declared kind: string, number, boolean, array, or object (as JSON text)."""
     unknown = all_unknown if kind == "array" else lambda c: c.isNull() if kind in ("number", "boolean") else F.coalesce(is_unknown(c), F.lit(True))
-    compare = {"string": score_string, "number": score_number, "array": score_array, "boolean": lambda a, g: F.when(a == g, 1.0).otherwise(0.0)}[kind]
+    compare = {"string": score_string, "number": score_number, "array": score_array, "boolean": lambda a, g: F.when(a == g, 1.0).otherwise(0.0), "object": lambda a, g: token_jaccard(normalized_text(a), normalized_text(g))}[kind]
     a, g = F.coalesce(unknown(actual), F.lit(True)), F.coalesce(unknown(gold), F.lit(True))
     return F.when(a & g, 1.0).when(g, OVERFILLED).when(a, 0.0).otherwise(compare(actual, gold))
 

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from packwright.functions.text import half_up
-from packwright.operators.benchmark import score_array, score_number, score_string
+from packwright.operators.benchmark import OVERFILLED, all_unknown, is_unknown, score_array, score_number, score_string
 from packwright.operators.enrichment import filled_default
 from packwright.operators.validation import Record, capital_errors, company_errors, flatten_company
 
@@ -81,16 +81,15 @@ def as_number(value: Column, default: float) -> Column:
 def field_scores(actual: Column, gold: Column, of: Preset) -> Column:
     """path, weight and score of each compared field of two JSON records; the kinds are those of the preset."""
     a, g = Record(actual), Record(gold)
-    unset = ("", "unknown", "null")
 
     def one(path: str, kind: str, weight: int) -> Column:
         if kind == "array":
             texts = lambda r: F.coalesce(F.from_json(F.when(r.kind(path) == "ARRAY", r.json(path)), "array<string>"), F.array().cast("array<string>"))
-            missing_a, missing_g, score = F.size(texts(a)) == 0, F.size(texts(g)) == 0, score_array(texts(a), texts(g))
+            missing_a, missing_g, score = all_unknown(texts(a)), all_unknown(texts(g)), score_array(texts(a), texts(g))
         else:
-            missing_a, missing_g = (F.lower(F.trim(F.coalesce(r.text(path), F.lit("")))).isin(*unset) for r in (a, g))
+            missing_a, missing_g = (F.coalesce(is_unknown(r.text(path)), F.lit(True)) for r in (a, g))
             score = {"string": lambda: score_string(a.text(path), g.text(path)), "number": lambda: score_number(a.number(path), g.number(path)), "boolean": lambda: F.when(a.text(path) == g.text(path), 1.0).otherwise(0.0)}[kind]()
-        value = F.when(missing_a & missing_g, 1.0).when(missing_g, 0.45).when(missing_a, 0.0).otherwise(score)
+        value = F.when(missing_a & missing_g, 1.0).when(missing_g, OVERFILLED).when(missing_a, 0.0).otherwise(score)
         return F.struct(F.lit(path).alias("path"), F.lit(weight).alias("weight"), value.alias("score"))
 
     return F.array(*[one(*f) for f in of.fields])

@@ -3,7 +3,7 @@
 import duckdb
 import pytest
 
-from packwright.plans import page_queries, run_queries  # noqa: F401
+from packwright.plans import document_queries, page_queries, record_queries, run_queries  # noqa: F401
 from packwright.plans.registry import QUERIES, SQL
 
 SF = "/root/testdata/sf0.001"
@@ -25,10 +25,17 @@ def rows(frame):
 
 @pytest.mark.parametrize("name", sorted(SQL))
 def test_query_equals_sql(spark, duck, name):
-    assert rows(QUERIES[name](spark, SF).toPandas()) == rows(duck.execute(SQL[name]).df())
+    got = rows(QUERIES[name](spark, SF).toPandas())
+    assert got == rows(duck.execute(SQL[name]).df()) and got[1]
 
 
-@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(SQL)))
-def test_query_without_sql_runs(spark, name):
-    frame = QUERIES[name](spark, SF)
-    assert frame.columns and frame.count() >= 0
+def test_frontier_equals_plain_fold(spark):
+    """The query without SQL against a loop over seeds and links."""
+    assert sorted(set(QUERIES) - set(SQL)) == ["w7_frontier"]
+    from packwright.operators.source import frontier
+
+    seeds = spark.createDataFrame([(1, 0, "https://a.test/"), (1, 1, "https://www.a.test/contact/"), (2, 0, "https://b.test")], "row_index long, position int, url string")
+    links = ["https://a.test/contact", "https://a.test/team", "https://a.test/x.png", "https://other.test/", "https://a.test/about#x", "https://a.test/zzz", "https://a.test/about"]
+    found = spark.createDataFrame([(1, "homepage", "a.test", "https://a.test", "https://a.test/", links), (2, "contact", "b.test", "", "https://b.test/", ["https://b.test/team"])], "row_index long, family string, domain string, website_url string, page_url string, links array<string>")
+    got = {(r["row_index"], r["phase"], r["url"]) for r in frontier(seeds, found, 2).collect()}
+    assert got == {(1, 0, "https://a.test/"), (1, 0, "https://www.a.test/contact/"), (2, 0, "https://b.test"), (1, 1, "https://a.test/about"), (1, 1, "https://a.test/team")}
