@@ -18,17 +18,32 @@ def page_stream(spark: SparkSession, folder: str, schema, files_a_batch: int = 6
 
 
 def start_results(pages: DataFrame, transform: Callable[[DataFrame], DataFrame], out: str, checkpoint: str, key: str = "company"):
-    """Starts a query that appends ``transform`` of each batch to ``out``, one folder a batch.
+    """Starts a query that keeps ``transform`` of all pages so far, for each key that a batch brings pages of.
 
-    A batch that runs again replaces its own folder, so each key's rows are written once.
+    What ``transform`` says of a key depends on all its pages (lines repeated over a site, duplicates, a
+    budget), and these may come in several batches.  So pages are stored by batch, and a batch works on
+    all stored pages of its keys; ``latest_results`` takes each key's rows from the last batch that had
+    it.  A batch that runs again replaces its own folders, and later batches never read later pages.
     """
 
     def write(batch: DataFrame, number: int) -> None:
-        transform(batch).write.mode("overwrite").parquet(f"{out}/batch={number}")
+        spark = batch.sparkSession
+        batch.write.mode("overwrite").parquet(f"{out}/pages/batch={number}")
+        stored = spark.read.schema(f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in batch.schema.fields)}, batch long").parquet(f"{out}/pages").where(F.col("batch") <= number)
+        keys = stored.where(F.col("batch") == number).select(key).distinct()
+        own = stored.join(keys, key, "left_semi").drop("batch")
+        transform(own).write.mode("overwrite").parquet(f"{out}/results/batch={number}")
 
     return pages.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(write).start()
 
 
+def latest_results(spark: SparkSession, out: str, key: str = "company") -> DataFrame:
+    """The results of a stream: of each key, the rows of the last batch that had it."""
+    rows = spark.read.parquet(f"{out}/results")
+    last = rows.groupBy(key).agg(F.max("batch").alias("batch"))
+    return rows.join(last, [key, "batch"], "left_semi").drop("batch")
+
+
 def remaining_cases(spark: SparkSession, cases: DataFrame, done: str) -> DataFrame:
     """Resume: the cases that have no row in the results yet."""
     return to_call(cases, spark.read.parquet(done).select("case_id").distinct())
