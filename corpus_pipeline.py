@@ -8,7 +8,9 @@ bpe          encodes the texts and decodes them again: counts and digests
 
 The first four return the columns of documents.  A stage's rows are written as Parquet and read
 again as the next one's.  Null texts go in the first stage, as they have no language; null doc_ids
-are kept; repeated rows are the same document and stay repeated; empty tables pass all stages.
+are kept; repeated rows are the same document and stay repeated, and so are two texts of one doc_id,
+which stay or go together; very long texts pass whole; extra columns stay as they are, whatever their
+names, up to the last stage; empty tables pass all stages.
 """
 
 from __future__ import annotations
