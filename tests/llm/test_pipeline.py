@@ -5,6 +5,8 @@ import random
 
 import corpus_pipeline
 import pytest
+from pyspark.sql import functions as F
+
 from packwright.llm.bpe import ByteBpe
 
 SECRET = "0123456789abcdef0123456789abcdef01234567"
@@ -51,3 +53,24 @@ def test_empty_table(spark, folder):
     docs = spark.read.parquet(f"{folder[0]}/documents.parquet").limit(0)
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, docs, folder[0]).count() == 0
+
+
+def test_null_ids_repeated_rows_clashing_columns_and_long_texts(spark, folder, tmp_path):
+    """Edge rows pass every stage: what stays is whole, and extra columns keep their values."""
+    docs = spark.read.parquet(f"{folder[0]}/documents.parquet")
+    text = docs.where("doc_id = 7").first()["text"]
+    long = " ".join(f"{w}{i}" if i % 9 == 0 else w for i, w in enumerate((docs.where("doc_id = 9").first()["text"] + " ") .split(" ") * 2500))
+    rows = [(None, text + " extra words here", "aa", "s", 1, 0.25, "x"), (300, text, "aa", "s", 1, 0.5, "y"), (7, text, "aa", "s", 1, 0.75, "z"), (7, text, "aa", "s", 1, 0.75, "z"), (301, long, "aa", "s", 1, 1.0, "w"), (302, "", "aa", "s", 0, 1.0, "v")]
+    edge = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, score double, spans string")
+    learned = docs.withColumn("score", F.lit(0.0)).withColumn("spans", F.lit("")).unionByName(edge)
+    assert len(long) > 1_000_000
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, learned, folder[0]).where("score > 0" if name != "bpe" else "doc_id = 301 OR doc_id = 7 OR doc_id = 300 OR doc_id IS NULL").collect()
+        if name == "language":
+            assert sorted((r["doc_id"] or 0, r["score"]) for r in out) == [(0, 0.25), (7, 0.75), (7, 0.75), (300, 0.5), (301, 1.0)]
+        elif name == "near_dedup":
+            assert sorted((r["doc_id"] or 0, r["spans"]) for r in out) == [(0, "x"), (7, "z"), (7, "z"), (301, "w"), (302, "v")]
+        elif name == "secrets":
+            assert {r["doc_id"]: r["text"] for r in out}[301] == long
+        elif name == "bpe":
+            assert {r["doc_id"]: r["decoded_sha256"] for r in out}[301] == hashlib.sha256(long.encode()).hexdigest()
