@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from packwright.functions.text import bound, canonical_url, domain_to_url, first_url_like, host_of, normalize_domain, origin_url, page_path_of, text_or_empty
+from packwright.functions.text import bound, canonical_url, compact, domain_to_url, first_url_like, host_of, normalize_domain, origin_url, page_path_of, text_or_empty
 
 # ---- Fixed values of the contract ----
 REQUIRED = ("source_record_id", "company_name", "domain", "website_url")
@@ -14,6 +14,14 @@ REPORTED_ISSUES = 20
 NOT_A_PAGE = r"(?i)\.(?:png|jpe?g|gif|webp|svg|ico|css|js|mjs|map|json|xml|txt|woff2?|ttf|eot|zip|gz|tar|mp4|mov|avi|mp3|wav)(?:\z|\?)"
 PATH_TIERS = ((r"contact|location|office|address", 0), (r"about|company|who-we-are", 1), (r"team|people|leadership|partner", 2), (r"portfolio|companies|investment|strategy|approach|capital|family-office", 3))
 OTHER_TIER, INVALID_TIER = 10, 99
+ENTITY_TEXTS = ("source_record_id", "company_name", "legal_name", "description", "industry_primary", "investor_type", "classification_notes", "city", "state", "region", "country", "latitude", "longitude", "location_json", "phone_number", "company_emails_all", "employee_count_range", "employee_count", "founded_year", "revenue_range", "total_revenue", "final_contact_count", "rank_1_contact_count", "rank_2_contact_count", "corporate_priority_contact_count")
+ENTITY_COLUMNS = (
+    "run_id", "row_index", "source_record_id", "company_name", "legal_name", "domain", "website_url", "status", "successful_sources", "failed_sources", "source_count", "logo_url", "logo_source", "favicon_url", "favicon_source", "full_address", "postal_code", "address_source", "address_confidence",
+    "city", "state", "country", "latitude", "longitude", "phone_number", "company_emails_all", "linkedin_url", "description", "industry_primary", "investor_type", "classification_notes", "employee_count_range", "employee_count", "founded_year", "revenue_range", "total_revenue", "final_contact_count",
+    "rank_1_contact_count", "rank_2_contact_count", "corporate_priority_contact_count", "source_context", "source_evidence",
+)
+SOURCE_COLUMNS = ("run_id", "row_index", "company_name", "domain", "source_type", "source_family", "reason", "requested_url", "final_url", "page_name", "page_path", "fetch_status", "http_status", "title", "markdown_chars", "text_chars", "markdown_file", "error", "got", "logo_candidates", "favicon_candidates")
+LONGEST = {"description": 800, "classification_notes": 700}
 DISCOVERING = ("homepage", "domain_root", "domain_variant")
 # --------------------------------------
 
@@ -58,7 +66,7 @@ def entities(rows: DataFrame, aliases: dict[str, tuple[str, ...]] | None = None)
 
     aliases: for each output column the input columns to take the first non-blank value of.
     """
-    aliases = {"domain": ("domain", "normalized_domain", "website_url"), "state": ("state", "region"), "description": ("description", "company_overview"), "industry_primary": ("industry_primary", "industry_raw")} | (aliases or {})
+    aliases = {"domain": ("domain", "normalized_domain", "website_url"), "state": ("state", "region"), "description": ("description", "company_overview"), "industry_primary": ("industry_primary", "industry_raw"), "investor_type": ("INVESTOR_TYPE", "investor_type"), "classification_notes": ("CLASSIFICATION_NOTES", "classification_notes")} | (aliases or {})
 
     def first_of(name: str) -> Column:
         own = [text_or_empty(F.col(c)) for c in aliases.get(name, (name,)) if c in rows.columns]
@@ -66,11 +74,17 @@ def entities(rows: DataFrame, aliases: dict[str, tuple[str, ...]] | None = None)
 
     domain = normalize_domain(first_of("domain"))
     url = F.coalesce(F.nullif(first_url_like(first_of("website_url")), F.lit("")), domain_to_url(domain))
-    texts = [first_of(c).alias(c) for c in ("source_record_id", "company_name", "legal_name", "description", "industry_primary", "city", "state", "country", "logo_url")]
+    texts = [first_of(c).alias(c) for c in ENTITY_TEXTS] + [first_url_like(first_of(c)).alias(n) for c, n in (("logo_url", "csv_logo_url"), ("linkedin_url", "linkedin_url"))]
     out = rows.select("row_index", *texts, domain.alias("domain"), url.alias("website_url"), source_context(rows.columns).alias("source_context"))
     return out.where("domain <> '' OR website_url <> '' OR company_name <> ''")
 
 
+def projected(rows: DataFrame, columns: tuple[str, ...]) -> DataFrame:
+    """The columns of a wide table in their order; those that ``rows`` lacks are empty, long texts are cut."""
+    cut_to = lambda c: compact(F.col(c), LONGEST[c]).alias(c) if c in LONGEST else F.col(c)
+    return rows.select(*[cut_to(c) if c in rows.columns else F.lit("").alias(c) for c in columns])
+
+
 def sliced(rows: DataFrame, order: str, offset: int = 0, limit: int = 0) -> DataFrame:
     """Rows from ``offset``, at most ``limit`` (0: all)."""
     out = rows.orderBy(order).offset(offset)
@@ -133,9 +147,9 @@ def frontier(seeds: DataFrame, discovered: DataFrame, most_links: int = 0) -> Da
 
 
 def entity_summary(sources: DataFrame, salts: int = 16) -> DataFrame:
-    """Counts of each company's sources, the best logo and favicon, and its first four evidence URLs.
+    """Counts of each company's sources, the best logo and favicon, and its first four good sources as evidence.
 
-    sources: row_index, position, status, url, logo_candidates, favicon_candidates.  The first four of
+    sources: row_index, position, status, family, url, logo_candidates, favicon_candidates.  The first four of
     ``salts`` parts of a company come before the first four of all, so no company meets in one task.
     """
     first = lambda c: F.min(F.when(F.size(c) > 0, F.struct("position", F.col(c)[0].alias("url"))))["url"]
@@ -145,10 +159,11 @@ def entity_summary(sources: DataFrame, salts: int = 16) -> DataFrame:
         F.count("*").alias("sources"), F.count_if(F.col("status") == "ok").alias("source_ok"), F.count_if(F.col("status") != "ok").alias("source_failed"),
         first("logo_candidates").alias("logo_url"), first("favicon_candidates").alias("favicon_url"),
     )
-    early = part.select("row_index", "_part", "position", "url").withColumn("_n", F.row_number().over(Window.partitionBy("row_index", "_part").orderBy("position"))).where("_n <= 4")
+    label = F.concat(F.col("family"), F.lit(": "), F.col("url")).alias("url")
+    early = part.where(F.col("status") == "ok").select("row_index", "_part", "position", label).withColumn("_n", F.row_number().over(Window.partitionBy("row_index", "_part").orderBy("position"))).where("_n <= 4")
     early = early.withColumn("_n", F.row_number().over(Window.partitionBy("row_index").orderBy("position"))).where("_n <= 4")
     evidence = early.groupBy("row_index").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("position", "url"))), lambda x: x["url"]), " | ").alias("evidence"))
-    return counts.join(evidence, "row_index")
+    return counts.join(evidence, "row_index", "left").withColumn("evidence", F.coalesce("evidence", F.lit("")))
 
 
 def asset_choice(csv_logo: Column, scraped_logo: Column, scraped_icon: Column, website_url: Column, domain: Column) -> Column:

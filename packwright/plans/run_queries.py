@@ -92,22 +92,36 @@ def w7_frontier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return source.frontier(pages.select("row_index", "position", "url"), found, 20)
 
 
-@query("""WITH s AS (SELECT user_id AS row_index, event_id AS position, event_type <> 'error' AS good, event_id FROM events)
+@query("""WITH s AS (SELECT user_id AS row_index, event_id, event_type, event_type <> 'error' AS good, row_number() OVER (PARTITION BY user_id, event_type <> 'error' ORDER BY event_id) AS n FROM events)
 SELECT row_index, count(*) AS sources, CAST(count(*) FILTER (good) AS BIGINT) AS source_ok, CAST(count(*) FILTER (NOT good) AS BIGINT) AS source_failed,
- string_agg(CAST(event_id AS VARCHAR), ' | ' ORDER BY position) FILTER (n <= 4) AS evidence FROM (SELECT *, row_number() OVER (PARTITION BY row_index ORDER BY position) AS n FROM s) GROUP BY row_index""")
+ coalesce(string_agg(event_type || ': ' || event_id, ' | ' ORDER BY event_id) FILTER (good AND n <= 4), '') AS evidence, 'l' || min(event_id) FILTER (event_id % 3 = 0) AS logo_url FROM s GROUP BY row_index""")
 def ag6_entity_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = table(spark, sf_dir, "events")
+    """Events as the sources of their users; some have a logo."""
+    e = texts(spark, sf_dir, "events")
     none = F.array().cast("array<string>")
-    sources = e.select(F.col("user_id").alias("row_index"), F.col("event_id").alias("position"), F.when(F.col("event_type") != "error", "ok").otherwise("failed").alias("status"), F.col("event_id").cast("string").alias("url"), none.alias("logo_candidates"), none.alias("favicon_candidates"))
-    return source.entity_summary(sources).select("row_index", "sources", "source_ok", "source_failed", "evidence")
+    logo = F.when(F.col("event_id") % 3 == 0, F.array(F.concat(F.lit("l"), F.col("event_id").cast("string")))).otherwise(none)
+    sources = e.select(F.col("user_id").alias("row_index"), F.col("event_id").alias("position"), F.when(F.col("event_type") != "error", "ok").otherwise("failed").alias("status"), F.col("event_type").alias("family"), F.col("event_id").cast("string").alias("url"), logo.alias("logo_candidates"), none.alias("favicon_candidates"))
+    return source.entity_summary(sources).select("row_index", "sources", "source_ok", "source_failed", "evidence", "logo_url")
 
 
 @query("""WITH s AS (SELECT user_id, count(*) FILTER (event_type <> 'error') AS good, count(*) FILTER (event_type = 'error') AS bad FROM events GROUP BY user_id)
-SELECT count(*) AS completed, count(*) FILTER (good > 0) AS successful, count(*) FILTER (good = 0 AND bad > 0) AS failed, CAST(sum(good) AS BIGINT) AS source_ok, CAST(sum(bad) AS BIGINT) AS source_failed FROM s""")
+SELECT count(*) AS completed, count(*) FILTER (good > 0) AS successful, count(*) FILTER (good = 0 AND bad > 0) AS failed, count(*) FILTER (good = 0 AND bad = 0) AS empty, CAST(sum(good) AS BIGINT) AS source_ok, CAST(sum(bad) AS BIGINT) AS source_failed,
+ count(*) FILTER (user_id % 2 = 0) AS logos, count(*) FILTER (user_id % 3 = 0) AS favicons, count(*) FILTER (user_id % 5 = 0) AS addresses, count(*) FILTER (user_id % 7 = 0) AS postal_codes FROM s""")
 def ag5_crawl_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All counters of a run; users stand for companies, some with a logo, an icon, an address, a postal code."""
     e = table(spark, sf_dir, "events").groupBy("user_id").agg(F.count_if(F.col("event_type") != "error").alias("source_ok"), F.count_if(F.col("event_type") == "error").alias("source_failed"))
-    results = e.withColumn("logo_url", F.lit("")).withColumn("favicon_url", F.lit(""))
-    return source.crawl_counters(results).select("completed", "successful", "failed", "source_ok", "source_failed")
+    some = lambda n: F.when(F.col("user_id") % n == 0, "x").otherwise("")
+    return source.crawl_counters(e.select("*", some(2).alias("logo_url"), some(3).alias("favicon_url"), some(5).alias("full_address"), some(7).alias("postal_code")))
+
+
+@query(f"""SELECT row_index, 'r1' AS run_id, trim(company_name) AS company_name, {_DOMAIN} AS domain, repeat('d', 797) || '...' AS description, '' AS logo_url, CAST(42 AS BIGINT) AS entity_columns, CAST(21 AS BIGINT) AS source_columns
+FROM ({SQL_CSV}) WHERE trim(company_name) <> '' OR ({_DOMAIN}) <> '' OR ({_URL.format(d=_DOMAIN)}) <> ''""")
+def io13_wide_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The wide tables of entities and sources: all columns, in order, whatever the rows have."""
+    rows = source.entities(company_list(spark, sf_dir).withColumn("company_overview", F.repeat(F.lit("d"), 900)))
+    wide, sources = source.projected(rows.withColumn("run_id", F.lit("r1")), source.ENTITY_COLUMNS), source.projected(rows, source.SOURCE_COLUMNS)
+    sizes = F.lit(len(wide.columns)).cast("long").alias("entity_columns"), F.lit(len(sources.columns)).cast("long").alias("source_columns")
+    return wide.select("row_index", "run_id", "company_name", "domain", "description", "logo_url", *sizes)
 
 
 @query("""WITH t AS (SELECT user_id AS row_index, event_id AS position, coalesce(sum(CAST(floor(abs(value)) AS BIGINT)) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS spent FROM events)
