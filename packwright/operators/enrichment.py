@@ -119,6 +119,8 @@ def message_text(content: Column, joiner: str = "\n") -> Column:
     return F.when(content.rlike(r"^\s*\["), joined).otherwise(plain)
 
 
-def recent_rows(rows: DataFrame, key: str, order: str, n: int = 80) -> DataFrame:
-    """The latest n rows of each key, latest first."""
-    return rows.withColumn("recent", F.row_number().over(Window.partitionBy(key).orderBy(F.desc(order)))).where(F.col("recent") <= n)
+def recent_rows(rows: DataFrame, key: str, order: str, n: int = 80, salts: int = 16) -> DataFrame:
+    """The latest n rows of each key, latest first; of ``salts`` parts of a key first, so that no key meets in one task."""
+    last = lambda *keys: F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc(order)))
+    few = rows.withColumn("recent", last(key, F.pmod(F.hash(order), F.lit(salts)))).where(F.col("recent") <= n)
+    return few.withColumn("recent", last(key)).where(F.col("recent") <= n)

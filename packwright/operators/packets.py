@@ -251,16 +251,20 @@ def run_quality(quality: DataFrame) -> DataFrame:
     )
 
 
-def company_contacts(final: DataFrame, kind: str, limit: int) -> DataFrame:
+def company_contacts(final: DataFrame, kind: str, limit: int, salts: int = 16) -> DataFrame:
     """company, values: the first distinct ``emails`` or ``phones`` of kept pages, and of all pages where those have none.
 
-    First occurrences are least (page, place) by value, so nothing but values is shuffled.
+    First occurrences are least (page, place) by value, so nothing but values is shuffled; the first of
+    ``salts`` parts of a company come before the first of all, so its values never meet in one task.
     """
     extract = {"emails": emails, "phones": phones}[kind]
     seen = final.select("company", "pos", F.col("keep").cast("int").alias("kept"), F.posexplode(F.array_distinct(F.when(F.col("keep"), F.concat(extract(F.coalesce("clean_text", F.lit(""))))).otherwise(extract(F.coalesce("body", F.lit("")))))).alias("place", "value"))
     every = final.where("keep").select("company", "pos", F.lit(0).alias("kept"), F.posexplode(extract(F.coalesce("body", F.lit("")))).alias("place", "value"))
     first = seen.unionByName(every).groupBy("company", "kept", "value").agg(F.min(F.struct("pos", "place")).alias("at"))
-    ranked = first.withColumn("rank", F.row_number().over(Window.partitionBy("company").orderBy(F.desc("kept"), "at"))).withColumn("any_kept", F.max("kept").over(Window.partitionBy("company")))
+    part = Window.partitionBy("company", F.pmod(F.hash("value"), F.lit(salts))).orderBy(F.desc("kept"), "at")
+    few = first.withColumn("rank", F.row_number().over(part)).where(F.col("rank") <= limit)
+    whole = Window.partitionBy("company")
+    ranked = few.withColumn("rank", F.row_number().over(whole.orderBy(F.desc("kept"), "at"))).withColumn("any_kept", F.max("kept").over(whole))
     chosen = ranked.where("kept = any_kept").where(F.col("rank") <= limit)
     return chosen.groupBy("company").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "value"))), lambda x: x["value"]).alias("values"))
 
