@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 #: Parameter of all operators that encode: where the public vocabulary lies.
 BYTE_BPE = "byte_bpe_50k.json"
+WORD_BPE = "word_bpe_49k.json"
 
 
 def vocabulary_path(name: str = BYTE_BPE) -> str:
@@ -80,6 +81,24 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(table(spark, sf_dir, "pages"))
 
 
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .fill_in_middle import middle_digests
+
+    return middle_digests(table(spark, sf_dir, "documents"))
+
+
+def op12_binary_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .packing import packed
+
+    return packed(table(spark, sf_dir, "documents"), vocabulary_path(WORD_BPE))
+
+
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .collocations import collocations
+
+    return collocations(table(spark, sf_dir, "documents"))
+
+
 # ---- The columns of these operators that SQL can express, over the same whole tables ----
 
 
@@ -111,14 +130,14 @@ def url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op10_url_filter(spark, sf_dir).selectExpr("page_id", "host", "path", "rule", "CASE WHEN rule IS NOT NULL THEN verdict END AS rule_verdict")
 
 
-_OPERATORS = (op1_language_id, op2_decontaminate, op3_token_counts, op4_bpe_round_trip, op5_arc_to_warc, op6_quality_rules, op7_secret_scan, op8_token_files, op9_near_dedup, op10_url_filter)
+_OPERATORS = (op1_language_id, op2_decontaminate, op3_token_counts, op4_bpe_round_trip, op5_arc_to_warc, op6_quality_rules, op7_secret_scan, op8_token_files, op9_near_dedup, op10_url_filter, op11_fill_in_middle, op12_binary_packing, op13_collocations)
 _COLUMNS = (language_id_split, archive_records, quality_base_counts, secret_base_counts, near_dedup_exact_copies, url_rules)
 QUERIES = {f.__name__: f for f in (*_OPERATORS, *_COLUMNS)}
 
 _WORD = "[^\\x20\\x09-\\x0D]+"
 _CRC_STEP = "list_reduce(list_prepend(xor(h, c), [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[]), lambda x, z: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END)"
 
-#: SQL of the queries of ``_COLUMNS``; what the dealt methods add to them is no SQL and is tested against brute force.
+#: SQL of op11, op13 and the queries of ``_COLUMNS``; what the other dealt methods add to them is no SQL and is tested against brute force.
 SQL: dict[str, str] = {
     "language_id_split": f"""SELECT doc_id, xor(list_reduce(list_prepend(4294967295, list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda c: CAST(unicode(c) AS BIGINT))), lambda h, c: {_CRC_STEP}), 4294967295) % 5 = 0 AS held_out,
  text IS NULL OR NOT regexp_matches(text, '\\pL') AS undetermined FROM documents""",
@@ -142,4 +161,21 @@ FROM documents WHERE regexp_matches(text, '[^\x20\x09-\x0D]') GROUP BY 1""",
  h AS (SELECT page_id, translate(host, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, path FROM u), r(rhost, rpath, rverdict) AS (VALUES ('com', '/', 'allow'), ('example.com', '/en/', 'block'), ('www.example.com', '/en/', 'allow'), ('net', '/es/', 'block'), ('net', '/fr/', 'block'))
 SELECT page_id, host, path, rhost || rpath AS rule, rverdict AS rule_verdict FROM h LEFT JOIN r ON (host = rhost OR ends_with(host, '.' || rhost)) AND starts_with(path, rpath)
 QUALIFY row_number() OVER (PARTITION BY page_id ORDER BY length(rhost || rpath) DESC NULLS LAST) = 1""",
+    "op11_fill_in_middle": """WITH d AS (SELECT doc_id, coalesce(text, '') AS t, sha256('1:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents),
+ g AS (SELECT doc_id, t, CAST(length(t) AS BIGINT) AS n, CAST('0x' || substr(h, 1, 8) AS BIGINT) AS h1, CAST('0x' || substr(h, 9, 8) AS BIGINT) AS h2, CAST('0x' || substr(h, 17, 8) AS BIGINT) AS h3, CAST('0x' || substr(h, 25, 8) AS BIGINT) AS h4 FROM d),
+ c AS (SELECT doc_id, t, n, least(h1 % (n + 1), h2 % (n + 1)) AS a, greatest(h1 % (n + 1), h2 % (n + 1)) AS b,
+  CASE WHEN n = 0 OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h3 % 100 >= 90 THEN 'plain' WHEN h4 % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM g),
+ p AS (SELECT *, substr(t, 1, a) AS prefix, substr(t, a + 1, b - a) AS middle, substr(t, b + 1) AS suffix FROM c)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN a END AS prefix_chars, CASE WHEN form <> 'plain' THEN b - a END AS middle_chars,
+ sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256, sha256(t) AS restored_sha256 FROM p""",
+    "op13_collocations": """WITH p AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+ w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS ws FROM p), t AS (SELECT lang, CAST(sum(len(ws)) AS BIGINT) AS n FROM w GROUP BY lang),
+ g AS (SELECT lang, k, unnest(list_transform(generate_series(1, len(ws) - k + 1), lambda i: array_to_string(ws[i:i + k - 1], ' '))) AS phrase FROM w, (VALUES (1), (2), (3), (4)) AS s(k)),
+ f AS (SELECT lang, k, phrase, count(*) AS a FROM g GROUP BY ALL HAVING count(*) >= 30),
+ c AS (SELECT *, unnest(generate_series(1, k - 1)) AS cut, string_split(phrase, ' ') AS ws FROM f WHERE k > 1),
+ s AS (SELECT c.lang, c.k, c.phrase, c.a, cut, x.a AS l, y.a AS r, (CAST(c.a AS HUGEINT) * 2000000) // (CAST(x.a AS HUGEINT) + y.a) AS score FROM c JOIN f AS x ON x.lang = c.lang AND x.phrase = array_to_string(ws[1:cut], ' ') JOIN f AS y ON y.lang = c.lang AND y.phrase = array_to_string(ws[cut + 1:], ' ')),
+ m AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1),
+ e AS (SELECT DISTINCT m.lang, m.phrase FROM m JOIN (SELECT lang, a, unnest([array_to_string(ws[1:k - 1], ' '), array_to_string(ws[2:], ' ')]) AS phrase FROM c WHERE k > 2 AND cut = 1) AS q ON q.lang = m.lang AND q.phrase = m.phrase AND 100 * CAST(q.a AS HUGEINT) >= 80 * CAST(m.a AS HUGEINT))
+SELECT m.lang, row_number() OVER (PARTITION BY m.lang ORDER BY score DESC, m.a DESC, encode(m.phrase)) AS rank, m.phrase, m.a, m.l, m.r, t.n, CAST(score AS BIGINT) AS score FROM m JOIN t ON t.lang = m.lang ANTI JOIN e ON e.lang = m.lang AND e.phrase = m.phrase
+QUALIFY rank <= 2000""",
 }
