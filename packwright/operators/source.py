@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from packwright.functions.text import bound, canonical_url, compact, domain_to_url, first_url_like, host_of, normalize_domain, origin_url, page_path_of, text_or_empty
+from packwright.sources.staging import staged
 
 # ---- Fixed values of the contract ----
 REQUIRED = ("source_record_id", "company_name", "domain", "website_url")
@@ -26,14 +27,23 @@ DISCOVERING = ("homepage", "domain_root", "domain_variant")
 # --------------------------------------
 
 
-def with_row_index(rows: DataFrame, order: str) -> DataFrame:
-    """Adds row_index (0-based, by ``order``) without moving all rows to one task: counts by range partition first."""
-    ranged = rows.repartitionByRange(order).withColumn("_part", F.spark_partition_id())
-    inside = Window.partitionBy("_part").orderBy(order)
-    numbered = ranged.withColumn("_at", F.row_number().over(inside) - 1)
-    sizes = ranged.groupBy("_part").agg(F.count("*").alias("_n"))
+def with_row_index(rows: DataFrame, order: str | Column) -> DataFrame:
+    """Adds row_index (0-based, by ``order``) without moving all rows to one task.
+
+    Rows are dealt by range and sorted, and written once with their part and place; counting and numbering
+    read that table, so both see the same parts.  Rows of equal order are told apart by their place in the
+    input, so any number of them is dealt to many tasks.
+    """
+    by = F.col(order) if isinstance(order, str) else order
+    keyed = rows.withColumn("_order", by).withColumn("_seq", F.monotonically_increasing_id())
+    # the id's high bits are the task, its low 33 bits the place in it
+    ranged = keyed.repartitionByRange("_order", "_seq").sortWithinPartitions("_order", "_seq").drop("_order", "_seq").withColumn("_place", F.monotonically_increasing_id())
+    placed = staged(ranged, "ranked-rows").withColumn("_part", F.shiftright("_place", 33))
+    sizes = placed.groupBy("_part").agg(F.count("*").alias("_n"))
+    # one row a part: small enough for one task, and to be sent to all
     before = sizes.select("_part", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
-    return numbered.join(before, "_part").withColumn("row_index", (F.col("_at") + F.col("_before")).cast("long")).drop("_part", "_at", "_before")
+    numbered = placed.join(F.broadcast(before), "_part", "left")
+    return numbered.withColumn("row_index", F.col("_place").bitwiseAND((1 << 33) - 1) + F.col("_before")).select(*[F.col(f"`{c}`") for c in rows.columns if c != "row_index"], "row_index")
 
 
 def contract_issues(rows: DataFrame, required: tuple[str, ...] = REQUIRED) -> DataFrame:

@@ -6,20 +6,16 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-BYTE_ORDER_MARK = "﻿"
+from packwright.sources.csv_ranges import RANGE_BYTES, read_ranges
 
 
-def read_csv(spark: SparkSession, path: str) -> DataFrame:
+def read_csv(spark: SparkSession, path: str, range_bytes: int = RANGE_BYTES) -> DataFrame:
     """All columns as text, by the header; blank lines are skipped, short rows are filled with empty text.
 
-    Quotes double inside quotes and quoted values may hold line ends, so a file is one task's work; give
-    a large table as many files.  ``row_index`` counts the rows in file order.
+    Quotes double inside quotes and quoted values may hold line ends, as they stand; files are still read in
+    ranges of ``range_bytes`` by as many tasks.  ``row_index`` counts the rows in file order.
     """
-    from packwright.operators.source import with_row_index
-
-    rows = spark.read.option("header", True).option("multiLine", True).option("escape", '"').option("emptyValue", "").option("mode", "PERMISSIVE").option("encoding", "UTF-8").csv(path)
-    named = rows.select(*[F.coalesce(F.col(f"`{c}`"), F.lit("")).alias(c.lstrip(BYTE_ORDER_MARK)) for c in rows.columns])
-    return with_row_index(named.withColumn("_place", F.monotonically_increasing_id()), "_place").drop("_place")
+    return read_ranges(spark, path, range_bytes)
 
 
 def plain_text(value: Column, kind: T.DataType) -> Column:
@@ -41,7 +37,7 @@ def csv_lines(rows: DataFrame) -> DataFrame:
 def write_csv(rows: DataFrame, path: str) -> None:
     """CSV files with a header each; every column is there whatever the first row holds."""
     texts = [repaired(plain_text(F.col(f"`{f.name}`"), f.dataType)).alias(f.name) for f in rows.schema.fields]
-    rows.select(*texts).write.option("header", True).option("quote", '"').option("escape", '"').option("emptyValue", "").csv(path)
+    rows.select(*texts).write.option("header", True).option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).option("quote", '"').option("escape", '"').option("emptyValue", "").csv(path)
 
 
 def repaired(text: Column) -> Column:
