@@ -8,13 +8,13 @@ calibrated by a temperature on rows that the fit did not see.  A prediction uses
 
 Since a value is linear in the counts, predicting a text of any length is one table lookup for each
 of its n-grams.  The sums are of whole numbers (weights times 2**20), so equal texts have equal scores
-wherever they stand, and a long text is worked off in pieces.
+wherever they stand, and a long text is worked off in pieces, in the fit as well.
 
 The fit and the broadcast model take about 3 MB for each language at 2**16 buckets.
 
 Defined cases: a null text or one without a letter is ``und`` with score 0, and so is every text
 when there is nothing to learn from; equal scores take the first language by name; repeated rows
-repeat in the result; other columns pass through ``confident`` and are not read otherwise.
+repeat in the result; a null doc_id is neither learned from nor held out; other columns pass through ``confident`` and are not read otherwise.
 """
 
 from __future__ import annotations
@@ -26,22 +26,25 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from .textscan import CHUNK_BYTES, STARTS_CHAR, chunks, map_columns
+from .textscan import STARTS_CHAR, chunks, map_columns
 
 UNDETERMINED = "und"
+PIECE_BYTES = 1 << 17  # of a long text at a time
+_CONTEXT = 8  # code points that a piece sees of the one before; no order is longer
 _KEYS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93], np.uint64)
 
 
 @dataclass(frozen=True)
 class Fit:
-    """rows_per_language: bound of the labelled sample, sample_points: of what each of its texts gives; its calibrating part is never fitted on."""
+    """rows_per_language, sample_bytes: bounds of the labelled sample, in texts of each language and in bytes of all counts; its calibrating part is never fitted on."""
 
     orders: tuple[int, ...] = (1, 2, 3)
     bits: int = 16
     least_documents: int = 2
     rows_per_language: int = 800
-    sample_points: int = 1 << 14
+    sample_bytes: int = 1 << 27
     calibrating: float = 0.2
     epochs: int = 4
     alpha: float = 0.5
@@ -107,6 +110,27 @@ def buckets(points: np.ndarray, order: int, bits: int) -> np.ndarray:
     return (total * _KEYS[0] >> np.uint64(64 - bits)).astype(np.int64)
 
 
+def long_points(letters: Letters, data: np.ndarray, piece: int = PIECE_BYTES) -> Iterator[tuple[np.ndarray, np.ndarray, int]]:
+    """Folded code points of one text in pieces: those of each piece, the last few before it, and its number of letters."""
+    a, tail = 0, np.zeros(0, np.uint32)
+    while a < len(data):
+        b = min(len(data), a + piece)
+        while b < len(data) and not STARTS_CHAR[data[b]]:
+            b += 1
+        points, _, n_letters = letters.read(data[a:b], np.array([0, b - a]))
+        # the space that ``read`` puts before a row stands here only where the text has one
+        if a and (data[a:b][:4].tobytes().decode(errors="ignore")[:1].isalpha() or tail[-1:] == 32):
+            points = points[1:]
+        yield points, tail, int(n_letters[0])
+        tail = np.concatenate([tail, points[-_CONTEXT:]])[-_CONTEXT:]
+        a = b
+
+
+def piece_grams(points: np.ndarray, tail: np.ndarray, order: int, bits: int) -> np.ndarray:
+    """Buckets of the n-grams of a piece, those over the cut before it with it."""
+    return buckets(np.concatenate([tail[len(tail) - min(order - 1, len(tail)) :], points]), order, bits)
+
+
 def _row_grams(points: np.ndarray, rows: np.ndarray, options: Fit) -> Iterator[np.ndarray]:
     """All buckets of each row, every order."""
     grams = [buckets(points, order, options.bits) for order in options.orders]
@@ -127,8 +151,15 @@ def inverse_frequencies(texts: DataFrame, options: Fit) -> np.ndarray:
         letters, total, rows_seen, place = Letters(), np.zeros(size, np.int64), 0, np.zeros(size, np.int64)
         for batch in batches:
             for _, _, data, offsets in chunks(batch.column(0)):
+                rows_seen += len(offsets) - 1
+                if len(offsets) == 2 and len(data) > PIECE_BYTES:
+                    seen = np.zeros(size, bool)
+                    for points, tail, _ in long_points(letters, data):
+                        for order in options.orders:
+                            seen[piece_grams(points, tail, order, options.bits)] = True
+                    total += seen
+                    continue
                 points, rows, _ = letters.read(data, offsets)
-                rows_seen += len(rows) - 1
                 for grams in _row_grams(points, rows, options):
                     order = np.arange(len(grams))
                     place[grams] = order
@@ -146,7 +177,10 @@ def inverse_frequencies(texts: DataFrame, options: Fit) -> np.ndarray:
 
 
 def labelled_sample(rows: DataFrame, options: Fit) -> list[tuple[str, bool, np.ndarray, np.ndarray]]:
-    """(language, calibrating, buckets, shares) of a sample of the distinct rows(text, lang), about ``rows_per_language`` of each, and a short piece of each."""
+    """(language, calibrating, buckets, shares) of a sample of the distinct rows(text, lang), about ``rows_per_language`` of each, and of a short piece of each.
+
+    Whole texts are reduced to counts in the tasks; of each language an equal part of ``sample_bytes`` comes to the driver.
+    """
     counts = {r["lang"]: max(1, r["n"]) for r in rows.groupBy("lang").agg(F.approx_count_distinct(F.xxhash64("text")).alias("n")).collect()}
     if not counts:
         return []
@@ -155,31 +189,51 @@ def labelled_sample(rows: DataFrame, options: Fit) -> list[tuple[str, bool, np.n
     # copies share a hash, so they would all enter together
     sample = rows.where(at < share[F.col("lang")]).distinct()
 
+    def counted(lang: str, grams: np.ndarray, key: int) -> tuple:
+        found, n = np.unique(grams, return_counts=True)
+        return lang, found.astype(np.int32).tobytes(), (n / len(grams)).astype(np.float32).tobytes(), key
+
+    def long_counted(lang: str, letters: Letters, data: np.ndarray) -> list[tuple]:
+        total, out, any_letters, key = np.zeros(1 << options.bits, np.int64), [], False, 0
+        for points, tail, n_letters in long_points(letters, data):
+            any_letters |= n_letters > 0
+            for order in options.orders:
+                total += np.bincount(piece_grams(points, tail, order, options.bits), minlength=len(total))
+            if not len(tail) and len(points) > 200:
+                spot = int(points.sum(dtype=np.int64)) % (len(points) - 200)
+                short = np.concatenate([buckets(points[spot : spot + 200], order, options.bits) for order in options.orders])
+                key = int(short[:50].sum())
+                out.append(counted(lang, short, key))
+        found = np.flatnonzero(total)
+        out.append((lang, found.astype(np.int32).tobytes(), (total[found] / total.sum()).astype(np.float32).tobytes(), key))
+        return out if any_letters else []
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         letters = Letters()
         for batch in batches:
             langs = batch.column(0).to_pylist()
-            for at, _, data, offsets in chunks(batch.column(1)):
-                points, rows, n_letters = letters.read(data, offsets)
+            for at, end, data, offsets in chunks(batch.column(1)):
                 out = []
-                for i, (a, b) in enumerate(zip(rows[:-1].tolist(), rows[1:].tolist())):
-                    if not n_letters[i]:
-                        continue
-                    place = int(points[a:b].sum(dtype=np.int64))  # any fixed place
-                    spot = a + place % (b - a)
-                    piece = points[spot : min(b, spot + 40 + spot % 160)]
-                    if b - a > options.sample_points:
-                        a += place % (b - a - options.sample_points + 1)
-                        b = a + options.sample_points
-                    grams, short = (np.concatenate([buckets(p, order, options.bits) for order in options.orders]) for p in (points[a:b], piece))
-                    for own in (grams, short):
-                        found, n = np.unique(own, return_counts=True)
-                        if len(found):
-                            out.append((langs[at + i], found.astype(np.int32).tobytes(), (n / len(own)).astype(np.float32).tobytes(), int(grams[:50].sum())))
+                if end == at + 1 and len(data) > PIECE_BYTES:
+                    out = long_counted(langs[at], letters, data)
+                else:
+                    points, rows, n_letters = letters.read(data, offsets)
+                    for i, (a, b) in enumerate(zip(rows[:-1].tolist(), rows[1:].tolist())):
+                        if not n_letters[i]:
+                            continue
+                        spot = a + int(points[a:b].sum(dtype=np.int64)) % (b - a)  # any fixed place
+                        piece = points[spot : min(b, spot + 40 + spot % 160)]
+                        grams, short = (np.concatenate([buckets(p, order, options.bits) for order in options.orders]) for p in (points[a:b], piece))
+                        out += [counted(langs[at + i], own, int(grams[:50].sum())) for own in (grams, short) if len(own)]
                 if out:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.string(), pa.binary(), pa.binary(), pa.int64()))], ["lang", "bucket", "share", "key"])
 
-    found = map_columns(sample, ["lang", "text"], run, "lang string, bucket binary, share binary, key long").orderBy("key", "lang", "bucket").collect()
+    rows_found = map_columns(sample, ["lang", "text"], run, "lang string, bucket binary, share binary, key long")
+    order = ("key", "lang", "bucket")
+    so_far = F.sum(F.octet_length("bucket") + F.octet_length("share")).over(Window.partitionBy("lang").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
+    first = F.row_number().over(Window.partitionBy("lang").orderBy(*order))
+    bounded = rows_found.withColumn("_size", so_far).withColumn("_n", first).where((F.col("_size") <= options.sample_bytes // len(counts)) | (F.col("_n") <= 2))
+    found = bounded.select("lang", "bucket", "share", "key").orderBy(*order).collect()
     step = max(2, round(1 / options.calibrating))
     return [(r["lang"], r["key"] % step == 0, np.frombuffer(r["bucket"], np.int32), np.frombuffer(r["share"], np.float32)) for r in found]
 
@@ -235,7 +289,7 @@ def learn(labelled: DataFrame, options: Fit = Fit()) -> Model | None:
 class Predictor:
     """Languages and calibrated scores of chunks of rows, for one task."""
 
-    def __init__(self, model: Model | None, piece: int = CHUNK_BYTES):
+    def __init__(self, model: Model | None, piece: int = PIECE_BYTES):
         self.model, self.letters, self.piece = model, Letters(), piece
         if model is not None:
             self.tables = np.rint(model.weights.T.astype(np.float64) * (1 << 20)).astype(np.int64)
@@ -262,24 +316,13 @@ class Predictor:
 
     def _long_row(self, data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """The same of one text, piece by piece; n-grams over a cut are counted with the later piece."""
-        total, count, n_letters, a = np.zeros((1, len(self.tables)), np.int64), 0, 0, 0
-        tail = np.zeros(0, np.uint32)
-        while a < len(data):
-            b = min(len(data), a + self.piece)
-            while b < len(data) and not STARTS_CHAR[data[b]]:
-                b += 1
-            points, _, letters = self.letters.read(data[a:b], np.array([0, b - a]))
-            # the space that ``read`` puts before a row stands here only where the text has one
-            if a and (data[a:b][:4].tobytes().decode(errors="ignore")[:1].isalpha() or tail[-1:] == 32):
-                points = points[1:]
+        total, count, n_letters = np.zeros((1, len(self.tables)), np.int64), 0, 0
+        for points, tail, letters in long_points(self.letters, data, self.piece):
             for order in self.model.options.orders:
-                seen = np.concatenate([tail[len(tail) - min(order - 1, len(tail)) :], points])
-                n = max(0, len(seen) - order + 1)
-                total += self._sums(seen, order, np.array([0]), np.array([n]))
-                count += n
-            n_letters += int(letters[0])
-            tail = np.concatenate([tail, points[-max(self.model.options.orders) :]])[-max(self.model.options.orders) :]
-            a = b
+                grams = piece_grams(points, tail, order, self.model.options.bits)
+                total += np.array([int(table[grams].sum()) for table in self.tables])
+                count += len(grams)
+            n_letters += letters
         return total, np.array([count]), np.array([n_letters])
 
     def predict(self, data: np.ndarray, offsets: np.ndarray) -> tuple[list[str], np.ndarray]:
@@ -306,7 +349,7 @@ def identify(docs: DataFrame, model: Model | None) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([batch.column(0)[at:end], batch.column(1)[at:end], pa.array(lang, pa.string()), pa.array(score)], ["doc_id", "held_out", "lang_pred", "score"])
 
     doc_id = F.col("doc_id").cast("long").alias("doc_id")
-    rows = docs.select(doc_id, (~training_rows(docs)).alias("held_out"), "text")
+    rows = docs.select(doc_id, (F.col("doc_id").isNotNull() & ~training_rows(docs)).alias("held_out"), "text")
     return map_columns(rows, ["doc_id", "held_out", "text"], run, "doc_id long, held_out boolean, lang_pred string, score double")
 
 

@@ -113,3 +113,27 @@ def test_memory_of_one_long_text():
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert peak < 2 * len(text)
+
+
+def test_long_texts_are_counted_whole(spark, monkeypatch):
+    from packwright.llm import language_id
+
+    monkeypatch.setattr(language_id, "PIECE_BYTES", 1 << 30)
+    text = "Ein Text, der lang ist, mit 12 Zeichen; " * 9000 + "zuletzt etwas anderes çà"
+    rows = spark.createDataFrame([(text, "aa"), ("kurz und gut", "aa"), ("1234 " * 60_000, "aa")], "text string, lang string")
+    letters, size = language_id.Letters(), 1 << 16
+    data = np.frombuffer(text.encode(), np.uint8)
+    for piece in (1 << 10, 1 << 17):
+        for order in (1, 2, 3):
+            parts = [language_id.piece_grams(p, t, order, 16) for p, t, _ in language_id.long_points(letters, data, piece)]
+            points, bounds, _ = letters.read(data, np.array([0, len(data)]))
+            assert (np.bincount(np.concatenate(parts), minlength=size) == np.bincount(language_id.buckets(points, order, 16), minlength=size)).all()
+    whole = sorted((s[0], s[2].tolist()) for s in labelled_sample(rows, Fit()))
+    assert len(whole) == 4 and max(len(x[1]) for x in whole) > 100
+    small = labelled_sample(rows, Fit(sample_bytes=8))
+    assert len(small) == 2  # the first of a language stay, whatever their size
+
+
+def test_held_out_of_a_null_id(frame):
+    docs = frame([(None, "some text"), (1, "some text")])
+    assert {r["held_out"] for r in identify(docs.where("doc_id IS NULL"), None).collect()} == {False}
