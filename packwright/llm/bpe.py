@@ -175,15 +175,17 @@ class ByteBpe:
     def _learn(self, texts: list[str]) -> range:
         """Entries of new pretokens."""
         ids = [self.encode_pretoken(t) if len(t) <= self.leaf else self.encode_long(t) for t in texts]
-        raw = [t.encode() for t in texts]
-        n, new = self.entries, len(texts)
+        return self._remember([t.encode() for t in texts], np.concatenate([np.asarray(x, np.uint32) for x in ids]), np.array([len(x) for x in ids], np.int64))
+
+    def _remember(self, raw: list[bytes], ids: np.ndarray, size: np.ndarray) -> range:
+        """Entries of new pretokens with all their ids and how many each has."""
+        n, new = self.entries, len(raw)
         self.entries = n + new
         while self.entries > len(self.first):
             self.first, self.count, self.text_at, self.text_end = (np.concatenate([x, np.zeros(len(x) // 2, x.dtype)]) for x in (self.first, self.count, self.text_at, self.text_end))
-        size = np.array([len(x) for x in ids], np.int64)
         self.count[n : n + new] = size
         self.first[n : n + new] = self.used + np.cumsum(size) - size
-        self.flat, self.used = _appended(self.flat, self.used, np.concatenate([np.asarray(x, np.uint32) for x in ids]))
+        self.flat, self.used = _appended(self.flat, self.used, ids)
         size = np.array([len(x) for x in raw], np.int64)
         self.text_end[n : n + new] = self.text_used + np.cumsum(size)
         self.text_at[n : n + new] = self.text_end[n : n + new] - size

@@ -9,10 +9,9 @@ in files that are levelled by size, whichever length is common.
 ``sequence_id`` holds the bucket, the task and the place in it, so ids of a bucket are one range; they need
 no pass over all pieces, and a task that runs again gives the same ones.
 
-The words of a text (runs between ASCII white space) are encoded by the tokenizers library one by one,
-each distinct one once: white space ends pretokens of this vocabulary, and its normal forms don't join
-over it, so a text's ids are its words' ids.  A text of over ``PIECE_BYTES`` is worked off in pieces that
-end at white space; a word is held whole.
+The words of a text are encoded by the tokenizers library, each distinct one once: white space ends
+pretokens of this vocabulary, and its normal forms don't join over it, so a text's ids are its words' ids.
+A text of over ``PIECE_BYTES`` is worked off in pieces that end at white space; a word is held whole.
 
 Defined cases: a null or empty text is the end id alone, one sequence of length 1; null doc_ids are kept;
 repeated rows and equal doc_ids are documents of their own; an empty table gives no pieces; other columns
@@ -21,6 +20,7 @@ are not read.
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -33,7 +33,18 @@ from pyspark.sql import functions as F
 
 from .bpe import PIECE_BYTES, ByteBpe
 from .files import new_folder
-from .textscan import IS_SPACE, chunks, map_columns, word_spans
+from .textscan import FOLD_AZ, IS_SPACE, chunks, map_columns, word_spans
+
+#: 0: white space, 1: ASCII letter or digit, 2: ASCII sign that is no apostrophe, 3: any other byte.
+_KIND = np.full(256, 3, np.uint8)
+_KIND[33:127] = 2
+_KIND[list(b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789")] = 1
+_KIND[39], _KIND[IS_SPACE] = 3, 0
+
+#: Fixed value of the vocabulary: what the last token of a pretoken ends with.
+END_OF_WORD = "</w>"
+#: Words that are one pretoken in any surroundings: Latin letters that stay such in lower case, or ASCII signs.
+_SIMPLE = re.compile("[A-Za-zÀ-ÖØ-öø-įı-ſ]+|[!-&(-/:-@\\[-`{-~]+")
 
 PIECES = "doc_id long, start long, length int, doc_tokens long, sequence_id long, offset int, ids binary"
 
@@ -56,22 +67,73 @@ class Packing:
 
 
 class WordBpe(ByteBpe):
-    """Encoder whose pretokens never span white space: remembers ids by word."""
+    """Encoder whose pretokens never span white space: remembers ids by word.
+
+    A word is also cut between an ASCII letter or digit and an ASCII sign other than an apostrophe, where no
+    pretoken and no normal form goes on, unless the texts hold the string of a special token.
+    """
 
-    def __init__(self, path: str, keep: int = 200_000, piece: int = PIECE_BYTES):
+    def __init__(self, path: str, keep: int = 800_000, piece: int = PIECE_BYTES):
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
         self.library.no_truncation()
         self.library.no_padding()
-        self.keep, self.piece, self.leaf = keep, piece, 1 << 62
+        self.keep, self.piece = keep, piece
+        self.special = [t.content.encode() for t in self.library.get_added_tokens_decoder().values()]
+        vocabulary = self.library.get_vocab(with_added_tokens=True)
+        self.ends_word = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends_word[[i for token, i in vocabulary.items() if token.endswith(END_OF_WORD)]] = True
         self._forget()
 
-    def encode_pretoken(self, text: str) -> list[int]:
-        return self.library.encode(text, add_special_tokens=False).ids
+    def _simple(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of words of one pretoken each, encoded as one text, and how many each has."""
+        ids = np.array(self.library.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, np.uint32)
+        return ids, np.diff(np.append(-1, np.flatnonzero(self.ends_word[ids])))
+
+    def _other(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of the words, each encoded alone, and how many each has."""
+        found = [np.array(e.ids, np.uint32) for e in self.library.encode_batch_fast(words, add_special_tokens=False)]
+        return np.concatenate(found), np.array([len(x) for x in found], np.int64)
+
+    def _learn(self, texts: list[str]) -> range:
+        simple = np.array([_SIMPLE.fullmatch(t) is not None for t in texts], bool)
+        order = np.concatenate([np.flatnonzero(simple), np.flatnonzero(~simple)])
+        parts = [f([texts[i] for i in own.tolist()]) for f, own in ((self._simple, np.flatnonzero(simple)), (self._other, np.flatnonzero(~simple))) if len(own)]
+        size = np.concatenate([p[1] for p in parts])
+        first = np.empty(len(texts), np.int64)
+        first[order] = self.used + np.cumsum(size) - size
+        own = np.empty(len(texts), np.int64)
+        own[order] = size
+        new = self._remember([t.encode() for t in texts], np.concatenate([p[0] for p in parts]), own)
+        self.first[new.start : new.stop] = first
+        return new
+
+    def _spans(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Folded bytes, starts and ends of words, and for each row the index of its first word (rows + 1 entries)."""
+        whole = data.tobytes()
+        if any(s in whole for s in self.special):
+            return data, *word_spans(data, offsets)
+        kind, n = _KIND[data], len(data)
+        edge = np.zeros(n + 1, bool)
+        edge[offsets] = True
+        both = kind[1:] * 4 + kind[:-1]
+        edge[1:n] |= (kind[:-1] == 0) | (both == 9) | (both == 6)
+        edge[:n] &= kind > 0
+        start = np.flatnonzero(edge[:n])
+        ends = np.ones(n, bool)
+        ends[:-1] = (kind[1:] == 0) | edge[1:n]
+        cut = offsets[(offsets > 0) & (offsets < n)]
+        ends[cut - 1] = True
+        end = np.flatnonzero(ends & (kind > 0)) + 1
+        folded = FOLD_AZ[data]
+        # a letter that a mark may follow stays, as the normal form comes before lower case
+        before_mark = np.flatnonzero(data[1:] > 127)
+        folded[before_mark] = data[before_mark]
+        return folded, start, end, np.searchsorted(start, offsets)
 
     def _encoded(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        start, end, first = word_spans(data, offsets)
+        data, start, end, first = self._spans(data, offsets) if len(data) else (data, *word_spans(data, offsets))
         if not len(start):
             return np.zeros(0, np.uint32), np.zeros(len(offsets), np.int64), np.zeros(0, np.int64)
         if len(self.known) > self.keep or self.used > 8 * self.keep or self.text_used > 32 * self.keep:

@@ -23,10 +23,10 @@ def library_ids(coder, text):
     return [*coder.library.encode(text or "", add_special_tokens=False).ids, 1]
 
 
-ODD = st.sampled_from(["a", "B", "é", "é", "́", "'s", "'S", "'re", "’t", " ", "  ", "\n", "\t", "\x0b", "\x85", " ", " ", " ", "　", "1", "23", "½", "!?", "<|endoftext|>", "<|startoftext|>", "<|", "日本", "각", "가", "İ", "ß", "Σς", "😀", "‍", "\x1c", "\x1f"])
+ODD = st.sampled_from(["a", "B", "é", "é", "́", "'s", "'S", "'re", "’t", " ", "  ", "\n", "\t", "\x0b", "\x85", " ", " ", " ", "　", "1", "23", "½", "!?", "<|endoftext|>", "<|startoftext|>", "<|", "日本", "각", "가", "İ", "ß", "Σς", "😀", "‍", "\x1c", "\x1f", "H\u0331", "=\u0338", "\u0331", "(", ").", "x1", "-", "Z", "Ï", "ß", "ŉ", "Ŀ", "×"])
 
 
-@settings(max_examples=400, deadline=None)
+@settings(max_examples=1500, deadline=None)
 @given(st.lists(ODD | st.text(max_size=4), max_size=24).map("".join))
 def test_ids_equal_the_library(text):
     import public_tokenizers
