@@ -2,8 +2,11 @@
 
 The field tags each token as begin, inside or outside of a secret, from its shape, the words around
 it and features of the whole file.  It is trained on a bounded sample of documents, whose fixed
-patterns label it, with invented credentials set into some of their texts, so that it also learns
-contexts that no fixed pattern names.
+patterns label it, with invented credentials set among words of their texts, so that it also learns
+contexts that no fixed pattern names.  What a first field tags in drawn texts without a fixed pattern there
+is set against it as it is fitted on, one half of them after the other (``rounds``).  Over all of them a margin
+is found that a secret has to gain over plain text: what the best of their false spans gains, but no more
+than leaves ``kept`` of invented credentials, which are kept out of the fit as well.
 
 Decoding is exact Viterbi, but only where it can matter: a bound on what leaving ``outside`` can gain
 shows of most tokens that the best path stays there.  The few stretches between are decoded, and all
@@ -11,8 +14,8 @@ that the field tags is reported, with a digit in it or not.  A long text goes th
 pieces, with the tokens around each cut and the open stretch carried over, so its spans are the same.
 
 Defined cases: null reads as empty; an empty text has no spans; a model span that touches a fixed
-span is dropped in its favour; repeated rows give repeated rows; other columns pass through
-``redacted`` and are not read by ``scan_secrets``; an empty table gives no rows.
+span is dropped in its favour; repeated rows give repeated rows; a token longer than a piece of a
+long text is held whole; other columns pass through ``redacted`` and are not read by ``scan_secrets``; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -44,6 +47,8 @@ OUT, BEGIN, INSIDE = 0, 1, 2
 WORD_BITS = 12
 _WORDS = 1 << WORD_BITS
 NEVER = -1e9  # a secret starts with ``begin``
+PIECE_BYTES = 1 << 16  # of a long text at a time
+_AROUND = 1 << 12  # bytes that hold a training window
 _SIZES = np.array([1, 2, 3, 4, 5, 6, 8, 12, 16, 20, 24, 32, 40, 64, 128])
 
 IS_HEX = np.zeros(256, bool)
@@ -59,13 +64,15 @@ _KIND_OF_BYTE[3, list(b"+/_.-")] = 1
 
 @dataclass(frozen=True)
 class Training:
-    """sample_rows: distinct labelled texts to fit on, out of about drawn_rows; copies: invented credentials set into them; reach: tokens kept around each.  sample_chars: of what each sampled text gives, around its mark if it has one."""
+    """sample_rows: distinct labelled texts to fit on, out of about drawn_rows, each giving windows of ``reach`` tokens; copies: invented credentials; hard: windows of false spans."""
 
     sample_rows: int = 400
-    sample_chars: int = 1 << 14
     drawn_rows: int = 10_000
     copies: int = 800
     reach: int = 30
+    hard: int = 2000
+    rounds: int = 2
+    kept: float = 0.99
     epochs: int = 4
     rate: float = 0.2
     decay: float = 1e-4
@@ -136,8 +143,8 @@ def share_feature(digits: np.ndarray, equals: np.ndarray, count: np.ndarray) ->
     return share(digits) * 8 + share(equals)
 
 
-def feature_values(raw: Raw, file: np.ndarray) -> np.ndarray:
-    """Feature values of the tokens, one column a feature; file: each token's file feature."""
+def feature_columns(raw: Raw, file: np.ndarray) -> Iterator[np.ndarray]:
+    """Feature values of the tokens, one feature after the other; file: each token's file feature."""
 
     def moved(values: np.ndarray, by: int, none: int) -> np.ndarray:
         """The value of the token ``by`` places on, ``none`` beyond the row."""
@@ -149,8 +156,16 @@ def feature_values(raw: Raw, file: np.ndarray) -> np.ndarray:
         return out
 
     word, shape = raw.word, raw.shape
-    columns = (raw.long, shape, raw.mix, moved(word, -1, 0), moved(word, -2, 0), moved(word, -3, 0), moved(word, 1, 0), moved(shape, -1, 64), moved(shape, 1, 64), file * 64 + shape)
-    return np.stack([np.asarray(c, np.int32) + base for c, base in zip(columns, BASES)], 1)
+    columns = (
+        lambda: raw.long, lambda: shape, lambda: raw.mix, lambda: moved(word, -1, 0), lambda: moved(word, -2, 0), lambda: moved(word, -3, 0), lambda: moved(word, 1, 0),
+        lambda: moved(shape, -1, 64), lambda: moved(shape, 1, 64), lambda: file * 64 + shape,
+    )
+    return (column() + base for column, base in zip(columns, BASES))
+
+
+def feature_values(raw: Raw, file: np.ndarray) -> np.ndarray:
+    """Feature values of the tokens, one column a feature."""
+    return np.stack([np.asarray(c, np.int32) for c in feature_columns(raw, file)], 1)
 
 
 class Tokens:
@@ -212,9 +227,9 @@ def stretches(scores: np.ndarray, moves: np.ndarray, row: np.ndarray, carried: f
     return out, largest
 
 
-def _scores(features: np.ndarray, field: Field) -> np.ndarray:
-    scores = np.zeros((len(features), 3), np.float32)
-    for column in features.T:
+def _scores(columns: Iterable[np.ndarray], count: int, field: Field) -> np.ndarray:
+    scores = np.zeros((count, 3), np.float32)
+    for column in columns:
         scores += field.weights[column]
     return scores
 
@@ -234,7 +249,7 @@ def model_spans(tokens: Tokens, field: Field) -> list[tuple[int, int, int]]:
     """(row, first byte, end byte) of what the field tags."""
     if not len(tokens.start):
         return []
-    scores = _scores(tokens.features, field)
+    scores = _scores(tokens.features.T, len(tokens.start), field)
     ranges = stretches(scores, field.moves, tokens.row)[0]
     return [(int(tokens.row[a]), int(tokens.start[a]), int(tokens.end[b - 1])) for s, e in ranges for a, b in _tagged(scores, field.moves, s, e)]
 
@@ -251,41 +266,64 @@ def _token_cut(data: np.ndarray, at: int) -> int:
     return len(data)
 
 
-def long_spans(data: np.ndarray, field: Field, piece: int = CHUNK_BYTES) -> Iterator[tuple[int, int]]:
-    """``model_spans`` of one text of any length, in two passes over its pieces: the file's features, then the spans."""
-    cuts = [0]
-    while cuts[-1] < len(data):
-        cuts.append(_token_cut(data, cuts[-1] + piece) if cuts[-1] + piece < len(data) else len(data))
-    pieces = lambda: ((a, Raw(data[a:b], np.array([0, b - a]))) for a, b in zip(cuts, cuts[1:]))
+def _pieces(data: np.ndarray, piece: int) -> Iterator[tuple[int, Raw, bool]]:
+    """Where each piece starts, its tokens, and whether it is the last; pieces end where tokens end."""
+    a = 0
+    while a < len(data):
+        b = _token_cut(data, a + piece) if a + piece < len(data) else len(data)
+        yield a, Raw(data[a:b], np.array([0, b - a])), b == len(data)
+        a = b
+
+
+def file_feature(data: np.ndarray, piece: int = PIECE_BYTES) -> np.ndarray:
+    """``share_feature`` of one text of any length."""
     n = digits = equals = 0
-    for _, raw in pieces():
+    for _, raw, _ in _pieces(data, piece):
         n, digits, equals = n + len(raw.start), digits + int(np.count_nonzero(raw.shape & 4)), equals + int(np.count_nonzero(raw.equals))
-    file = share_feature(np.array([digits]), np.array([equals]), np.array([n]))
+    return share_feature(np.array([digits]), np.array([equals]), np.array([n]))
+
+
+def long_spans(data: np.ndarray, field: Field, piece: int = PIECE_BYTES) -> Iterator[tuple[int, int]]:
+    """``model_spans`` of one text of any length, in two passes over its pieces: the file's features, then the spans."""
+    for *span, _, _ in long_stretches(data, field, piece):
+        yield tuple(span)
+
+
+def long_stretches(data: np.ndarray, field: Field, piece: int = PIECE_BYTES) -> Iterator[tuple[int, int, float, int]]:
+    """(first byte, end byte) of each span, and what its stretch gains over plain text, for each of how many spans."""
+    file = file_feature(data, piece)
     held, context, carried = None, 0, 0.0  # tokens not decided yet, after ``context`` tokens that only show what stands before
-    for a, raw in pieces():
+    for a, raw, last in _pieces(data, piece):
         raw.start, raw.end = raw.start + a, raw.end + a
         held = raw if held is None else held.joined(raw, 0)
-        last = a + piece >= len(data) or cuts[-2] == a
         if len(held.start) <= context + 1 and not last:
             continue
-        features = feature_values(held, np.repeat(file, len(held.start)))[context:]
-        if not len(features):
+        if len(held.start) == context:
             continue
-        scores = _scores(features, field)
+        scores = _scores((c[context:] for c in feature_columns(held, np.repeat(file, len(held.start)))), len(held.start) - context, field)
         ranges, largest = stretches(scores, field.moves, np.zeros(len(scores), np.int32), carried)
         done = len(scores) if last else len(scores) - 1
         if ranges and not last and ranges[-1][1] >= done:
             done = min(done, ranges[-1][0])
         for s, e in ranges:
-            if e <= done:
-                for i, k in _tagged(scores, field.moves, s, e):
-                    yield int(held.start[context + i]), int(held.end[context + k - 1])
+            if e <= done and (found := list(_tagged(scores, field.moves, s, e))):
+                gained = gain(scores[s:e], field.moves)
+                for i, k in found:
+                    yield int(held.start[context + i]), int(held.end[context + k - 1]), gained, len(found)
         if done:
             carried = float(largest[done - 1])
         keep = max(0, context + done - 3)
         context, held = context + done - keep, held.after(keep)
 
 
+def gain(scores: np.ndarray, moves: np.ndarray) -> float:
+    """What the best tags of a stretch score over ``outside`` throughout."""
+    best = scores[0].astype(np.float64) + moves[OUT]
+    for row in scores[1:]:
+        best = (best[:, None] + moves).max(0) + row
+    return float((best + moves[:, OUT]).max() - scores[:, OUT].sum(dtype=np.float64) - (len(scores) + 1) * moves[OUT, OUT])
+
+
 def base_spans(text: bytes) -> list[tuple[str, int, int]]:
     """Fixed patterns in a text, in bytes; each kind leftmost and without overlap, too short matches dropped."""
     return [(kind, m.start(), m.end()) for kind, (pattern, group, least) in KINDS.items() for m in pattern.finditer(text) if len(m[group]) >= least]
@@ -349,44 +387,115 @@ def _credential(rnd: random.Random, values=VALUES, names=NAMES, forms=FORMS) ->
     return rnd.choice(forms).format(n=rnd.choice(names), v=value)
 
 
-def train(texts: list[str], options: Training = Training(), credential=_credential) -> Field:
-    """Fits the field by stochastic gradient on the likelihood of the labels of the fixed patterns and invented secrets."""
-    rnd = random.Random(options.seed)
-    cases: list[tuple[bytes, list[tuple[int, int]]]] = []
-    for text in texts:
-        raw = text.encode(errors="replace")
-        spans = base_spans(raw)
-        # of an assignment only the value is secret
-        cases.append((raw, [(ASSIGN.match(raw, s).start(2), e) if kind == "assign" else (s, e) for kind, s, e in spans]))
-    base = [t for t in texts if t] or ["some plain words stand here"]
-    for _ in range(options.copies):
-        words = rnd.choice(base).split(" ")
-        at = rnd.randrange(len(words) + 1)
-        before, value, after = credential(rnd).split("\0")
-        head = " ".join([*words[max(0, at - 40) : at], before]).encode(errors="replace")
-        cases.append((head + value.encode() + after.encode() + b" " + " ".join(words[at : at + 40]).encode(errors="replace"), [(len(head), len(head) + len(value))]))
-    sequences = []
-    for raw, spans in cases:
-        tokens = Tokens(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]))
-        tags = np.zeros(len(tokens.start), np.int64)
-        for s, e in spans:
-            held = np.flatnonzero((tokens.start >= s) & (tokens.end <= e))
-            tags[held[1:]], tags[held[:1]] = INSIDE, BEGIN
-        near = np.flatnonzero(tags)
-        middles = near[:1].tolist() or [rnd.randrange(len(tags)) for _ in range(4)] if len(tags) else []
-        for middle in middles:
-            window = slice(max(0, middle - options.reach), middle + options.reach)
-            sequences.append((tokens.features[window], tags[window]))
-    weights, moves = np.zeros((sum(TABLES), 3)), np.zeros((3, 3))
+Sequence = tuple[np.ndarray, np.ndarray]
+
+
+def _window(data: np.ndarray, file: np.ndarray, place: int, secrets: list[tuple[int, int]], reach: int) -> Sequence | None:
+    """Features and tags of the tokens around a place of a text."""
+    a = _token_cut(data, place - _AROUND) if place > _AROUND else 0
+    b = _token_cut(data, place + _AROUND) if place + _AROUND < len(data) else len(data)
+    raw = Raw(data[a:b], np.array([0, b - a]))
+    if not len(raw.start):
+        return None
+    features, tags = feature_values(raw, np.repeat(file, len(raw.start))), np.zeros(len(raw.start), np.int64)
+    for s, e in secrets:
+        held = np.flatnonzero((raw.start + a >= s) & (raw.end + a <= e))
+        tags[held[1:]], tags[held[:1]] = INSIDE, BEGIN
+    middle = max(0, int(np.searchsorted(raw.start, place - a, "right")) - 1)
+    window = slice(max(0, middle - reach), middle + reach)
+    return features[window], tags[window]
+
+
+def labelled_windows(data: np.ndarray, options: Training) -> list[Sequence]:
+    """Of a text with fixed patterns the window of the first; of another four at fixed places."""
+    raw, rnd = data.tobytes(), random.Random(len(data) * 31 + int(data[:64].sum()))
+    # of an assignment only the value is secret
+    spans = [(ASSIGN.match(raw, s).start(2), e) if kind == "assign" else (s, e) for kind, s, e in base_spans(raw)]
+    places = [min(spans)[0]] if spans else [rnd.randrange(len(raw)) for _ in range(4)] if raw else []
+    file = file_feature(data)
+    return [w for p in places if (w := _window(data, file, p, spans, options.reach))]
+
+
+def false_windows(data: np.ndarray, field: Field, options: Training) -> list[tuple[float, Sequence]]:
+    """What the field tags apart from the fixed patterns' spans: the gain of each span, and its window, of which nothing is secret."""
+    base = sorted((s, e) for _, s, e in base_spans(data.tobytes()))
+    file, out = file_feature(data), []
+    secrets = [(s, e) for s, e in base]
+    for s, e, gained, among in long_stretches(data, field):
+        if not any(a < e and s < b for a, b in base):
+            out.append((gained / among, _window(data, file, s, secrets, options.reach)))
+    return out
+
+
+def contexts_of(text: str, count: int) -> list[tuple[str, str]]:
+    """Up to 40 words before and after ``count`` fixed places of a text."""
+    rnd, out = random.Random(len(text)), []
+    for _ in range(count):
+        at = rnd.randrange(len(text) + 1)
+        before, after = text[max(0, at - _AROUND) : at].split(" ")[-40:], text[at : at + _AROUND].split(" ")[:40]
+        out.append((" ".join(before), " ".join(after)))
+    return out
+
+
+def planted(context: tuple[str, str], rnd: random.Random, credential) -> tuple[np.ndarray, tuple[int, int]]:
+    """An invented credential among words, and where its secret lies."""
+    before, value, after = credential(rnd).split("\0")
+    head = f"{context[0]} {before}".encode(errors="replace")
+    raw = head + value.encode() + after.encode() + b" " + context[1].encode(errors="replace")
+    return np.frombuffer(raw, np.uint8), (len(head), len(head) + len(value))
+
+
+def planted_windows(contexts: list[tuple[str, str]], count: int, options: Training, credential, seed: int) -> list[Sequence]:
+    rnd, out = random.Random(seed), []
+    for _ in range(count):
+        data, secret = planted(rnd.choice(contexts), rnd, credential)
+        if w := _window(data, file_feature(data), secret[0], [secret], options.reach):
+            out.append(w)
+    return out
+
+
+def fit(sequences: list[Sequence], options: Training, start: Field | None = None) -> Field:
+    """Stochastic gradient on the likelihood of the tags; from ``start`` on in one epoch."""
+    weights, moves = (np.zeros((sum(TABLES), 3)), np.zeros((3, 3))) if start is None else (start.weights.astype(np.float64), start.moves.copy())
     moves[OUT, INSIDE] = NEVER
-    for epoch in range(options.epochs):
-        rnd.shuffle(sequences)
-        rate = options.rate / (1 + epoch)
-        for features, tags in sequences:
-            _step(weights, moves, features, tags, rate, options.decay)
+    order, rnd = list(range(len(sequences))), random.Random(options.seed)
+    for epoch in range(options.epochs if start is None else 1):
+        rnd.shuffle(order)
+        rate = options.rate / (1 + epoch if start is None else options.epochs)
+        for i in order:
+            _step(weights, moves, *sequences[i], rate, options.decay)
     return Field(weights.astype(np.float32), moves)
 
 
+def with_margin(field: Field, false_gains: list[float], contexts: list[tuple[str, str]], options: Training, credential) -> Field:
+    """The field whose ``begin`` costs as much more as false spans gain, as far as that leaves ``kept`` of invented credentials."""
+    rnd, gains = random.Random(options.seed + 1), []
+    for _ in range(400):
+        data, (s, e) = planted(rnd.choice(contexts), rnd, credential)
+        gains.append(max((gained / among for a, b, gained, among in long_stretches(data, field) if a < e and s < b), default=0.0))
+    most = sorted(gains)[int(len(gains) * (1 - options.kept))] * 0.8
+    margin = max(0.0, min(max(false_gains, default=0.0) + 0.5, most))
+    weights = field.weights.copy()
+    weights[BASES[0] : BASES[1], BEGIN] -= margin  # each token has one value of the first feature
+    return Field(weights, field.moves)
+
+
+def train(texts: list[str], options: Training = Training(), credential=_credential) -> Field:
+    """Fits the field on the texts given; false spans are looked for in the halves of them by turns."""
+    datas = [np.frombuffer(t.encode(errors="replace"), np.uint8) for t in texts]
+    contexts = [c for t in texts if t for c in contexts_of(t, 3)] or [("some plain words", "stand here")]
+    sequences = [w for d in datas for w in labelled_windows(d, options)] + planted_windows(contexts, options.copies, options, credential, options.seed)
+    field, hard = fit(sequences, options), []
+    for i in range(options.rounds):
+        more = [w for d in datas[i % 2 :: 2] for _, w in false_windows(d, field, options)][: options.hard]
+        if not more:
+            continue
+        hard += more
+        field = fit(sequences + hard, options, field)
+    gains = [g for d in datas for g, _ in false_windows(d, field, options)]
+    return with_margin(field, gains, contexts, options, credential)
+
+
 def _step(weights: np.ndarray, moves: np.ndarray, features: np.ndarray, tags: np.ndarray, rate: float, decay: float) -> None:
     """One gradient step on a sequence: observed minus expected counts."""
     scores = weights[features].sum(1)
@@ -415,27 +524,83 @@ def _step(weights: np.ndarray, moves: np.ndarray, features: np.ndarray, tags: np
         moves[OUT, INSIDE] = NEVER
 
 
-def train_on(docs: DataFrame, options: Training = Training()) -> Field:
-    """Fits on a bounded sample of the distinct texts: ``sample_rows`` by hash, half of them such as hold a fixed pattern's mark, drawn from ``drawn_rows``."""
-    text = F.col("text")
+_WINDOW = "part double, gain double, features binary, tags binary"
+
+
+def _window_rows(found: Iterable[tuple[float, float, Sequence]]) -> pa.RecordBatch:
+    rows = [(part, gained, f.tobytes(), t.astype(np.int8).tobytes()) for part, gained, (f, t) in found]
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kind) for i, kind in enumerate((pa.float64(), pa.float64(), pa.binary(), pa.binary()))], ["part", "gain", "features", "tags"])
+
+
+def _windows_from(rows) -> list[Sequence]:
+    return [(np.frombuffer(r["features"], np.int32).reshape(-1, len(TABLES)), np.frombuffer(r["tags"], np.int8).astype(np.int64)) for r in rows]
+
+
+def train_on(docs: DataFrame, options: Training = Training(), credential=_credential) -> Field:
+    """Fits on a bounded sample of the distinct texts, about ``drawn_rows`` of them.
+
+    ``sample_rows`` of these, half of them with a fixed pattern's mark, give labelled windows; false spans are
+    looked for in the halves of the drawn texts by turns, the margin in all.  Tasks read whole texts and send windows.
+    """
+    spark, text = docs.sparkSession, F.col("text")
     known = docs.select("text").where(text.isNotNull() & (F.length("text") > 0))
     n = known.agg(F.approx_count_distinct(F.xxhash64("text")).alias("n")).first()["n"]
     share = min(1.0, options.drawn_rows / max(1, n))
     mark = "AKIA[A-Z0-9]{16}|[0-9a-f]{24}|(?i)(password|passwd|secret|token|api_?key)[\"']? *[:=]"
-    at = F.pmod(F.xxhash64("text", F.lit(options.seed)), F.lit(1 << 30)) / (1 << 30)
-    room = F.greatest(F.lit(1), F.length("text") - options.sample_chars + 1)
-    # a window around the mark, else one at any fixed place
-    place = F.when(F.col("marked"), F.least(F.greatest(F.lit(1), F.regexp_instr("text", F.lit(mark)) - options.sample_chars // 2), room)).otherwise(1 + F.pmod(F.xxhash64("text"), room))
+    at = F.pmod(F.xxhash64("text", F.lit(options.seed)), F.lit(1 << 30)) / (1 << 30) / share
     # copies share a hash, so they would all enter together
-    drawn = known.where(at < share).distinct().select("text", text.rlike(mark).alias("marked"), at.alias("at"))
-    drawn = stored(drawn.select(text.substr(place.cast("int"), F.lit(options.sample_chars)).alias("text"), "marked", "at"), "secret-sample")
+    drawn = stored(known.where(at < 1).distinct().select("text", text.rlike(mark).alias("marked"), at.alias("at")), "secret-sample")
 
-    def part(flag: bool) -> list[str]:
+    def chosen(flag: bool) -> DataFrame | None:
         own = drawn.where(F.col("marked") == flag)
-        places = own.select("at").orderBy("at").limit(options.sample_rows // 2).collect()  # numbers only; the texts follow
-        return [r["text"] for r in own.where(F.col("at") <= places[-1]["at"]).orderBy("at", "text").select("text").collect()] if places else []
+        places = own.select("at").orderBy("at").limit(options.sample_rows // 2).collect()  # numbers only
+        return own.where(F.col("at") <= places[-1]["at"]) if places else None
 
-    return train(part(True) + part(False), options)
+    def labelled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at, raw in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist()):
+                yield _window_rows((at, 0.0, w) for w in labelled_windows(np.frombuffer(raw, np.uint8), options))
+
+    def surrounding(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [(at, *c) for at, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) for c in contexts_of(t, 3)]
+            yield pa.RecordBatch.from_arrays([pa.array([f[i] for f in found], kind) for i, kind in enumerate((pa.float64(), pa.string(), pa.string()))], ["at", "before", "after"])
+
+    parts = [p.select("at", "text") for p in (chosen(True), chosen(False)) if p is not None]
+    if not parts:
+        return with_margin(fit(planted_windows([("some plain words", "stand here")], options.copies, options, credential, options.seed), options), [], [("", "")], options, credential)
+    sample = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+    order = ("part", "gain", "features", "tags")
+    sequences = _windows_from(sample.mapInArrow(labelled, _WINDOW).orderBy(*order).collect())
+    contexts = [(r["before"], r["after"]) for r in sample.mapInArrow(surrounding, "at double, before string, after string").orderBy("at", "before", "after").collect()]
+    sequences += planted_windows(contexts, options.copies, options, credential, options.seed)
+
+    def false_ones(field: Field, rows: DataFrame) -> DataFrame:
+        shared = spark.sparkContext.broadcast(field)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for first, end, data, offsets in chunks(batch.column(1)):
+                    # all texts of a chunk at once, then those with spans again one by one
+                    rows = [0] if end == first + 1 else sorted({row for row, _, _ in model_spans(Tokens(data, offsets), shared.value)})
+                    for row in rows:
+                        found = false_windows(data[offsets[row] : offsets[row + 1]], shared.value, options)
+                        if found:
+                            at = batch.column(0)[first + row].as_py()
+                            yield _window_rows((at, g, w) for g, w in found)
+
+        return rows.select("at", "text").mapInArrow(run, _WINDOW)
+
+    field, hard = fit(sequences, options), []
+    for i in range(options.rounds):
+        half = drawn.where(F.floor(F.col("at") * (1 << 20)) % 2 == i % 2)
+        more = _windows_from(false_ones(field, half).orderBy(*order).limit(options.hard).collect())
+        if not more:
+            continue
+        hard += more
+        field = fit(sequences + hard, options, field)
+    top = false_ones(field, drawn).agg(F.max("gain").alias("gain")).first()["gain"]
+    return with_margin(field, [] if top is None else [top], contexts, options, credential)
 
 
 def scan_secrets(docs: DataFrame, field: Field | None = None, options: Training = Training()) -> DataFrame:
