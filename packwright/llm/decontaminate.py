@@ -1,29 +1,31 @@
-"""Benchmark decontamination: n-gram seeds find passages, Smith-Waterman alignment scores them.
+"""Benchmark decontamination: rare n-gram seeds find passages, Smith-Waterman alignment scores them.
 
 Words are runs of ASCII letters and digits (A-Z lower-cased) and non-ASCII characters, so case and
-punctuation don't matter.  Every n-gram of a test item is a seed, however frequent, since an edit or
-a partial quotation may leave any of them alone.  One pass opens a window around each seed hit and
-aligns it with the item, word by word, so substituted, inserted and dropped words lower the score
-but don't hide a copy.  Hits of one item are one window as long as a gap between them can still pay; a
-window of many words is aligned in blocks that overlap by the widest alignment.  A block whose words
-cannot reach the least score, whatever their order, is skipped before alignment; that bound loses nothing.
-Words are compared by hashes, and a leak must hold under a second, independent hash as well.
+punctuation don't matter.  Documents meet test items at their rare words (n-grams of one word, as edits may
+leave no longer one whole).  The seeds of an item are its rarest words by a count over all documents, and
+as many as make them exact: an alignment with the least score matches at least that many words and so
+leaves out no more than the others; of ``n - least + seed_hits`` words it matches ``seed_hits``, whichever an
+edit took and however often a version occurs.  Only where that many seeds of an item stand no further apart
+than an alignment reaches is a window opened, as wide as any alignment over them.  A window of many words
+is aligned in blocks that overlap by the widest alignment.  A block whose words cannot reach the least score,
+whatever their order, is skipped before alignment; that bound loses nothing either.  So the result is that of
+aligning every document with every item.  Words are compared by hashes, and a leak must hold under a
+second, independent hash as well.
 
 The test items are read in blocks of bounded size and broadcast; a larger benchmark takes more
-blocks, each a pass of its own.  Items of equal words are aligned once.  No document is shuffled.
+blocks, each with passes of its own.  Items of equal words are aligned once.  No document is shuffled.
 
 A short item needs at least ``floor_words`` words of score, and all its words if it has no more.  An
-item of fewer than ``judged_words`` words occurs by chance, so it takes no document: its id is warned of.
+item of fewer than ``judged_words`` words occurs by chance, so it takes no document: ``unjudged`` lists them.
 
 Defined cases: null and empty texts on either side have no leaks; a document gets one row for each item
-that it leaks, equal items included; an item shorter than a seed, where such are judged, is one seed of
-all its words; a very long text is one chunk, of which some bytes a character are held; equal scores keep the first place in the text; repeated rows repeat in the
-result; other columns pass through ``clean_documents`` and are not read by ``leaks``.
+that it leaks, equal items included; a very long text is one chunk, of which some bytes a character are held;
+equal scores keep the first place in the text; repeated rows repeat in the result; other columns pass
+through ``clean_documents`` and are not read by ``leaks``.
 """
 
 from __future__ import annotations
 
-import warnings
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -32,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .textscan import FOLD_AZ, STARTS_CHAR, chunks, map_columns, span_hashes, window_hashes, word_spans
+from .textscan import FOLD_AZ, STARTS_CHAR, chunks, map_columns, map_rows, span_hashes, word_spans
 
 BETWEEN = np.ones(256, bool)
 BETWEEN[48:58] = BETWEEN[65:91] = BETWEEN[97:123] = BETWEEN[128:] = False
@@ -42,10 +44,10 @@ BETWEEN[48:58] = BETWEEN[65:91] = BETWEEN[97:123] = BETWEEN[128:] = False
 class Alignment:
     """A leak is an alignment of at least ``least_share`` of the item's words, or of ``least_words`` in all, net of penalties.
 
-    ``floor_words``: less than this, or the whole of a shorter item, is no leak; ``judged_words``: items with fewer words are only reported.
+    ``floor_words``: less than this, or the whole of a shorter item, is no leak; ``judged_words``: items with fewer words are only listed.
     """
 
-    seed: int = 3
+    seed_hits: int = 3
     least_share: float = 0.5
     least_words: float = 40.0
     floor_words: float = 7.0
@@ -64,19 +66,18 @@ class Alignment:
 
 @dataclass
 class Items:
-    """Words of the distinct test items of a block under both hashes, the ids of each, and their distinct n-grams in order; owner and place of the i-th are at first[i]:first[i + 1].  short: items not judged."""
+    """Words of the distinct test items of a block under both hashes, and the ids of each; seeds: their rare words in order, the owners of the i-th at first[i]:first[i + 1]; need: seeds that an alignment matches."""
 
     ids: list[list[int]]
     words: list[np.ndarray]
     others: list[np.ndarray]
-    grams: np.ndarray
-    first: np.ndarray
-    owner: np.ndarray
-    place: np.ndarray
-    short: list[int] = field(default_factory=list)
     size: np.ndarray = field(init=False)
     start: np.ndarray = field(init=False)
     flat: np.ndarray = field(init=False)
+    need: np.ndarray = field(init=False)
+    seeds: np.ndarray = field(init=False)
+    first: np.ndarray = field(init=False)
+    owner: np.ndarray = field(init=False)
 
     def __post_init__(self):
         self.size = np.array([len(w) for w in self.words], np.int64)
@@ -84,36 +85,43 @@ class Items:
         self.flat = np.concatenate(self.words) if self.words else np.zeros(0, np.uint64)
 
     @classmethod
-    def of(cls, rows: list[tuple[int, str]], seed: int, judged: int = 1) -> Items:
-        ids, words, others, grams, owner, place, short = [], [], [], [], [], [], []
+    def of(cls, rows: list[tuple[int, str]], options: Alignment) -> Items:
+        ids, words, others = [], [], []
         known: dict[bytes, int] = {}
         for item_id, text in rows:
             data = np.frombuffer((text or "").encode(errors="replace"), np.uint8)
             found, _, start, end = _words(data, np.array([0, len(data)]))
-            if len(found) < max(1, judged):
-                short += [item_id] * bool(len(found))
+            if len(found) < max(1, options.judged_words):
                 continue
             other = span_hashes(FOLD_AZ[data], start, end, 1)
             place_of = known.setdefault(found.tobytes() + other.tobytes(), len(ids))
             if place_of < len(ids):  # the same words again
                 ids[place_of].append(item_id)
                 continue
-            gram = window_hashes(found, min(seed, len(found)))
-            grams.append(gram)
-            owner.append(np.full(len(gram), len(ids)))
-            place.append(np.arange(len(gram)))
             ids.append([item_id])
             words.append(found)
             others.append(other)
-        join = lambda parts, kind: np.concatenate(parts) if parts else np.zeros(0, kind)
-        gram = join(grams, np.uint64)
-        order = np.argsort(gram, kind="stable")
-        unique, first = np.unique(gram[order], return_index=True)
-        return cls(ids, words, others, unique, np.append(first, len(gram)), join(owner, np.int64)[order], join(place, np.int64)[order], short)
-
-    def sizes(self, seed: int) -> list[int]:
-        """Lengths of seeds: ``seed``, and those of items that are shorter."""
-        return np.unique(np.minimum(self.size, seed)).tolist()
+        return cls(ids, words, others)
+
+    def vocabulary(self) -> np.ndarray:
+        return np.unique(self.flat)
+
+    def seeded(self, counts: np.ndarray, options: Alignment) -> Items:
+        """Chooses the seeds; counts: of the words of ``vocabulary`` in the documents."""
+        vocabulary, pairs, need = self.vocabulary(), [], []
+        for i, words in enumerate(self.words):
+            least = int(np.ceil(options.least(np.array([len(words)]))[0] - 1e-9))
+            hits = min(options.seed_hits, least)
+            rarest = np.argsort(counts[np.searchsorted(vocabulary, words)], kind="stable")[: len(words) - least + hits]
+            own = np.unique(words[rarest])
+            # a word that an item holds more than once may be one seed for several of its places
+            pairs.append(np.stack([own, np.full(len(own), i, np.uint64)]))
+            need.append(hits)
+        word, owner = np.concatenate(pairs, axis=1) if pairs else np.zeros((2, 0), np.uint64)
+        order = np.argsort(word, kind="stable")
+        self.seeds, first = np.unique(word[order], return_index=True)
+        self.first, self.owner, self.need = np.append(first, len(word)), owner[order].astype(np.int64), np.array(need, np.int64)
+        return self
 
 
 def _words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -121,20 +129,6 @@ def _words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return span_hashes(FOLD_AZ[data], start, end), first, start, end
 
 
-def _hits(items: Items, words: np.ndarray, first: np.ndarray, seed: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Row, word position and index into the distinct n-grams, for each place of a chunk that holds an item's n-gram."""
-    out = []
-    row_of = np.repeat(np.arange(len(first) - 1), np.diff(first))
-    for size in items.sizes(seed):
-        gram = window_hashes(words, size)
-        if not len(gram) or not len(items.grams):
-            continue
-        at = np.minimum(np.searchsorted(items.grams, gram), len(items.grams) - 1)
-        hit = np.flatnonzero((items.grams[at] == gram) & (row_of[: len(gram)] == row_of[size - 1 :]))
-        out.append((row_of[hit], hit, at[hit]))
-    return tuple(np.concatenate(c) for c in zip(*out)) if out else (np.zeros(0, np.int64),) * 3
-
-
 def _spread(start: np.ndarray, size: np.ndarray) -> np.ndarray:
     """start[0], ..., start[0] + size[0] - 1, start[1], ..."""
     return np.repeat(start - (np.cumsum(size) - size), size) + np.arange(size.sum())
@@ -181,78 +175,118 @@ def align(item: np.ndarray, window: np.ndarray, mismatch: float, gap: float) ->
     return best, begin, end
 
 
-def _windows(items: Items, owner: np.ndarray, where: np.ndarray, n: int, options: Alignment) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Item, begin and end of the windows around hits that put their item at word ``where``, of a document of n words."""
-    order = np.lexsort((where, owner))
-    owner, where = owner[order], where[order]
+def _windows(items: Items, words: np.ndarray, first: np.ndarray, options: Alignment) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Row, item, begin and end (words of the chunk) of the blocks that hold every alignment with enough seeds; first: the rows' first words."""
+    none = (np.zeros(0, np.int64),) * 4
+    if not len(words) or not len(items.seeds):
+        return none
+    at = np.minimum(np.searchsorted(items.seeds, words), len(items.seeds) - 1)
+    where = np.flatnonzero(items.seeds[at] == words)
+    seed = at[where]
+    shared = items.first[seed + 1] - items.first[seed]
+    owner, where = items.owner[_spread(items.first[seed], shared)], np.repeat(where, shared)
+    row = np.searchsorted(first, where, "right") - 1
+    key = row * len(items.ids) + owner
+    order = np.argsort(key, kind="stable")  # places stay in order
+    key, where = key[order], where[order]
+    row, owner = np.divmod(key, len(items.ids))
     chain = options.chain(items.size[owner])
-    apart = np.concatenate([[True], (owner[1:] != owner[:-1]) | (where[1:] - where[:-1] > chain[1:])])
-    head = np.flatnonzero(apart)
-    tail = np.append(head[1:], len(owner)) - 1
-    owner = owner[head]
-    size = items.size[owner]
-    slack = size // 2 + 5
-    begin, end = np.maximum(0, where[head] - slack), np.minimum(n, where[tail] + size + slack)
+    widest, last = items.size[owner] + chain, np.arange(len(key)) + items.need[owner] - 1
+    inside = np.minimum(last, len(key) - 1)
+    near = np.flatnonzero((last < len(key)) & (key[inside] == key) & (where[inside] - where < widest))
+    if not len(near):
+        return none
+    key, row, owner, widest = key[near], row[near], owner[near], widest[near]
+    begin, end = np.maximum(first[row], where[last[near]] - widest), np.minimum(first[row + 1], where[near] + widest + 1)
+    head = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (begin[1:] > end[:-1])]))
+    row, owner, widest, begin, end = row[head], owner[head], widest[head], begin[head], end[np.append(head[1:], len(key)) - 1]
     # blocks that overlap by the widest alignment, so that each lies in one of them whole
-    widest = size + chain[head]
     blocks = np.maximum(1, -(-(end - begin - widest) // (3 * widest)))
     step = np.repeat(3 * widest, blocks) * (np.arange(blocks.sum()) - np.repeat(np.cumsum(blocks) - blocks, blocks))
-    owner, begin, end, widest = (np.repeat(x, blocks) for x in (owner, begin, end, widest))
-    return owner, begin + step, np.minimum(end, begin + step + 4 * widest)
-
-
-def _row_leaks(items: Items, words: np.ndarray, others, hits: np.ndarray, grams: np.ndarray, options: Alignment) -> list[tuple[int, float, int, int]]:
-    """(item, score, first word, end word) of the leaks in one document; hits: its seed positions; others(a, b): second hashes of words[a:b]."""
-    shared = items.first[grams + 1] - items.first[grams]
-    entry = _spread(items.first[grams], shared)
-    owner, begin, end = _windows(items, items.owner[entry], np.repeat(hits, shared) - items.place[entry], len(words), options)
-    least = options.least(items.size[owner])
-    # no alignment matches more words of the item than the window holds
-    able = np.flatnonzero(words_in_windows(items, owner, words, begin, end) >= least)
-    found: dict[int, tuple[float, int, int]] = {}
-    for i in able.tolist():
-        item = int(owner[i])
-        floor = max(least[i] - 1e-9, found.get(item, (0.0, 0, 0))[0] + 1e-9)
-        if align(items.words[item], words[begin[i] : end[i]], options.mismatch, options.gap)[0] >= floor:
-            score, s, e = align(items.others[item], others(begin[i], end[i]), options.mismatch, options.gap)
-            if score >= floor:
-                found[item] = (score, int(begin[i]) + s, int(begin[i]) + e)
-    return [(item, *x) for item, x in sorted(found.items())]
+    row, owner, begin, end, widest = (np.repeat(x, blocks) for x in (row, owner, begin, end, widest))
+    return row, owner, begin + step, np.minimum(end, begin + step + 4 * widest)
 
 
 def chunk_leaks(items: Items, data: np.ndarray, offsets: np.ndarray, options: Alignment) -> Iterator[tuple[int, int, float, int, int]]:
     """(row, item, share of the item, start, end in bytes of the chunk)."""
     words, first, start, end = _words(data, offsets)
-    row, at, gram = _hits(items, words, first, options.seed)
+    row, owner, begin, stop = _windows(items, words, first, options)
     if not len(row):
         return
-    order = np.lexsort((at, row))
-    row, at, gram = row[order], at[order], gram[order]
-    cuts = np.concatenate([[0], np.flatnonzero(row[1:] != row[:-1]) + 1, [len(row)]])
-    for a, b in zip(cuts[:-1], cuts[1:]):
-        base = first[row[a]]
 
-        def others(s: int, e: int, base: int = base) -> np.ndarray:
-            own = slice(base + s, base + e)
-            low, high = int(start[own][0]), int(end[own][-1])
-            return span_hashes(FOLD_AZ[data[low:high]], start[own] - low, end[own] - low, 1)
+    def others(a: int, b: int) -> np.ndarray:
+        """Second hashes of words[a:b]."""
+        low, high = int(start[a]), int(end[b - 1])
+        return span_hashes(FOLD_AZ[data[low:high]], start[a:b] - low, end[a:b] - low, 1)
+
+    least = options.least(items.size[owner])
+    found: dict[tuple[int, int], tuple[float, int, int]] = {}
+    # no alignment matches more words of the item than the window holds
+    for a, b in _runs(row):
+        base, top = int(begin[a:b].min()), int(stop[a:b].max())
+        able = np.flatnonzero(words_in_windows(items, owner[a:b], words[base:top], begin[a:b] - base, stop[a:b] - base) >= least[a:b]) + a
+        for i in able.tolist():
+            item, s, e = (int(row[i]), int(owner[i])), int(begin[i]), int(stop[i])
+            floor = max(least[i] - 1e-9, found.get(item, (0.0, 0, 0))[0] + 1e-9)
+            if align(items.words[item[1]], words[s:e], options.mismatch, options.gap)[0] >= floor:
+                score, x, y = align(items.others[item[1]], others(s, e), options.mismatch, options.gap)
+                if score >= floor:
+                    found[item] = (score, s + x, s + y)
+    for (r, item), (score, s, e) in sorted(found.items()):
+        yield r, item, score / len(items.words[item]), int(start[s]), int(end[e - 1])
+
+
+def _runs(keys: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Begin and end of each run of equal keys."""
+    cuts = np.concatenate([[0], np.flatnonzero(keys[1:] != keys[:-1]) + 1, [len(keys)]]).tolist()
+    return zip(cuts, cuts[1:])
+
+
+def word_counts(docs: DataFrame, vocabulary: np.ndarray) -> np.ndarray:
+    """How often each word of the vocabulary (hashes, in order) stands in the documents."""
+    shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = shared.value
+        total = np.zeros(len(own), np.int64)
+        for batch in batches:
+            for _, _, data, offsets in chunks(batch.column(0)):
+                words = _words(data, offsets)[0]
+                at = np.minimum(np.searchsorted(own, words), len(own) - 1)
+                total += np.bincount(at[own[at] == words], minlength=len(own))
+        some = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], ["word", "n"])
+
+    counts = np.zeros(len(vocabulary), np.int64)
+    if len(vocabulary):
+        # at most one row for each word of a block of items
+        found = map_columns(docs, ["text"], run, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")).toArrow()
+        counts[found["word"].to_numpy()] = found["n"].to_numpy()
+    return counts
+
+
+def _n_words(text) -> F.Column:
+    return F.size(F.filter(F.split(F.coalesce(text, F.lit("")), "[^A-Za-z0-9\\x{80}-\\x{10FFFF}]+"), lambda w: w != ""))
+
 
-        for item, score, s, e in _row_leaks(items, words[base : first[row[a] + 1]], others, at[a:b] - base, gram[a:b], options):
-            yield int(row[a]), item, score / len(items.words[item]), int(start[base + s]), int(end[base + e - 1])
+def unjudged(benchmark: DataFrame, options: Alignment = Alignment()) -> DataFrame:
+    """item_id, words of the test items that are too short to take a document."""
+    rows = benchmark.select(F.col("item_id").cast("long").alias("item_id"), _n_words(F.col("text")).alias("words"))
+    return rows.where(F.col("words") < max(1, options.judged_words))
 
 
-def item_blocks(benchmark: DataFrame, options: Alignment) -> Iterator[Items]:
-    """The benchmark in blocks of bounded size."""
-    rows = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text")
+def item_blocks(docs: DataFrame, benchmark: DataFrame, options: Alignment) -> Iterator[Items]:
+    """The benchmark in blocks of bounded size, with the seeds that are rare in the documents."""
+    rows = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").where(_n_words(F.col("text")) >= max(1, options.judged_words))
     size = rows.agg(F.sum(F.octet_length("text")).alias("s")).first()["s"] or 0
     blocks = size // options.block_bytes + 1
     for i in range(blocks):
-        own = rows.where(F.pmod(F.xxhash64("text"), F.lit(blocks)) == i).orderBy("item_id", "text").collect()
-        items = Items.of([(r["item_id"], r["text"]) for r in own], options.seed, options.judged_words)
-        if items.short:
-            warnings.warn(f"{len(items.short)} items have fewer than {options.judged_words} words and are not judged: {items.short}", stacklevel=2)
+        # of equal texts one comes, with the ids of all
+        own = rows.where(F.pmod(F.xxhash64("text"), F.lit(blocks)) == i).groupBy("text").agg(F.sort_array(F.collect_list("item_id")).alias("ids")).collect()
+        own = sorted(((item_id, r["text"]) for r in own for item_id in r["ids"]), key=lambda x: (x[0], x[1]))
+        items = Items.of(own, options)
         if items.ids:
-            yield items
+            yield items.seeded(word_counts(docs, items.vocabulary()), options)
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, options: Alignment = Alignment()) -> DataFrame:
@@ -260,7 +294,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, options: Alignment = Alignment(
     spark = docs.sparkSession
     schema = "doc_id long, item_id long, score double, start long, end long"
     result = spark.createDataFrame([], schema)
-    for items in item_blocks(benchmark, options):
+    for items in item_blocks(docs, benchmark, options):
         result = result.union(_block_leaks(docs, spark.sparkContext.broadcast(items), options, schema))
     return result
 
@@ -284,7 +318,7 @@ def _block_leaks(docs: DataFrame, shared, options: Alignment, schema: str) -> Da
 
 def clean_documents(docs: DataFrame, benchmark: DataFrame, options: Alignment = Alignment()) -> DataFrame:
     """The rows of docs, all columns, whose text leaks no test item."""
-    for items in item_blocks(benchmark, options):
+    for items in item_blocks(docs, benchmark, options):
         docs = _clean_of(docs, docs.sparkSession.sparkContext.broadcast(items), options)
     return docs
 
@@ -298,4 +332,4 @@ def _clean_of(docs: DataFrame, shared, options: Alignment) -> DataFrame:
                     clean[at + row] = False
             yield batch.filter(pa.array(clean))
 
-    return docs.mapInArrow(run, docs.schema)
+    return map_rows(docs, run)

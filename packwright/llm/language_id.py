@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .textscan import STARTS_CHAR, chunks, map_columns
+from .textscan import STARTS_CHAR, chunks, map_columns, map_rows
 
 UNDETERMINED = "und"
 PIECE_BYTES = 1 << 17  # of a long text at a time
@@ -366,4 +366,4 @@ def confident(docs: DataFrame, model: Model | None, least_score: float = 0.5) ->
                 keep[at:end] = (score >= least_score) & (np.array(lang) != UNDETERMINED)
             yield batch.filter(pa.array(keep))
 
-    return docs.mapInArrow(run, docs.schema)
+    return map_rows(docs, run)

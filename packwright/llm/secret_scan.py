@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .files import stored
-from .textscan import CHUNK_BYTES, FOLD_AZ, IS_SPACE, CharPlaces, chunks, map_columns, span_hashes
+from .textscan import CHUNK_BYTES, FOLD_AZ, IS_SPACE, CharPlaces, chunks, map_columns, map_rows, span_hashes
 
 #: The patterns, in the order in which kinds are listed, and the least size of what they hold.
 ASSIGN = re.compile(rb"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE)
@@ -654,4 +654,4 @@ def redacted(docs: DataFrame, field: Field | None = None, options: Training = Tr
             arrays[place] = pa.array(texts, column.type)
             yield pa.RecordBatch.from_arrays(arrays, schema=batch.schema)
 
-    return docs.mapInArrow(run, docs.schema)
+    return map_rows(docs, run)

@@ -206,3 +206,17 @@ class CharPlaces:
 def map_columns(df, columns: list[str], run, schema: str):
     """``df.select(columns).mapInArrow(run)``: run gets and yields record batches."""
     return df.select(*columns).mapInArrow(run, schema)
+
+
+def map_rows(df, run):
+    """``mapInArrow`` over whole rows with the schema kept; run sees the columns' own names, whatever signs they hold."""
+    from pyspark.sql import types as T
+
+    names, plain = df.columns, [f"_{i}" for i in range(len(df.columns))]
+
+    def renamed(batches):
+        for out in run(pa.RecordBatch.from_arrays(b.columns, names=names) for b in batches):
+            yield pa.RecordBatch.from_arrays(out.columns, names=plain)
+
+    schema = T.StructType([T.StructField(p, f.dataType, f.nullable) for p, f in zip(plain, df.schema.fields)])
+    return df.toDF(*plain).mapInArrow(renamed, schema).toDF(*names)

@@ -1,10 +1,12 @@
 import random
+import re
 import tracemalloc
+import zlib
 
 import numpy as np
 import pytest
 
-from packwright.llm.decontaminate import Alignment, Items, align, chunk_leaks, clean_documents, leaks, words_in_windows
+from packwright.llm.decontaminate import Alignment, Items, align, chunk_leaks, clean_documents, leaks, unjudged, words_in_windows
 
 from .conftest import EDGE_TEXTS
 
@@ -38,6 +40,54 @@ def brute_align(item, window, mismatch, gap):
     return best
 
 
+def seeded(rows, options=Alignment()):
+    items = Items.of(rows, options)
+    return items.seeded(np.zeros(len(items.vocabulary()), np.int64), options)
+
+
+def everything(docs, items, options=Alignment()):
+    """Every document aligned with every item."""
+    found = {}
+    for doc_id, t in docs:
+        words = re.findall("[A-Za-z0-9\x80-\U0010ffff]+", (t or "").lower())
+        for item_id, own in items:
+            item = re.findall("[A-Za-z0-9\x80-\U0010ffff]+", (own or "").lower())
+            if len(item) < options.judged_words or not words:
+                continue
+            score = align(*(np.array([zlib.crc32(w.encode()) for w in x], np.uint64) for x in (item, words)), options.mismatch, options.gap)[0]
+            if score >= float(options.least(np.array([len(item)]))[0]) - 1e-9:
+                found[doc_id, item_id] = score / len(item)
+    return found
+
+
+@pytest.mark.parametrize("seed_hits", [1, 3, 6])
+def test_equals_aligning_everything(spark, frame, seed_hits):
+    """Few words, so that chance matches abound; copies exact, edited at each second or third word, cut, in a third of all documents."""
+    rnd = random.Random(44)
+    few = [f"w{i}" for i in range(60)] + ["the"] * 30
+    line = lambda n: [rnd.choice(few) for _ in range(n)]
+    items = [(i, " ".join(line(rnd.randrange(3, 50)))) for i in range(25)] + [(90, " ".join(line(120))), (91, None), (92, "the the the the the the the the")]
+    change = lambda words, k: [w if j % k else rnd.choice(few) for j, w in enumerate(words)]
+    rows = []
+    for i in range(330):
+        item = rnd.choice(items)[1] or ""
+        own = item.split(" ")
+        copy = [own, change(own, 2), change(own, 3), own[: len(own) * 2 // 3], [x for w in own for x in ([w, "new"] if rnd.random() < 0.4 else [w])]][i % 5]
+        rows.append((i, " ".join(line(rnd.randrange(60)) + (copy if i % 3 else items[7][1].split(" ")) + line(rnd.randrange(60)))))
+    options = Alignment(seed_hits=seed_hits)
+    benchmark = spark.createDataFrame(items, "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]): r["score"] for r in leaks(frame(rows), benchmark, options).collect()}
+    assert got == pytest.approx(everything(rows, items, options)) and len(got) > 150
+    gone = {d for d, _ in got}
+    assert sorted(r["doc_id"] for r in clean_documents(frame(rows), benchmark, options).collect()) == [i for i, _ in rows if i not in gone]
+
+
+def test_repeated_rows_repeat(spark, frame):
+    text = "one two three four five six seven eight nine ten"
+    got = leaks(frame([(1, text)] * 3 + [(None, text)]), spark.createDataFrame([(5, text)], "item_id long, text string")).collect()
+    assert sorted((r["doc_id"] or 0, r["item_id"], r["score"]) for r in got) == [(0, 5, 1.0)] + [(1, 5, 1.0)] * 3
+
+
 def test_alignment_equals_plain_dynamic_programming():
     rnd = np.random.default_rng(2)
     for _ in range(300):
@@ -114,8 +164,8 @@ def test_versions_that_stand_in_many_documents(spark, frame):
 
 def test_words_in_windows_equal_plain_counts():
     rnd = np.random.default_rng(4)
-    items = Items.of([(i, " ".join(f"a{x}" for x in rnd.integers(0, 30, rnd.integers(1, 20)))) for i in range(9)], 3)
-    words = Items.of([(0, " ".join(f"a{x}" for x in rnd.integers(0, 40, 50)))], 3).words[0]
+    items = Items.of([(i, " ".join(f"a{x}" for x in rnd.integers(0, 30, rnd.integers(1, 20)))) for i in range(9)], Alignment(judged_words=1))
+    words = Items.of([(0, " ".join(f"a{x}" for x in rnd.integers(0, 40, 50)))], Alignment()).words[0]
     owner = rnd.integers(0, 9, 40)
     begin = rnd.integers(0, 50, 40)
     end = np.minimum(50, begin + rnd.integers(0, 20, 40))
@@ -128,10 +178,9 @@ def test_short_items_take_no_clean_documents(spark, frame):
     rows = [(1, "yes it is"), (2, "the cat sat somewhere else and was not seen again"), (3, "so The cat sat, on the mat today"), (4, "one two three four five x y z"), (5, "one two three four five six seven")]
     items = spark.createDataFrame([(0, "yes"), (1, "the cat sat"), (2, "the cat sat on the mat"), (3, "one two three four five six seven eight nine ten")], "item_id long, text string")
     docs = frame(rows)
-    with pytest.warns(UserWarning, match=r"2 items .*\[0, 1\]"):
-        assert {(r["doc_id"], r["item_id"]) for r in leaks(docs, items).collect()} == {(3, 2), (5, 3)}
-    with pytest.warns(UserWarning, match="2 items"):
-        assert sorted(r["doc_id"] for r in clean_documents(docs, items).collect()) == [1, 2, 4]
+    assert {(r["doc_id"], r["item_id"]) for r in leaks(docs, items).collect()} == {(3, 2), (5, 3)}
+    assert sorted(r["doc_id"] for r in clean_documents(docs, items).collect()) == [1, 2, 4]
+    assert sorted(map(tuple, unjudged(items).collect())) == [(0, 1), (1, 3)]
 
 
 def test_a_long_insertion_does_not_split_a_copy(spark, frame):
@@ -160,7 +209,7 @@ def test_blocks_of_long_windows_equal_whole_alignment(spark, frame):
 
 def test_equal_items_are_one_alignment_and_words_with_equal_hashes_are_no_leak(monkeypatch):
     text = " ".join(f"w{i}" for i in range(20))
-    items = Items.of([(i, text) for i in range(1000)], 3)
+    items = seeded([(i, text) for i in range(1000)])
     assert len(items.words) == 1 and items.ids == [list(range(1000))]
     data = np.frombuffer(text.encode(), np.uint8)
     assert [x[:3] for x in chunk_leaks(items, data, np.array([0, len(data)]), Alignment())] == [(0, 0, 1.0)]
@@ -170,7 +219,7 @@ def test_equal_items_are_one_alignment_and_words_with_equal_hashes_are_no_leak(m
 
 def test_memory_of_one_long_text():
     text = np.tile(np.frombuffer(b"some words of a line that stands there\n", np.uint8), 16_000_000 // 39)
-    items = Items.of([(0, "words of another test item that is long enough to be judged")], 3)
+    items = seeded([(0, "words of another test item that is long enough to be judged")])
     tracemalloc.start()
     assert not list(chunk_leaks(items, text, np.array([0, len(text)]), Alignment()))
     peak = tracemalloc.get_traced_memory()[1]

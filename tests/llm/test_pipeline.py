@@ -74,3 +74,20 @@ def test_null_ids_repeated_rows_clashing_columns_and_long_texts(spark, folder, t
             assert {r["doc_id"]: r["text"] for r in out}[301] == long
         elif name == "bpe":
             assert {r["doc_id"]: r["decoded_sha256"] for r in out}[301] == hashlib.sha256(long.encode()).hexdigest()
+
+
+def test_odd_names_of_extra_columns(spark, folder):
+    """Dots, spaces, quotes and, in a case-sensitive session, names that differ by case alone."""
+    docs = spark.read.parquet(f"{folder[0]}/documents.parquet")
+    odd = docs.select("*", *[F.col("doc_id").alias(n) for n in ("a.b", "a b", "x`y", "_gone", "kept", "")])
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, odd, folder[0])
+        assert out.columns == odd.columns and all(r["doc_id"] == r["a.b"] == r["x`y"] == r["_gone"] for r in out.collect())
+    spark.conf.set("spark.sql.caseSensitive", "true")
+    try:
+        clash = docs.withColumn("TEXT", F.lit("other")).withColumn("Doc_Id", F.lit(-1))
+        for _, stage in corpus_pipeline.STAGES[:-1]:
+            out = stage(spark, clash, folder[0])
+            assert out.columns == clash.columns and {(r["TEXT"], r["Doc_Id"]) for r in out.collect()} == {("other", -1)}
+    finally:
+        spark.conf.unset("spark.sql.caseSensitive")
