@@ -9,13 +9,15 @@ bpe          encodes the texts and decodes them again: counts and digests
 The first four return the columns of documents.  A stage's rows are written as Parquet and read
 again as the next one's.  Null texts go in the first stage, as they have no language; null doc_ids
 are kept; repeated rows are the same document and stay repeated, and so are two texts of one doc_id,
-which stay or go together; very long texts pass whole; extra columns stay as they are, whatever their
-names, up to the last stage; empty tables pass all stages.
+which stay or go together; very long texts pass whole; extra columns stay as they are up to the last
+stage, with dots, spaces or signs in their names (names that differ from others by case alone need a
+case-sensitive session, as anywhere in Spark); empty tables pass all stages.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from packwright.llm.bpe import round_trip_digests
 from packwright.llm.decontaminate import clean_documents
@@ -32,8 +34,8 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     groups = near_duplicates(docs, Near(words=5, percent=80))
-    gone = groups.where("NOT kept").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    gone = groups.where("NOT kept").select(F.col("doc_id").alias("_gone")).distinct()
+    return docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti")  # no column is named but these
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
