@@ -2,16 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from dataclasses import dataclass
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from packwright.functions.facts import emails, fact_signals, first_sentence, location_parts, phones, postal_hints, snippets, terms, without_urls
 from packwright.functions.text import clip_text, half_up, page_key, text_hash, trimmed, whole_word
+from packwright.operators.ordered import last_of_fold
 from packwright.sources.staging import staged
 
 # ---- Fixed values of the contract ----
@@ -102,42 +101,19 @@ def score_pages(cleaned: DataFrame, options: PacketOptions = PacketOptions()) ->
     return scored.withColumn("keep", (F.size("drop_reasons") == 0) & (F.col("score") > KEEP_ABOVE))
 
 
-def _best_copies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """company, key, best_page of the keys with more than one page; rows come by company, key and place."""
-    more = lambda x, y: x is not None and y is not None and x > y
-    made = lambda rows: pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in zip(*rows)], ["company", "key", "best_page"])
-    own, n, best = None, 0, None
-    for batch in batches:
-        done = []
-        for company, key, _, score, chars, page in zip(*(c.to_pylist() for c in batch.columns)):
-            if n and own == (company, key):
-                n += 1
-                if more(score, best[0]) or (more(chars, best[1]) and best[0] is not None and more(score, best[0] - NEAR_SCORE - 1)):
-                    best = (score, chars, page)
-                continue
-            if n > 1:
-                done.append((*own, best[2]))
-            own, n, best = (company, key), 1, (score, chars, page)
-        if done:
-            yield made(done)
-    if n > 1:
-        yield made([(*own, best[2])])
-
-
 def duplicate_pages(scored: DataFrame) -> DataFrame:
     """company, pos, selected: whether the page, or one equal to it, is the copy that stays under its key.
 
     The choice is an ordered fold: a page replaces the copy so far if it scores more, or if it is
     longer and at most NEAR_SCORE points worse; so it depends on the order of pages, and on that alone.
-    A key's pages pass in order through one task that holds the copy so far, never all of them nor any text.
+    A key's pages are dealt by their order, any number of them to many tasks (``last_of_fold``).
     """
     slim = scored.select(
         "company", "pos", "score", "clean_chars",
         page_key(F.coalesce(F.when(F.col("final_url") != "", F.col("final_url")), F.lit("")), F.col("page_path"), F.col("content_hash")).alias("key"),
         F.concat_ws("|", F.coalesce("markdown_file", F.lit("")), F.coalesce("final_url", F.lit("")), "content_hash").alias("page"),
     )
-    ordered = slim.select("company", "key", "pos", "score", "clean_chars", "page").repartition("company", "key").sortWithinPartitions("company", "key", "pos", "score", "clean_chars", "page")
-    best = ordered.mapInArrow(_best_copies, "company string, key string, best_page string")
+    best = last_of_fold(slim, "company", "key", ["pos"], "score", "clean_chars", "page", NEAR_SCORE).withColumnRenamed("what", "best_page")
     return slim.join(best, ["company", "key"], "left").select("company", "pos", F.coalesce(F.col("page") == F.col("best_page"), F.lit(True)).alias("selected"))
 
 

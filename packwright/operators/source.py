@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from packwright.functions.text import bound, canonical_url, compact, domain_to_url, first_url_like, host_of, normalize_domain, origin_url, page_path_of, text_or_empty
+from packwright.operators.ordered import first_by, sums_before
 from packwright.sources.staging import staged
 
 # ---- Fixed values of the contract ----
@@ -152,8 +153,8 @@ def frontier(seeds: DataFrame, discovered: DataFrame, most_links: int = 0) -> Da
     first = every.groupBy("row_index", "_key").agg(F.min(F.struct("phase", "tier", "url")).alias("x")).select("row_index", "x.*")
     if not most_links:
         return first
-    ranked = first.withColumn("_n", F.row_number().over(Window.partitionBy("row_index", "phase").orderBy("tier", "url")))
-    return ranked.where((F.col("phase") == 0) | (F.col("_n") <= most_links)).drop("_n")
+    found = first_by(first.where("phase = 1"), ["row_index"], [F.col("tier"), F.col("url")], most_links, F.col("url"))
+    return first.where("phase = 0").unionByName(found)
 
 
 def entity_summary(sources: DataFrame, salts: int = 16) -> DataFrame:
@@ -199,10 +200,10 @@ def crawl_counters(results: DataFrame) -> DataFrame:
 def within_time(sources: DataFrame, budget_ms: int) -> DataFrame:
     """Sources fetched before a company's time is up, and one timeout row for what is left.
 
-    sources: row_index, position, url, elapsed_ms.
+    sources: row_index, position, url, elapsed_ms.  A company's sources may be any number: none of its sums
+    is made in one task.
     """
-    so_far = F.coalesce(F.sum("elapsed_ms").over(Window.partitionBy("row_index").orderBy("position").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    timed = sources.withColumn("_spent", so_far)
+    timed = sums_before(sources.select("row_index", "position", "url", "elapsed_ms"), "row_index", "position", "elapsed_ms").withColumnRenamed("before", "_spent")
     done = timed.where(F.col("_spent") < budget_ms).select("row_index", "position", "url", "elapsed_ms", F.lit("done").alias("status"), F.lit(0).cast("long").alias("remaining"))
     late = timed.where(F.col("_spent") >= budget_ms).groupBy("row_index").agg(F.min("position").alias("position"), F.count("*").alias("remaining"))
     return done.unionByName(late.select("row_index", "position", F.lit("").alias("url"), F.lit(0).cast("long").alias("elapsed_ms"), F.lit("timeout").alias("status"), "remaining"), allowMissingColumns=True)

@@ -65,10 +65,10 @@ def io1_row_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return source.with_row_index(table(spark, sf_dir, "orders").select("o_orderkey"), "o_orderkey")
 
 
-@query("SELECT *, CAST(row_number() OVER (ORDER BY l_orderkey * 8 + l_linenumber) - 1 AS BIGINT) AS row_index FROM lineitem")
+@query("SELECT *, CAST(row_number() OVER (ORDER BY o_orderkey) - 1 AS BIGINT) AS row_index FROM orders")
 def io1_wide_row_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Numbers of rows that keep all their columns."""
-    return source.with_row_index(table(spark, sf_dir, "lineitem"), F.col("l_orderkey") * 8 + F.col("l_linenumber"))
+    return source.with_row_index(table(spark, sf_dir, "orders"), "o_orderkey")
 
 
 @query(f"""WITH e AS (SELECT row_index, {_DOMAIN} AS domain, {_URL.format(d=_DOMAIN)} AS url FROM ({SQL_CSV})), o AS (SELECT *, regexp_extract(url, '^(https?://[^/]+)', 1) AS origin FROM e),
