@@ -260,3 +260,54 @@ def st5_hourly_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
     from packwright.streaming.progress import hourly_progress
 
     return hourly_progress(table(spark, sf_dir, "events"))
+
+
+def arriving(rows: DataFrame, files: int, files_a_batch: int) -> DataFrame:
+    """A table as a stream of its files, several a batch."""
+    from packwright.sources.staging import new_folder
+    from packwright.streaming.progress import page_stream
+
+    folder = new_folder(rows.sparkSession, "arriving")
+    rows.repartition(files).write.parquet(folder)
+    return page_stream(rows.sparkSession, folder, rows.schema, files_a_batch)
+
+
+_HOST = "regexp_extract(url, '^https?://([^/?#]*)', 1)"
+
+
+@query(f"""SELECT {_HOST} AS company, count(*) AS pages, count(DISTINCT html) AS different, CAST(sum(length(coalesce(html, ''))) AS BIGINT) AS chars, max(page_id) AS last_page FROM pages GROUP BY 1""")
+def st1_incremental_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages in several batches, a host's results made anew from its state whenever pages of it come."""
+    from packwright.sources.staging import new_folder
+    from packwright.streaming import progress
+
+    pages = table(spark, sf_dir, "pages").select(F.regexp_extract("url", "^https?://([^/?#]*)", 1).alias("company"), F.col("page_id").alias("pos"), F.coalesce("html", F.lit("")).alias("html"))
+    made = lambda df: df.groupBy("company").agg(F.count("*").alias("pages"), F.count_distinct("html").alias("different"), F.sum(F.length("html")).alias("chars"), F.max("pos").alias("last_page"))
+    out = new_folder(spark, "incremental")
+    progress.start_results(arriving(pages, 4, 2), made, out, f"{out}/checkpoint").awaitTermination()
+    return progress.latest_results(spark, out)
+
+
+@query("SELECT count(*) AS completed, count(*) FILTER (event_type <> 'error') AS successful, count(*) FILTER (event_type = 'error') AS failed FROM events")
+def st2_last_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The newest snapshot of the counters of a stream."""
+    from packwright.sources.staging import new_folder
+    from packwright.streaming import progress
+
+    out = new_folder(spark, "snapshots")
+    progress.start_snapshots(arriving(table(spark, sf_dir, "events").select("event_type"), 6, 2), 300, out, f"{out}/checkpoint").awaitTermination()
+    kept = spark.read.schema("completed long, successful long, failed long").json(f"{out}/snapshot=*")
+    return kept.agg(F.max(F.struct("completed", "successful", "failed")).alias("x")).select("x.*")
+
+
+@query("SELECT doc_id AS case_id, coalesce(text, '') AS raw_text FROM documents")
+def st3_resumed_append(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A run over documents of which a part came through, resumed over those without a row: each once."""
+    from packwright.sources.staging import new_folder
+    from packwright.streaming import progress
+
+    cases = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("case_id"), F.coalesce("text", F.lit("")).alias("raw_text"))
+    out, schema = new_folder(spark, "results"), "case_id long, raw_text string"
+    progress.start_append(arriving(cases.where("case_id % 3 = 0"), 3, 1), out, f"{out}/checkpoint").awaitTermination()
+    progress.append_once(progress.remaining_cases(spark, cases, progress.committed_rows(spark, out, schema)), out, 1 << 20)
+    return progress.committed_rows(spark, out, schema)
