@@ -8,7 +8,8 @@ leaves out no more than the others; of ``n - least + seed_hits`` words it matche
 edit took and however often a version occurs.  Only where that many seeds of an item stand no further apart
 than an alignment reaches is a window opened, as wide as any alignment over them.  A window of many words
 is aligned in blocks that overlap by the widest alignment.  A block whose words cannot reach the least score,
-whatever their order, is skipped before alignment; that bound loses nothing either.  So the result is that of
+whatever their order, is skipped before alignment, and so is one of which no stretch can, if all its words
+that the item has matched; these bounds lose nothing either.  So the result is that of
 aligning every document with every item.  Words are compared by hashes, and a leak must hold under a
 second, independent hash as well.
 
@@ -47,7 +48,7 @@ class Alignment:
     ``floor_words``: less than this, or the whole of a shorter item, is no leak; ``judged_words``: items with fewer words are only listed.
     """
 
-    seed_hits: int = 3
+    seed_hits: int = 5
     least_share: float = 0.5
     least_words: float = 40.0
     floor_words: float = 7.0
@@ -74,6 +75,7 @@ class Items:
     size: np.ndarray = field(init=False)
     start: np.ndarray = field(init=False)
     flat: np.ndarray = field(init=False)
+    ordered: list[np.ndarray] = field(init=False)
     need: np.ndarray = field(init=False)
     seeds: np.ndarray = field(init=False)
     first: np.ndarray = field(init=False)
@@ -83,6 +85,7 @@ class Items:
         self.size = np.array([len(w) for w in self.words], np.int64)
         self.start = np.cumsum(self.size) - self.size
         self.flat = np.concatenate(self.words) if self.words else np.zeros(0, np.uint64)
+        self.ordered = [np.sort(w) for w in self.words]
 
     @classmethod
     def of(cls, rows: list[tuple[int, str]], options: Alignment) -> Items:
@@ -175,6 +178,14 @@ def align(item: np.ndarray, window: np.ndarray, mismatch: float, gap: float) ->
     return best, begin, end
 
 
+def reach(item: np.ndarray, window: np.ndarray, options: Alignment) -> float:
+    """What no alignment scores more than: the best stretch of the window if each of its words that the item (its words in order) has matches, and each other one costs a penalty."""
+    at = np.minimum(np.searchsorted(item, window), len(item) - 1)
+    steps = np.where(item[at] == window, 1.0, -min(options.mismatch, options.gap))
+    total = np.concatenate([[0.0], np.cumsum(steps)])
+    return float((total - np.minimum.accumulate(total)).max())
+
+
 def _windows(items: Items, words: np.ndarray, first: np.ndarray, options: Alignment) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Row, item, begin and end (words of the chunk) of the blocks that hold every alignment with enough seeds; first: the rows' first words."""
     none = (np.zeros(0, np.int64),) * 4
@@ -222,26 +233,17 @@ def chunk_leaks(items: Items, data: np.ndarray, offsets: np.ndarray, options: Al
     least = options.least(items.size[owner])
     found: dict[tuple[int, int], tuple[float, int, int]] = {}
     # no alignment matches more words of the item than the window holds
-    for a, b in _runs(row):
-        base, top = int(begin[a:b].min()), int(stop[a:b].max())
-        able = np.flatnonzero(words_in_windows(items, owner[a:b], words[base:top], begin[a:b] - base, stop[a:b] - base) >= least[a:b]) + a
-        for i in able.tolist():
-            item, s, e = (int(row[i]), int(owner[i])), int(begin[i]), int(stop[i])
-            floor = max(least[i] - 1e-9, found.get(item, (0.0, 0, 0))[0] + 1e-9)
-            if align(items.words[item[1]], words[s:e], options.mismatch, options.gap)[0] >= floor:
-                score, x, y = align(items.others[item[1]], others(s, e), options.mismatch, options.gap)
-                if score >= floor:
-                    found[item] = (score, s + x, s + y)
+    for i in np.flatnonzero(words_in_windows(items, owner, words, begin, stop) >= least).tolist():
+        item, s, e = (int(row[i]), int(owner[i])), int(begin[i]), int(stop[i])
+        floor = max(least[i] - 1e-9, found.get(item, (0.0, 0, 0))[0] + 1e-9)
+        if reach(items.ordered[item[1]], words[s:e], options) >= floor and align(items.words[item[1]], words[s:e], options.mismatch, options.gap)[0] >= floor:
+            score, x, y = align(items.others[item[1]], others(s, e), options.mismatch, options.gap)
+            if score >= floor:
+                found[item] = (score, s + x, s + y)
     for (r, item), (score, s, e) in sorted(found.items()):
         yield r, item, score / len(items.words[item]), int(start[s]), int(end[e - 1])
 
 
-def _runs(keys: np.ndarray) -> Iterator[tuple[int, int]]:
-    """Begin and end of each run of equal keys."""
-    cuts = np.concatenate([[0], np.flatnonzero(keys[1:] != keys[:-1]) + 1, [len(keys)]]).tolist()
-    return zip(cuts, cuts[1:])
-
-
 def word_counts(docs: DataFrame, vocabulary: np.ndarray) -> np.ndarray:
     """How often each word of the vocabulary (hashes, in order) stands in the documents."""
     shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
