@@ -127,9 +127,11 @@ def page_name_of(url: Column) -> Column:
 
 
 def text_hash(value: Column) -> Column:
-    """32-bit multiply-by-33-and-xor hash of the characters, in hex."""
+    """32-bit multiply-by-33-and-xor hash of the UTF-16 code units, in hex: a character beyond the basic plane is two."""
     codes = F.transform(F.filter(F.split(value, ""), lambda c: c != ""), lambda c: F.ascii(c).cast("long"))
-    return F.lower(F.hex(F.aggregate(codes, F.lit(5381).cast("long"), lambda h, c: (h * 33).bitwiseAND(F.lit(0xFFFFFFFF)).bitwiseXOR(c))))
+    step = lambda h, unit: (h * 33).bitwiseAND(F.lit(0xFFFFFFFF)).bitwiseXOR(unit)
+    high, low = (lambda c: F.shiftright(c - 0x10000, 10) + 0xD800), (lambda c: (c - 0x10000).bitwiseAND(F.lit(0x3FF)) + 0xDC00)
+    return F.lower(F.hex(F.aggregate(codes, F.lit(5381).cast("long"), lambda h, c: F.when(c > 0xFFFF, step(step(h, high(c)), low(c))).otherwise(step(h, c)))))
 
 
 def estimated_tokens(value: Column) -> Column:

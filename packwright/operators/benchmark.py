@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from packwright.functions.text import bound, half_up, normalized_text
+from packwright.operators.source import with_row_index
+from packwright.sources.staging import staged
 
 # ---- Fixed values of the contract ----
 UNKNOWN_WORDS = ("unknown", "n/a", "na", "none", "not disclosed", "not available", "no information available")
@@ -177,21 +179,22 @@ def ranked_leaderboard(board: DataFrame) -> DataFrame:
 
 
 def verified_leaderboard(scores: DataFrame, expected_cases: int, min_quality: float = MIN_QUALITY) -> DataFrame:
-    """The verifier's stricter board: a model must have all cases, and costs have four digits."""
-    sums = scores.where(F.coalesce("model", F.lit("")) != "").groupBy("model").agg(F.count("*").alias("cases"), F.coalesce(F.avg("quality_score"), F.lit(0.0)).alias("_q"), F.avg(F.col("parse_ok").eqNullSafe(True).cast("int")).alias("_p"), F.coalesce(F.sum("cost_usd"), F.lit(0.0)).alias("_c"))
+    """The verifier's stricter board: a model must have all cases, and costs have four digits; first_position: of the model's first case."""
+    first = F.min("position") if "position" in scores.columns else F.lit(0)
+    sums = scores.where(F.coalesce("model", F.lit("")) != "").groupBy("model").agg(first.alias("first_position"), F.count("*").alias("cases"), F.coalesce(F.avg("quality_score"), F.lit(0.0)).alias("_q"), F.avg(F.col("parse_ok").eqNullSafe(True).cast("int")).alias("_p"), F.coalesce(F.sum("cost_usd"), F.lit(0.0)).alias("_c"))
     return sums.select(
-        "model", "cases", half_up(F.col("_q"), 4).alias("avg_quality_score"), half_up(F.col("_p"), 4).alias("parse_rate"), half_up(F.col("_c"), 4).alias("total_cost_usd"), half_up(F.col("_c") / F.col("cases"), 4).alias("avg_cost_per_case_usd"),
+        "model", "cases", half_up(F.col("_q"), 4).alias("avg_quality_score"), half_up(F.col("_p"), 4).alias("parse_rate"), half_up(F.col("_c"), 4).alias("total_cost_usd"), half_up(F.col("_c") / F.col("cases"), 4).alias("avg_cost_per_case_usd"), "first_position",
         ((F.col("cases") >= expected_cases) & (F.col("_q") >= min_quality) & (F.col("_p") >= MIN_PARSE_RATE)).alias("eligible"),
     )
 
 
 def benchmark_kpis(scores: DataFrame, expected_cases: int, expected_models: int, min_quality: float = MIN_QUALITY) -> DataFrame:
-    """One row: completeness, best quality, eligible models, cheapest eligible and best model, primary score."""
+    """One row: completeness, best quality, eligible models, cheapest eligible and best model (of equal ones the first met), primary score."""
     board, expected = verified_leaderboard(scores, expected_cases, min_quality), expected_cases * expected_models
     eligible_cost = F.when(F.col("eligible"), F.struct("avg_cost_per_case_usd", (-F.col("avg_quality_score")).alias("q"), "model"))
     row = board.agg(
         F.coalesce(F.sum("cases"), F.lit(0)).alias("scored_cases"), F.coalesce(F.max("avg_quality_score"), F.lit(0.0)).alias("best_quality_score"), F.count_if("eligible").alias("eligible_models"),
-        F.min(eligible_cost).alias("_cheapest"), F.max(F.struct("avg_quality_score", "model"))["model"].alias("highest_quality_model"),
+        F.min(eligible_cost).alias("_cheapest"), F.min(F.struct((-F.col("avg_quality_score")).alias("q"), "first_position", "model"))["model"].alias("highest_quality_model"),
     )
     complete = (F.lit(expected) > 0) & (F.col("scored_cases") >= expected)
     primary = F.greatest(F.lit(0.0), F.lit(10_000.0) - F.col("_cheapest.avg_cost_per_case_usd") * PER_MILLION) - F.col("_cheapest.q") * 100
@@ -204,3 +207,28 @@ def benchmark_kpis(scores: DataFrame, expected_cases: int, expected_models: int,
 def missing_gold(responses: DataFrame, gold: DataFrame) -> DataFrame:
     """Cases that have a response but no gold output; a benchmark must have none."""
     return responses.select("case_id").distinct().join(gold.select("case_id"), "case_id", "left_anti")
+
+
+BITS = 64
+
+
+def missing_pairs(scores: DataFrame) -> DataFrame:
+    """model, case_id of each expected score that there is none of: every model against every case.
+
+    A model's cases are bits, ``BITS`` cases a row; what is left of full rows is read off bit by bit, so of all
+    pairs only the missing ones are ever formed.
+    """
+    known = scores.where("model IS NOT NULL AND case_id IS NOT NULL").select("model", "case_id")
+    cases = staged(with_row_index(known.select("case_id").distinct(), "case_id"), "case-numbers")
+    total = cases.count()
+    numbered = known.join(cases, "case_id").select("model", F.floor(F.col("row_index") / BITS).alias("word"), F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod("row_index", F.lit(BITS)).cast("int")).alias("bit"))
+    got = numbered.groupBy("model", "word").agg(F.bit_or("bit").alias("got"))
+    words = known.select("model").distinct().select("model", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(max(0, total - 1) // BITS).cast("long"))).alias("word"))
+    places = lambda bits: F.filter(F.sequence(F.lit(0), F.lit(BITS - 1)), lambda i: F.call_function("getbit", bits, i) == 0)
+    open_ = words.join(got, ["model", "word"], "left").select("model", F.explode(places(F.coalesce("got", F.lit(0).cast("long")))).alias("i"), "word")
+    return open_.select("model", (F.col("word") * BITS + F.col("i")).alias("row_index")).join(cases, "row_index").select("model", "case_id")
+
+
+def rows_by_case(rows: DataFrame) -> DataFrame:
+    """The rows in the order of their case, numbered from 0 (``row_index``), as results are written."""
+    return with_row_index(rows, "case_id")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from packwright.functions.text import half_up
@@ -135,3 +135,63 @@ def summary_rows(results: DataFrame) -> DataFrame:
         "case_id", "company_name", "domain", "ok", F.coalesce(r.is_object(), F.lit(False)).alias("parse_ok"), "model", half_up(F.col("cost_usd"), 6).alias("cost_usd"), "latency_ms", "prompt_tokens", "completion_tokens",
         *[texts[n].alias(n) for n in order], "json_file", "response_file", "packet_path", "error",
     )
+
+
+ICP_LISTS = ("target_industries", "target_geographies", "business_models", "must_have_signals", "disqualifiers")
+ICP_ISSUES = ("must include a non-empty name", "must include a non-empty description", "employee bounds must be non-negative numbers or null", "has employee_count_min greater than employee_count_max")
+
+
+def icp_rows(raw: Column) -> tuple[Column, Column]:
+    """(profile, issues) of the JSON text of an ideal customer profile: trimmed texts, lists without blanks, bounds as numbers or null."""
+    r = Record(raw)
+    text = lambda p: F.when(r.kind(p) == "STRING", F.trim(r.text(p))).otherwise("")
+    blank = lambda p: F.coalesce(F.trim(r.text(p)), F.lit("")) == ""
+    bound_of = lambda p: F.when(blank(p), None).otherwise(F.trim(r.text(p)).try_cast("double"))
+    low, high = bound_of("employee_count_min"), bound_of("employee_count_max")
+    bad = lambda p, n: ~blank(p) & (n.isNull() | F.isnan(n) | (F.abs(n) == float("inf")) | (n < 0))
+    tests = (text("name") == "", text("description") == "", bad("employee_count_min", low) | bad("employee_count_max", high), low > high)
+    lists = [F.filter(F.transform(F.coalesce(F.from_json(F.when(r.kind(p) == "ARRAY", r.json(p)), "array<string>"), F.array().cast("array<string>")), lambda x: F.trim(x)), lambda x: F.coalesce(x, F.lit("")) != "").alias(p) for p in ICP_LISTS]
+    profile = F.struct(text("name").alias("name"), text("description").alias("description"), *lists, low.alias("employee_count_min"), high.alias("employee_count_max"))
+    return profile, F.array_compact(F.array(*[F.when(t, F.lit(m)) for t, m in zip(tests, ICP_ISSUES)]))
+
+
+def read_icp(spark: SparkSession, path: str | None):
+    """The profile in a JSON file as a row; None for no path; raises with the first issue."""
+    if not path:
+        return None
+    profile, issues = icp_rows(F.col("value"))
+    row = spark.read.text(path, wholetext=True).select(profile.alias("profile"), issues.alias("issues")).first()  # one small file
+    if row is None or row["issues"]:
+        raise ValueError(f"ICP file {path} {row['issues'][0] if row else 'is empty'}")
+    return row["profile"]
+
+
+def register_preset(name: str, errors, flat: tuple[str, Callable] | None = None, gate: tuple[str, ...] = (), fields: tuple[tuple[str, str, int], ...] = ()) -> Preset:
+    """Adds a preset made of a user's functions, which work on batches of JSON texts.
+
+    errors: from an Arrow array of texts to one of lists of messages.  flat: a schema and a function from an Arrow
+    array to a struct array of it; without one the generic flattening is used.
+    """
+    if name in PRESETS:
+        raise ValueError(f"a preset {name} exists")
+    checked = F.arrow_udf(errors, "array<string>")
+    flattened = None
+    if flat is not None:
+        schema, made = flat
+        udf = F.arrow_udf(made, f"struct<{schema}>")
+        names = [c.strip().split()[0].split(":")[0] for c in schema.split(",")]
+        flattened = lambda raw: bound_struct(udf(raw), names)
+    PRESETS[name] = Preset(name, checked, flattened, _plain_gate(gate), fields)
+    return PRESETS[name]
+
+
+def bound_struct(value: Column, names: list[str]) -> list[Column]:
+    return [value[n].alias(n) for n in names]
+
+
+def preset_rows(records: DataFrame, of: Preset, raw: str = "raw") -> DataFrame:
+    """The records with ``errors`` and, of those without any, the preset's flat columns."""
+    errors = of.errors(F.col(raw))
+    checked = records.withColumn("errors", errors)
+    good = F.when(F.size("errors") == 0, F.col(raw))
+    return checked if of.flat is None else checked.select("*", *of.flat(good))

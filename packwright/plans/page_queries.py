@@ -125,9 +125,13 @@ def f7_page_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     return texts(spark, sf_dir, "pages").select("page_id", text.page_path_of(F.col("url")).alias("page_path"), text.page_name_of(F.col("url")).alias("page_name"))
 
 
-@query("SELECT page_id, lower(hex(list_reduce(list_prepend(CAST(5381 AS BIGINT), list_transform(string_split(url, ''), lambda c: CAST(unicode(c) AS BIGINT))), lambda h, c: xor((h * 33) & 4294967295, c)))) AS h FROM pages")
+_UNITS = "flatten(list_transform(string_split(url || chr(128512), ''), lambda c: CASE WHEN unicode(c) > 65535 THEN [55296 + ((unicode(c) - 65536) >> 10), 56320 + ((unicode(c) - 65536) & 1023)] ELSE [unicode(c)] END))"
+
+
+@query(f"SELECT page_id, lower(hex(list_reduce(list_prepend(CAST(5381 AS BIGINT), list_transform({_UNITS}, lambda u: CAST(u AS BIGINT))), lambda h, c: xor((h * 33) & 4294967295, c)))) AS h FROM pages")
 def f8_text_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return texts(spark, sf_dir, "pages").select("page_id", text.text_hash(F.col("url")).alias("h"))
+    """URLs with a character beyond the basic plane, which counts as two."""
+    return texts(spark, sf_dir, "pages").select("page_id", text.text_hash(F.concat("url", F.lit("\U0001f600"))).alias("h"))
 
 
 _SLUG = "substr(regexp_replace(regexp_replace(lower(p_name), '[^a-z0-9]+', '_', 'g'), '^_+|_+$', '', 'g'), 1, 80)"

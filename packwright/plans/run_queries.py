@@ -182,20 +182,114 @@ def ag9_leaderboard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return benchmark.leaderboard(scores(spark, sf_dir), 0.45)
 
 
-_VERIFIED = _board(4, "count(*) >= 40 AND avg(quality_score) >= 0.45 AND avg(CAST(parse_ok AS INT)) >= 0.9", "")
+SQL_GRID = "(SELECT max(n) AS cases, count(*) AS models FROM (SELECT count(*) AS n FROM documents GROUP BY source))"
+_VERIFIED = _board(4, f"count(*) >= (SELECT cases FROM {SQL_GRID}) AND avg(quality_score) >= 0.45 AND avg(CAST(parse_ok AS INT)) >= 0.9", "")
 
 
 @query(_VERIFIED)
 def ag10_verified_leaderboard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return benchmark.verified_leaderboard(scores(spark, sf_dir), 40, 0.45)
+    rows = scores(spark, sf_dir)
+    return benchmark.verified_leaderboard(rows, grid(rows)[0], 0.45).drop("first_position")
 
 
-@query(f"""WITH b AS ({_VERIFIED}), c AS (SELECT model, avg_cost_per_case_usd AS cost, avg_quality_score AS q FROM b WHERE eligible ORDER BY 2, 3 DESC, 1 LIMIT 1)
-SELECT CAST(800 AS BIGINT) AS expected_scores, CAST(sum(cases) AS BIGINT) AS scored_cases, floor(sum(cases) / 800.0::DOUBLE * 1e4 + 0.5) / 1e4 AS completed_fraction, sum(cases) >= 800 AS complete, max(avg_quality_score) AS best_quality_score,
- CAST(count(*) FILTER (eligible) AS BIGINT) AS eligible_models, (SELECT model FROM c) AS cheapest_eligible_model, (SELECT model FROM b ORDER BY avg_quality_score DESC, model DESC LIMIT 1) AS highest_quality_model,
- CASE WHEN sum(cases) >= 800 AND (SELECT count(*) FROM c) > 0 THEN floor((greatest(0, 10000 - (SELECT cost FROM c) * 1e6) + (SELECT q FROM c) * 100) * 1e4 + 0.5) / 1e4 ELSE 0.0 END AS primary_score FROM b""")
+def grid(rows: DataFrame) -> tuple[int, int]:
+    """Expected cases of a model, which are those of the model with most, and models."""
+    most = rows.groupBy("model").agg(F.count("*").alias("n")).agg(F.max("n").alias("cases"), F.count("*").alias("models")).first()
+    return most["cases"] or 0, most["models"]
+
+
+@query(f"""WITH b AS ({_VERIFIED}), x AS (SELECT CAST(cases * models AS BIGINT) AS pairs FROM {SQL_GRID}), c AS (SELECT model, avg_cost_per_case_usd AS cost, avg_quality_score AS q FROM b WHERE eligible ORDER BY 2, 3 DESC, 1 LIMIT 1), t AS (SELECT * FROM b, x)
+SELECT any_value(pairs) AS expected_scores, CAST(sum(cases) AS BIGINT) AS scored_cases, floor(sum(cases) / any_value(pairs)::DOUBLE * 1e4 + 0.5) / 1e4 AS completed_fraction, sum(cases) >= any_value(pairs) AS complete, max(avg_quality_score) AS best_quality_score,
+ CAST(count(*) FILTER (eligible) AS BIGINT) AS eligible_models, (SELECT model FROM c) AS cheapest_eligible_model, (SELECT model FROM b JOIN (SELECT source AS model, min(doc_id) AS f FROM documents GROUP BY source) USING (model) ORDER BY avg_quality_score DESC, f LIMIT 1) AS highest_quality_model,
+ CASE WHEN sum(cases) >= any_value(pairs) AND (SELECT count(*) FROM c) > 0 THEN floor((greatest(0, 10000 - (SELECT cost FROM c) * 1e6) + (SELECT q FROM c) * 100) * 1e4 + 0.5) / 1e4 ELSE 0.0 END AS primary_score FROM t""")
 def ag10_benchmark_kpis(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return benchmark.benchmark_kpis(scores(spark, sf_dir), 40, 20, 0.45)
+    rows = scores(spark, sf_dir)
+    return benchmark.benchmark_kpis(rows, *grid(rows), 0.45)
+
+
+@query("""WITH s AS (SELECT DISTINCT source AS model, CAST(n_chars % 300 AS VARCHAR) AS case_id FROM documents)
+SELECT m.model, c.case_id FROM (SELECT DISTINCT model FROM s) AS m, (SELECT DISTINCT case_id FROM s) AS c EXCEPT SELECT model, case_id FROM s""")
+def j9_missing_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lengths of documents stand for cases; which source has none of a length that occurs."""
+    rows = table(spark, sf_dir, "documents").select(F.col("source").alias("model"), (F.col("n_chars") % 300).cast("string").alias("case_id"))
+    return benchmark.missing_pairs(rows)
+
+
+@query(f"SELECT case_id, model, CAST(row_number() OVER (ORDER BY case_id) - 1 AS BIGINT) AS row_index FROM ({SQL_SCORES})")
+def s5_rows_by_case(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return benchmark.rows_by_case(scores(spark, sf_dir).select("case_id", "model"))
+
+
+_ICP_LOW = "CASE p_size % 5 WHEN 0 THEN '-1' WHEN 1 THEN '' WHEN 2 THEN 'many' ELSE CAST(p_size AS VARCHAR) END"
+
+
+@query(f"""WITH p AS (SELECT *, {_ICP_LOW} AS low FROM part), i AS (SELECT p_partkey, low, [CASE WHEN p_partkey % 7 = 0 THEN 'must include a non-empty name' END, CASE WHEN low IN ('-1', 'many') THEN 'employee bounds must be non-negative numbers or null' END, CASE WHEN try_cast(low AS DOUBLE) > 25 THEN 'has employee_count_min greater than employee_count_max' END] AS x FROM p)
+SELECT p_partkey, array_to_string(list_filter(x, lambda m: m IS NOT NULL), '; ') AS issues, try_cast(low AS DOUBLE) AS low, CAST(2 AS BIGINT) AS industries FROM i""")
+def n7_icp_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts as ideal customer profiles, their sizes as bounds."""
+    from packwright.operators.presets import icp_rows
+
+    size = F.col("p_size")
+    low = F.when(size % 5 == 0, "-1").when(size % 5 == 1, "").when(size % 5 == 2, "many").otherwise(size.cast("string"))
+    name = F.when(F.col("p_partkey") % 7 == 0, "  ").otherwise(F.col("p_name"))
+    raw = F.to_json(F.struct(name.alias("name"), F.col("p_type").alias("description"), F.array(F.col("p_brand"), F.lit(" "), F.lit(" x ")).alias("target_industries"), low.alias("employee_count_min"), F.lit(25).alias("employee_count_max")))
+    rows = table(spark, sf_dir, "part").select("p_partkey", raw.alias("raw"))
+    profile, issues = icp_rows(F.col("raw"))
+    return rows.select("p_partkey", F.array_join(issues, "; ").alias("issues"), profile["employee_count_min"].alias("low"), F.size(profile["target_industries"]).cast("long").alias("industries"))
+
+
+EVENT_SCHEMA = {
+    "type": "object", "additionalProperties": False, "required": ["kind", "score", "tags"],
+    "properties": {
+        "kind": {"type": "string", "enum": ["view", "click", "error"]}, "score": {"type": ["number", "null"], "minimum": 0, "maximum": 100}, "props": {"type": "object", "properties": {"k": {"type": "integer", "maximum": 50}}, "additionalProperties": False},
+        "tags": {"type": "array", "minItems": 1, "maxItems": 2, "items": {"type": "string", "maxLength": 5}},
+    },
+}
+_K = "CAST(json_extract_string(props, '$.k') AS BIGINT)"
+
+
+@query(f"""WITH e AS (SELECT event_id AS id, event_type, value, {_K} AS k FROM events)
+SELECT id, '$.kind' AS path, 'enum' AS rule FROM e WHERE event_type NOT IN ('view', 'click', 'error') UNION ALL SELECT id, '$.score', 'minimum' FROM e WHERE k % 9 <> 0 AND value < 0 UNION ALL SELECT id, '$.score', 'maximum' FROM e WHERE k % 9 <> 0 AND value > 100
+UNION ALL SELECT id, '$.score', 'required' FROM e WHERE k % 9 = 0 UNION ALL SELECT id, '$.props.k', 'maximum' FROM e WHERE k > 50 UNION ALL SELECT id, '$.more', 'additionalProperties' FROM e WHERE k % 8 = 0
+UNION ALL SELECT id, '$.tags[1]', 'maxLength' FROM e WHERE k % 4 <> 0 AND length(event_type) > 5 UNION ALL SELECT id, '$.tags', 'type' FROM e WHERE k % 4 = 0 UNION ALL SELECT id, '$', 'json' FROM e WHERE false""")
+def v9_schema_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as records, their props as they stand in them; some lack members, have others, or a list that is none."""
+    from packwright.operators.conformance import violations
+
+    k = F.get_json_object("props", "$.k").cast("long")
+    score, more = F.when(k % 9 != 0, F.col("value")), F.when(k % 8 == 0, F.lit(1))
+    tags = F.when(k % 4 == 0, F.lit('"none"')).otherwise(F.to_json(F.array(F.lit("t"), F.col("event_type"))))
+    head = F.to_json(F.struct(F.col("event_type").alias("kind"), score.alias("score"), more.alias("more")))
+    raw = F.concat(F.expr("substring(h, 1, length(h) - 1)"), F.lit(',"props":'), F.col("props"), F.lit(',"tags":'), F.col("tags"), F.lit("}"))
+    rows = table(spark, sf_dir, "events").select(F.col("event_id").alias("case_id"), "props", head.alias("h"), tags.alias("tags")).select("case_id", raw.alias("raw"))
+    return violations(rows, EVENT_SCHEMA)
+
+
+@query(f"""SELECT event_id, CASE WHEN {_K} % 2 = 1 THEN 'k is odd' ELSE '' END AS errors, CASE WHEN {_K} % 2 = 0 THEN {_K} END AS k, CASE WHEN {_K} % 2 = 0 THEN {_K} // 10 END AS tens FROM events""")
+def u2_user_preset(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A preset whose checks and flat columns are a user's functions, over the props of all events."""
+    from packwright.operators import presets
+
+    own = presets.PRESETS.get("props") or presets.register_preset("props", _odd, ("k long, tens long", _tens))
+    rows = presets.preset_rows(table(spark, sf_dir, "events").select("event_id", F.col("props").alias("raw")), own)
+    return rows.select("event_id", F.array_join("errors", "; ").alias("errors"), "k", "tens")
+
+
+def _odd(raw):
+    import json
+
+    import pyarrow as pa
+
+    return pa.array([["k is odd"] if json.loads(x)["k"] % 2 else [] for x in raw.to_pylist()], pa.list_(pa.string()))
+
+
+def _tens(raw):
+    import json
+
+    import pyarrow as pa
+
+    found = [None if x is None else json.loads(x)["k"] for x in raw.to_pylist()]
+    return pa.array([{"k": k, "tens": None if k is None else k // 10} for k in found], pa.struct([("k", pa.int64()), ("tens", pa.int64())]))
 
 
 @query(f"""WITH s AS (SELECT *, latency_ms % 3 = 0 AS cached, ok AND parse_ok AS good FROM ({SQL_SCORES})),
