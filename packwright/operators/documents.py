@@ -103,9 +103,10 @@ def write_packets(packets: DataFrame, root: str) -> DataFrame:
         for batch in batches:
             ids, files = batch.column(0).to_pylist(), []
             for case_id, markdown, packet in zip(ids, batch.column(1).to_pylist(), batch.column(2).to_pylist()):
-                write_whole(f"{root}/{case_id}/{PACKET_TEXT}", [(markdown or "").encode()])
                 if packet is not None:
                     write_whole(f"{root}/{case_id}/{PACKET_JSON}", [packet.encode()])
+                # the document comes last: a packet is there when it is
+                write_whole(f"{root}/{case_id}/{PACKET_TEXT}", [(markdown or "").encode()])
                 files.append(1 + (packet is not None))
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.string()), pa.array(files, pa.int32())], ["case_id", "files"])
 

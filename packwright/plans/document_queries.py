@@ -91,6 +91,19 @@ def io6_io7_packets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.crossJoin(found.agg(F.count("*").alias("packets"))).select("case_id", "company_name", "domain", "md_chars", "packet_json", "packets")
 
 
+@query("""SELECT lpad(CAST(s_suppkey AS VARCHAR), 6, '0') AS case_id, 'Company: ' || s_name || chr(10) AS markdown, CASE WHEN s_suppkey % 3 = 0 THEN '{}' ELSE '{"nation":' || s_nationkey || '}' END AS packet_json FROM supplier""")
+def io6_packet_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Packet folders of all suppliers, read by the data source."""
+    from packwright.sources import packets as source_of
+
+    key = F.col("s_suppkey")
+    rows = table(spark, sf_dir, "supplier").select(text.zero_padded(key).alias("case_id"), F.concat(F.lit("Company: "), F.col("s_name"), F.lit("\n")).alias("markdown"), F.when(key % 3 != 0, F.to_json(F.struct(F.col("s_nationkey").alias("nation")))).alias("packet_json"))
+    root = new_folder(spark, "packets")
+    staged(documents.write_packets(rows, root), "packet-files")
+    source_of.register(spark)
+    return spark.read.format("packets").option("folders_a_task", 32).load(root)
+
+
 @query("""SELECT d.doc_id, l.doc_id IS NULL AS synthetic, CASE WHEN l.doc_id IS NULL THEN coalesce(d.text, '') ELSE 'quality ' || l.quality END AS body, CASE WHEN l.doc_id IS NULL THEN 'first_party' WHEN l.toxic = 1 THEN 'third_party' ELSE 'unknown' END AS source_bucket FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id""")
 def j1_indexed_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as the index, labels as the files that some of them have; the others stand for themselves."""
