@@ -166,23 +166,27 @@ def read_icp(spark: SparkSession, path: str | None):
     return row["profile"]
 
 
-def register_preset(name: str, errors, flat: tuple[str, Callable] | None = None, gate: tuple[str, ...] = (), fields: tuple[tuple[str, str, int], ...] = ()) -> Preset:
-    """Adds a preset made of a user's functions, which work on batches of JSON texts.
+def user_preset(name: str, errors, flat: tuple[str, Callable] | None = None, gate: tuple[str, ...] = (), fields: tuple[tuple[str, str, int], ...] = ()) -> Preset:
+    """A preset made of a user's functions, which work on batches of JSON texts.
 
     errors: from an Arrow array of texts to one of lists of messages.  flat: a schema and a function from an Arrow
     array to a struct array of it; without one the generic flattening is used.
     """
-    if name in PRESETS:
-        raise ValueError(f"a preset {name} exists")
-    checked = F.arrow_udf(errors, "array<string>")
     flattened = None
     if flat is not None:
         schema, made = flat
         udf = F.arrow_udf(made, f"struct<{schema}>")
         names = [c.strip().split()[0].split(":")[0] for c in schema.split(",")]
         flattened = lambda raw: bound_struct(udf(raw), names)
-    PRESETS[name] = Preset(name, checked, flattened, _plain_gate(gate), fields)
-    return PRESETS[name]
+    return Preset(name, F.arrow_udf(errors, "array<string>"), flattened, _plain_gate(gate), fields)
+
+
+def register_preset(own: Preset) -> Preset:
+    """Makes a preset known by its name."""
+    if own.id in PRESETS:
+        raise ValueError(f"a preset {own.id} exists")
+    PRESETS[own.id] = own
+    return own
 
 
 def bound_struct(value: Column, names: list[str]) -> list[Column]:

@@ -265,14 +265,14 @@ def v9_schema_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return violations(rows, EVENT_SCHEMA)
 
 
-@query(f"""SELECT event_id, CASE WHEN {_K} % 2 = 1 THEN 'k is odd' ELSE '' END AS errors, CASE WHEN {_K} % 2 = 0 THEN {_K} END AS k, CASE WHEN {_K} % 2 = 0 THEN {_K} // 10 END AS tens FROM events""")
+@query(f"""SELECT event_id, CASE WHEN {_K} % 2 = 1 THEN 'k is odd' ELSE '' END AS errors, CASE WHEN {_K} % 2 = 0 THEN {_K} ELSE -1 END AS k, CASE WHEN {_K} % 2 = 0 THEN {_K} // 10 ELSE -1 END AS tens FROM events""")
 def u2_user_preset(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A preset whose checks and flat columns are a user's functions, over the props of all events."""
     from packwright.operators import presets
 
-    own = presets.PRESETS.get("props") or presets.register_preset("props", _odd, ("k long, tens long", _tens))
+    own = presets.user_preset("props", _odd, ("k long, tens long", _tens))
     rows = presets.preset_rows(table(spark, sf_dir, "events").select("event_id", F.col("props").alias("raw")), own)
-    return rows.select("event_id", F.array_join("errors", "; ").alias("errors"), "k", "tens")
+    return rows.select("event_id", F.array_join("errors", "; ").alias("errors"), *[F.coalesce(c, F.lit(-1)).alias(c) for c in ("k", "tens")])
 
 
 def _odd(raw):

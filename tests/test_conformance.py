@@ -117,12 +117,12 @@ def test_a_preset_of_user_functions(spark):
     def flat(raw):
         return pa.array([{"a": None if x is None else json.loads(x)["a"], "size": None if x is None else len(x)} for x in raw.to_pylist()], pa.struct([("a", pa.string()), ("size", pa.int64())]))
 
-    own = presets.register_preset("of-a-test", errors, ("a string, size long", flat), ("fund",), (("a", "string", 3),))
+    own = presets.register_preset(presets.user_preset("of-a-test", errors, ("a string, size long", flat), ("fund",), (("a", "string", 3),)))
     try:
         rows = spark.createDataFrame([(1, '{"a":"x"}'), (2, "{}")], "id long, raw string")
         got = {r["id"]: (r["errors"], r["a"], r["size"]) for r in presets.preset_rows(rows, presets.preset("of-a-test")).collect()}
         assert got == {1: ([], "x", 9), 2: (["no a"], None, None)} and "fund" in own.gate
         with pytest.raises(ValueError, match="exists"):
-            presets.register_preset("of-a-test", errors)
+            presets.register_preset(own)
     finally:
         del presets.PRESETS["of-a-test"]
