@@ -75,10 +75,14 @@ def resolve_href(href: Column, base: Column) -> Column:
     )
 
 
+def anchor_hrefs(html: Column) -> Column:
+    """What the anchors link to, as it stands, without what leads to the page itself or to a script."""
+    return F.filter(F.transform(tags(html, "a"), lambda t: attribute(t, "href")), lambda h: (h != "") & ~h.rlike("(?i)^#|^javascript:"))
+
+
 def page_links(html: Column, base: Column) -> Column:
     """Distinct http(s) targets of the anchors, in order, without fragments."""
-    hrefs = F.filter(F.transform(tags(html, "a"), lambda t: attribute(t, "href")), lambda h: (h != "") & ~h.rlike("(?i)^#|^javascript:"))
-    full = F.transform(hrefs, lambda h: replaced(resolve_href(h, base), ("#.*$", "")))
+    full = F.transform(anchor_hrefs(html), lambda h: replaced(resolve_href(h, base), ("#.*$", "")))
     return distinct_texts(F.filter(full, is_web_url))
 
 

@@ -341,7 +341,8 @@ SQL_QUALITY = f"""{SQL_FINAL},
 
 
 def quality_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    final = final_pages(spark, sf_dir)
+    # read by a dozen branches, so made once, with what they need
+    final = staged(final_pages(spark, sf_dir).select("company", "pos", "keep", "raw_chars", "clean_chars", "source_bucket", "drop_reasons", "clean_text", "body"), "final-pages")
     return packets.company_quality(final, packets.company_facts(final, known_facts(spark, sf_dir)))
 
 
@@ -395,3 +396,15 @@ _HINTS = "list_distinct(list_transform(regexp_extract_all(text, '(?i)\\b([A-Z]\\
 def text_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = packets.text_candidates(F.col("text"), F.lit(""), F.lit(""))
     return texts(spark, sf_dir, "documents").select("doc_id", found.alias("c")).select("doc_id", F.size("c.postal_code_hints").cast("long").alias("n_hints"), "c.confidence")
+
+
+@query()
+def h8_links_by_standard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All links of the pages, and odd forms made of them, by the standard; no SQL has its parser."""
+    from packwright.functions.html import anchor_hrefs
+    from packwright.functions.urls import resolved_urls
+
+    rows = texts(spark, sf_dir, "pages").select("page_id", "url", anchor_hrefs(F.coalesce("html", F.lit(""))).alias("links"))
+    odd = lambda x: F.array(x, F.concat(F.lit("..\\"), x), F.concat(F.lit("//user:a b@EXAMPLE.com:443"), x), F.concat(F.lit("?q='"), x), F.concat(F.lit("./%2E%2e/"), x, F.lit(" x{y}")))
+    mutated = rows.select("page_id", "url", F.flatten(F.transform("links", odd)).alias("links"))
+    return mutated.select("page_id", F.posexplode(F.arrays_zip("links", resolved_urls(F.col("links"), F.col("url")).alias("full"))).alias("place", "x")).select("page_id", "place", F.col("x.links").alias("link"), F.col("x.full").alias("full"))

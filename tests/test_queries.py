@@ -31,7 +31,7 @@ def test_query_equals_sql(spark, duck, name):
 
 def test_frontier_equals_plain_fold(spark):
     """The query without SQL against a loop over seeds and links."""
-    assert sorted(set(QUERIES) - set(SQL)) == ["w7_frontier"]
+    assert sorted(set(QUERIES) - set(SQL)) == ["h8_links_by_standard", "w7_frontier"]
     from packwright.operators.source import frontier
 
     seeds = spark.createDataFrame([(1, 0, "https://a.test/"), (1, 1, "https://www.a.test/contact/"), (2, 0, "https://b.test")], "row_index long, position int, url string")
@@ -39,3 +39,12 @@ def test_frontier_equals_plain_fold(spark):
     found = spark.createDataFrame([(1, "homepage", "a.test", "https://a.test", "https://a.test/", links), (2, "contact", "b.test", "", "https://b.test/", ["https://b.test/team"])], "row_index long, family string, domain string, website_url string, page_url string, links array<string>")
     got = {(r["row_index"], r["phase"], r["url"]) for r in frontier(seeds, found, 2).collect()}
     assert got == {(1, 0, "https://a.test/"), (1, 0, "https://www.a.test/contact/"), (2, 0, "https://b.test"), (1, 1, "https://a.test/about"), (1, 1, "https://a.test/team")}
+
+
+def test_links_equal_the_parser_alone(spark):
+    """The query without SQL against the standard's parser on each link: the usual forms give the same."""
+    from packwright.functions.urls import joined_url
+
+    base = {r["page_id"]: r["url"] for r in spark.read.parquet(f"{SF}/pages.parquet").collect()}
+    rows = QUERIES["h8_links_by_standard"](spark, SF).collect()
+    assert len(rows) > 1000 and [r for r in rows if r["full"] != joined_url(r["link"], base[r["page_id"]])] == []
