@@ -39,7 +39,7 @@ from pyspark.sql.window import Window
 from .files import stored
 from .textscan import FOLD_AZ, chunks, equal_spans, map_columns, mixed, span_hashes, word_spans
 
-PART_BYTES = 1 << 22
+PART_BYTES = 1 << 21
 NO_LANGUAGE = "und"
 #: Fixed values of the contract: bytes that end a piece, and bytes that part words inside one.
 ENDS_PIECE, PARTS_WORDS = np.zeros(256, bool), np.zeros(256, bool)
