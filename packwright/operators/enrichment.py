@@ -15,6 +15,7 @@ SENTINELS = ("no usable company-site content was kept after cleanup", "no usable
 LEAST_PACKET_CHARS = 80
 METADATA_LINE = r"(?im)^(# scraped content for|company:|domain:|full address:).*$"
 UNSET_WORDS = ("", "unknown", "null")
+IMMATERIAL_TEXTS = ("", "[]", "{}", "null")
 # --------------------------------------
 
 
@@ -100,6 +101,12 @@ def filled_default(value: Column, *candidates: Column) -> Column:
     return F.when(unset & filled.isNotNull(), filled).otherwise(value)
 
 
+def first_material(*values: Column) -> Column:
+    """The first value, trimmed, that is no blank, empty list, empty object or null in words; else an empty text."""
+    texts = [F.trim(F.coalesce(v.cast("string"), F.lit(""))) for v in values]
+    return F.coalesce(*[F.when(~F.lower(t).isin(*IMMATERIAL_TEXTS), t) for t in texts], F.lit(""))
+
+
 def run_summary(rows: DataFrame) -> DataFrame:
     """total, successful, failed, total cost, mean latency and status of a run's rows (ok, parsed, cost_usd, latency_ms)."""
     total, good = F.count("*"), F.count_if(F.coalesce("ok", F.lit(False)))

@@ -3,7 +3,7 @@
 import duckdb
 import pytest
 
-from packwright.plans import customer_records, document_queries, page_queries, record_queries, run_queries  # noqa: F401
+from packwright.plans import customer_records, document_queries, evidence_queries, page_queries, record_queries, run_queries  # noqa: F401
 from packwright.plans.registry import QUERIES, SQL
 
 SF = "/root/testdata/sf0.001"
