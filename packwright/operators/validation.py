@@ -42,9 +42,9 @@ EVIDENCE = "array<struct<field_path:string,claim:string,source_url:string,source
 class Record:
     """Access to a record by dotted path.  Arrays end a path."""
 
-    def __init__(self, raw: Column):
+    def __init__(self, raw: Column, value: Column | None = None):
         self.raw = raw
-        self.value = F.try_parse_json(raw)
+        self.value = F.try_parse_json(raw) if value is None else value
 
     def at(self, path: str) -> Column:
         return F.try_variant_get(self.value, F.lit("$." + path), "variant")
@@ -72,13 +72,21 @@ class Record:
     def json(self, path: str) -> Column:
         return F.get_json_object(self.raw, "$." + path)
 
+    def material(self, path: str) -> Column:
+        """``is_material`` of a member, without reading the record's text again."""
+        return _says_something(F.to_json(self.at(path)))
+
     def items(self, path: str, schema: str = "array<string>") -> Column:
         return F.coalesce(F.from_json(F.when(self.kind(path) == "ARRAY", self.json(path)), schema), F.array().cast(schema))
 
 
 def is_material(json: Column) -> Column:
     """Whether a JSON value says something: some leaf that is a number, a boolean or an informative text."""
-    leaves = F.filter(F.regexp_extract_all(F.when(json.rlike(r'^\s*[\[{]'), json).otherwise(F.to_json(F.array(json))), F.lit(_LEAF), F.lit(0)), lambda x: ~x.endswith(":"))
+    return _says_something(F.when(json.rlike(r'^\s*[\[{]'), json).otherwise(F.to_json(F.array(json))))
+
+
+def _says_something(json: Column) -> Column:
+    leaves = F.filter(F.regexp_extract_all(json, F.lit(_LEAF), F.lit(0)), lambda x: ~x.endswith(":"))
     words = lambda x: F.lower(F.trim(replaced(x, ('^"|"$', ""))))
     says = lambda x: ~x.startswith('"') | ((words(x) != "") & ~words(x).isin(*IMMATERIAL_WORDS) & ~words(x).rlike(IMMATERIAL_SENTENCE))
     return F.coalesce(F.exists(leaves, says), F.lit(False))
@@ -90,7 +98,11 @@ def normalize_path(path: Column) -> Column:
 
 def path_matches(prefix: str, path: Column) -> Column:
     """Equal, or one inside the other."""
-    return bound(normalize_path(path), lambda p: (p == prefix) | p.startswith(prefix + ".") | F.startswith(F.lit(prefix), F.concat(p, F.lit("."))))
+    return bound(normalize_path(path), lambda p: _overlaps(prefix, p))
+
+
+def _overlaps(prefix: str, path: Column) -> Column:
+    return path.isin(prefix, *[prefix[:i] for i, c in enumerate(prefix) if c == "."]) | path.startswith(prefix + ".")
 
 
 def same_domain(url: Column, domain: Column) -> Column:
@@ -182,7 +194,7 @@ def _foreign_site(e: Column, domain: Column) -> Column:
 
 
 def _cites(evidence: Column, paths: tuple[str, ...] | str, contains: bool = False) -> Column:
-    one = lambda e, p: F.coalesce(e["field_path"], F.lit("")).contains(p) if contains else path_matches(p, e["field_path"])
+    one = lambda e, p: F.coalesce(e["field_path"], F.lit("")).contains(p) if contains else _overlaps(p, e["path"])
     listed = (paths,) if isinstance(paths, str) else paths
 
     def any_of(e: Column) -> Column:
@@ -195,12 +207,26 @@ def _cites(evidence: Column, paths: tuple[str, ...] | str, contains: bool = Fals
 
 
 def _uncited(r: Record, evidence: Column, paths: tuple[str, ...]) -> list[Column]:
-    return [_issue(is_material(r.json(p)) & ~_cites(evidence, p), "medium", p, UNCITED) for p in paths]
+    return [_issue(r.material(p) & ~_cites(evidence, p), "medium", p, UNCITED) for p in paths]
+
+
+def _with_evidence(raw: Column, path: str, rules) -> Column:
+    """``rules(record, evidence)``; the record is parsed once and its evidence read once, however many rules look at them."""
+
+    def parsed(x: Column) -> Column:
+        r = Record(x["raw"], x["value"])
+        items = F.transform(r.items(path, EVIDENCE), lambda e: F.struct(normalize_path(e["field_path"]).alias("path"), *[e[m].alias(m) for m in ("field_path", "claim", "source_url", "source_type")]))
+        return bound(items, lambda evidence: rules(r, evidence))
+
+    return bound(F.struct(raw.alias("raw"), F.try_parse_json(raw).alias("value")), parsed)
 
 
 def verification_issues(raw: Column) -> Column:
-    r = Record(raw)
-    evidence, capital = r.items("evidence", EVIDENCE), r.text("is_capital_source") == "true"
+    return _with_evidence(raw, "evidence", _verification_rules)
+
+
+def _verification_rules(r: Record, evidence: Column) -> Column:
+    capital = r.text("is_capital_source") == "true"
     return F.concat(
         _issues(_issue(F.size(evidence) == 0, "high", "evidence", "Verification has no evidence.")),
         _each(evidence, lambda e: _bad_url(e, "evidence")),
@@ -212,8 +238,11 @@ def verification_issues(raw: Column) -> Column:
 
 
 def enrichment_issues(raw: Column) -> Column:
-    r = Record(raw)
-    evidence, domain = r.items("source_evidence", EVIDENCE), replaced(F.lower(F.coalesce(r.text("domain"), F.lit(""))), (r"^www\.", ""))
+    return _with_evidence(raw, "source_evidence", _enrichment_rules)
+
+
+def _enrichment_rules(r: Record, evidence: Column) -> Column:
+    domain = replaced(F.lower(F.coalesce(r.text("domain"), F.lit(""))), (r"^www\.", ""))
     noisy = lambda e: _issue(F.concat_ws(" ", e["claim"], e["source_url"]).rlike(CITATION_NOISE), "medium", "source_evidence.claim", "Evidence contains markdown citation text or OpenAI tracking URL noise.")
     sized = r.is_number("capital_profile.commitment_size_min_usd") | r.is_number("capital_profile.commitment_size_max_usd")
     return F.concat(
@@ -241,8 +270,11 @@ def is_advisory_wording(claim: Column) -> Column:
 
 
 def lean_issues(raw: Column) -> Column:
-    r = Record(raw)
-    evidence, urls = r.items("source_evidence", EVIDENCE), r.items("evidence_urls")
+    return _with_evidence(raw, "source_evidence", _lean_rules)
+
+
+def _lean_rules(r: Record, evidence: Column) -> Column:
+    urls = r.items("evidence_urls")
     domain = replaced(F.lower(F.coalesce(r.text("domain"), F.lit(""))), (r"^www\.", ""))
     generic = lambda e: F.lower(F.trim(F.coalesce(e["claim"], F.lit("")))).rlike(GENERIC_CLAIM)
     about = lambda e, paths: _cites(F.array(e), paths)
@@ -252,10 +284,10 @@ def lean_issues(raw: Column) -> Column:
     either = lambda a, b: r.is_number(a) | r.is_number(b)
     fund, direct = either("fund_cheque_size_min_usd", "fund_cheque_size_max_usd"), either("direct_cheque_size_min_usd", "direct_cheque_size_max_usd")
     guessed = lambda test, needed, path, what: _issue(test & ~_cites(evidence, needed, True), "high", path, f"{what} must not be guessed; it needs explicit evidence.")
-    not_web = lambda p, what: _issue(is_material(r.json(p)) & ~F.trim(F.coalesce(r.text(p), F.lit(""))).rlike("^https?://"), "medium", p, f"{what} URL must be a valid HTTP(S) URL or unknown.")
+    not_web = lambda p, what: _issue(r.material(p) & ~F.trim(F.coalesce(r.text(p), F.lit(""))).rlike("^https?://"), "medium", p, f"{what} URL must be a valid HTTP(S) URL or unknown.")
     is_ = lambda p, v: r.text(p).eqNullSafe(v)
     known = lambda p: ~F.coalesce(r.text(p), F.lit("")).isin("", "unknown")
-    own = lambda p: F.filter(evidence, lambda e: path_matches(p, e["field_path"]))
+    own = lambda p: F.filter(evidence, lambda e: _overlaps(p, e["path"]))
     only_record = lambda p: (F.size(own(p)) > 0) & F.forall(own(p), lambda e: e["source_type"].eqNullSafe("source_record"))
     advisory = lambda p: F.exists(own(p), lambda e: is_advisory_wording(F.coalesce(e["claim"], F.lit(""))))
     optional = [
