@@ -9,8 +9,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from packwright.functions.text import WS, bound, text_hash, text_or_empty, trimmed
+from packwright.operators.ordered import sums_before
 from packwright.operators.packets import source_bucket
 from packwright.sources.files import write_whole
+from packwright.sources.staging import staged
 
 # ---- Fixed values of the contract ----
 PACKET_TEXT, PACKET_JSON = "llm_input.md", "llm_input.json"
@@ -85,15 +87,24 @@ def indexed_pages(index: DataFrame, files: DataFrame) -> DataFrame:
     return out.withColumn("content_hash", text_hash(F.col("body"))).withColumn("source_bucket", source_bucket(kind, F.coalesce("source_family", F.lit("")))).withColumn("synthetic", ~found).drop("_raw", "_doc")
 
 
-def company_index(entities: DataFrame, sources: DataFrame) -> DataFrame:
-    """company and ``index``: the JSON document of a company with its pages in order.
+def company_index(entities: DataFrame, sources: DataFrame, part_pages: int = 1024) -> DataFrame:
+    """company, part, parts, n_pages, pages, index: the JSON document of a company with its pages by ``pos``, in parts.
 
-    A company's pages are those that a crawl may fetch, so their array is small; their text is not in it.
+    ``pages`` is the JSON array of a part's pages; the texts of ``index``, in the order of their parts, are the
+    document.  A part holds ``part_pages`` pages, so a company of any number of pages is never whole in a task.
+    A company without pages has one part; pages of no listed company, or of none, are left out.
     """
     members = [F.col(c) if c in sources.columns else F.lit("").alias(c) for c in INDEX_MEMBERS]
-    pages = sources.groupBy("company").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", F.struct(*members).alias("page")))), lambda x: x["page"]).alias("pages"))
-    joined = entities.join(pages, "company", "left").withColumn("pages", F.coalesce("pages", F.array().cast(pages.schema["pages"].dataType)))
-    return joined.select("company", F.size("pages").cast("long").alias("n_pages"), F.to_json(F.struct(*[F.col(c) for c in joined.columns])).alias("index"))
+    slim = sources.where("company IS NOT NULL").select("company", "pos", F.to_json(F.struct(*members)).alias("page"), F.lit(1).cast("long").alias("_one"))
+    placed = sums_before(slim, "company", "pos", "_one").withColumn("part", F.floor(F.col("before") / part_pages))
+    pages = F.transform(F.array_sort(F.collect_list(F.struct("before", "page"))), lambda x: x["page"])
+    pieces = staged(placed.groupBy("company", "part").agg(F.array_join(pages, ",").alias("_pages"), F.count("*").alias("n_pages")), "index-parts")
+    parts = pieces.groupBy("company").agg(F.count("*").alias("parts"))
+    head = entities.select("company", F.to_json(F.struct(*[F.col(f"`{c}`") for c in entities.columns])).alias("_head")).join(parts, "company", "left")
+    joined = head.join(pieces, "company", "left").select("company", F.coalesce("part", F.lit(0)).alias("part"), F.coalesce("parts", F.lit(1)).alias("parts"), F.coalesce("n_pages", F.lit(0)).alias("n_pages"), F.coalesce("_pages", F.lit("")).alias("_pages"), "_head")
+    opened = F.concat(F.substring("_head", F.lit(1), F.length("_head") - 1), F.when(F.col("_head") == "{}", "").otherwise(","), F.lit('"pages":['))
+    text = F.concat(F.when(F.col("part") == 0, opened).otherwise(","), "_pages", F.when(F.col("part") == F.col("parts") - 1, "]}").otherwise(""))
+    return joined.select("company", "part", "parts", "n_pages", F.concat(F.lit("["), "_pages", F.lit("]")).alias("pages"), text.alias("index"))
 
 
 def write_packets(packets: DataFrame, root: str) -> DataFrame:

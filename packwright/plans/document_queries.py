@@ -113,14 +113,30 @@ def j1_indexed_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return documents.indexed_pages(index, files).select("doc_id", "synthetic", "body", "source_bucket")
 
 
+def host_index(spark: SparkSession, sf_dir: str, part_pages: int) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select(F.regexp_extract("url", "^https?://([^/?#]*)", 1).alias("company"), F.col("page_id").alias("pos"), F.col("url").alias("final_url"))
+    return documents.company_index(pages.select("company").distinct(), pages, part_pages)
+
+
 @query(f"""SELECT {SQL_PAGE_URL} AS company, count(*) AS n_pages, first(url ORDER BY page_id) AS first_url, last(url ORDER BY page_id) AS last_url FROM pages GROUP BY 1""")
 def io14_company_index(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """An index document of each host; its pages are read back from the JSON."""
-    pages = table(spark, sf_dir, "pages").select(F.regexp_extract("url", "^https?://([^/?#]*)", 1).alias("company"), F.col("page_id").alias("pos"), F.col("url").alias("final_url"))
-    index = documents.company_index(pages.select("company").distinct(), pages)
-    at = lambda path: F.get_json_object("index", path)
-    last = F.element_at(F.from_json(at("$.pages"), "array<struct<final_url:string>>"), -1)["final_url"]
-    return index.select("company", "n_pages", at("$.pages[0].final_url").alias("first_url"), last.alias("last_url"))
+    """An index document of each host; its pages are read back from the JSON of its parts."""
+    read = F.from_json("pages", "array<struct<final_url:string>>")
+    parts = host_index(spark, sf_dir, 1024).select("company", "part", "n_pages", F.element_at(read, 1)["final_url"].alias("first"), F.element_at(read, -1)["final_url"].alias("last"))
+    return parts.groupBy("company").agg(F.sum("n_pages").alias("n_pages"), F.min_by("first", "part").alias("first_url"), F.max_by("last", "part").alias("last_url"))
+
+
+_PAGE_JSON = "'{' || string_agg(CASE WHEN m = 'final_url' THEN '\"final_url\":' || to_json(url) ELSE '\"' || m || '\":\"\"' END, ',' ORDER BY o) || '}'"
+
+
+@query(f"""WITH p AS (SELECT {SQL_PAGE_URL} AS company, page_id, url FROM pages WHERE url IS NOT NULL),
+m AS (SELECT company, page_id, {_PAGE_JSON} AS page FROM p, (SELECT unnest({list(documents.INDEX_MEMBERS)}) AS m, unnest(range({len(documents.INDEX_MEMBERS)})) AS o) GROUP BY company, page_id),
+r AS (SELECT *, (row_number() OVER (PARTITION BY company ORDER BY page_id) - 1) // 4 AS part, count(*) OVER (PARTITION BY company) AS n FROM m),
+g AS (SELECT company, part, count(*) AS n_pages, (n + 3) // 4 AS parts, string_agg(page, ',' ORDER BY page_id) AS pages FROM r GROUP BY company, part, n)
+SELECT company, part, parts, n_pages, CASE WHEN part = 0 THEN '{{"company":' || to_json(company) || ',"pages":[' ELSE ',' END || pages || CASE WHEN part = parts - 1 THEN ']}}' ELSE '' END AS index FROM g""")
+def io14_index_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The texts of index documents in parts of four pages."""
+    return host_index(spark, sf_dir, 4).drop("pages")
 
 
 @query(f"""WITH b AS (SELECT * FROM ({SQL_SCORES})) SELECT '{{"run_id":"r1","status_of":"bench","total":' || count(*) || ',"failed":' || count(*) FILTER (NOT ok) || '}}' AS manifest FROM b""")

@@ -88,14 +88,28 @@ def pf2_s2_link_ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", source.path_tier(F.col("url")).alias("tier"), source.is_page_like(F.col("url")).alias("page_like"))
 
 
-@query()
+def _frontier_sql() -> str:
+    """Seeds and links as rows; of each company's equal addresses the first, and of what is found the first twenty."""
+    from .page_queries import SQL_ENCODED, SQL_HOST, SQL_LINKS, SQL_ORIGIN, SQL_PATH
+
+    path, web = f"lower({SQL_PATH})", "regexp_matches(url, '(?i)^https?://')"
+    tier = "CASE " + " ".join(f"WHEN regexp_matches({path}, '{p}') THEN {t}" for p, t in source.PATH_TIERS) + f" ELSE {source.OTHER_TIER} END"
+    key = f"CASE WHEN {web} THEN lower(regexp_extract(url, '^([A-Za-z]+)', 1)) || '://' || {SQL_HOST} || CASE WHEN {SQL_PATH} IN ('', '/') THEN '/' ELSE regexp_replace({SQL_PATH}, '/$', '') END ELSE trim(url) END"
+    return f"""WITH l AS ({SQL_LINKS}), x AS (SELECT url, h FROM (SELECT url, unnest(hrefs) AS h FROM l) WHERE h <> '' AND NOT regexp_matches(h, '(?i)^#|^javascript:')),
+f AS (SELECT DISTINCT {SQL_HOST} AS company, regexp_replace({SQL_ORIGIN} || {SQL_ENCODED.format(x='h')}, '#.*$', '') AS url FROM x),
+e AS (SELECT company, url, CAST(1 AS INT) AS phase, CAST({tier} AS BIGINT) AS tier FROM f WHERE {web} AND NOT regexp_matches({path}, '{source.NOT_A_PAGE}') UNION ALL SELECT {SQL_HOST}, url, 0, page_id FROM pages),
+n AS (SELECT *, row_number() OVER (PARTITION BY company, {key} ORDER BY phase, tier, url) AS first FROM e), c AS (SELECT *, row_number() OVER (PARTITION BY company, phase ORDER BY tier, url) AS place FROM n WHERE first = 1)
+SELECT company, phase, tier, url FROM c WHERE phase = 0 OR place <= 20"""
+
+
+@query(_frontier_sql())
 def w7_frontier(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hosts as companies, their pages as seeds, the pages' links as what is discovered."""
     from packwright.functions.html import page_links
 
-    pages = table(spark, sf_dir, "pages").select(F.xxhash64(text.host_of(F.col("url"))).alias("row_index"), F.col("page_id").alias("position"), "url", page_links(F.col("html"), F.col("url")).alias("links"))
-    found = pages.select("row_index", F.lit("homepage").alias("family"), text.host_of(F.col("url")).alias("domain"), F.col("url").alias("website_url"), F.col("url").alias("page_url"), "links")
-    return source.frontier(pages.select("row_index", "position", "url"), found, 20)
+    pages = texts(spark, sf_dir, "pages").select(text.host_of(F.col("url")).alias("row_index"), F.col("page_id").alias("position"), "url", page_links(F.col("html"), F.col("url")).alias("links"))
+    found = pages.select("row_index", F.lit("homepage").alias("family"), F.col("row_index").alias("domain"), F.col("url").alias("website_url"), F.col("url").alias("page_url"), "links")
+    return source.frontier(pages.select("row_index", "position", "url"), found, 20).select(F.col("row_index").alias("company"), "phase", "tier", "url")
 
 
 @query("""WITH s AS (SELECT user_id AS row_index, event_id, event_type, event_type <> 'error' AS good, row_number() OVER (PARTITION BY user_id, event_type <> 'error' ORDER BY event_id) AS n FROM events)
