@@ -105,7 +105,7 @@ def page_assets(html: Column, base: Column) -> Column:
     )
 
 
-def normalize_markdown(value: Column, size: int = 220_000) -> Column:
+def normalize_markdown(value: Column, size: int | None = 220_000) -> Column:
     steps = ((r"\r", "\n"), (r"[ \t]+\n", "\n"), (r"\n[ \t]+", "\n"), (r"[ \t]{2,}", " "), (r"\n{3,}", "\n\n"), (r"(?m)[ \t\x0B\f ]+$", ""))
     return cut(trimmed(replaced(value, *steps)), size)
 
@@ -125,7 +125,7 @@ def _linked(piece: Column, base: Column) -> Column:
     return F.when(piece.rlike(pattern), F.concat(part(1), link)).otherwise(piece)
 
 
-def html_to_markdown(html: Column, base: Column, size: int = 220_000) -> Column:
+def html_to_markdown(html: Column, base: Column, size: int | None = 220_000) -> Column:
     """title and markdown of a page."""
     body = replaced(html, *[(rf"(?is)<{e}.*?</{e}>", " ") for e in DROPPED_ELEMENTS], ("(?s)<!--.*?-->", " "))
     body = F.array_join(F.transform(F.split(body, "(?i)(?<=</a>)"), lambda p: _linked(p, base)), "")

@@ -54,7 +54,7 @@ def kept_lines(lines: Column, chrome: Column) -> Column:
     return F.transform(F.array_sort(F.transform(kept, lambda e: F.struct(e["place"].alias("place"), e["line"].alias("line")))), lambda e: e["line"])
 
 
-def clean_pages(pages: DataFrame, share: float = CHROME_SHARE, least: int = CHROME_FROM, size: int = PAGE_CHARS) -> DataFrame:
+def clean_pages(pages: DataFrame, share: float = CHROME_SHARE, least: int = CHROME_FROM, size: int | None = PAGE_CHARS) -> DataFrame:
     """pages with clean_text and clean_chars; only the small sets of repeated lines are joined."""
     chrome = repeated_lines(pages, share, least).groupBy("company").agg(F.collect_list("line").alias("chrome"))
     joined = pages.join(chrome, "company", "left")

@@ -17,12 +17,12 @@ def site_pages(pages: DataFrame) -> DataFrame:
     """pages(page_id, url, html) as fetched pages of companies, a company being a host.
 
     The table has neither statuses nor families, so page ids stand for them: some pages failed, some were
-    not found, and families go round.
+    not found, and families go round.  Texts are whole, however long.
     """
     number = F.col("pos")
     family = F.element_at(F.array(*[F.lit(f) for f in FAMILIES]), (number % len(FAMILIES) + 1).cast("int"))
     url, html = F.coalesce("url", F.lit("")), F.coalesce("html", F.lit(""))
-    parsed = pages.select(F.col("page_id").cast("long").alias("pos"), url.alias("final_url"), html_to_markdown(html, url).alias("parsed"))
+    parsed = pages.select(F.col("page_id").cast("long").alias("pos"), url.alias("final_url"), html_to_markdown(html, url, None).alias("parsed"))
     return parsed.select(
         host_of(F.col("final_url")).alias("company"),
         "pos",
