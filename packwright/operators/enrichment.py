@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from packwright.functions.text import half_up, one_spaced, replaced
+from packwright.functions.text import bound, half_up, one_spaced, replaced
 from packwright.operators.gate import GATE_TERMS
 
 # ---- Fixed values of the contract ----
@@ -14,6 +16,7 @@ RETRYABLE, FALLBACK_STATUSES = (0, 408, 409, 429), (400, 404, 422)
 SENTINELS = ("no usable company-site content was kept after cleanup", "no usable third-party content was kept after cleanup")
 LEAST_PACKET_CHARS = 80
 METADATA_LINE = r"(?im)^(# scraped content for|company:|domain:|full address:).*$"
+BEFORE_TERM, AFTER_TERM = "(?<![0-9a-z_])", "(?![0-9a-z_])"
 UNSET_WORDS = ("", "unknown", "null")
 IMMATERIAL_TEXTS = ("", "[]", "{}", "null")
 # --------------------------------------
@@ -41,14 +44,37 @@ def is_empty_packet(markdown: Column) -> Column:
 
 def allocator_terms() -> dict[str, str]:
     """The fixed list of the gate, label to regular expression."""
-    return {label: f"(?<![0-9a-z_])(?:{pattern})(?![0-9a-z_])" for label, pattern in GATE_TERMS}
+    return {label: f"{BEFORE_TERM}(?:{pattern}){AFTER_TERM}" for label, pattern in GATE_TERMS}
 
 
 def gate_labels(markdown: Column, terms: dict[str, str]) -> Column:
-    """Labels of the terms (label to regular expression) that a packet names outside its metadata lines."""
+    """Labels of the terms (label to regular expression) that a packet names outside its metadata lines.
+
+    The text is made once for all terms; a term of the gate's own form is looked for by its first letters.
+    """
+
+    def named(text: Column, pattern: str) -> Column:
+        first, form = letters_first(pattern)
+        return text.contains(first) & text.rlike(form) if first else text.rlike(form)
+
     text = F.lower(replaced(markdown, (METADATA_LINE, "")))
-    listed = F.array(*[F.struct(F.lit(label).alias("label"), F.lit(pattern).alias("pattern")) for label, pattern in terms.items()])
-    return F.transform(F.filter(listed, lambda t: F.regexp_like(text, t["pattern"])), lambda t: t["label"])
+    return bound(text, lambda t: F.array_compact(F.array(*[F.when(named(t, pattern), F.lit(label)) for label, pattern in terms.items()])))
+
+
+def letters_first(pattern: str) -> tuple[str, str]:
+    """The letters that any match of a term of the gate's form starts with, and an equal expression that looks for them
+    before it looks behind; no letters and the same expression for other forms.
+    """
+    inner = pattern.removeprefix(BEFORE_TERM).removesuffix(AFTER_TERM)
+    if pattern != f"{BEFORE_TERM}{inner}{AFTER_TERM}" or not inner.startswith("(?:") or not inner.endswith(")"):
+        return "", pattern
+    first, other = re.fullmatch(r"(?s)([a-z0-9 ]*)(.*)", inner[3:-1]).groups()
+    # one alternative only: bars stand inside groups without groups in them
+    if not re.fullmatch(r"(?:[a-z0-9 ]|\(\?:[a-z|]*\)|\[[a-z -]*\]|\?)*", other):
+        return "", pattern
+    if other.startswith("?"):
+        first, other = first[:-1], first[-1:] + other
+    return (first, f"{first}(?<![0-9a-z_]{first}){other}{AFTER_TERM}") if first else ("", pattern)
 
 
 def routed(packets: DataFrame, terms: dict[str, str] | None = None) -> DataFrame:

@@ -1,5 +1,6 @@
 import copy
 import json
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -149,3 +150,17 @@ def test_defaults_and_cache(spark):
     assert [r[0] for r in frame.select(enrichment.filled_default(F.col("v"), F.col("c1"), F.col("c2"))).collect()] == ["B", "A", None]
     cases, cache = spark.createDataFrame([(1,), (2,)], "case_id int"), spark.createDataFrame([(1, "r")], "case_id int, raw string")
     assert [r[0] for r in enrichment.to_call(cases, cache).collect()] == [2] and enrichment.to_call(cases, cache, True).count() == 2
+
+
+def test_gate_terms_by_their_first_letters(spark):
+    terms = enrichment.allocator_terms()
+    forms = {label: enrichment.letters_first(pattern) for label, pattern in terms.items()}
+    assert all(first for first, _ in forms.values())
+    assert forms["LP"] == ("lp", "lp(?<![0-9a-z_]lp)s?(?![0-9a-z_])") and forms["asset"][0] == "asset"
+    for other in ("a|b", "(?<![0-9a-z_])(?:ab|cd)(?![0-9a-z_])", "(?<![0-9a-z_])(?:ab)|(?:cd)(?![0-9a-z_])", "(?<![0-9a-z_])(?:abc{0})(?![0-9a-z_])", "(?<![0-9a-z_])(?:a?b)(?![0-9a-z_])"):
+        assert enrichment.letters_first(other) == ("", other)
+    words = ["investor", "reinvest", "LP", "help lpsx", "lps", "x_fund", "funds", "fund-of-funds", "co invests", "assets", "assetss", "first time", "LP secondaries", "OCIO", None, "", "nothing, Company: capital", "company: capital", "co-investor"]
+    rows = spark.createDataFrame([(w,) for w in words], "t string").select("t", enrichment.gate_labels(F.col("t"), terms).alias("labels")).collect()
+    for r in rows:
+        text = "" if (r["t"] or "").startswith("company:") else (r["t"] or "").lower()
+        assert r["labels"] == [label for label, p in terms.items() if re.search(p, text)], r["t"]
