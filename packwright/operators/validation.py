@@ -126,9 +126,17 @@ def verdict(errors: Column) -> Column:
     return bound(errors, lambda e: F.struct((F.size(e) == 0).alias("ok"), e.alias("errors")))
 
 
+def once_parsed(raw: Column, rules) -> Column:
+    """``rules(record)`` of a record that is parsed once, however many rules look at it."""
+    return bound(F.struct(raw.alias("raw"), F.try_parse_json(raw).alias("value")), lambda x: rules(Record(x["raw"], x["value"])))
+
+
 def company_errors(raw: Column) -> Column:
     """Errors of a company record."""
-    r = Record(raw)
+    return once_parsed(raw, _company_rules)
+
+
+def _company_rules(r: Record) -> Column:
     status = F.coalesce(r.text("qualification.status"), F.lit(""))
     scored = r.is_object("qualification")
     rules = [(~r.is_filled("source_record_id"), "source_record_id must be a non-empty string")]
@@ -144,12 +152,15 @@ def company_errors(raw: Column) -> Column:
 
 
 def _has_items(r: Record, path: str) -> Column:
-    return (r.kind(path) == "ARRAY") & (F.coalesce(F.json_array_length(r.json(path)), F.lit(0)) > 0)
+    return (r.kind(path) == "ARRAY") & (F.coalesce(F.json_array_length(F.to_json(r.at(path))), F.lit(0)) > 0)
 
 
 def qualification_errors(raw: Column, with_icp: bool) -> Column:
     """Errors of the qualification against whether an ideal-customer profile was given."""
-    r = Record(raw)
+    return once_parsed(raw, lambda r: _qualification_rules(r, with_icp))
+
+
+def _qualification_rules(r: Record, with_icp: bool) -> Column:
     status = F.coalesce(r.text("qualification.status"), F.lit(""))
     if with_icp:
         return _messages((status == "not_scored", "qualification.status must not be not_scored when an ICP is provided"))
@@ -157,16 +168,21 @@ def qualification_errors(raw: Column, with_icp: bool) -> Column:
 
 
 def capital_errors(raw: Column) -> Column:
-    r = Record(raw)
+    return once_parsed(raw, _capital_rules)
+
+
+def _capital_rules(r: Record) -> Column:
     rules = [(~r.is_object(k), f"{k} must be an object") for k in CAPITAL_SECTIONS]
     return F.when(r.is_object(), _messages(*rules, (~_has_items(r, "source_evidence"), "source_evidence must contain at least one item"))).otherwise(F.array(F.lit("output must be an object")))
 
 
 def is_complete_record(raw: Column) -> Column:
     """Whether a record is an object with the sections that a finished record has."""
-    r = Record(raw)
-    sections = [r.is_object(k) for k in CAPITAL_SECTIONS]
-    return F.coalesce(r.is_object() & sections[0] & sections[1] & sections[2] & _has_items(r, "source_evidence"), F.lit(False))
+    def complete(r: Record) -> Column:
+        sections = [r.is_object(k) for k in CAPITAL_SECTIONS]
+        return F.coalesce(r.is_object() & sections[0] & sections[1] & sections[2] & _has_items(r, "source_evidence"), F.lit(False))
+
+    return once_parsed(raw, complete)
 
 
 def _issue(broken: Column, severity: str, path: str, detail: str | Column) -> Column:

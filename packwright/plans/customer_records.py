@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from packwright.functions import facts
 from packwright.operators import benchmark, enrichment, presets, source, validation
 
-from .registry import query, table
+from .registry import dealt, query, table
 
 _NONE = "list_filter({x}, lambda m: m IS NOT NULL)"
 _JOINED = "array_to_string(list_filter({x}, lambda m: m IS NOT NULL), '; ')"
@@ -36,7 +36,7 @@ def company_records(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(key_() % 11 == 0, "[]").otherwise('[{"field":"x"}]'), F.lit("}"),
     ]
     raw = F.when(key_() % 13 == 0, "no json").otherwise(F.concat(*parts))
-    return table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_mktsegment", "c_nationkey", raw.alias("raw"))
+    return dealt(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_mktsegment", "c_nationkey", raw.alias("raw"))
 
 
 _STATUS = "['not_scored', 'strong_fit', 'great', 'weak_fit'][c_custkey % 4 + 1]"
@@ -63,7 +63,7 @@ def v3_pf16_customer_capital(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Customers as capital sources; the section that is no object has the customer's name as its value."""
     name = F.to_json(F.array("c_name"))
     raw = F.concat(F.lit('{"verification":'), F.when(key_() % 4 == 0, name).otherwise("{}"), F.lit(',"profile":'), F.when(key_() % 5 == 0, name).otherwise("{}"), F.lit(',"capital_profile":{},"source_evidence":'), F.when(key_() % 3 == 0, "[]").otherwise(name), F.lit("}"))
-    rows = table(spark, sf_dir, "customer").select("c_custkey", raw.alias("raw"))
+    rows = dealt(spark, sf_dir, "customer").select("c_custkey", raw.alias("raw"))
     return rows.select("c_custkey", F.array_join(validation.capital_errors(F.col("raw")), "; ").alias("errors"), validation.is_complete_record(F.col("raw")).alias("complete"))
 
 
