@@ -22,7 +22,12 @@ FAILURES_PER_MODEL, CONTEXT_MARGIN = 3, 4_000
 
 def is_unknown(value: Column) -> Column:
     """A text that says nothing."""
-    return bound(normalized_text(value), lambda v: (v == "") | v.isin(*UNKNOWN_WORDS))
+    return bound(normalized_text(value), says_nothing)
+
+
+def says_nothing(normal: Column) -> Column:
+    """``is_unknown`` of a text that is normalised already."""
+    return (normal == "") | normal.isin(*UNKNOWN_WORDS)
 
 
 def all_unknown(values: Column) -> Column:

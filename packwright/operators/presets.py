@@ -8,10 +8,10 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from packwright.functions.text import half_up
-from packwright.operators.benchmark import OVERFILLED, all_unknown, is_unknown, score_array, score_number, score_string
+from packwright.functions.text import bound, half_up, normalized_text
+from packwright.operators.benchmark import OVERFILLED, all_unknown, says_nothing, score_array, score_normalized, score_number
 from packwright.operators.enrichment import filled_default
-from packwright.operators.validation import Record, capital_errors, company_errors, flatten_company
+from packwright.operators.validation import Record, capital_errors, company_errors, flatten_company, once_parsed
 
 # ---- Fixed values of the contract ----
 COMPANY_FIELDS = (
@@ -79,20 +79,32 @@ def as_number(value: Column, default: float) -> Column:
 
 
 def field_scores(actual: Column, gold: Column, of: Preset) -> Column:
-    """path, weight and score of each compared field of two JSON records; the kinds are those of the preset."""
-    a, g = Record(actual), Record(gold)
+    """path, weight and score of each compared field of two JSON records; the kinds are those of the preset.
 
-    def one(path: str, kind: str, weight: int) -> Column:
+    Each record is parsed once, each member read once and its text normalised once.
+    """
+
+    def chosen(missing_a: Column, missing_g: Column, score: Column) -> Column:
+        return F.when(missing_a & missing_g, 1.0).when(missing_g, OVERFILLED).when(missing_a, 0.0).otherwise(score)
+
+    def of_lists(x: Column) -> Column:
+        missing = F.struct(x["a"].alias("a"), x["g"].alias("g"), all_unknown(x["a"]).alias("no_a"), all_unknown(x["g"]).alias("no_g"))
+        return bound(missing, lambda m: chosen(m["no_a"], m["no_g"], score_array(m["a"], m["g"])))
+
+    def of_texts(x: Column, score) -> Column:
+        known = F.struct(*[normalized_text(x[c]).alias(c) for c in ("a", "g")])
+        return bound(known, lambda n: chosen(says_nothing(n["a"]), says_nothing(n["g"]), score(n)))
+
+    def one(a: Record, g: Record, path: str, kind: str, weight: int) -> Column:
+        both = lambda read: F.struct(read(a).alias("a"), read(g).alias("g"))
         if kind == "array":
-            texts = lambda r: F.coalesce(F.from_json(F.when(r.kind(path) == "ARRAY", r.json(path)), "array<string>"), F.array().cast("array<string>"))
-            missing_a, missing_g, score = all_unknown(texts(a)), all_unknown(texts(g)), score_array(texts(a), texts(g))
+            value = bound(both(lambda r: r.items(path)), of_lists)
         else:
-            missing_a, missing_g = (F.coalesce(is_unknown(r.text(path)), F.lit(True)) for r in (a, g))
-            score = {"string": lambda: score_string(a.text(path), g.text(path)), "number": lambda: score_number(a.number(path), g.number(path)), "boolean": lambda: F.when(a.text(path) == g.text(path), 1.0).otherwise(0.0)}[kind]()
-        value = F.when(missing_a & missing_g, 1.0).when(missing_g, OVERFILLED).when(missing_a, 0.0).otherwise(score)
+            score = {"string": lambda x, n: score_normalized(n["a"], n["g"]), "number": lambda x, n: score_number(a.number(path), g.number(path)), "boolean": lambda x, n: F.when(x["a"] == x["g"], 1.0).otherwise(0.0)}[kind]
+            value = bound(both(lambda r: r.text(path)), lambda x: of_texts(x, lambda n: score(x, n)))
         return F.struct(F.lit(path).alias("path"), F.lit(weight).alias("weight"), value.alias("score"))
 
-    return F.array(*[one(*f) for f in of.fields])
+    return once_parsed(actual, lambda a: once_parsed(gold, lambda g: F.array(*[one(a, g, *f) for f in of.fields])))
 
 
 def weighted_agreement(scores: Column) -> Column:
