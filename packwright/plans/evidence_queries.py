@@ -13,7 +13,7 @@ from packwright.operators import benchmark, enrichment, validation
 
 from .customer_records import told
 from .page_queries import _chain, _spaced
-from .registry import query, table, texts
+from .registry import dealt, query, table, texts
 from .run_queries import SQL_NORMAL
 
 _BOTH = " ".join(f"{s.capitalize()}." for s in enrichment.SENTINELS)
@@ -142,7 +142,7 @@ def v5_j10_order_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     # a text in the place of the boolean, where the status says so
     raw = F.regexp_replace(F.to_json(record), '"word":', '"is_capital_source":')
-    return table(spark, sf_dir, "orders").select("o_orderkey", raw.alias("raw")).select("o_orderkey", told(validation.enrichment_issues(F.col("raw"))).alias("issues"))
+    return dealt(spark, sf_dir, "orders").select("o_orderkey", raw.alias("raw")).select("o_orderkey", told(validation.enrichment_issues(F.col("raw"))).alias("issues"))
 
 
 _OWN = "list_filter(es, lambda e: e.m = {m})"
@@ -174,4 +174,4 @@ def v6_order_lean_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(key % 5 == 0, named).alias("known_fund_investments"), number(6).alias("aum_usd"), number(9).alias("fund_cheque_size_min_usd"), F.when(key % 2 == 0, "observed_historical").alias("cheque_size_basis"), pick(customer % 3, ["yes", "no", "unknown"]).alias("invests_in_vc_funds"),
         F.when(key % 4 == 0, "no").otherwise("unknown").alias("fund_commitment_appetite"), F.when((key % 8).between(1, 4), "yes").otherwise("unknown").alias("invests_directly"), F.lit("unknown").alias("co_investment_appetite"), F.when(key % 13 == 0, priority).otherwise("e" * validation.LEAST_EMBEDDING).alias("embedding_text"),
     )
-    return table(spark, sf_dir, "orders").select("o_orderkey", F.to_json(record).alias("raw")).select("o_orderkey", told(validation.lean_issues(F.col("raw"))).alias("issues"))
+    return dealt(spark, sf_dir, "orders").select("o_orderkey", F.to_json(record).alias("raw")).select("o_orderkey", told(validation.lean_issues(F.col("raw"))).alias("issues"))
