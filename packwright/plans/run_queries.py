@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from packwright.functions import text
 from packwright.operators import benchmark, enrichment, source
 
-from .registry import query, table, texts
+from .registry import dealt, query, table, texts
 
 # ---- SQL shared by the queries below ----
 SQL_NORMAL = "trim(regexp_replace(regexp_replace(lower({x}), 'https?://\\S+', ' ', 'g'), '[^a-z0-9_]+', ' ', 'g'))"
@@ -275,7 +275,7 @@ def v9_schema_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
     tags = F.when(k % 4 == 0, F.lit('"none"')).otherwise(F.to_json(F.array(F.lit("t"), F.col("event_type"))))
     head = F.to_json(F.struct(F.col("event_type").alias("kind"), score.alias("score"), more.alias("more")))
     raw = F.concat(F.expr("substring(h, 1, length(h) - 1)"), F.lit(',"props":'), F.col("props"), F.lit(',"tags":'), F.col("tags"), F.lit("}"))
-    rows = table(spark, sf_dir, "events").select(F.col("event_id").alias("case_id"), "props", head.alias("h"), tags.alias("tags")).select("case_id", raw.alias("raw"))
+    rows = dealt(spark, sf_dir, "events").select(F.col("event_id").alias("case_id"), "props", head.alias("h"), tags.alias("tags")).select("case_id", raw.alias("raw"))
     return violations(rows, EVENT_SCHEMA)
 
 
