@@ -26,6 +26,7 @@ from pyspark.sql.window import Window
 from packwright.sources.files import filesystem
 
 RANGE_BYTES = 1 << 25
+LEAST_TASKS = 128
 BYTE_ORDER_MARK = b"\xef\xbb\xbf"
 _QUOTED = rb'"(?:[^"]++|"")*+'
 _INSIDE = re.compile(rb'(?:[^"]++|"")*+')
@@ -149,8 +150,11 @@ def ranges(spark: SparkSession, path: str, size: int) -> DataFrame:
     return files.select("path", F.explode(F.sequence(F.lit(0).cast("long"), F.col("bytes") - 1, F.lit(size).cast("long"))).alias("start")).withColumn("end", F.col("start") + size)
 
 
-def _spread(rows: DataFrame, count: int) -> DataFrame:
-    return rows.repartition(max(1, count))
+def _spread(rows: DataFrame, size: int) -> DataFrame:
+    """Ranges of ``size`` bytes dealt to tasks: beyond LEAST_TASKS small ones share a task of about RANGE_BYTES, so tasks and files stay few."""
+    count = rows.count()
+    least = max(LEAST_TASKS, 3 * rows.sparkSession.sparkContext.defaultParallelism)
+    return rows.repartition(max(1, min(count, max(least, -(-count * size // RANGE_BYTES)))))
 
 
 def placed_ranges(spark: SparkSession, path: str, size: int) -> DataFrame:
@@ -168,10 +172,9 @@ def placed_ranges(spark: SparkSession, path: str, size: int) -> DataFrame:
             yield pa.RecordBatch.from_pylist([dict(zip(names, r)) for r in rows], pa.schema(list(zip(names, kinds))))
 
     names, kinds = ["path", "start", "end", "out_to", "out_rows", "in_to", "in_rows"], [pa.string(), pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.bool_(), pa.int64()]
-    all_ranges = ranges(spark, path, size)
     from packwright.sources.staging import staged
 
-    found = staged(_spread(all_ranges, all_ranges.count()).mapInArrow(run, "path string, start long, end long, out_to boolean, out_rows long, in_to boolean, in_rows long"), "csv-ranges")
+    found = staged(_spread(ranges(spark, path, size), size).mapInArrow(run, "path string, start long, end long, out_to boolean, out_rows long, in_to boolean, in_rows long"), "csv-ranges")
     # one row a range from here on
     file = Window.partitionBy("path").orderBy("start")
     earlier = file.rowsBetween(Window.unboundedPreceding, -1)
@@ -224,4 +227,4 @@ def read_ranges(spark: SparkSession, path: str, size: int = RANGE_BYTES) -> Data
                 if rows:
                     yield made(rows, number)
 
-    return _spread(placed, placed.count()).mapInArrow(run, schema)
+    return _spread(placed, size).mapInArrow(run, schema)

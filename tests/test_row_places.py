@@ -99,6 +99,16 @@ def test_one_file_by_many_tasks(spark, tmp_path):
     assert [r["row_index"] for r in got.select("row_index").orderBy("row_index").collect()] == list(range(len(docs)))
 
 
+def test_small_ranges_share_tasks(spark, tmp_path):
+    """Thousands of ranges far smaller than a task's share do not make thousands of tasks."""
+    rows = [(i, f'"{i}"\n,') for i in range(4000)]
+    with open(f"{tmp_path}/many.csv", "w", newline="") as f:
+        csv.writer(f).writerows([("a", "b"), *rows])
+    got = tables.read_csv(spark, f"file://{tmp_path}/many.csv", 16)
+    assert got.rdd.getNumPartitions() <= 2 * csv_ranges.LEAST_TASKS < os.path.getsize(f"{tmp_path}/many.csv") // 16
+    assert [(int(r["a"]), r["b"]) for r in got.orderBy("row_index").collect()] == rows
+
+
 def test_several_files_and_ragged_rows(spark, tmp_path):
     for i in range(3):
         with open(f"{tmp_path}/{i}.csv", "w", newline="") as f:
