@@ -23,3 +23,10 @@ def test_query_equals_sql(spark, name):
         return sorted((tuple(map(plain, r)) for r in frame[columns].astype(object).values.tolist()), key=str)
 
     assert len(got) and rows(got) == rows(want)
+
+
+def test_no_text_is_joined_for_exact_copies(spark):
+    """Words are digested below the join with the groups, so that no text is shuffled."""
+    plan = QUERIES["near_dedup_exact_copies"](spark, SF)._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    joined = next(i for i, line in enumerate(plan) if "Join Inner" in line)
+    assert joined < next(i for i, line in enumerate(plan) if "sha2(" in line)
