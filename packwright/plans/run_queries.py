@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from packwright.functions import text
 from packwright.operators import benchmark, enrichment, source
 
-from .registry import dealt, query, table, texts
+from .registry import dealt, query, spread, table, texts
 
 # ---- SQL shared by the queries below ----
 SQL_NORMAL = "trim(regexp_replace(regexp_replace(lower({x}), 'https?://\\S+', ' ', 'g'), '[^a-z0-9_]+', ' ', 'g'))"
@@ -31,7 +31,7 @@ def scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 def company_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Customers as a company list, some with blank values."""
     key = F.col("c_custkey")
-    return table(spark, sf_dir, "customer").select(
+    return spread(table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_mktsegment")).select(
         (key - 1).alias("row_index"), key.cast("string").alias("source_record_id"), F.when(key % 50 == 0, " ").otherwise(F.col("c_name")).alias("company_name"),
         F.when(key % 70 == 0, "").otherwise(F.concat(F.lit("WWW.Cust-"), key.cast("string"), F.lit(".Example.com/path?x=1"))).alias("domain"),
         F.when(key % 3 == 0, "").otherwise(F.concat(F.lit("see http://site-"), key.cast("string"), F.lit(".example.org/a, or call"))).alias("website_url"), "c_mktsegment",
