@@ -24,7 +24,8 @@ def decode_entities(value: Column) -> Column:
     unit = lambda p: F.decode(F.unhex(F.lpad(F.hex(F.regexp_extract(p, numeric, 1).cast("long").bitwiseAND(F.lit(0xFFFF))), 4, "0")), "UTF-16BE")
     parts = lambda v: F.regexp_extract_all(v, F.lit(r"([^&]+|&#\d+;|&)"), F.lit(1))
     decoded = lambda v: F.array_join(F.transform(parts(v), lambda p: F.when(p.rlike(numeric), unit(p)).otherwise(p)), "")
-    return bound(replaced(value, *ENTITIES), lambda v: F.when(v.contains("&#"), decoded(v)).otherwise(v))
+    named = lambda v: bound(replaced(v, *ENTITIES), lambda w: F.when(w.contains("&#"), decoded(w)).otherwise(w))
+    return bound(value, lambda v: F.when(v.contains("&"), named(v)).otherwise(v))
 
 
 def without_tags(value: Column) -> Column:
@@ -122,7 +123,12 @@ def _linked(piece: Column, base: Column) -> Column:
     target = bound(attribute(part(2), "href"), lambda href: F.when(plain(href), F.lit("")).otherwise(resolve_href(href, base)))
     marked = lambda x: F.concat(F.lit("["), replaced(x["text"], (r"([\[\]])", r"\\$1")), F.lit("]("), x["target"], F.lit(")"))
     link = bound(F.struct(without_tags(part(3)).alias("text"), target.alias("target")), lambda x: F.when((x["text"] == "") | (x["target"] == ""), x["text"]).otherwise(marked(x)))
-    return F.when(piece.rlike(pattern), F.concat(part(1), link)).otherwise(piece)
+    # the end is looked at first: what follows a page's last anchor may be most of it
+    return F.when(_ends(piece, "</a>") & piece.rlike(pattern), F.concat(part(1), link)).otherwise(piece)
+
+
+def _ends(piece: Column, tag: str) -> Column:
+    return F.lower(F.right(piece, F.lit(len(tag)))) == tag
 
 
 def html_to_markdown(html: Column, base: Column, size: int | None = 220_000) -> Column:
@@ -144,7 +150,7 @@ def _heading(body: Column, level: int) -> Column:
     pattern = rf"(?is)^(.*?)<h{level}(?![0-9A-Za-z_])[^>]*>(.*)</h{level}>$"
     part = lambda p, i: F.regexp_extract(p, pattern, i)
     line = lambda p: F.concat(part(p, 1), F.lit("\n" + "#" * level + " "), without_tags(part(p, 2)), F.lit("\n"))
-    turned = lambda b: F.array_join(F.transform(F.split(b, f"(?i)(?<=</h{level}>)"), lambda p: F.when(p.rlike(pattern), line(p)).otherwise(p)), "")
+    turned = lambda b: F.array_join(F.transform(F.split(b, f"(?i)(?<=</h{level}>)"), lambda p: F.when(_ends(p, f"</h{level}>") & p.rlike(pattern), line(p)).otherwise(p)), "")
     return bound(body, lambda b: F.when(b.rlike(f"(?i)</h{level}>"), turned(b)).otherwise(b))
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from packwright.functions.facts import is_fact_line
-from packwright.functions.text import bound, clip_text, one_spaced, replaced
+from packwright.functions.text import bound, cut, one_spaced, replaced
 
 # ---- Fixed values of the contract ----
 CHROME_SHARE, CHROME_FROM, CHROME_LENGTH = 0.45, 2, 180
@@ -58,5 +58,6 @@ def clean_pages(pages: DataFrame, share: float = CHROME_SHARE, least: int = CHRO
     """pages with clean_text and clean_chars; only the small sets of repeated lines are joined."""
     chrome = repeated_lines(pages, share, least).groupBy("company").agg(F.collect_list("line").alias("chrome"))
     joined = pages.join(chrome, "company", "left")
-    text = clip_text(F.array_join(kept_lines(lines_of(F.col("body")), F.coalesce("chrome", F.array().cast("array<string>"))), "\n"), size)
+    # no line is blank or has spaces at its ends, so there is nothing to clip but the length
+    text = cut(F.array_join(kept_lines(lines_of(F.col("body")), F.coalesce("chrome", F.array().cast("array<string>"))), "\n"), size)
     return joined.withColumn("clean_text", text).withColumn("clean_chars", F.length("clean_text").cast("long")).drop("chrome")
