@@ -4,7 +4,7 @@ import re
 
 from pyspark.sql import functions as F
 
-from packwright.functions import text
+from packwright.functions import facts, text
 from packwright.functions.facts import FACT_LINE
 from packwright.functions.html import html_to_markdown
 
@@ -39,3 +39,10 @@ def test_links_and_headings_at_the_ends(spark):
     pages = ["<h1>A</h1>", "<a href='/x'>X</A>", "x <a href='/y'>Y</a>\n", "</a>", "<H2 id=1>B &amp; c</H2>tail <a href=\"/z\">Z &lt;</a> rest", "no tags & none"]
     frame = spark.createDataFrame([(p,) for p in pages], "h string").select(html_to_markdown(F.col("h"), F.lit("https://s.org/"), None)["markdown"])
     assert [r[0] for r in frame.collect()] == ["# A", "[X](https://s.org/x)", "x [Y](https://s.org/y)", "", "## B & c\ntail [Z <](https://s.org/z) rest", "no tags & none"]
+
+
+def test_a_text_is_lowered_once_for_all_terms(spark):
+    frame = spark.createDataFrame([("Seed FUNDS and Software.  Next",), ("",), (None,)], "t string").select(facts.terms(F.col("t")).alias("x"))
+    assert [r[0] for r in frame.collect()] == [["seed", "software"], [], []]
+    plan = frame._jdf.queryExecution().optimizedPlan().toString()
+    assert re.search(r"transform\(array\(lower\(", plan), plan  # in no lambda over the terms
