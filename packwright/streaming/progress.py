@@ -28,6 +28,20 @@ def page_stream(spark: SparkSession, folder: str, schema, files_a_batch: int = 6
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_a_batch).parquet(folder)
 
 
+def few(pages: Iterator[tuple], rows: int = 1000, characters: int = 1 << 21) -> Iterator[list[tuple]]:
+    """The pages in lists of so many rows, or of so many characters and the page that passes them, at most."""
+    part: list[tuple] = []
+    held = 0
+    for page in pages:
+        part.append(page)
+        held += sum(len(v) for v in page if isinstance(v, str | bytes))
+        if len(part) >= rows or held >= characters:
+            yield part
+            part, held = [], 0
+    if part:
+        yield part
+
+
 class Gathered(StatefulProcessor):
     """State of a key: its pages so far.  Gives all of them whenever some come."""
 
@@ -40,14 +54,10 @@ class Gathered(StatefulProcessor):
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
         names = self.schema.fieldNames()
         for some in rows:
-            self.pages.appendList([tuple(r) for r in some[names].astype(object).where(some[names].notna(), None).itertuples(index=False)])
-        part: list[tuple] = []
-        for page in self.pages.get():
-            part.append(page)
-            if len(part) == 1000:
-                yield pd.DataFrame(part, columns=names)
-                part = []
-        if part:
+            plain = (tuple(None if v is pd.NA or v is pd.NaT or (isinstance(v, float) and v != v) else v for v in r) for r in some[names].itertuples(index=False))
+            for part in few(plain):
+                self.pages.appendList(part)
+        for part in few(self.pages.get()):
             yield pd.DataFrame(part, columns=names)
 
     def close(self) -> None:

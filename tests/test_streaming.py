@@ -86,3 +86,12 @@ def test_hours_of_a_stream_equal_the_batch(spark, tmp_path):
     stream = hourly_progress(spark.readStream.schema(rows.schema).parquet(f"{tmp_path}/in"), "10 minutes")
     stream.writeStream.format("memory").queryName("hours").outputMode("update").trigger(availableNow=True).option("checkpointLocation", f"{tmp_path}/check").start().awaitTermination()
     assert sorted(map(tuple, spark.table("hours").collect())) == sorted(map(tuple, hourly_progress(rows).collect()))
+
+
+def test_large_pages_are_handed_on_in_small_parts():
+    from packwright.streaming.progress import few
+
+    pages = [(i, "x" * 1_000_000, None) for i in range(7)] + [(i, "", None) for i in range(2500)]
+    parts = list(few(iter(pages)))
+    assert [p for part in parts for p in part] == pages
+    assert max(sum(len(p[1]) for p in part) for part in parts) <= 3_000_000 and max(map(len, parts)) <= 1000
