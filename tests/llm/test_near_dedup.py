@@ -1,9 +1,12 @@
+import os
 import random
 import re
+import time
 
 import pytest
 from pyspark.sql import functions as F
 
+from packwright.llm import near_dedup
 from packwright.llm.components import components
 from packwright.llm.near_dedup import Near, links, near_duplicates
 
@@ -150,3 +153,79 @@ def test_components(spark):
     got = {r["node"]: r["component"] for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {x: root(x) for x in parent}
     assert components(spark.createDataFrame(edges, "a long, b long").where(F.lit(False))).count() == 0
+
+
+def shared_passage(seed, docs=260):
+    """Texts that have a passage in common by chance, so lists of many unlike members, and a few copies with edits."""
+    rnd = random.Random(seed)
+    text = lambda n: [rnd.choice("abcdefgh") + str(rnd.randrange(10**6)) for _ in range(n)]
+    passage, copies = text(30), []
+    texts = [text(130) + passage + text(130) for _ in range(docs)]
+    for t in texts[:12]:
+        copies += [edited(rnd, t, k) for k in (3, 8, 14, 30)]
+    return list(enumerate([" ".join(t) for t in texts] + copies))
+
+
+def test_chance_lists_move_no_sets(frame, monkeypatch):
+    """Members of a long list with little in common are told apart without their full sets."""
+    written, store = {}, near_dedup.stored
+
+    def measured(df, kind):
+        table = store(df, kind)
+        written[kind] = written.get(kind, 0) + sum(os.path.getsize(f.removeprefix("file:")) for f in (x.replace("///", "/") for x in table.inputFiles()))
+        return table
+
+    monkeypatch.setattr(near_dedup, "stored", measured)
+    options = Near(words=3, percent=85, hot_values=0)
+    rows = shared_passage(6)
+    assert run(frame(rows), options) == brute(rows, options)
+    assert sum(n for kind, n in written.items() if kind != "signatures") < written["signatures"]
+
+
+def test_passed_tables_and_shuffle_files_go(frame, spark):
+    def left():
+        files = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+        return sum(files.apply(i).length() for i in range(files.size()) if files.apply(i).getName().startswith("shuffle_"))
+
+    shared = spark.conf.get("spark.checkpoint.dir").removeprefix("file://")
+    docs = frame(shared_passage(7))
+    docs.count()
+    tables, files = set(os.listdir(shared)), left()
+    got = near_duplicates(docs, Near(words=3, percent=85, hot_values=0))
+    kinds = {x.rpartition("-")[0] for x in set(os.listdir(shared)) - tables}
+    assert not kinds & {"signatures", "frequent", "stars", "pairs", "digests", "alike", "sets", "differences", "difference-entries", "hub-members", "members"}
+    for _ in range(50):
+        if left() - files < 100_000:
+            break
+        time.sleep(0.1)
+    assert left() - files < 100_000 and got.count() == 308
+
+
+def test_digests_leave_all_links(spark):
+    """Pairs on both sides of the threshold, small and large sets: no link goes, unlike ones do."""
+    import numpy as np
+
+    rnd = np.random.default_rng(3)
+    for options in (Near(words=3, percent=85), Near(words=5, percent=80), Near(words=3, percent=85, k=32)):
+        sketches, truth, unlike = [], set(), set()
+        for i in range(300):
+            n = int(rnd.integers(2, 400))
+            x = np.unique(rnd.integers(0, 1 << 63, n, np.int64).astype(np.uint64))
+            cut = int(rnd.integers(0, n // 5 + 1)) if i % 3 else n
+            y = np.unique(np.concatenate([x[rnd.permutation(len(x))[cut:]], rnd.integers(0, 1 << 63, cut, np.int64).astype(np.uint64)]))
+            sketches += [(2 * i, x[: options.k].tobytes()), (2 * i + 1, y[: options.k].tobytes())]
+            if options.sets_linked(x, y):
+                truth.add((2 * i, 2 * i + 1))
+            elif cut == n and n > 50:
+                unlike.add((2 * i, 2 * i + 1))
+        digests = near_dedup.sketch_digests(spark.createDataFrame(sketches, "doc_id long, sketch binary"))
+        pairs = spark.createDataFrame([(2 * i, 2 * i + 1) for i in range(300)], "a long, b long")
+        kept = {tuple(r) for r in near_dedup.alike(pairs, digests, options).collect()}
+        assert len(truth) > 50 and truth <= kept and len(unlike) > 50 and not unlike & kept
+
+
+def test_empty_rows_of_an_id_link_nothing(frame):
+    one = [f"a{i}" for i in range(100)]
+    two = [*one[:50], "b", *one[50:75], "c", *one[75:], "d", "e", "f", "g", "h", "i", "j", "k", "l", "m"]
+    rows = [(7, " ".join(one)), (7, None), (8, " ".join(two)), (8, "")]
+    assert {r[0]: r[2] for r in run(frame(rows), Near(words=3, percent=85))} == {7: 7, 8: 8}
