@@ -121,11 +121,11 @@ def secret_base_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def near_dedup_exact_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many groups each set of documents with equal words falls into: one."""
     words = F.regexp_replace(F.regexp_replace(F.lower("text"), "[\\x20\\x09-\\x0D]+", " "), "^ | $", "")
-    # digests are joined, not texts
+    # digests are joined, not texts, and as bytes up to the end
     docs = table(spark, sf_dir, "documents").select("doc_id", F.unhex(F.sha2(words, 256)).alias("digest"))
     both = op9_near_dedup(spark, sf_dir).where("n_shingles > 0").select("doc_id", "component_id").join(docs, "doc_id")
-    key = F.lower(F.hex("digest")).alias("words_sha256")
-    return both.groupBy(key).agg(F.count("*").alias("documents"), F.min("doc_id").alias("first_id"), F.count_distinct("component_id").alias("groups"))
+    found = both.groupBy("digest").agg(F.count("*").alias("documents"), F.min("doc_id").alias("first_id"), F.count_distinct("component_id").alias("groups"))
+    return found.select(F.lower(F.hex("digest")).alias("words_sha256"), "documents", "first_id", "groups")
 
 
 def url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

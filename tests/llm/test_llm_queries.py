@@ -30,3 +30,10 @@ def test_no_text_is_joined_for_exact_copies(spark):
     plan = QUERIES["near_dedup_exact_copies"](spark, SF)._jdf.queryExecution().optimizedPlan().toString().splitlines()
     joined = next(i for i, line in enumerate(plan) if "Join Inner" in line)
     assert joined < next(i for i, line in enumerate(plan) if "sha2(" in line)
+
+
+def test_exact_copies_are_grouped_by_bytes(spark):
+    """Digests are spelled out above the groups, so the groups' shuffles carry 32 bytes a document and not 64 characters."""
+    plan = QUERIES["near_dedup_exact_copies"](spark, SF)._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    grouped = [i for i, line in enumerate(plan) if "Aggregate" in line and "component_id" in line]
+    assert not any("hex(digest" in line for line in plan[grouped[0] + 1 :])
